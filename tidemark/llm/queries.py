@@ -4,9 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, quality
+from pyspark.sql import functions as F
+
+from . import mixing, quality, sharding, urls
 from .common import table
 
+#: (host, start of the path, verdict).
+URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
+
+
+def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = sharding.shard_by_bytes(table(spark, sf_dir, "documents").select("doc_id", "text"), 8)
+    return moved.select("doc_id", "size", F.crc32("text").alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.clean_lines(table(spark, sf_dir, "documents")).drop("clean_text")
@@ -16,5 +26,14 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "block", "draws")
 
 
-QUERIES = {"op2_quality_rules": op2_quality_rules, "op8_mixing": op8_mixing}
+def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages, marks = table(spark, sf_dir, "pages").select("page_id", "url"), table(spark, sf_dir, "labels")
+    # The number that ends a page's path is its document's id; a document of good quality makes its page a good one.
+    number = F.regexp_extract(F.coalesce("url", F.lit("")), r"://[^?#]*/([0-9]{1,18})(?:\.html|/)?(?:[?#]|$)", 1)
+    labels = pages.select("page_id", number.try_cast("long").alias("doc_id"))
+    labels = labels.join(marks.select("doc_id", F.col("quality").alias("good")), "doc_id").select("page_id", "good")
+    return urls.judge_urls(pages, URL_RULES, labels)
+
+
+QUERIES = {"op1_sharding": op1_sharding, "op10_url_filters": op10_url_filters, "op2_quality_rules": op2_quality_rules, "op8_mixing": op8_mixing}
 SQL: dict[str, str] = {}
