@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import media, mixing, quality, sharding, urls
+from . import media, mixing, quality, sharding, toxicity, urls
 from .common import table
 
 #: (host, start of the path, verdict).
@@ -26,6 +26,11 @@ def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_columns(table(spark, sf_dir, "documents"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return toxicity.score_toxicity(docs, table(spark, sf_dir, "labels")).withColumn("held_out", toxicity.held_out()).drop("text")
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "block", "draws")
 
@@ -39,5 +44,5 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_urls(pages, URL_RULES, labels)
 
 
-QUERIES = {"op1_sharding": op1_sharding, "op10_url_filters": op10_url_filters, "op2_quality_rules": op2_quality_rules, "op4_media_columns": op4_media_columns, "op8_mixing": op8_mixing}
+QUERIES = {"op1_sharding": op1_sharding, "op10_url_filters": op10_url_filters, "op2_quality_rules": op2_quality_rules, "op4_media_columns": op4_media_columns, "op6_toxicity": op6_toxicity, "op8_mixing": op8_mixing}
 SQL: dict[str, str] = {}
