@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import media, mixing, quality, sharding, toxicity, urls
+from . import media, mixing, privacy, quality, sentencepiece, sharding, toxicity, urls
 from .common import table
 
 #: (host, start of the path, verdict).
@@ -26,6 +26,14 @@ def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_columns(table(spark, sf_dir, "documents"))
 
 
+#: Of these tests; a real run takes its key from a secret store.
+PSEUDONYM_KEY = "test-key"
+
+
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return privacy.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), PSEUDONYM_KEY)
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return toxicity.score_toxicity(docs, table(spark, sf_dir, "labels")).withColumn("held_out", toxicity.held_out()).drop("text")
@@ -44,5 +52,17 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_urls(pages, URL_RULES, labels)
 
 
-QUERIES = {"op1_sharding": op1_sharding, "op10_url_filters": op10_url_filters, "op2_quality_rules": op2_quality_rules, "op4_media_columns": op4_media_columns, "op6_toxicity": op6_toxicity, "op8_mixing": op8_mixing}
+#: The model file is the tokenizer package's; another path works as well.
+def piece_model() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = sentencepiece.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), piece_model())
+    return coded.select("doc_id", "n_tokens", "round_trip", "ids")
+
+
+QUERIES = {"op1_sharding": op1_sharding, "op10_url_filters": op10_url_filters, "op2_quality_rules": op2_quality_rules, "op4_media_columns": op4_media_columns, "op5_pii": op5_pii, "op6_toxicity": op6_toxicity, "op8_mixing": op8_mixing, "op9_sentencepiece": op9_sentencepiece}
 SQL: dict[str, str] = {}
