@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import media, mixing, privacy, quality, sentencepiece, sharding, toxicity, urls
+from . import media, mixing, privacy, quality, sentencepiece, sharding, substrings, toxicity, urls
 from .common import table
 
 #: (host, start of the path, verdict).
@@ -39,6 +39,10 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(docs, table(spark, sf_dir, "labels")).withColumn("held_out", toxicity.held_out()).drop("text")
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "block", "draws")
 
@@ -64,5 +68,5 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", "n_tokens", "round_trip", "ids")
 
 
-QUERIES = {"op1_sharding": op1_sharding, "op10_url_filters": op10_url_filters, "op2_quality_rules": op2_quality_rules, "op4_media_columns": op4_media_columns, "op5_pii": op5_pii, "op6_toxicity": op6_toxicity, "op8_mixing": op8_mixing, "op9_sentencepiece": op9_sentencepiece}
+QUERIES = {"op1_sharding": op1_sharding, "op10_url_filters": op10_url_filters, "op2_quality_rules": op2_quality_rules, "op4_media_columns": op4_media_columns, "op5_pii": op5_pii, "op6_toxicity": op6_toxicity, "op7_substring_dedup": op7_substring_dedup, "op8_mixing": op8_mixing, "op9_sentencepiece": op9_sentencepiece}
 SQL: dict[str, str] = {}
