@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import media, mixing, privacy, quality, sentencepiece, sharding, substrings, toxicity, urls
+from . import jaccard, media, mixing, privacy, quality, sentencepiece, sharding, substrings, toxicity, urls
 from .common import table
 
 #: (host, start of the path, verdict).
@@ -22,6 +22,10 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.clean_lines(table(spark, sf_dir, "documents")).drop("clean_text")
 
 
+def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join_components(table(spark, sf_dir, "documents")).drop("point")
+
+
 def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_columns(table(spark, sf_dir, "documents"))
 
@@ -68,5 +72,5 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", "n_tokens", "round_trip", "ids")
 
 
-QUERIES = {"op1_sharding": op1_sharding, "op10_url_filters": op10_url_filters, "op2_quality_rules": op2_quality_rules, "op4_media_columns": op4_media_columns, "op5_pii": op5_pii, "op6_toxicity": op6_toxicity, "op7_substring_dedup": op7_substring_dedup, "op8_mixing": op8_mixing, "op9_sentencepiece": op9_sentencepiece}
+QUERIES = {"op1_sharding": op1_sharding, "op10_url_filters": op10_url_filters, "op2_quality_rules": op2_quality_rules, "op3_ngram_jaccard": op3_ngram_jaccard, "op4_media_columns": op4_media_columns, "op5_pii": op5_pii, "op6_toxicity": op6_toxicity, "op7_substring_dedup": op7_substring_dedup, "op8_mixing": op8_mixing, "op9_sentencepiece": op9_sentencepiece}
 SQL: dict[str, str] = {}
