@@ -27,6 +27,7 @@ _HIGH = np.cumprod(np.full(1 << 16, 0xD1342543DE82EF95, np.uint64))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -121,3 +122,23 @@ def slices(texts, ids, most: int = 1 << 20):
         to = max(at + 1, int(np.searchsorted(bounds, bounds[at] + most, "right")) - 1)
         yield data[bounds[at] : bounds[to]], bounds[at : to + 1] - bounds[at], ids[at:to]
         at = to
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the Python workers, once a session, wherever they start."""
+    import zipfile
+    from pathlib import Path
+
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    _shipped.add(context.applicationId)
+    root = Path(__file__).resolve().parents[1]
+    target = Path(tempfile.mkdtemp(prefix="spark-")) / f"{root.name}.zip"
+    with zipfile.ZipFile(target, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    context.addPyFile(str(target))

@@ -4,7 +4,10 @@ Equal sets are one point. The first pivots are the single-shingle sets: among th
 shingles, and two points within the threshold share one of the first (1 - t) * size + 1 of theirs in any common order. So
 each point goes to the regions of its first shingles, rarest first by a sketch of fixed size, and links lose nothing.
 
-In each region a point is the next pivot. All others are measured against it; the region splits into rings by distance,
+A region knows how many of a point's shingles come before its own in that order. The first shingle that two points share
+has none of the other's before it, so a pair is looked at only in regions where what follows is enough to link them.
+
+In each region the point with the least before its shingle is the next pivot. All others are measured against it; the region splits into rings by distance,
 with the triangle inequality as window: points whose distances differ by more than 1 - t can't link, so a ring meets its
 neighbour only. Rings that hold one component are finished; in the others, pivots of different components are measured
 against the points of the other components, again and again, until none is left. A pair within a component is never
@@ -31,7 +34,7 @@ from .components import components
 WORDS = 5
 SKETCH_BITS, SKETCH_PARTS = 20, 16
 IN_BUCKET = 1 << 20
-PIVOTS = 8
+PIVOTS = 8  # a region and round; twice as many each round
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
@@ -90,50 +93,59 @@ def _add(key, table):
     return pa.Table.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([level.tobytes()], pa.binary())], ["part", "level"])
 
 
-def _pack(points: list[bytes], owner: np.ndarray, key: np.ndarray, bits: int):
-    """One row a bucket: its (shingle, point) entries of a slice."""
+def _pack(points: list[bytes], sizes: np.ndarray, owner: np.ndarray, key: np.ndarray, place: np.ndarray, bits: int):
+    """One row a bucket: its (shingle, point, size, place of the shingle) entries of a slice."""
     bucket = (key >> np.uint64(64 - bits)).astype(np.int32)
     order = np.lexsort((owner, bucket))
-    bucket, owner, key = bucket[order], owner[order], key[order]
+    bucket, owner, key, place = bucket[order], owner[order], key[order], place[order]
     bounds = np.flatnonzero(np.diff(bucket)) + 1
     for a, b in zip([0, *bounds.tolist()], [*bounds.tolist(), len(bucket)], strict=True):
         if b > a:
             own, index = np.unique(owner[a:b], return_inverse=True)
-            yield int(bucket[a]), np.array([b - a, len(own)], np.int32).tobytes() + b"".join(points[i] for i in own) + key[a:b].tobytes() + zlib.compress(index.astype(np.int32).tobytes(), 1)
+            rest = index.astype(np.int32).tobytes() + place[a:b].astype(np.int32).tobytes() + sizes[own].astype(np.int32).tobytes()
+            yield int(bucket[a]), np.array([b - a, len(own)], np.int32).tobytes() + b"".join(points[i] for i in own) + key[a:b].tobytes() + zlib.compress(rest, 1)
 
 
 def _regions(key, table):
-    """Regions of two or more points, of one bucket: (region, point). Regions of the same points are told once."""
+    """Regions of two or more points, of one bucket: (region, point, n, place). Regions of the same points are one, with their least places."""
     import pyarrow as pa
 
-    keys, owners, points, base = [], [], [], 0
+    keys, owners, places, points, sizes, base = [], [], [], [], [], 0
     for blob in table.column("blob"):
         blob = blob.as_py()
-        n, m = np.frombuffer(blob, np.int32, 2)
+        n, m = np.frombuffer(blob, np.int32, 2).tolist()
         points.append(np.frombuffer(blob, "V16", m, 8))
         keys.append(np.frombuffer(blob, np.uint64, n, 8 + 16 * m))
-        owners.append(np.frombuffer(zlib.decompress(blob[8 + 16 * m + 8 * n :]), np.int32) + base)
-        base += int(m)
-    keys, owners = np.concatenate(keys), np.concatenate(owners)
+        rest = np.frombuffer(zlib.decompress(blob[8 + 16 * m + 8 * n :]), np.int32)
+        owners.append(rest[:n] + base)
+        places.append(rest[n : 2 * n])
+        sizes.append(rest[2 * n :])
+        base += m
+    keys, owners, places = np.concatenate(keys), np.concatenate(owners), np.concatenate(places)
     points, same = _unique(np.concatenate(points))
+    size_of = np.zeros(len(points), np.int64)
+    size_of[same] = np.concatenate(sizes)
     owners = same[owners]
     order = np.lexsort((owners, keys))
-    keys, owners = keys[order], owners[order]
+    keys, owners, places = keys[order], owners[order], places[order]
     new = np.ones(len(keys), bool)
     new[1:] = (keys[1:] != keys[:-1]) | (owners[1:] != owners[:-1])
-    keys, owners = keys[new], owners[new]
+    keys, owners, places = keys[new], owners[new], places[new]
     first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-    size = np.diff(np.append(first, len(keys)))
-    region, out = {}, []
-    for a, n in zip(first[size > 1].tolist(), size[size > 1].tolist(), strict=True):
-        members = owners[a : a + n]
-        sign = members.tobytes()
-        if sign not in region:
-            region[sign] = int(keys[a] >> np.uint64(1))
-            out.append((region[sign], members))
-    ids = np.repeat(np.array([r for r, _ in out], np.int64), [len(m) for _, m in out]) if out else np.empty(0, np.int64)
-    who = np.concatenate([m for _, m in out]) if out else np.empty(0, np.int64)
-    return pa.Table.from_arrays([pa.array(ids), pa.array([points[i].tobytes() for i in who], pa.binary())], ["region", "point"])
+    count = np.diff(np.append(first, len(keys)))
+    region: dict[bytes, list] = {}
+    for a, n in zip(first[count > 1].tolist(), count[count > 1].tolist(), strict=True):
+        members, at = owners[a : a + n], places[a : a + n]
+        if (old := region.get(sign := members.tobytes())) is None:
+            region[sign] = [int(keys[a] >> np.uint64(1)), members, at]
+        else:
+            old[2] = np.minimum(old[2], at)
+    empty = [np.empty(0, np.int64)]
+    ids = np.concatenate(empty + [np.full(len(m), r) for r, m, _ in region.values()])
+    who = np.concatenate(empty + [m for _, m, _ in region.values()])
+    at = np.concatenate(empty + [x for _, _, x in region.values()])
+    columns = [pa.array(ids), pa.array([points[i].tobytes() for i in who], pa.binary()), pa.array(size_of[who]), pa.array(at.astype(np.int64))]
+    return pa.Table.from_arrays(columns, ["region", "point", "n", "place"])
 
 
 def _unique(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -181,17 +193,18 @@ def join_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
         for batch in batches:
             for data, offsets, _ in slices(batch.column(0), batch.column(0), 4 << 20):
-                points, owner, key = {}, [], []
+                points, owner, key, place = {}, [], [], []
                 for s in shingle_sets(data, offsets):
                     if len(s) and (p := point(s)) not in points:  # copies once
                         rare = np.lexsort((s, sketch.value[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]))[: _prefix(len(s), percent)]
                         owner.append(np.full(len(rare), len(points), np.int64))
                         key.append(s[rare])
-                        points[p] = None
-                rows = list(_pack(list(points), np.concatenate(owner), np.concatenate(key), bits)) if points else []
+                        place.append(np.arange(len(rare)))
+                        points[p] = len(s)
+                rows = list(_pack(list(points), np.array(list(points.values())), *map(np.concatenate, (owner, key, place)), bits)) if points else []
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["bucket", "blob"])
 
-    regions = written(docs.select("text").mapInArrow(first_shingles, "bucket int, blob binary").groupBy("bucket").applyInArrow(_regions, "region long, point binary"))
+    regions = written(docs.select("text").mapInArrow(first_shingles, "bucket int, blob binary").groupBy("bucket").applyInArrow(_regions, "region long, point binary, n long, place long"))
     # The sets of the points that share a region with another, from the whole text of one document each.
     one = known.where("point is not null").groupBy("point").agg(F.min("doc_id").alias("doc_id"))
     wanted = one.join(regions.select("point").distinct(), "point")
@@ -216,36 +229,42 @@ def join_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         union = F.col("n") + F.col("m") - F.col("shared")
         return written(both.select("x", "p", (F.col("shared") * 100 >= union * percent).alias("link"), (1 - F.col("shared") / union).alias("distance")))
 
+    def may_link(n, left, m, right):
+        """Whether sets of n and m shingles can link of which left and right are at hand."""
+        return F.least(left, right) * (100 + percent) >= (n + m) * percent
+
     # First pivots of the regions; every point of a region is measured against its pivot.
-    pivots = regions.groupBy("region").agg(F.min("point").alias("p"))
-    with_pivot = regions.join(pivots, "region").select("region", F.col("point").alias("x"), "p").where("x != p")
+    pivots = regions.groupBy("region").agg(F.min_by("point", F.struct(F.col("place") / F.col("n"), "point")).alias("p"))
+    with_pivot = regions.join(pivots, "region").withColumnRenamed("point", "x").where("x != p")
     tested = measured(with_pivot.select("x", "p").distinct())
     links = tested.where("link").select(F.col("x").alias("a"), F.col("p").alias("b"))
     found = checkpoint(components(links))
     # Rings: a point lies in its own and is copied to the next; width 1 - t, less rounding.
-    width = (100 - percent) / 100 + 1e-9
-    ring = F.floor(F.col("distance") / width).cast("int")
-    rings = with_pivot.join(tested.select("x", "p", "distance"), ["x", "p"]).select(F.explode(F.array(ring, ring + 1)).alias("ring"), "region", "x")
-    rings = rings.select(F.xxhash64("region", "ring").alias("region"), F.col("x").alias("point"))
+    ring = F.floor(F.col("distance") / ((100 - percent) / 100 + 1e-9)).cast("int")
+    rings = with_pivot.join(tested.select("x", "p", "distance"), ["x", "p"]).withColumn("ring", F.explode(F.array(ring, ring + 1)))
+    rings = rings.select(F.xxhash64("region", "ring").alias("region"), F.col("x").alias("point"), "n", (F.col("n") - F.col("place")).alias("left"))
 
     def unsettled(rows: DataFrame) -> DataFrame:
-        """(region, point, root) of the regions with more than one component."""
+        """(region, point, n, left, root) of the regions with more than one component, less the points too far from all others."""
         rows = rows.join(found.withColumnRenamed("node", "point"), "point", "left").withColumn("root", F.coalesce("root", "point"))
-        open_ = rows.groupBy("region").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("region")
-        return rows.join(open_, "region")
+        of = rows.groupBy("region").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min("n").alias("least_n"), F.max("left").alias("most_left"))
+        rows = rows.join(of.where("low < high"), "region").where(may_link(F.col("n"), F.col("left"), F.col("least_n"), F.col("most_left")))
+        return rows.select("region", "point", "n", "left", "root")
 
-    rest = checkpoint(unsettled(rings.distinct()))
+    rest, most = checkpoint(unsettled(rings.groupBy("region", "point").agg(F.first("n").alias("n"), F.max("left").alias("left")))), PIVOTS
     while rest.limit(1).count():
-        own = rest.groupBy("region", "root").agg(F.count("*").alias("n"), F.min("point").alias("p"))
-        few = Window.partitionBy("region").orderBy("n", "p")
-        pivot = checkpoint(own.withColumn("nth", F.row_number().over(few)).where(F.col("nth") <= PIVOTS).select("region", "p", F.col("root").alias("of_p")))
-        pairs = rest.join(pivot, "region").where("root != of_p").select(F.col("point").alias("x"), "p").distinct()
+        own = rest.groupBy("region", "root").agg(F.count("*").alias("of"), F.min_by(F.struct("point", "n", "left"), F.struct(-F.col("left") / F.col("n"), "point")).alias("p"))
+        few = Window.partitionBy("region").orderBy("of", "p.point")
+        pivot = checkpoint(own.withColumn("nth", F.row_number().over(few)).where(F.col("nth") <= most).select("region", F.col("p.point").alias("p"), F.col("p.n").alias("m"), F.col("p.left").alias("right"), F.col("root").alias("of_p")))
+        pairs = rest.join(pivot, "region").where("root != of_p").where(may_link(F.col("n"), F.col("left"), F.col("m"), F.col("right"))).select(F.col("point").alias("x"), "p").distinct()
         new = measured(pairs.join(tested.select("x", "p"), ["x", "p"], "left_anti").join(tested.select(F.col("x").alias("p"), F.col("p").alias("x")), ["x", "p"], "left_anti"))
         tested = tested.unionByName(new)
         links = links.unionByName(new.where("link").select(F.col("x").alias("a"), F.col("p").alias("b")))
         if new.where("link").limit(1).count():
             found = checkpoint(components(links))
-        rest = checkpoint(unsettled(rest.join(pivot.select("region", F.col("p").alias("point")), ["region", "point"], "left_anti").select("region", "point")))
+        used = pivot.select("region", F.col("p").alias("point"))
+        rest = checkpoint(unsettled(rest.drop("root").join(used, ["region", "point"], "left_anti")))
+        most *= 2
     roots = one.join(found.withColumnRenamed("node", "point"), "point", "left").withColumn("root", F.coalesce("root", "point"))
     least = roots.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     by_point = roots.join(least, "root").select("point", "component_id")
