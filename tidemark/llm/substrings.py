@@ -2,7 +2,7 @@
 
 Every document's non-overlapping 7-word blocks are the index; every rolling 7-word window of every document probes it. A
 13-word window that two documents share holds a whole block of either, so a hit lies in it. Around the hits, and only
-there, the 13-word windows are compared by 96-bit hashes: each finds the smallest doc_id that holds it, and windows that
+there, the 13-word windows are compared by 80-bit hashes: each finds the smallest doc_id that holds it, and windows that
 lie side by side extend a hit to its maximal repeat. Words covered by a window of a smaller document go.
 
 Hashes travel packed: a task sends one row per bucket for a megabyte of text, four bytes a window, and a window that many
@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, hash_words, slices, window_hashes, words_of, written
+from .common import hash_words, slices, window_hashes, words_of, written
 
 BLOCK, WINDOW = 7, 13
 IN_BUCKET = 2 << 20
@@ -56,7 +56,7 @@ def packed(ids: np.ndarray, doc: np.ndarray, key: np.ndarray, check: np.ndarray,
 
     doc: index into ids; key, check: hashes; block: whether the window is one of the index. For each different hash the
     smallest id is sent, to the hash's bucket. The ids of the other documents that hold it are settled: they get rows of
-    their own, bucket -2 - something, with the hashes (all of them where wide is false, for those need the smallest too).
+    their own, dealt by id to buckets under zero, with the hashes (all of them where wide is false, for those need the smallest too).
     """
     order = np.lexsort((ids[doc], key))
     key, check, doc, block = key[order], check[order], doc[order], block[order]
@@ -72,7 +72,7 @@ def packed(ids: np.ndarray, doc: np.ndarray, key: np.ndarray, check: np.ndarray,
         d, k = doc[settled], key[settled]
         order = np.argsort(d, kind="stable")
         d, k = d[order], k[order]
-        rows += [(-2 - int(k[a] >> np.uint64(64 - bits)), int(ids[i]), k[a:b].tobytes()) for i, a, b in _runs(d)]
+        rows += [(-2 - int(ids[i]) % (1 << bits), int(ids[i]), k[a:b].tobytes()) for i, a, b in _runs(d)]
     any_block = np.bitwise_or.reduceat(block, first) if len(first) else block[:0]
     key, check, doc = key[first], check[first], doc[first]
     bucket = (key >> np.uint64(64 - bits)).astype(np.int32)
@@ -82,7 +82,7 @@ def packed(ids: np.ndarray, doc: np.ndarray, key: np.ndarray, check: np.ndarray,
         own, index = np.unique(doc[at:to], return_inverse=True)
         head = np.array([to - at, len(own)], np.int32).tobytes() + ids[own].astype(np.int64).tobytes()
         flags = zlib.compress(index.astype(np.int32).tobytes() + (any_block[at:to] | several[at:to].astype(np.uint8) << 1).tobytes(), 1)
-        body = key[at:to].tobytes() + check[at:to].astype(np.uint32).tobytes() if wide else (key[at:to] & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes()
+        body = key[at:to].tobytes() + check[at:to].astype(np.uint16).tobytes() if wide else (key[at:to] & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes()
         rows.append((b, 0, head + body + flags))
     return rows
 
@@ -94,8 +94,8 @@ def _unpacked(blob: bytes, wide: bool) -> tuple[np.ndarray, ...]:
     at += 8 * m
     key = np.frombuffer(blob, np.uint64 if wide else np.uint32, n, at).astype(np.uint64)
     at += n * (8 if wide else 4)
-    check = np.frombuffer(blob, np.uint32, n, at) if wide else np.zeros(n, np.uint32)
-    rest = zlib.decompress(blob[at + (4 * n if wide else 0) :])
+    check = np.frombuffer(blob, np.uint16, n, at) if wide else np.zeros(n, np.uint16)
+    rest = zlib.decompress(blob[at + (2 * n if wide else 0) :])
     return key, check, ids[np.frombuffer(rest, np.int32, n)], np.frombuffer(rest, np.uint8, n, 4 * n)
 
 
@@ -176,7 +176,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for batch in batches:
             out = []
             for i, text, found in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
-                raw = (text.as_py() or "").encode("utf-8", "surrogatepass")
+                raw = zlib.decompress(text.as_py())
                 places = np.empty(0, np.uint32)
                 if found.is_valid:
                     start, _, h = _hashed(raw, BLOCK)
@@ -187,18 +187,27 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                         upto = np.concatenate(([0], np.cumsum(hit)))
                         places = np.flatnonzero(upto[WINDOW - BLOCK + 1 :][:n] > upto[:n]).astype(np.uint32)
                 words = raw.split()
-                kept = b" ".join(words)
                 if len(places) or keep_text:
-                    out.append((i, len(words), None, zlib.compress(places.tobytes(), 1), zlib.compress(kept, 3)))
+                    out.append((i, len(words), None, zlib.compress(places.tobytes(), 1), text.as_py()))
                 else:
-                    out.append((i, len(words), hashlib.sha256(kept).hexdigest(), None, None))
+                    out.append((i, len(words), hashlib.sha256(raw).hexdigest(), None, None))
                 if len(out) >= 512:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
                     out = []
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
 
-    state = written(docs.join(checkpoint(hits), "doc_id", "left").mapInArrow(near_hits, "doc_id long, n_words long, done string, places binary, packed binary"))
+    def words_only(batches):
+        """Each document's words joined by one space, compressed for the way."""
+        import pyarrow as pa
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                texts = [zlib.compress(b" ".join((t.as_py() or "").encode("utf-8", "surrogatepass").split()), 2) for t in batch.column(1).slice(at, 512)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, 512), pa.array(texts, pa.binary())], ["doc_id", "text"])
+
+    bare = docs.mapInArrow(words_only, "doc_id long, text binary")
+    state = written(bare.join(hits, "doc_id", "left").mapInArrow(near_hits, "doc_id long, n_words long, done string, places binary, packed binary"))
     pending = state.where("done is null")
 
     def windows(batches):
