@@ -124,6 +124,17 @@ def slices(texts, ids, most: int = 1 << 20):
         at = to
 
 
+def bit_map(places: DataFrame, bits: int) -> np.ndarray:
+    """2**bits bits as bytes, set where the column `place` says; made by Spark, at most 2**(bits - 6) rows come back."""
+    from pyspark.sql import functions as F
+
+    words = places.groupBy(F.shiftright("place", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(place & 63 as int))")).alias("bits"))
+    out = np.zeros(1 << bits - 6, np.int64)
+    for r in words.toLocalIterator():
+        out[r.w] = r.bits
+    return out.view(np.uint8)
+
+
 _shipped: set[str] = set()
 
 

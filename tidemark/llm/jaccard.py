@@ -28,12 +28,14 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, checkpoint, hash_words, slices, window_hashes, words_of, written
+from .common import LOWER, bit_map, checkpoint, hash_words, slices, window_hashes, words_of, written
 from .components import components
 
 WORDS = 5
 SKETCH_BITS, SKETCH_PARTS = 20, 16
 IN_BUCKET = 1 << 20
+RINGS_FROM = 32  # points; smaller regions are not split
+MAP_BITS = 26  # most that the map of wanted documents has: 8 MB
 PIVOTS = 8  # a region and round; twice as many each round
 
 
@@ -106,7 +108,34 @@ def _pack(points: list[bytes], sizes: np.ndarray, owner: np.ndarray, key: np.nda
             yield int(bucket[a]), np.array([b - a, len(own)], np.int32).tobytes() + b"".join(points[i] for i in own) + key[a:b].tobytes() + zlib.compress(rest, 1)
 
 
-def _regions(key, table):
+def _has_partner(n: np.ndarray, left: np.ndarray, percent: int) -> np.ndarray:
+    """Which points of a region may link with another one: sizes n, of which left shingles from the region's on.
+
+    Two may where either's reach, (100 + percent) / percent * left - n, is at least the other's size.
+    """
+    reach = (100 + percent) * left - percent * n
+    size = percent * n
+    order = np.argsort(size, kind="stable")
+    size, reach = size[order], reach[order]
+    best = np.maximum.accumulate(reach)  # of the points no larger than this
+    champion = np.maximum.accumulate(np.where(reach == best, np.arange(len(n)), 0))
+    second = reach.copy()  # the best of the others
+    second[:] = -1
+    top = runner = -1
+    for i, x in enumerate(reach.tolist()):
+        top, runner = (x, top) if x > top else (top, max(runner, x))
+        second[i] = runner
+    to = np.searchsorted(size, reach, "right") - 1  # the last point that is within reach
+    inside = to >= 0
+    at = np.maximum(to, 0)
+    itself = (champion[at] == np.arange(len(n))) & (np.arange(len(n)) <= at)
+    other = np.where(itself, second[at], best[at])
+    stay = np.empty(len(n), bool)
+    stay[order] = inside & (other >= size)
+    return stay
+
+
+def _regions(percent: int, table):
     """Regions of two or more points, of one bucket: (region, point, n, place). Regions of the same points are one, with their least places."""
     import pyarrow as pa
 
@@ -140,6 +169,12 @@ def _regions(key, table):
             region[sign] = [int(keys[a] >> np.uint64(1)), members, at]
         else:
             old[2] = np.minimum(old[2], at)
+    for sign, r in list(region.items()):
+        stay = _has_partner(size_of[r[1]], size_of[r[1]] - r[2], percent)
+        if stay.sum() < 2:
+            del region[sign]
+        elif not stay.all():
+            r[1], r[2] = r[1][stay], r[2][stay]
     empty = [np.empty(0, np.int64)]
     ids = np.concatenate(empty + [np.full(len(m), r) for r, m, _ in region.values()])
     who = np.concatenate(empty + [m for _, m, _ in region.values()])
@@ -204,24 +239,26 @@ def join_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 rows = list(_pack(list(points), np.array(list(points.values())), *map(np.concatenate, (owner, key, place)), bits)) if points else []
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["bucket", "blob"])
 
-    regions = written(docs.select("text").mapInArrow(first_shingles, "bucket int, blob binary").groupBy("bucket").applyInArrow(_regions, "region long, point binary, n long, place long"))
+    regions = written(docs.select("text").mapInArrow(first_shingles, "bucket int, blob binary").groupBy("bucket").applyInArrow(lambda table: _regions(percent, table), "region long, point binary, n long, place long"))
     # The sets of the points that share a region with another, from the whole text of one document each.
     one = known.where("point is not null").groupBy("point").agg(F.min("doc_id").alias("doc_id"))
-    wanted = one.join(regions.select("point").distinct(), "point")
+    wanted = checkpoint(one.join(regions.select("point").distinct(), "point").select("doc_id"))
+    map_bits = max(10, min(MAP_BITS, ceil(log2(8 * max(1, wanted.count())))))
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << map_bits)).alias("place")
+    asked = spark.sparkContext.broadcast(bit_map(wanted.select(place), map_bits))  # of fixed size; the join below is exact
 
     def sets(batches):
         import pyarrow as pa
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part, rows = batch.slice(at, 256), []
-                for data, offsets, wanted_points in slices(part.column(1), part.column(0)):
-                    for s, p in zip(shingle_sets(data, offsets), wanted_points.to_pylist(), strict=True):
-                        if point(s) == p:
-                            rows.append((p, s.tobytes()))
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary())], ["point", "shingles"])
+            at = batch.column(2).to_numpy()
+            batch = batch.filter(pa.array(asked.value[at >> 3] >> (at & 7).astype(np.uint8) & 1 > 0))
+            for data, offsets, ids in slices(batch.column(1), batch.column(0)):
+                found = shingle_sets(data, offsets)
+                yield pa.RecordBatch.from_arrays([ids, pa.array([point(s) for s in found], pa.binary()), pa.array([s.tobytes() for s in found], pa.binary())], ["doc_id", "point", "shingles"])
 
-    shingles = written(wanted.join(docs, "doc_id").select("point", "text").mapInArrow(sets, "point binary, shingles binary").dropDuplicates(["point"]))
+    made = docs.where("doc_id is not null").select("doc_id", "text", place).mapInArrow(sets, "doc_id long, point binary, shingles binary").where("point is not null")
+    shingles = written(made.join(wanted, "doc_id", "left_semi").select("point", "shingles"), "snappy")
 
     def measured(pairs: DataFrame) -> DataFrame:
         x, p = shingles.select(F.col("point").alias("x"), F.col("shingles").alias("of_x")), shingles.select(F.col("point").alias("p"), F.col("shingles").alias("of_p"))
@@ -233,16 +270,20 @@ def join_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         """Whether sets of n and m shingles can link of which left and right are at hand."""
         return F.least(left, right) * (100 + percent) >= (n + m) * percent
 
-    # First pivots of the regions; every point of a region is measured against its pivot.
-    pivots = regions.groupBy("region").agg(F.min_by("point", F.struct(F.col("place") / F.col("n"), "point")).alias("p"))
-    with_pivot = regions.join(pivots, "region").withColumnRenamed("point", "x").where("x != p")
-    tested = measured(with_pivot.select("x", "p").distinct())
+    # First pivots of the regions; in a large one every point is measured against it, else those that may link.
+    nearest = F.min_by(F.struct("point", "n", "place"), F.struct(F.col("place") / F.col("n"), "point"))
+    pivots = regions.groupBy("region").agg(nearest.alias("p"), (F.count("*") >= RINGS_FROM).alias("large"))
+    with_pivot = regions.join(pivots, "region").withColumn("left", F.col("n") - F.col("place")).withColumnRenamed("point", "x").where("x != p.point")
+    possible = may_link(F.col("n"), F.col("left"), F.col("p.n"), F.col("p.n") - F.col("p.place"))
+    with_pivot = with_pivot.select("region", "x", "n", "left", "large", possible.alias("possible"), F.col("p.point").alias("p"))
+    tested = measured(with_pivot.where("large or possible").select("x", "p").distinct())
     links = tested.where("link").select(F.col("x").alias("a"), F.col("p").alias("b"))
     found = checkpoint(components(links))
     # Rings: a point lies in its own and is copied to the next; width 1 - t, less rounding.
     ring = F.floor(F.col("distance") / ((100 - percent) / 100 + 1e-9)).cast("int")
-    rings = with_pivot.join(tested.select("x", "p", "distance"), ["x", "p"]).withColumn("ring", F.explode(F.array(ring, ring + 1)))
-    rings = rings.select(F.xxhash64("region", "ring").alias("region"), F.col("x").alias("point"), "n", (F.col("n") - F.col("place")).alias("left"))
+    rings = with_pivot.where("large").join(tested.select("x", "p", "distance"), ["x", "p"]).withColumn("ring", F.explode(F.array(ring, ring + 1)))
+    rings = rings.unionByName(with_pivot.where("not large").withColumns({"distance": F.lit(0.0), "ring": F.lit(-1)}))
+    rings = rings.select(F.xxhash64("region", "ring").alias("region"), F.col("x").alias("point"), "n", "left")
 
     def unsettled(rows: DataFrame) -> DataFrame:
         """(region, point, n, left, root) of the regions with more than one component, less the points too far from all others."""

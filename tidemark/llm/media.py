@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import bit_map, written
 
 WIDTH, TILE, PAD = 24, 576, 255
 LEAST, MOST, MASK = 512, 8192, np.uint32(0x3FF << 20)
@@ -102,22 +102,18 @@ def _maybe(bits: np.ndarray):
     return held
 
 
-def bit_map(digests: DataFrame) -> np.ndarray:
-    """2**MAP_BITS bits, MAP_HASHES set for each digest; made by Spark, at most 2**MAP_BITS / 64 rows come back."""
+def digest_map(digests: DataFrame) -> np.ndarray:
+    """The bit map of MAP_HASHES places for each digest."""
     hexes = F.hex("digest")
     place = [F.conv(F.concat(*[F.substring(hexes, 8 * i + 2 * (3 - j) + 1, 2) for j in range(4)]), 16, 10).cast("long").bitwiseAND((1 << MAP_BITS) - 1) for i in range(MAP_HASHES)]
-    words = digests.select(F.explode(F.array(*place)).alias("p")).groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("bits"))
-    out = np.zeros(1 << MAP_BITS - 6, np.int64)
-    for r in words.toLocalIterator():
-        out[r.w] = r.bits
-    return out.view(np.uint8)
+    return bit_map(digests.select(F.explode(F.array(*place)).alias("place")), MAP_BITS)
 
 
 def store(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """Two tables in the shared folder: documents (doc_id, n_bytes, media_bytes, media_sha256, chunks) and shared chunks (digest, data)."""
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     again = rows.select("text").mapInArrow(_digests, "digest binary").groupBy("digest").count().where("count > 1").select("digest")
-    bits = rows.sparkSession.sparkContext.broadcast(bit_map(again))
+    bits = rows.sparkSession.sparkContext.broadcast(digest_map(again))
 
     def lists(batches):
         import pyarrow as pa
