@@ -93,7 +93,7 @@ class Trie:
         masks: dict[str, int] = {}
         for i, c in enumerate(word):
             masks[c] = masks.get(c, 0) | 1 << i
-        most, full, best = edits(n + 1), 1 << n, None
+        most, full, best = edits(n + 2), 1 << n, None  # entries have two letters more at most
         stack = [(self.root, tuple((1 << e + 1) - 1 for e in range(most + 1)), 0)]
         while stack:
             node, states, depth = stack.pop()
