@@ -25,10 +25,11 @@ import zlib
 from math import ceil, log2
 
 import numpy as np
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, bit_map, checkpoint, hash_words, slices, window_hashes, words_of, written
+from .common import LOWER, bit_map, checkpoint, hash_words, partitions, slices, window_hashes, words_of, written
 from .components import components
 
 WORDS = 5
@@ -117,21 +118,19 @@ def _has_partner(n: np.ndarray, left: np.ndarray, percent: int) -> np.ndarray:
     size = percent * n
     order = np.argsort(size, kind="stable")
     size, reach = size[order], reach[order]
-    best = np.maximum.accumulate(reach)  # of the points no larger than this
-    champion = np.maximum.accumulate(np.where(reach == best, np.arange(len(n)), 0))
-    second = reach.copy()  # the best of the others
-    second[:] = -1
-    top = runner = -1
+    # The largest reach among the points no larger than each, whose it is, and the largest of the others.
+    top, runner, owner, so_far = -1, -1, -1, []
     for i, x in enumerate(reach.tolist()):
-        top, runner = (x, top) if x > top else (top, max(runner, x))
-        second[i] = runner
-    to = np.searchsorted(size, reach, "right") - 1  # the last point that is within reach
-    inside = to >= 0
-    at = np.maximum(to, 0)
-    itself = (champion[at] == np.arange(len(n))) & (np.arange(len(n)) <= at)
-    other = np.where(itself, second[at], best[at])
+        if x > top:
+            top, runner, owner = x, top, i
+        elif x > runner:
+            runner = x
+        so_far.append((top, runner, owner))
+    tops, runners, owners = np.array(so_far).T
+    last = np.searchsorted(size, reach, "right") - 1  # the largest point within reach
+    other = np.where(owners[last] == np.arange(len(n)), runners[last], tops[last])
     stay = np.empty(len(n), bool)
-    stay[order] = inside & (other >= size)
+    stay[order] = (last >= 0) & (other >= size)
     return stay
 
 
@@ -259,9 +258,12 @@ def join_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     made = docs.where("doc_id is not null").select("doc_id", "text", place).mapInArrow(sets, "doc_id long, point binary, shingles binary").where("point is not null")
     shingles = written(made.join(wanted, "doc_id", "left_semi").select("point", "shingles"), "snappy")
+    # Dealt by point once; the joins of every round use that. Lost blocks are made again from the table.
+    shingles = shingles.repartition(partitions(spark), "point").persist(StorageLevel.DISK_ONLY)
 
     def measured(pairs: DataFrame) -> DataFrame:
         x, p = shingles.select(F.col("point").alias("x"), F.col("shingles").alias("of_x")), shingles.select(F.col("point").alias("p"), F.col("shingles").alias("of_p"))
+        p = p.join(pairs.select("p").distinct(), "p")  # few; a pivot that many points ask for is a skew that the next join splits
         both = pairs.join(x, "x").join(p, "p").select("x", "p", "of_x", "of_p").mapInArrow(_measure, "x binary, p binary, n long, m long, shared long")
         union = F.col("n") + F.col("m") - F.col("shared")
         return written(both.select("x", "p", (F.col("shared") * 100 >= union * percent).alias("link"), (1 - F.col("shared") / union).alias("distance")))
@@ -306,6 +308,7 @@ def join_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         used = pivot.select("region", F.col("p").alias("point"))
         rest = checkpoint(unsettled(rest.drop("root").join(used, ["region", "point"], "left_anti")))
         most *= 2
+    shingles.unpersist()
     roots = one.join(found.withColumnRenamed("node", "point"), "point", "left").withColumn("root", F.coalesce("root", "point"))
     least = roots.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     by_point = roots.join(least, "root").select("point", "component_id")
