@@ -44,6 +44,18 @@ def test_stream_equals_batch(spark):
     assert stream and all(batch[k] == n for k, n in stream.items())
 
 
+@pytest.mark.skipif(not DATA.exists(), reason="no tables")
+def test_running_zscore_equals_batch(spark):
+    from pyspark.sql import functions as F
+
+    from tidemark.operators import rolling as R
+
+    got = {r.tick_id: r.z for r in catalogue.stream_cumulative_zscore(spark, str(DATA)).collect()}
+    x = catalogue.ticks(spark, str(DATA))
+    want = {r.tick_id: r.z for r in x.select("tick_id", R.cumulative_zscore(F.col("price"), R.series(["ticker"], ["ts", "tick_id"])).alias("z")).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-6 for k in want)
+
+
 def test_entry_names():
     import __spark_entry__ as entry
 

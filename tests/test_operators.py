@@ -8,6 +8,7 @@ from tidemark.functions import scalars as S
 from tidemark.operators import asof as A
 from tidemark.operators import bars as B
 from tidemark.operators import rolling as R
+from tidemark.operators import scores as C
 from tidemark.operators import sequences as Q
 
 
@@ -67,3 +68,35 @@ def test_upsert_and_scan(spark):
     assert sorted(map(tuple, Q.upsert(old, new, "k").collect())) == [(1, "a"), (2, "c"), (3, "d")]
     x = spark.createDataFrame([("a", 2, 1.0, 0.0), ("a", 1, 1.0, 0.0)], "k string, i int, x double, d double")
     assert {r.i: r.y for r in Q.selective_scan(x, ["k"], "i", "x", "d", 1.0, "y", 0.5).collect()} == {1: 1.5, 2: 2.5}
+
+
+def test_scan_of_many_keys_and_nulls(spark):
+    rows = [(k, i, None if i == 3 else float(i)) for k in (None, 1, 2) for i in range(50)]
+    x = spark.createDataFrame(rows, "k int, i int, x double").withColumn("d", F.lit(0.5))
+    got = {(r.k, r.i): r.y for r in Q.selective_scan(x, ["k"], "i", "x", "d", 2.0, "y", 0.1).collect()}
+    for k in (None, 1, 2):
+        h = 0.0
+        for i in range(50):
+            v = 0.0 if i == 3 else float(i)
+            h = h * 2.718281828459045**-0.5 + 2 * v
+            assert abs(got[k, i] - h - 0.1 * v) < 1e-9
+
+
+def test_segment_sums(spark):
+    x = spark.createDataFrame([("a", i, v) for i, v in enumerate([1, 2, 4])], "k string, i int, x int")
+    assert {r.i: list(r.s) for r in Q.segment_sums(x, ["k"], ["i"], "x", "s").collect()} == {0: [0], 1: [2, 0], 2: [6, 4, 0]}
+
+
+def test_filter_scores(spark):
+    x = spark.createDataFrame([("a", i, s) for i, s in enumerate([3.0, 2.0, 2.0, 1.0, None])], "k string, t int, s double")
+    kept = lambda **o: sorted(r.t for r in C.filter_scores(x, ["k"], "t", "s", **o).where("kept").collect())
+    assert kept() == [0, 1, 2, 3] and kept(top_k=2) == [0, 1, 2] and kept(top_k=1) == [0]
+    assert kept(top_p=0.5) == [0] and kept(min_p=0.3) == [0, 1, 2]
+    seen = C.filter_scores(x.withColumn("old", F.col("t") == 0), ["k"], "t", "s", seen="old", penalty=2.0, temperature=0.5)
+    assert {r.t: r.logit for r in seen.collect()} == {0: 3.0, 1: 4.0, 2: 4.0, 3: 2.0, 4: None}
+    assert abs(seen.agg(F.sum("prob")).first()[0] - 1) < 1e-12
+
+
+def test_early_stop(spark):
+    x = spark.createDataFrame([("a", i, v) for i, v in enumerate([3.0, 2.0, 2.0, 2.5, 1.0])], "k string, i int, v double")
+    assert [(r.best, r.since, r.stopped) for r in C.early_stop(x, ["k"], "i", "v", 2).orderBy("i").collect()] == [(3.0, 0, False), (2.0, 0, False), (2.0, 1, False), (2.0, 2, True), (1.0, 0, True)]

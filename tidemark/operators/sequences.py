@@ -17,20 +17,40 @@ def causal_conv(x: str, weights: list[float], w: WindowSpec):
 
 
 def selective_scan(df: DataFrame, keys: list[str], order: str, x: str, decay: str, gain: float, out: str, skip: float) -> DataFrame:
-    """h = exp(-decay) * h + gain * x along each key, y = h + skip * x: one fold over each key's ordered rows.
+    """h = exp(-decay) * h + gain * x along each key, y = h + skip * x; nulls count as 0.
 
-    A key's rows are one array: for sequences of bounded length, as samples are.
+    One pass over each key's sorted rows with a single number of state, so that a sequence may have any length. The keys'
+    rows lie together in a partition; a batch may hold many keys, and a key may go on in the next batch.
     """
-    rows = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(order, F.col(x).alias("_x"), F.col(decay).alias("_d")))).alias("_r"))
-    empty = F.struct(F.lit(0.0).alias("h"), F.array().cast("array<double>").alias("y"))
+    names = [*keys, order]
+    rows = df.select(*names, F.coalesce(F.col(x), F.lit(0)).cast("double").alias("_x"), F.coalesce(F.col(decay), F.lit(0)).cast("double").alias("_d"))
 
-    def step(a, r):
-        h = F.exp(-r._d) * a.h + gain * r._x
-        return F.struct(h.alias("h"), F.concat(a.y, F.array(h + skip * r._x)).alias("y"))
+    def run(batches):
+        import math
 
-    folded = rows.withColumn("_y", F.aggregate("_r", empty, step, lambda a: a.y))
-    zipped = folded.select(*keys, F.explode(F.arrays_zip("_r", "_y")).alias("_z"))
-    return zipped.select(*keys, F.col(f"_z._r.{order}").alias(order), F.col("_z._y").alias(out))
+        import pyarrow as pa
+
+        last, h = None, 0.0
+        for batch in batches:
+            ys = []
+            for k, v, d in zip(zip(*[batch.column(c).to_pylist() for c in keys], strict=True), batch.column("_x").to_pylist(), batch.column("_d").to_pylist(), strict=True):
+                if k != last:
+                    last, h = k, 0.0
+                h = math.exp(-d) * h + gain * v
+                ys.append(h + skip * v)
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(ys, pa.float64())], [*names, out])
+
+    kinds = dict(rows.dtypes)
+    return rows.repartition(*keys).sortWithinPartitions(*names).mapInArrow(run, ", ".join([f"`{c}` {kinds[c]}" for c in names] + [f"`{out}` double"]))
+
+
+def segment_sums(df: DataFrame, keys: list[str], order: list[str], x: str, out: str) -> DataFrame:
+    """For each row of a segment the sums of x from after each earlier row up to this one, then 0: a row of the lower
+    triangle, by differences of running sums. keys name a segment of bounded length.
+    """
+    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    rows = df.withColumn("_s", F.sum(x).over(w))
+    return rows.withColumn(out, F.transform(F.collect_list("_s").over(w), lambda s: F.col("_s") - s)).drop("_s")
 
 
 def softmax_pool(df: DataFrame, keys: list[str], vector: str, score: str) -> DataFrame:

@@ -13,7 +13,9 @@ from ..functions import scalars as S
 from ..operators import asof as A
 from ..operators import bars as B
 from ..operators import rolling as R
+from ..operators import scores as C
 from ..operators import sequences as Q
+from ..sources import files, filings as documents, sinks
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -77,10 +79,10 @@ def bars_ohlcv(spark, d):
     return rounded(B.bars(ticks(spark, d), "6 hours").select("ticker", "bar", "open", "high", "low", "close", "volume", "trade_count"))
 
 
-@query(f"""WITH {BARS} SELECT ticker, CAST(bar AS VARCHAR) AS bar, round(vwap, 7) AS vwap, round(price_mean, 7) AS price_mean, round(price_std, 7) AS price_std,
-  round(high - low, 7) AS price_range, round(CASE WHEN open > 0 THEN (high - low) / open ELSE 0 END * 100, 7) AS price_range_pct, round(CASE WHEN trade_count > 0 THEN volume / trade_count ELSE 0 END, 7) AS avg_trade_size,
-  round(close - vwap, 7) AS close_vs_vwap, round(high - vwap, 7) AS high_vs_vwap, round(low - vwap, 7) AS low_vs_vwap, round(CASE WHEN open > 0 THEN (close - open) / open ELSE 0 END, 7) AS close_return,
-  round(volume / (trade_count + 1), 7) AS volume_per_trade, round((high - low) / (low + 1e-8), 7) AS high_low_ratio, round((close - low) / (high - low + 1e-8), 7) AS close_position FROM agg""")
+@query(f"""WITH {BARS} SELECT ticker, CAST(bar AS VARCHAR) AS bar, round(vwap, 7) + 0 AS vwap, round(price_mean, 7) + 0 AS price_mean, round(price_std, 7) + 0 AS price_std,
+  round(high - low, 7) + 0 AS price_range, round(CASE WHEN open > 0 THEN (high - low) / open ELSE 0 END * 100, 7) + 0 AS price_range_pct, round(CASE WHEN trade_count > 0 THEN volume / trade_count ELSE 0 END, 7) + 0 AS avg_trade_size,
+  round(close - vwap, 7) + 0 AS close_vs_vwap, round(high - vwap, 7) + 0 AS high_vs_vwap, round(low - vwap, 7) + 0 AS low_vs_vwap, round(CASE WHEN open > 0 THEN (close - open) / open ELSE 0 END, 7) + 0 AS close_return,
+  round(volume / (trade_count + 1), 7) + 0 AS volume_per_trade, round((high - low) / (low + 1e-8), 7) + 0 AS high_low_ratio, round((close - low) / (high - low + 1e-8), 7) + 0 AS close_position FROM agg""")
 def bars_features(spark, d):
     b = B.derived(B.bars(ticks(spark, d), "6 hours"))
     names = "vwap price_mean price_std price_range price_range_pct avg_trade_size close_vs_vwap high_vs_vwap low_vs_vwap close_return volume_per_trade high_low_ratio close_position"
@@ -194,7 +196,7 @@ def cumulative_zscore(spark, d):
     return rounded(b.select("ticker", "bar", R.cumulative_zscore(F.col("close"), w).alias("z")))
 
 
-@query(f"WITH {BARS}, x AS (SELECT *, CAST(trade_count AS DOUBLE) AS tc FROM agg) SELECT ticker, CAST(bar AS VARCHAR) AS bar, round({_cum('price_std')} + {_cum('volume')} - {_cum('tc')}, 4) AS liquidity_stress FROM x")
+@query(f"WITH {BARS}, x AS (SELECT *, CAST(trade_count AS DOUBLE) AS tc FROM agg) SELECT ticker, CAST(bar AS VARCHAR) AS bar, round({_cum('price_std')} + {_cum('volume')} - {_cum('tc')}, 4) + 0 AS liquidity_stress FROM x")
 def liquidity_stress(spark, d):
     b, w = _bars(spark, d)
     z = lambda c: R.cumulative_zscore(F.col(c).cast("double"), w)
@@ -569,18 +571,105 @@ def median_distinct(spark, d):
     return p.groupBy("p_brand").agg(F.median("p_retailprice").alias("median"), F.countDistinct("p_type").alias("types"), F.max("n").alias("most"))
 
 
+# --- candidate scores, runs, sources and sinks ------------------------------------------------------------------------
+
+
+@query("""WITH a AS (SELECT label, vec_id, CAST(embedding[1] AS DOUBLE) * 4 AS s FROM embeddings), b AS (SELECT label, vec_id, (CASE WHEN vec_id % 7 = 0 THEN CASE WHEN s < 0 THEN s * 1.2 ELSE s / 1.2 END ELSE s END) / 0.8 AS logit FROM a),
+  c AS (SELECT *, CASE WHEN rank() OVER (PARTITION BY label ORDER BY logit DESC) <= 40 THEN exp(logit - max(logit) OVER (PARTITION BY label)) END AS mass FROM b),
+  e AS (SELECT *, sum(mass) OVER (PARTITION BY label ORDER BY logit, vec_id ROWS UNBOUNDED PRECEDING) / sum(mass) OVER (PARTITION BY label) AS below FROM c), f AS (SELECT *, coalesce(mass IS NOT NULL AND below > 0.1 AND mass >= 0.05, false) AS kept FROM e)
+  SELECT label, vec_id, round(logit, 4) + 0 AS logit, kept, round(coalesce(CASE WHEN kept THEN mass / sum(CASE WHEN kept THEN mass END) OVER (PARTITION BY label) END, 0), 4) AS prob FROM f""")
+def score_filters(spark, d):
+    e = t(spark, d, "embeddings").select("label", "vec_id", (F.col("embedding")[0].cast("double") * 4).alias("score"), (F.col("vec_id") % 7 == 0).alias("seen"))
+    x = C.filter_scores(e, ["label"], "vec_id", "score", seen="seen", penalty=1.2, temperature=0.8, top_k=40, top_p=0.9, min_p=0.05)
+    return rounded(x.select("label", "vec_id", "logit", "kept", "prob"))
+
+
+@query("""WITH l AS (SELECT o_orderstatus AS run, CAST(year(o_orderdate) * 12 + month(o_orderdate) AS INTEGER) AS epoch, avg(o_totalprice) AS loss FROM orders GROUP BY 1, 2),
+  a AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY epoch) AS n, min(loss) OVER (PARTITION BY run ORDER BY epoch ROWS UNBOUNDED PRECEDING) AS best, coalesce(loss < min(loss) OVER (PARTITION BY run ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS better FROM l),
+  b AS (SELECT *, n - max(CASE WHEN better THEN n END) OVER (PARTITION BY run ORDER BY epoch ROWS UNBOUNDED PRECEDING) AS since FROM a) SELECT run, epoch, round(best, 2) AS best, since, bool_or(since >= 5) OVER (PARTITION BY run ORDER BY epoch ROWS UNBOUNDED PRECEDING) AS stopped FROM b""")
+def early_stop(spark, d):
+    day = F.col("o_orderdate")
+    x = t(spark, d, "orders").groupBy(F.col("o_orderstatus").alias("run"), (F.year(day) * 12 + F.month(day)).alias("epoch")).agg(F.avg("o_totalprice").alias("loss"))
+    return rounded(C.early_stop(x, ["run"], "epoch", "loss", 5).drop("loss"), 2)
+
+
+@query("""WITH d AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS day FROM orders) SELECT CAST(day AS VARCHAR) AS day, day IN (SELECT CAST(ts AS DATE) FROM events) AS ticks, day IN (SELECT CAST(l_shipdate AS DATE) FROM lineitem WHERE l_linenumber = 7) AS filings FROM d""")
+def stream_availability(spark, d):
+    days = t(spark, d, "orders").select(F.to_date("o_orderdate").alias("day")).distinct()
+    streams = {"ticks": t(spark, d, "events").select(F.to_date("ts").alias("day")), "filings": t(spark, d, "lineitem").where("l_linenumber = 7").select(F.to_date("l_shipdate").alias("day"))}
+    return rounded(C.availability(days, streams, "day"))
+
+
+@query("""WITH x AS (SELECT l_orderkey, l_linenumber, list(s) OVER w AS each, s FROM (SELECT l_orderkey, l_linenumber, sum(CAST(l_quantity AS BIGINT)) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_quantity ROWS UNBOUNDED PRECEDING) AS s, l_quantity FROM lineitem) WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_quantity ROWS UNBOUNDED PRECEDING))
+  SELECT l_orderkey, l_linenumber, array_to_string(list_transform(each, lambda v: CAST(s - v AS BIGINT)), ',') AS sums FROM x""")
+def segment_sums(spark, d):
+    x = t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").cast("bigint").alias("q"))
+    return Q.segment_sums(x, ["l_orderkey"], ["l_linenumber", "q"], "q", "sums").select("l_orderkey", "l_linenumber", F.array_join("sums", ",").alias("sums"))
+
+
+@query("""WITH c AS (SELECT CAST(ts AS DATE) AS day, count(*) AS length FROM events GROUP BY 1) SELECT CAST(day AS VARCHAR) AS day, length, CAST(sum(length) OVER (ORDER BY day) - length AS BIGINT) AS "offset" FROM c""")
+def day_index(spark, d):
+    return rounded(sinks.day_index(t(spark, d, "events").select(F.to_date("ts").alias("day")), "day"))
+
+
+KEYS = "keys AS (SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN 'logs/' ELSE 'training/' END || strftime(o_orderdate, '%Y%m') || '/ckpt_' || o_orderkey AS key, CAST(o_orderkey % 1000 AS BIGINT) AS size FROM orders)"
+
+
+def _keys(spark, d):
+    k = F.col("o_orderkey")
+    key = F.concat(F.when(k % 4 == 0, "logs/").otherwise("training/"), F.date_format("o_orderdate", "yyyyMM"), F.lit("/ckpt_"), k)
+    return t(spark, d, "orders").select("o_orderkey", key.alias("key"), (k % 1000).cast("bigint").alias("size"))
+
+
+@query(f"WITH {KEYS} SELECT DISTINCT split_part(key, '/', 2) AS run_id FROM keys WHERE key LIKE 'training/%'")
+def run_ids(spark, d):
+    return files.run_ids(_keys(spark, d), "training/")
+
+
+@query(f"WITH {KEYS} SELECT key, size FROM keys WHERE o_orderkey % 3 = 0 OR o_orderkey % 5 = 0")
+def transfer_diff(spark, d):
+    local = _keys(spark, d)
+    stored = local.where("o_orderkey % 3 != 0").withColumn("size", F.when(F.col("o_orderkey") % 5 == 0, F.col("size") + 1).otherwise(F.col("size")))
+    return files.to_send(local.select("key", "size"), stored)
+
+
+@query("""WITH r AS (SELECT o_custkey AS cik, CASE o_orderstatus WHEN 'F' THEN 1 ELSE 2 END AS u, o_totalprice AS value, CAST(o_orderdate AS DATE) AS filed FROM orders WHERE o_orderstatus IN ('F', 'O'))
+  SELECT cik, 'revenue' AS metric, CASE u WHEN 1 THEN 'USD' ELSE 'shares' END AS unit, round(value, 2) AS value, CAST(filed AS VARCHAR) AS filed FROM (SELECT *, min(u) OVER (PARTITION BY cik) AS least FROM r) WHERE u = least""")
+def company_facts(spark, d):
+    """Orders as company documents in JSON, read back: the first unit of a tag counts."""
+    o = t(spark, d, "orders").where("o_orderstatus in ('F', 'O')").select(F.col("o_custkey").alias("cik"), F.when(F.col("o_orderstatus") == "F", "USD").otherwise("shares").alias("unit"), F.struct(F.col("o_totalprice").alias("val"), F.to_date("o_orderdate").cast("string").alias("filed")).alias("fact"))
+    units = o.groupBy("cik", "unit").agg(F.collect_list("fact").alias("all")).groupBy("cik").agg(F.map_from_entries(F.collect_list(F.struct("unit", "all"))).alias("units"))
+    docs = units.select(F.to_json(F.struct("cik", F.struct(F.create_map(F.lit("Revenues"), F.struct("units")).alias("us-gaap")).alias("facts"))).alias("value"))
+    return rounded(documents.facts(docs, {"revenue": ["Revenues", "SalesRevenueNet"]}).select("cik", "metric", "unit", "value", "filed"), 2)
+
+
 @query()
-def stream_bars(spark, d):
-    """Bars from a stream of the tick table, drained once into a table of this session."""
+def stream_cumulative_zscore(spark, d):
+    """The running z-score of a stream of ticks, whose state is three numbers a ticker."""
+    from ..streaming.state import stream_cumulative_zscore as running
+
+    e = spark.readStream.schema(t(spark, d, "events").schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    x = e.select(F.col("event_type").alias("ticker"), "ts", F.col("event_id").alias("tick_id"), F.col("value").alias("price"))
+    return _drained(running(x, "ticker", ["ts", "tick_id"], "price"))
+
+
+def _drained(stream: DataFrame) -> DataFrame:
+    """What a stream gives until its source is read, as a Parquet table in the shared folder."""
     import tempfile
     import uuid
 
+    spark = stream.sparkSession
+    folder = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='spark-')}/stream-{uuid.uuid4().hex}"
+    q = stream.writeStream.outputMode("append").format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{folder}/rows")
+
+
+@query()
+def stream_bars(spark, d):
+    """Bars from a stream of the tick table, drained once into a table."""
     from ..streaming.bars import stream_bars as bars
 
-    name = f"stream_{uuid.uuid4().hex[:8]}"
     e = spark.readStream.schema(t(spark, d, "events").schema).option("pathGlobFilter", "events.parquet").parquet(d)
     x = e.select(F.col("event_type").alias("ticker"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("tick_id"), F.col("value").alias("price"), F.lit(1.0).alias("volume"))
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
-    q = bars(x, "6 hours", "1 hour").writeStream.outputMode("append").format("memory").queryName(name).option("checkpointLocation", f"{folder}/{name}").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table(name)
+    return _drained(bars(x, "6 hours", "1 hour"))
