@@ -238,11 +238,11 @@ def rolling_percentile(spark, d):
     return rounded(x.select("flag", "day", R.rolling_percentile(F.col("v"), 20, w).alias("pct")))
 
 
-@query(f"WITH {DAILY}, x AS (SELECT *, {_full('quantile_cont(v, 0.9) $', 'v', 60, DAYS)} AS p FROM daily) SELECT flag, CAST(day AS VARCHAR) AS day, round(p, 2) AS p90, CASE WHEN p IS NOT NULL THEN v > p END AS stressed FROM x")
+@query(f"WITH {DAILY}, x AS (SELECT *, {_full('quantile_cont(v, 0.9) $', 'v', 60, DAYS)} AS p FROM daily) SELECT flag, CAST(day AS VARCHAR) AS day, round(p, 4) AS p90, CASE WHEN p IS NOT NULL THEN v > p END AS stressed FROM x")
 def rolling_p90_flag(spark, d):
     x, w = _days(spark, d)
     v = F.col("v")
-    return rounded(x.withColumn("p90", R.rolling(F.percentile(v, 0.9), v, 60, w)).select("flag", "day", "p90", (v > F.col("p90")).alias("stressed")), 2)
+    return rounded(x.withColumn("p90", R.rolling(F.percentile(v, 0.9), v, 60, w)).select("flag", "day", "p90", (v > F.col("p90")).alias("stressed")), 4)
 
 
 @query(f"""WITH {TICKS}, x AS (SELECT ticker, CAST(ts AS DATE) AS day, ts, tick_id, price, price - lag(price) OVER (PARTITION BY ticker, CAST(ts AS DATE) ORDER BY ts, tick_id) AS r FROM ticks), n AS (
