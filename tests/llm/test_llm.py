@@ -194,6 +194,21 @@ def test_op5_pseudonyms(spark):
     assert iso.groups() == other.groups()[::-1]
 
 
+def test_op5_neighbours(spark):
+    phone, ip, card, iban = "+1 (826) 555-4081", "190.137.223.204", "4041894974608795", "AT61 1904 3002 3457 3201"
+    spaced, uk, other = "4041 8949 7460 8795", "+44 20 7946 0958", "5500005555555559"
+    alone = [phone, ip, card, iban, spaced, uk, other, "1999-12-31", "123-45-6789"]
+    beside = [[phone, ip], [card, "123"], [phone, "2024"], [uk, "2024"], [uk, ip], [uk, spaced], [uk, spaced, "123"], [uk, "1999-12-31"], [iban, ip], [iban, "2024"], ["2024 1010", spaced], ["2024 10", spaced, "123"], [card, ip], [card, "123-45-6789"], ["AB12", spaced], [card, other], ["AB12 3456 7890", ip]]
+    texts = alone + [" ".join(x) for x in beside] + ["1 " * 5000 + card]
+    got = {r.i: (r.text, r.pseudonyms) for r in privacy.pseudonymise(spark.createDataFrame(list(enumerate(texts)), "i long, text string"), "k").collect()}
+    new = {x: got[i][0] for i, x in enumerate(alone)}
+    assert all(x != y for x, y in new.items())
+    for i, parts in enumerate(beside, len(alone)):
+        assert got[i][0] == " ".join(new.get(x, x) for x in parts), parts
+        assert sum(got[i][1].values()) == sum(x in new for x in parts), parts
+    assert got[len(texts) - 1][0].endswith(" " + new[card])
+
+
 def test_op5_is_a_permutation(spark):
     days = spark.range(0, 3000).select(F.date_format(F.date_add(F.lit("1950-01-01").cast("date"), F.col("id").cast("int")), "yyyy-MM-dd").alias("text"))
     assert privacy.pseudonymise(days, "k").select("text").distinct().count() == 3000

@@ -2,7 +2,7 @@
 
 Card numbers (Luhn), IBANs (mod 97), IPv4 addresses, phone and social security numbers, and dates are found by pattern,
 validated, and permuted under a key within their format: separators, lengths, country codes and first card digits stay,
-check digits are made anew, a date becomes a date from 1900 to 2099. The permutation sees the bare digits (a date's day
+check digits are made anew, a date becomes a date from 1900 to 2099. A number beside another is not taken for its part. The permutation sees the bare digits (a date's day
 number), so equal values get equal pseudonyms in all documents, however they are written. Mail addresses and secrets,
 which are no numbers, get letters and digits from a keyed hash, class by class. What fails validation is left alone.
 
@@ -18,16 +18,39 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ROUNDS = 8
-#: Kind and pattern; earlier ones win where two match at one place.
+_IP = r"(?:(?:[01]?[0-9]{1,2}|2[0-4][0-9]|25[0-5])\.){3}(?:[01]?[0-9]{1,2}|2[0-4][0-9]|25[0-5])(?![0-9]|\.[0-9])"
+_DATE = r"(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4})(?![0-9/-])"
+_SSN = r"[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
+_NATIONAL = r"\(?[0-9]{3}\)?[ .-][0-9]{3}[.-][0-9]{4}(?![0-9])"
+#: A number of its own, where a match before it ends.
+_NEXT = f"(?:{_IP}|{_DATE}|{_SSN}|{_NATIONAL})"
+_SPACE = f" (?!{_NEXT})"
+#: After so many digits, with what a phone number has between them.
+_AFTER = {n: "[ .()-]{0,3}".join(["[0-9]"] * n) + r"\)?" for n in (7, 11, 17)}
+_FOUR = r"[0-9]{4}(?:[ -][0-9]{4}){3}(?![0-9]|[ -][0-9]{4}(?![0-9]))"
+_PHONE_SPACE = rf" (?!(?<={_AFTER[7]} )(?:{_NEXT}|{_FOUR})|(?<={_AFTER[11]} )(?:19|20)[0-9]{{2}}(?![0-9]))"
+#: IBAN countries by length; other countries take any.
+_IBAN_OF = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL",
+    24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+_IBANS = "|".join(f"(?:{c.replace(' ', '|')})[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{{(n - 4) // 4}}}" + (f"(?: ?[A-Z0-9]{{{n % 4}}})" if n % 4 else "") for n, c in _IBAN_OF.items())
+#: Kind and pattern; earlier ones win where two match at one place. A card's match is the whole chain of digits, for _card to search.
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]{1,63}+(?:\.[A-Za-z0-9-]{1,63}+){1,8}",
     "secret": r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])|(?<![A-Za-z0-9])(?:password|passwd|secret|token|api_?key)\s{0,3}[=:]\s{0,3}[\"']?[A-Za-z0-9_+/-]{8,128}",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
-    "date": r"(?<![0-9./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4})(?![0-9/-])",
+    "iban": rf"(?<![A-Za-z0-9])(?:{_IBANS}|[A-Z]{{2}}[0-9]{{2}}(?:(?:{_SPACE})?[A-Z0-9]{{4}}){{2,7}}(?:(?:{_SPACE})?[A-Z0-9]{{1,3}})?)(?![A-Za-z0-9])",
+    "date": rf"(?<![0-9./-]){_DATE}",
     "ip": r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])",
-    "phone": r"(?<![0-9+])\+[0-9]{1,3}(?:[ .-]?\(?[0-9]{2,4}\)?){2,5}(?![0-9])|(?<![0-9+])\(?[0-9]{3}\)?[ .-][0-9]{3}[.-][0-9]{4}(?![0-9])",
-    "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
-    "card": r"(?<![0-9-])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])",
+    "phone": rf"(?<![0-9+])\+1[ .-]?\(?[0-9]{{3}}\)?[ .-]?[0-9]{{3}}[ .-]?[0-9]{{4}}(?![0-9])|(?<![0-9+])\+[0-9]{{1,3}}(?:(?:[.-]|{_PHONE_SPACE})?\(?[0-9]{{2,4}}\)?){{2,5}}(?![0-9])(?<={_AFTER[7]})(?<!{_AFTER[17]})|(?<![0-9+]){_NATIONAL}",
+    "ssn": rf"(?<![0-9-]){_SSN}",
+    "card": rf"(?<![0-9-])[0-9](?:(?:-|{_SPACE})?[0-9]){{12,}}+",
+}
+#: What a match is, seen without its neighbours.
+KINDS = PATTERNS | {
+    "iban": r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?",
+    "phone": rf"\+[0-9]{{1,3}}(?:[ .-]?\(?[0-9]{{2,4}}\)?){{2,5}}|{_NATIONAL}",
+    "card": r"[0-9](?:[ -]?[0-9]){12,}+",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: What every match has; texts without it are passed over.
@@ -135,11 +158,20 @@ def _iban(key: str, m: Column) -> Column:
             check = F.lpad((98 - mod97(F.concat(r, country, F.lit("00")))).cast("string"), 2, "0")
             return let(F.concat(country, check, r), lambda n: _spaced(m, n))
 
-        return F.when(mod97(F.concat(rest, part(x, 1, 4))) == 1, let(new, whole)).otherwise(m)
+        return F.when(mod97(F.concat(rest, part(x, 1, 4))) == 1, F.struct(F.lit("iban").alias("kind"), let(new, whole).alias("value"), F.lit(1).alias("n"))).otherwise(inside)
 
+    # No IBAN: the numbers in it may be a card's.
+    chain = PATTERNS["card"]
+    cards = F.transform(F.regexp_extract_all(m, F.lit(chain), F.lit(0)), lambda x: _card(key, x))
+    inside = let(cards, lambda found: F.struct(F.lit("card").alias("kind"), _joined(F.split(m, chain, -1), found).alias("value"), F.aggregate(found, F.lit(0), lambda a, x: a + x.n).alias("n")))
     return let(F.replace(m, F.lit(" "), F.lit("")), changed)
 
 
+def _joined(between: Column, found: Column) -> Column:
+    """The texts between matches and the matches' values, in turn."""
+    return F.concat(F.array_join(F.zip_with(F.slice(between, 1, F.size(found)), found, lambda t, m: F.concat(t, m.value)), ""), F.element_at(between, -1))
+
+
 def _spaced(shape: Column, bare: Column) -> Column:
     char = lambda i: part(shape, i, 1)
     return F.array_join(F.transform(F.sequence(F.lit(1), F.length(shape)), lambda i: F.when(char(i) == " ", F.lit(" ")).otherwise(part(bare, F.length(F.replace(part(shape, 1, i), F.lit(" "), F.lit(""))), 1))), "")
@@ -189,26 +221,64 @@ def _ssn(key: str, m: Column) -> Column:
     return F.when(m.rlike("^(?:000|666|9)|-00-|-0000$"), m).otherwise(put_back(m, permuted(key, "ssn", digits_of(m))))
 
 
+#: How cards are written, by lengths of their groups.
+CARD_FORMS = ("4-4-4-4", "4-6-5", "4-6-4", "4-3-3-3", "6-13")
+
+
 def _card(key: str, m: Column) -> Column:
-    def changed(d: Column) -> Column:
+    """struct(kind, value, n) of a chain of digit groups: from left to right, the first valid form at each group.
+
+    At the chain's start the longest run of groups of 13 to 19 digits is tried as well, however written. Sixteen digits and
+    three are one number only for issuers with numbers of nineteen (50, 56 to 58, 6), else a card and its security code.
+    """
+
+    def changed(x: Column, d: Column) -> Column:
         body = F.concat(part(d, 1, 1), permuted(key, "card", part(d, F.lit(2), F.length(d) - 2)))
         check = lambda b: F.concat(b, F.pmod(10 - luhn(F.concat(b, F.lit("0"))) % 10, F.lit(10)).cast("string"))
-        return F.when(luhn(d) % 10 == 0, put_back(m, let(body, check))).otherwise(m)
+        return put_back(x, let(body, check))
+
+    def search(groups: Column) -> Column:  # each with the separator before it
+        run = lambda i, k: F.array_join(F.slice(groups, i, k), "")
+
+        def groups_of_card(i: Column) -> Column:
+            valid = lambda k: let(digits_of(run(i, k)), lambda d: F.length(d).between(13, 19) & (luhn(d) % 10 == 0))
+            form = lambda k: F.array_join(F.transform(F.slice(groups, i, k), lambda g: F.length(digits_of(g)).cast("string")), "-")
+            one = F.length(digits_of(F.element_at(groups, i)))
+            out = F.when(one.between(13, 19) & valid(F.lit(1)), 1)
+            out = out.when(one.isin(4, 6) & (form(F.lit(5)) == "4-4-4-4-3") & run(i, F.lit(1)).rlike("^[ -]?(?:6|5[0678])") & valid(F.lit(5)), 5)
+            for shape in CARD_FORMS:
+                k = F.lit(shape.count("-") + 1)
+                out = out.when((one == int(shape[0])) & (form(k) == shape) & valid(k), k)
+            upto = lambda k: F.length(digits_of(run(F.lit(1), k)))
+            longest = F.array_max(F.filter(F.sequence(F.lit(1), F.least(F.size(groups), F.lit(19))), lambda k: upto(k) <= 19))
+            return out.otherwise(F.when(i == 1, let(longest, lambda k: F.when(valid(k), k).otherwise(0))).otherwise(0))
+
+        def step(s: Column, i: Column) -> Column:
+            def taken(k: Column) -> Column:
+                new = F.when(k > 0, let(run(i, k), lambda x: changed(x, digits_of(x)))).otherwise(F.element_at(groups, i))
+                return F.struct(F.concat(s.value, new).alias("value"), (i + F.greatest(k, F.lit(1))).alias("at"), (s.n + (k > 0).cast("int")).alias("n"))
+
+            return F.when(i < s["at"], s).otherwise(let(groups_of_card(i), taken))
+
+        start = F.struct(F.lit("").alias("value"), F.lit(1).alias("at"), F.lit(0).alias("n"))
+        return F.aggregate(F.sequence(F.lit(1), F.size(groups)), start, step, lambda s: F.struct(F.lit("card").alias("kind"), s.value.alias("value"), s.n.alias("n")))
 
-    return let(digits_of(m), changed)
+    return let(F.regexp_extract_all(m, F.lit("[ -]?[0-9]+"), F.lit(0)), search)
 
 
 CHANGE = {"email": _email, "secret": _secret, "iban": _iban, "date": _date, "ip": _ip, "phone": _phone, "ssn": _ssn, "card": _card}
 
 
 def pseudonym(key: str, m: Column) -> Column:
-    """struct(kind, value) of one match; kind is null where validation fails."""
-    out = F.struct(F.lit(None).cast("string").alias("kind"), m.alias("value"))
+    """struct(kind, value, n) of one match, n the values in it; kind is null where validation fails."""
+    out = F.struct(F.lit(None).cast("string").alias("kind"), m.alias("value"), F.lit(0).alias("n"))
 
     def marked(kind: str) -> Column:
-        return let(CHANGE[kind](key, m), lambda v: F.struct(F.when(v != m, F.lit(kind)).alias("kind"), v.alias("value")))
+        new = CHANGE[kind](key, m)
+        new = new if kind in ("iban", "card") else F.struct(F.lit(kind).alias("kind"), new.alias("value"), F.lit(1).alias("n"))
+        return let(new, lambda v: F.struct(F.when(v.value != m, v.kind).alias("kind"), v.value.alias("value"), v.n.alias("n")))
 
-    for kind, pattern in reversed(PATTERNS.items()):
+    for kind, pattern in reversed(KINDS.items()):
         out = F.when(m.rlike(f"^(?:{pattern})$"), marked(kind)).otherwise(out)
     return out
 
@@ -221,10 +291,10 @@ def pseudonymise(df: DataFrame, key: str, text_col: str = "text", count_col: str
     # One pass finds the matches, one takes the text between them; matches are exploded neither way.
     rows = df.withColumn("_found", found)
     between = F.split(text, ANY, -1)
-    new = F.concat(F.array_join(F.zip_with(F.slice(between, 1, F.size("_found")), "_found", lambda t, m: F.concat(t, m.value)), ""), F.element_at(between, -1))
+    new = _joined(between, F.col("_found"))
     rows = rows.withColumn(text_col, F.when(F.size("_found") > 0, new).otherwise(text))
     if count_col:
-        kinds = F.filter(F.transform("_found", lambda m: m.kind), lambda k: k.isNotNull())
+        kinds = F.flatten(F.transform(F.filter("_found", lambda m: m.kind.isNotNull()), lambda m: F.array_repeat(m.kind, m.n)))
         count = F.map_from_entries(F.transform(F.array_sort(F.array_distinct(kinds)), lambda k: F.struct(k, F.size(F.filter(kinds, lambda x: x == k)))))
         rows = rows.withColumn(count_col, F.coalesce(count, F.create_map().cast("map<string,int>")))
     return rows.drop("_found")
