@@ -5,14 +5,19 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import jaccard, mixing, privacy, sentencepiece, toxicity
-from tidemark.llm.common import shared_dir, ship, table
+from tidemark.llm.common import partitions, shared_dir, ship, table
 from tidemark.llm.queries import PSEUDONYM_KEY, piece_model
 
 
+SHARDS = 16  # mix_sources' own number
+#: Where a drawn row stands: its output shard, the place of its block there, its place in the block.
+MIXED = ("shard", "block_order", "place")
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects the documents that the classifier calls toxic."""
     scored = toxicity.score_toxicity(docs, table(spark, sf_dir, "labels"))
@@ -37,21 +42,23 @@ def hide_personal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Draws every source to its target: a row for each time that a document is drawn, a part of it where only a part is."""
-    drawn = mixing.mix_sources(docs, keep=tuple(docs.columns)).select(*docs.columns, "size", F.explode("draws").alias("draw"))
-    text = F.when(F.col("draw.words") < F.col("size"), _first_words(F.col("text"), F.col("draw.words"))).otherwise(F.col("text"))
-    out = drawn.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long"))
-    return out.select(*docs.columns)
-
+    """Draws every source to its target: a row for each time that a document is drawn, always whole, in its shard.
 
-def _first_words(text: Column, n: Column) -> Column:
-    return F.array_join(F.slice(F.regexp_extract_all(text, F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)), 1, F.greatest(n, F.lit(1)).cast("int")), " ")
+    Sorting by MIXED gives the order of training; rows are written in it. A source goes past its target by less than a document.
+    """
+    rows = mixing.mix_sources(docs, keep=tuple(docs.columns)).select(*docs.columns, "block", F.explode("draws").alias("draw"))
+    order = F.xxhash64(F.lit(17), "source", "block", "draw.epoch")  # the blocks of all sources in one permuted order
+    rows = rows.select(*docs.columns, F.col("draw.shard").alias("shard"), order.alias("block_order"), F.col("draw.place").alias("place"))
+    # Each partition is a run of one shard's blocks: the shard is cut into as many equal ranges of block_order.
+    pieces = -(-partitions(spark) // SHARDS)
+    piece = F.least(F.floor((F.col("block_order") / F.lit(2.0**64) + 0.5) * pieces), F.lit(pieces - 1))
+    return rows.repartitionById(SHARDS * pieces, (F.col("shard") * pieces + piece).cast("int")).sortWithinPartitions(*MIXED, "doc_id")
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids of every drawn text."""
+    """Ids of every drawn text, with its place in the mix."""
     ship(spark)
-    return sentencepiece.encode(docs, piece_model()).select("doc_id", "source", "n_tokens", "round_trip", "ids")
+    return sentencepiece.encode(docs, piece_model()).select("doc_id", "source", "n_tokens", "round_trip", "ids", *[c for c in MIXED if c in docs.columns])
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

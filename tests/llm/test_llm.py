@@ -361,3 +361,17 @@ def test_pipeline_stages(spark):
     assert near.columns == docs.columns
     out = corpus_pipeline.run(spark, where).collect()
     assert out and all(r.round_trip for r in out)
+
+
+def test_pipeline_mixing_applies_shards(spark, docs, rows):
+    import corpus_pipeline
+
+    out = corpus_pipeline.mix(spark, docs, "")
+    got = out.withColumn("part", F.spark_partition_id()).collect()
+    draws = [(r.doc_id, d.shard, d.place) for r in mixing.mix_sources(docs).collect() for d in r.draws]
+    assert sorted((r.doc_id, r.shard, r.place) for r in got) == sorted(draws)
+    texts = {i: t for i, t, *_ in rows}
+    assert all(r.text == texts[r.doc_id] for r in got)
+    at = [(r.shard, r.block_order, r.place) for r in got]
+    assert at == sorted(at) and len({r.shard for r in got}) > 1
+    assert all(len({r.shard for r in got if r.part == p}) == 1 for p in {r.part for r in got})
