@@ -5,11 +5,11 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm import jaccard, mixing, privacy, sentencepiece, toxicity
-from tidemark.llm.common import partitions, shared_dir, ship, table
+from tidemark.llm.common import checkpoint, partitions, shared_dir, ship, table
 from tidemark.llm.queries import PSEUDONYM_KEY, piece_model
 
 
@@ -25,13 +25,25 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each component of links: the one that gives it its id. Documents without an id stay."""
+    """Keeps one document of each component of links: the one that gives it its id. Documents without an id stay.
+
+    A document is an id and a text's set of shingles: rows that share an id are judged each by its own, and are one where both are equal.
+    """
     ship(spark)
-    found = jaccard.join_components(docs)
-    others = found.where("doc_id != component_id").select(F.col("doc_id").alias("_other")).distinct()
-    kept = docs.join(others, docs["doc_id"].cast("long") == F.col("_other"), "left_anti")
-    if found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count():
-        kept = kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))  # rows that repeat an id
+    found = jaccard.join_components(docs).where("doc_id is not null")
+    texts = found.groupBy("doc_id", "point", "root", "component_id").agg(F.count("*").alias("n"))
+    # Where several texts of a component have its id, the least point stays.
+    alike = Window.partitionBy("doc_id", "component_id", "root").orderBy("point")
+    again = F.col("point").isNotNull() & (F.row_number().over(alike) > 1)
+    texts = checkpoint(texts.withColumn("gone", (F.col("doc_id") != F.col("component_id")) | again))
+    ids = checkpoint(texts.groupBy("doc_id").agg(F.sum("n").alias("n"), F.every("gone").alias("gone")).where("gone or n > 1").select(F.col("doc_id").alias("_id"), "gone"))
+    id_of = docs["doc_id"].cast("long")
+    kept = docs.join(ids, id_of == F.col("_id"), "left_anti")
+    if ids.where("not gone").limit(1).count():  # ids on several rows, not all of which go
+        shared = jaccard.with_point(docs.join(ids.where("not gone"), id_of == F.col("_id"), "left_semi"), "_point")
+        gone = texts.where("gone").select(F.col("doc_id").alias("_id"), F.col("point").alias("_gone"))
+        shared = shared.join(gone, (F.col("doc_id").cast("long") == F.col("_id")) & F.col("_point").eqNullSafe(F.col("_gone")), "left_anti")
+        kept = kept.unionByName(shared.dropDuplicates(["doc_id", "_point"]).drop("_point"))
     return kept
 
 

@@ -375,3 +375,19 @@ def test_pipeline_mixing_applies_shards(spark, docs, rows):
     at = [(r.shard, r.block_order, r.place) for r in got]
     assert at == sorted(at) and len({r.shard for r in got}) > 1
     assert all(len({r.shard for r in got if r.part == p}) == 1 for p in {r.part for r in got})
+
+
+def test_pipeline_near_copies_with_equal_ids(spark):
+    import corpus_pipeline
+
+    text = lambda k: " ".join(f"{k}{i}" for i in range(40))
+    near = text("a") + " more"
+    given = [(1, text("a")), (2, text("b")), (2, text("c")), (3, near), (3, text("d")), (4, text("e")), (4, text("e")), (5, text("f")), (5, text("f") + " more"), (6, near), (7, text("g")), (None, text("g"))]
+    x = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in given], DOCS)
+    got = corpus_pipeline.drop_near_copies(spark, x, "")
+    kept = [(r.doc_id, r.text) for r in got.collect()]
+    five = [t for i, t in kept if i == 5]
+    assert len(five) == 1 and five[0] in (text("f"), text("f") + " more")
+    want = [(1, text("a")), (2, text("b")), (2, text("c")), (3, text("d")), (4, text("e")), (5, five[0]), (7, text("g")), (None, text("g"))]
+    order = lambda r: (r[0] is None, r)
+    assert got.columns == x.columns and sorted(kept, key=order) == sorted(want, key=order)

@@ -28,6 +28,7 @@ import numpy as np
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from .common import LOWER, bit_map, checkpoint, hash_words, partitions, slices, window_hashes, words_of, written
 from .components import components
@@ -66,6 +67,20 @@ def point(shingles: np.ndarray) -> bytes | None:
     return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest() if len(shingles) else None
 
 
+def with_point(df: DataFrame, name: str, text_col: str = "text") -> DataFrame:
+    """The rows of df with the point of their text as a column (binary, null without shingles)."""
+
+    def points(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            texts = batch.column(batch.schema.get_field_index(text_col))
+            found = [point(s) for data, offsets, _ in slices(texts, texts) for s in shingle_sets(data, offsets)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.binary())], [*batch.schema.names, name])
+
+    return df.mapInArrow(points, StructType([*df.schema.fields, StructField(name, BinaryType())]))
+
+
 def _prefix(size: int, percent: int) -> int:
     """How many shingles in common order must hold one of a linked set's."""
     return size - -(-percent * size // 100) + 1
@@ -211,7 +226,7 @@ def _measure(batches):
 
 
 def join_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
-    """Rows: doc_id, n_shingles, component_id (the smallest doc_id reachable by links), point (binary, null without shingles)."""
+    """Rows: doc_id, n_shingles, component_id (the smallest doc_id reachable by links), point (binary, null without shingles), root (one of the component's points)."""
     spark = df.sparkSession
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     survey = written(docs.mapInArrow(_survey, "doc_id long, point binary, n long, part int, counts binary"))
@@ -311,6 +326,6 @@ def join_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     shingles.unpersist()
     roots = one.join(found.withColumnRenamed("node", "point"), "point", "left").withColumn("root", F.coalesce("root", "point"))
     least = roots.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    by_point = roots.join(least, "root").select("point", "component_id")
-    out = known.where("point is not null").join(by_point, "point").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "point")
-    return out.unionByName(known.where("point is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), "point"))
+    by_point = roots.join(least, "root").select("point", "component_id", "root")
+    out = known.where("point is not null").join(by_point, "point").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "point", "root")
+    return out.unionByName(known.where("point is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), "point", F.col("point").alias("root")))

@@ -23,7 +23,7 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.join_components(table(spark, sf_dir, "documents")).drop("point")
+    return jaccard.join_components(table(spark, sf_dir, "documents")).drop("point", "root")
 
 
 def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
