@@ -341,6 +341,14 @@ def test_op10_purity(spark):
     assert all(got[i] == ("block" if i % 2 else "allow") for i in range(200))
 
 
+def test_op10_sections_of_large_hosts_and_deep_paths(spark):
+    wide = [(25 * i + k, f"http://h.example/s{chr(97 + k)}/{i}", int(k != 7)) for i in range(40) for k in range(25)]
+    deep = [(2000 + i, f"http://d.example/a/b/c/d/e/{'good' if i % 2 else 'bad'}/{i}", i % 2) for i in range(60)]
+    pages = spark.createDataFrame(wide + deep, "page_id long, url string, good int")
+    got = {r.page_id: r.verdict for r in urls.judge_urls(pages, [], pages.select("page_id", "good")).collect()}
+    assert all(got[i] == ("allow" if good else "block") for i, _, good in wide + deep)
+
+
 def test_clashing_columns(docs):
     x = docs.withColumns({"shard": F.lit("s"), "size": F.lit("z"), "ids": F.lit(1), "score": F.lit("q"), "_found": F.lit(2), "point": F.lit(3), "block": F.lit(4), "place": F.lit(5), "bucket": F.lit(6)})
     n = docs.count()

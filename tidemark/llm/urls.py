@@ -1,7 +1,7 @@
 """URL filter by a path-template tree.
 
-Every path is a list of segments whose digit runs stand for any number. Per host, level by level, a segment that is rare among
-its siblings becomes a wildcard; branches whose labelled rates don't differ significantly from their siblings' merge; a
+Every path is a list of segments whose digit runs stand for any number. Per host, level by level, to the
+paths' full depth, a segment with few labelled pages of its own becomes a wildcard, however many siblings it has; branches whose labelled rates don't differ significantly from their siblings' merge; a
 template is rejected when its smoothed labelled purity is under a threshold. Explicit rules come first.
 
 Null urls and urls without "://" have an empty host and path, fit no rule, and get the verdict of the empty template.
@@ -23,9 +23,7 @@ ANY, REST = "*", "**"
 
 @dataclass(frozen=True)
 class Settings:
-    levels: int = 5  # segments beyond are one wildcard
-    max_children: int = 12  # a node with no more keeps them all
-    min_share: float = 0.05  # else children with this share stay literal
+    support: int = 4  # labelled pages that keep a segment literal, whatever its siblings
     z: float = 1.96  # two branches differ from here on
     weight: float = 4.0  # labelled pages that the prior counts for
     threshold: float = 0.5  # smoothed purity under it: rejected
@@ -49,17 +47,21 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> Co
 def templates(shapes: DataFrame, s: Settings) -> DataFrame:
     """shapes: host, segments (array), good, bad, pages; adds template (string) and its smoothed purity."""
     tree = checkpoint(shapes.withColumn("template", F.lit("")))  # each level reads it three times
-    depth = min(s.levels, tree.agg(F.max(F.size("segments"))).first()[0] or 0)
-    for level in range(depth):
-        here = F.try_element_at("segments", F.lit(level + 1))
+    deepest, depth, node = tree.agg(F.max(F.size("segments"))).first()[0] or 0, 0, ["host", "template"]
+    while depth < deepest:
+        here = F.try_element_at("segments", F.lit(depth + 1))
         tree = tree.withColumn("segment", here)
-        node = ["host", "template"]
-        children = tree.where("segment is not null").groupBy(*node, "segment").agg(F.sum("pages").alias("n"))
-        whole = children.groupBy(*node).agg(F.sum("n").alias("of"), F.count("*").alias("children"))
-        literal = children.join(whole, node).where((F.col("children") <= s.max_children) | (F.col("n") >= s.min_share * F.col("of"))).select(*node, "segment", F.lit(True).alias("literal"))
-        tree = tree.join(literal, [*node, "segment"], "left").withColumn("template", F.when(F.col("segment").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), F.when(F.col("literal"), F.col("segment")).otherwise(F.lit(ANY))))).drop("literal", "segment")
-        tree = checkpoint(tree)
-    tree = tree.withColumn("template", F.when(F.size("segments") > s.levels, F.concat("template", F.lit(f"/{REST}"))).otherwise(F.col("template")))
+        children = tree.where("segment is not null").groupBy(*node, "segment").agg(F.sum(F.col("good") + F.col("bad")).alias("labelled"))
+        # A node without the labels for one child has none for anything below it: what is left of its paths is one wildcard.
+        whole = children.groupBy(*node).agg(F.sum("labelled").alias("of")).where(F.col("of") >= s.support).select(*node, F.lit(True).alias("open"))
+        literal = children.where(F.col("labelled") >= s.support).select(*node, "segment", F.lit(True).alias("literal"))
+        tree = tree.join(whole, node, "left").join(literal, [*node, "segment"], "left")
+        step = F.when(F.col("literal"), F.col("segment")).when(F.col("open"), F.lit(ANY)).otherwise(F.lit(REST))
+        over = F.col("segment").isNull() | F.col("template").endswith(f"/{REST}")
+        tree = tree.withColumn("template", F.when(over, F.col("template")).otherwise(F.concat("template", F.lit("/"), step))).drop("literal", "open", "segment")
+        tree, depth = checkpoint(tree), depth + 1
+        if not tree.where((F.size("segments") > depth) & ~F.col("template").endswith(f"/{REST}")).limit(1).count():
+            break
     leaves = tree.groupBy("host", "template").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")).withColumn("merged", F.col("template"))
     for level in range(depth):
         parts = F.split("merged", "/")
@@ -94,7 +96,7 @@ def judge_urls(df: DataFrame, rules: list[tuple[str, str, str]], labels: DataFra
     pages = df.select(F.col(id_col).cast("long").alias("page_id"), host.alias("host"), path.alias("path"))
     pages = pages.withColumn("fit", rule_of(F.col("host"), F.col("path"), rules))
     segments = F.transform(F.filter(F.split("path", "/"), lambda x: x != ""), lambda x: F.regexp_replace(x, "[0-9]+", "{n}"))
-    pages = pages.withColumn("segments", F.slice(segments, 1, s.levels + 1))
+    pages = pages.withColumn("segments", segments)
     if labels is None:
         marked = pages.withColumn("good", F.when(F.col("fit.verdict") == "allow", 1).when(F.col("fit.verdict") == "block", 0))
     else:
