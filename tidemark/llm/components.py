@@ -5,19 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint
+from .common import written
 
 
 def components(edges: DataFrame) -> DataFrame:
     """edges: (a, b) of any orderable type. Rows: (node, root), root the least node reachable; every node of an edge once."""
-    both = checkpoint(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a is not null and b is not null").distinct())
-    labels = checkpoint(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("root")))
+    both = written(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a is not null and b is not null").distinct())
+    labels = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("root")))
     while True:
         near = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("root").alias("near"))
         best = labels.join(near, labels.node == near.a).select("node", "root", F.least("root", "near").alias("new"))
         up = labels.select(F.col("node").alias("up"), F.col("root").alias("above"))
         # A node takes the root of the label it found: the way to the least node halves each round.
-        moved = checkpoint(best.join(up, best.new == up.up, "left").select("node", "root", F.least("new", F.coalesce("above", "new")).alias("new")))
+        moved = written(best.join(up, best.new == up.up, "left").select("node", "root", F.least("new", F.coalesce("above", "new")).alias("new")))
         changed = moved.where("new < root").limit(1).count()
         labels = moved.select("node", F.col("new").alias("root"))
         if not changed:

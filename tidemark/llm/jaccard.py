@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from .common import LOWER, bit_map, checkpoint, hash_words, partitions, slices, window_hashes, words_of, written
+from .common import LOWER, bit_map, hash_words, partitions, slices, window_hashes, words_of, written
 from .components import components
 
 WORDS = 5
@@ -256,7 +256,7 @@ def join_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     regions = written(docs.select("text").mapInArrow(first_shingles, "bucket int, blob binary").groupBy("bucket").applyInArrow(lambda table: _regions(percent, table), "region long, point binary, n long, place long"))
     # The sets of the points that share a region with another, from the whole text of one document each.
     one = known.where("point is not null").groupBy("point").agg(F.min("doc_id").alias("doc_id"))
-    wanted = checkpoint(one.join(regions.select("point").distinct(), "point").select("doc_id"))
+    wanted = written(one.join(regions.select("point").distinct(), "point").select("doc_id"))
     map_bits = max(10, min(MAP_BITS, ceil(log2(8 * max(1, wanted.count())))))
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << map_bits)).alias("place")
     asked = spark.sparkContext.broadcast(bit_map(wanted.select(place), map_bits))  # of fixed size; the join below is exact
@@ -295,7 +295,7 @@ def join_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     with_pivot = with_pivot.select("region", "x", "n", "left", "large", possible.alias("possible"), F.col("p.point").alias("p"))
     tested = measured(with_pivot.where("large or possible").select("x", "p").distinct())
     links = tested.where("link").select(F.col("x").alias("a"), F.col("p").alias("b"))
-    found = checkpoint(components(links))
+    found = written(components(links))
     # Rings: a point lies in its own and is copied to the next; width 1 - t, less rounding.
     ring = F.floor(F.col("distance") / ((100 - percent) / 100 + 1e-9)).cast("int")
     rings = with_pivot.where("large").join(tested.select("x", "p", "distance"), ["x", "p"]).withColumn("ring", F.explode(F.array(ring, ring + 1)))
@@ -309,19 +309,19 @@ def join_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         rows = rows.join(of.where("low < high"), "region").where(may_link(F.col("n"), F.col("left"), F.col("least_n"), F.col("most_left")))
         return rows.select("region", "point", "n", "left", "root")
 
-    rest, most = checkpoint(unsettled(rings.groupBy("region", "point").agg(F.first("n").alias("n"), F.max("left").alias("left")))), PIVOTS
+    rest, most = written(unsettled(rings.groupBy("region", "point").agg(F.first("n").alias("n"), F.max("left").alias("left")))), PIVOTS
     while rest.limit(1).count():
         own = rest.groupBy("region", "root").agg(F.count("*").alias("of"), F.min_by(F.struct("point", "n", "left"), F.struct(-F.col("left") / F.col("n"), "point")).alias("p"))
         few = Window.partitionBy("region").orderBy("of", "p.point")
-        pivot = checkpoint(own.withColumn("nth", F.row_number().over(few)).where(F.col("nth") <= most).select("region", F.col("p.point").alias("p"), F.col("p.n").alias("m"), F.col("p.left").alias("right"), F.col("root").alias("of_p")))
+        pivot = written(own.withColumn("nth", F.row_number().over(few)).where(F.col("nth") <= most).select("region", F.col("p.point").alias("p"), F.col("p.n").alias("m"), F.col("p.left").alias("right"), F.col("root").alias("of_p")))
         pairs = rest.join(pivot, "region").where("root != of_p").where(may_link(F.col("n"), F.col("left"), F.col("m"), F.col("right"))).select(F.col("point").alias("x"), "p").distinct()
         new = measured(pairs.join(tested.select("x", "p"), ["x", "p"], "left_anti").join(tested.select(F.col("x").alias("p"), F.col("p").alias("x")), ["x", "p"], "left_anti"))
         tested = tested.unionByName(new)
         links = links.unionByName(new.where("link").select(F.col("x").alias("a"), F.col("p").alias("b")))
         if new.where("link").limit(1).count():
-            found = checkpoint(components(links))
+            found = written(components(links))
         used = pivot.select("region", F.col("p").alias("point"))
-        rest = checkpoint(unsettled(rest.drop("root").join(used, ["region", "point"], "left_anti")))
+        rest = written(unsettled(rest.drop("root").join(used, ["region", "point"], "left_anti")))
         most *= 2
     shingles.unpersist()
     roots = one.join(found.withColumnRenamed("node", "point"), "point", "left").withColumn("root", F.coalesce("root", "point"))

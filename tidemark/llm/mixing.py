@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, checkpoint, written
+from .common import WORD, written
 
 
 def targets(sizes: list[int], weights: list[float], most: float = 3) -> list[float]:
@@ -98,7 +98,7 @@ def mix_sources(
     blocks = blocks.groupBy("s", F.pmod(key(F.col("doc_id"), F.lit("block")), F.col("blocks")).alias("block")).agg(F.sum("size").alias("block_words"))
     order = Window.partitionBy("s").orderBy(key(F.col("s"), F.col("block")), "block")
     blocks = blocks.withColumns({"nth": F.row_number().over(order), "start": F.sum("block_words").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("block_words")})
-    blocks = checkpoint(blocks)
+    blocks = written(blocks)
     drawn = blocks.join(F.broadcast(facts.select("s", "whole", "rest")), "s").groupBy("s").agg(F.first("whole").alias("whole"), F.count("*").alias("n"), F.sum((F.col("start") < F.col("rest")).cast("long")).alias("part"))
     counts = {r.s: (r.whole * r.n + r.part, r.n) for r in drawn.collect()}
     dealt = split_tree([counts.get(i, (0, 0))[0] for i in range(len(plan))], shards, seed)

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpoint, partitions
+from .common import partitions, written
 
 BITS = 60
 
@@ -69,7 +69,7 @@ def shard_by_bytes(df: DataFrame, shards: int = 8, id_col: str = "doc_id", text_
     spark = df.sparkSession
     new = {"_k1": hashed(F.col(text_col)), "_k2": hashed(F.col(id_col), F.lit(1)), "size": (F.coalesce(F.octet_length(text_col), F.lit(0)) + 1).cast("long")}
     keyed = df.withColumns(new)
-    narrow = checkpoint(keyed.select("_k1", "_k2", "size"))
+    narrow = written(keyed.select("_k1", "_k2", "size"))
     total = narrow.agg(F.sum("size")).first()[0] or 0
     goals, mean = [total * i / shards for i in range(1, shards)], total / shards
     first = splitters(narrow.select("_k1", "size", F.lit(-1).alias("part")), "_k1", goals, [0.0] * len(goals), tolerance * mean, whole * mean)

@@ -5,9 +5,10 @@ Every document's non-overlapping 7-word blocks are the index; every rolling 7-wo
 there, the 13-word windows are compared by 80-bit hashes: each finds the smallest doc_id that holds it, and windows that
 lie side by side extend a hit to its maximal repeat. Words covered by a window of a smaller document go.
 
-Hashes travel packed: a task sends one row per bucket for a megabyte of text, four bytes a window, and a window that many
-documents of that megabyte share is sent once; the others are settled where they are. Buckets grow in number with the
-input, so that each has a few million windows.
+Hashes travel packed: a task sends one row per bucket for a few megabytes of text, about five bytes a window, and of a
+window that many documents of those megabytes share only one entry; the other documents are told the places at once, as
+runs. Buckets grow in number with the input, so that each has a few million windows, and the slices of text grow with them.
+A window in a third of all documents so fills one entry a slice, all in one bucket.
 
 A null text has no words. Documents under 13 words lose none. Rows that share a doc_id never remove each other's words. A
 row without a doc_id removes nothing and loses nothing. Every row gives one row. An empty table gives an empty result.
@@ -31,6 +32,11 @@ PACKED = "bucket int, doc_id long, blob binary"
 LOCAL = -1  # bucket of rows that a task settled by itself, in the answers
 
 
+def slice_bytes(bits: int) -> int:
+    """How much text is packed at once for 2**bits buckets."""
+    return min(8, max(2, (1 << bits) // 128)) << 20
+
+
 def _inside(doc: np.ndarray, k: int) -> np.ndarray:
     """Which windows of k words lie in one document."""
     n = len(doc) - k + 1
@@ -51,15 +57,39 @@ def _batch(rows: list[tuple]):
     return pa.RecordBatch.from_arrays([pa.array(b, pa.int32()), pa.array(i, pa.int64()), pa.array(x, pa.binary())], ["bucket", "doc_id", "blob"])
 
 
-def packed(ids: np.ndarray, doc: np.ndarray, key: np.ndarray, check: np.ndarray, block: np.ndarray, bits: int, wide: bool) -> list[tuple]:
+def _spans(places: np.ndarray) -> bytes:
+    """Ascending places as (start, length) of their runs."""
+    cuts = np.flatnonzero(np.diff(places) != 1) + 1
+    start = places[np.concatenate(([0], cuts))]
+    return np.column_stack([start, np.diff(np.append(np.concatenate(([0], cuts)), len(places)))]).astype(np.int32).tobytes()
+
+
+def _mark(mask: np.ndarray, spans: bytes) -> None:
+    """Sets the places of spans that mask has."""
+    for start, length in np.frombuffer(spans, np.int32).reshape(-1, 2).tolist():
+        mask[start : start + length] = True
+
+
+def _planes(numbers: np.ndarray) -> bytes:
+    """Bytes of numbers, all the lowest first: small ones compress to little."""
+    return numbers.view(np.uint8).reshape(len(numbers), -1).T.tobytes()
+
+
+def _of_planes(data: bytes, kind, n: int) -> np.ndarray:
+    return np.frombuffer(data, np.uint8).reshape(-1, n).T.copy().view(kind).ravel()
+
+
+def packed(ids: np.ndarray, doc: np.ndarray, place: np.ndarray, key: np.ndarray, check: np.ndarray, block: np.ndarray, bits: int, tags: list[bytes] | None = None) -> list[tuple]:
     """Rows of PACKED for the windows of one slice.
 
-    doc: index into ids; key, check: hashes; block: whether the window is one of the index. For each different hash the
-    smallest id is sent, to the hash's bucket. The ids of the other documents that hold it are settled: they get rows of
-    their own, dealt by id to buckets under zero, with the hashes (all of them where wide is false, for those need the smallest too).
+    doc: index into ids; place: where in its document; key, check: hashes; block: whether the window is one of the index.
+    For each different hash the smallest id is sent, to the hash's bucket. The other documents that hold it are settled:
+    they get a row of their own, dealt by id to buckets under zero, with the places. tags, one a document, ask for wide
+    hashes and start the settled rows; without tags the smallest holder is settled too, for it needs the places as well.
     """
+    wide = tags is not None
     order = np.lexsort((ids[doc], key))
-    key, check, doc, block = key[order], check[order], doc[order], block[order]
+    key, check, doc, place, block = key[order], check[order], doc[order], place[order], block[order]
     new = np.ones(len(key), bool)
     new[1:] = key[1:] != key[:-1]
     first = np.flatnonzero(new)
@@ -69,39 +99,41 @@ def packed(ids: np.ndarray, doc: np.ndarray, key: np.ndarray, check: np.ndarray,
     settled = (several[group] & (ids[doc] != smallest[group])) if wide else several[group]
     rows = []
     if settled.any():
-        d, k = doc[settled], key[settled]
-        order = np.argsort(d, kind="stable")
-        d, k = d[order], k[order]
-        rows += [(-2 - int(ids[i]) % (1 << bits), int(ids[i]), k[a:b].tobytes()) for i, a, b in _runs(d)]
+        d, at = doc[settled], place[settled]
+        order = np.lexsort((at, d))
+        d, at = d[order], at[order]
+        rows += [(-2 - int(ids[i]) % (1 << bits), int(ids[i]), (tags[i] if wide else b"") + _spans(at[a:b])) for i, a, b in _runs(d)]
     any_block = np.bitwise_or.reduceat(block, first) if len(first) else block[:0]
     key, check, doc = key[first], check[first], doc[first]
     bucket = (key >> np.uint64(64 - bits)).astype(np.int32)
     order = np.lexsort((doc, bucket))
     bucket, key, check, doc, any_block, several = (x[order] for x in (bucket, key, check, doc, any_block, several))
     for b, at, to in _runs(bucket):
-        own, index = np.unique(doc[at:to], return_inverse=True)
-        head = np.array([to - at, len(own)], np.int32).tobytes() + ids[own].astype(np.int64).tobytes()
-        flags = zlib.compress(index.astype(np.int32).tobytes() + (any_block[at:to] | several[at:to].astype(np.uint8) << 1).tobytes(), 1)
+        own, count = np.unique(doc[at:to], return_counts=True)
+        head = np.array([to - at, len(own)], np.int32).tobytes()
+        # Ids as steps between neighbours, entries of each, and two bits an entry.
+        small = _planes(np.diff(ids[own], prepend=0)) + _planes(count.astype(np.uint32))
+        small += np.packbits(any_block[at:to].astype(bool)).tobytes() + np.packbits(several[at:to]).tobytes()
         body = key[at:to].tobytes() + check[at:to].astype(np.uint16).tobytes() if wide else (key[at:to] & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes()
-        rows.append((b, 0, head + body + flags))
+        rows.append((b, 0, head + body + zlib.compress(small, 1)))
     return rows
 
 
 def _unpacked(blob: bytes, wide: bool) -> tuple[np.ndarray, ...]:
-    n, m = np.frombuffer(blob, np.int32, 2)
-    at = 8
-    ids = np.frombuffer(blob, np.int64, m, at)
-    at += 8 * m
-    key = np.frombuffer(blob, np.uint64 if wide else np.uint32, n, at).astype(np.uint64)
-    at += n * (8 if wide else 4)
+    """Keys, checks, ids, and flags: 1 for a block, 2 for a hash of several documents."""
+    n, m = np.frombuffer(blob, np.int32, 2).tolist()
+    key = np.frombuffer(blob, np.uint64 if wide else np.uint32, n, 8).astype(np.uint64)
+    at = 8 + n * (8 if wide else 4)
     check = np.frombuffer(blob, np.uint16, n, at) if wide else np.zeros(n, np.uint16)
     rest = zlib.decompress(blob[at + (2 * n if wide else 0) :])
-    return key, check, ids[np.frombuffer(rest, np.int32, n)], np.frombuffer(rest, np.uint8, n, 4 * n)
+    ids, count = np.cumsum(_of_planes(rest[: 8 * m], np.int64, m)), _of_planes(rest[8 * m : 12 * m], np.uint32, m)
+    bits = np.unpackbits(np.frombuffer(rest, np.uint8, offset=12 * m).reshape(2, -1), axis=1)[:, :n]
+    return key, check, np.repeat(ids, count), bits[0] | bits[1] << 1
 
 
 def answers(sent: DataFrame, wide: bool) -> DataFrame:
-    """Rows (bucket, doc_id, blob): hashes that matter to a document. Narrow: those it shares with another document, one of
-    them as a block. Wide: those that a smaller document holds as well. bucket is LOCAL where blob has whole hashes."""
+    """Rows (bucket, doc_id, blob): what matters to a document, by hash or, where bucket is LOCAL, by place. Narrow: windows it
+    shares with another document, one of them as a block. Wide: those that a smaller document holds as well."""
 
     def run(key, table):
         import pyarrow as pa
@@ -124,21 +156,15 @@ def answers(sent: DataFrame, wide: bool) -> DataFrame:
         ids, keys = ids[told], keys[told]
         order = np.argsort(ids, kind="stable")
         ids, keys = ids[order], keys[order] if wide else keys[order].astype(np.uint32)
-        rows = [(LOCAL if wide else bucket, i, keys[a:b].tobytes()) for i, a, b in _runs(ids)]
+        rows = [(bucket, i, keys[a:b].tobytes()) for i, a, b in _runs(ids)]
         return pa.Table.from_batches([_batch(rows)])
 
     return sent.groupBy("bucket").applyInArrow(run, PACKED)
 
 
-def _joined(lists, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Whole hashes, and narrow ones as bucket << 32 | hash."""
-    whole, narrow = [np.empty(0, np.uint64)], [np.empty(0, np.uint64)]
-    for x in lists:
-        if x["bucket"] == LOCAL:
-            whole.append(np.frombuffer(x["blob"], np.uint64))
-        else:
-            narrow.append(np.frombuffer(x["blob"], np.uint32).astype(np.uint64) | np.uint64(x["bucket"]) << np.uint64(32))
-    return np.concatenate(whole), np.concatenate(narrow)
+def _tag(text: bytes) -> bytes:
+    """Tells rows of one doc_id and different words apart."""
+    return hashlib.blake2b(text, digest_size=8).digest()
 
 
 def _hashed(text: bytes, k: int, seed: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -156,15 +182,14 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def probes(batches):
         for batch in batches:
             batch = batch.filter(batch.column(0).is_valid())
-            for data, offsets, ids in slices(batch.column(1), batch.column(0).to_numpy(zero_copy_only=False)):
+            for data, offsets, ids in slices(batch.column(1), batch.column(0).to_numpy(zero_copy_only=False), slice_bytes(bits)):
                 start, end, doc = words_of(data, offsets)
                 inside = _inside(doc, BLOCK)
                 if not inside.any():
                     continue
                 key, own = window_hashes(hash_words(data, start, end), BLOCK)[inside], doc[: len(inside)][inside]
-                place = np.arange(len(doc)) - np.searchsorted(doc, doc, "left")
-                block = (place[: len(inside)][inside] % BLOCK == 0).astype(np.uint8)
-                yield _batch(packed(ids, own, key, np.zeros(len(key), np.uint32), block, bits, False))
+                place = (np.arange(len(doc)) - np.searchsorted(doc, doc, "left"))[: len(inside)][inside]
+                yield _batch(packed(ids, own, place, key, np.zeros(len(key), np.uint16), (place % BLOCK == 0).astype(np.uint8), bits))
 
     hits = answers(docs.mapInArrow(probes, PACKED), False).groupBy("doc_id").agg(F.collect_list(F.struct("bucket", "blob")).alias("hits"))
 
@@ -180,8 +205,13 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 places = np.empty(0, np.uint32)
                 if found.is_valid:
                     start, _, h = _hashed(raw, BLOCK)
-                    whole, narrow = _joined(found.as_py(), bits)
-                    hit = np.isin(h, whole) | np.isin((h >> np.uint64(64 - bits)) << np.uint64(32) | h & np.uint64(0xFFFFFFFF), narrow)
+                    hit, narrow = np.zeros(len(h), bool), [np.empty(0, np.uint64)]
+                    for x in found.as_py():
+                        if x["bucket"] == LOCAL:
+                            _mark(hit, x["blob"])
+                        else:
+                            narrow.append(np.frombuffer(x["blob"], np.uint32).astype(np.uint64) | np.uint64(x["bucket"]) << np.uint64(32))
+                    hit |= np.isin((h >> np.uint64(64 - bits)) << np.uint64(32) | h & np.uint64(0xFFFFFFFF), np.concatenate(narrow))
                     n = len(start) - WINDOW + 1
                     if n > 0:
                         upto = np.concatenate(([0], np.cumsum(hit)))
@@ -211,19 +241,26 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     pending = state.where("done is null")
 
     def windows(batches):
+        def flush(ids, tags, parts):
+            key, check, place, doc = map(np.concatenate, zip(*parts, strict=True))
+            return _batch(packed(np.array(ids), doc, place, key, check, np.zeros(len(key), np.uint8), bits, tags))
+
         for batch in batches:
-            for at in range(0, batch.num_rows, 128):
-                parts: list[list] = [[], [], [], []]
-                ids = batch.column(0).slice(at, 128).to_numpy(zero_copy_only=False)
-                for n, (places, text) in enumerate(zip(batch.column(1).slice(at, 128).to_pylist(), batch.column(2).slice(at, 128).to_pylist(), strict=True)):
-                    p = np.frombuffer(zlib.decompress(places), np.uint32)
-                    raw = zlib.decompress(text)
-                    for x, part in zip((_hashed(raw, WINDOW)[2][p], _hashed(raw, WINDOW, 2)[2][p], np.full(len(p), n), np.zeros(len(p), np.uint8)), parts, strict=True):
-                        part.append(x)
-                key, check, doc, block = map(np.concatenate, parts)
-                yield _batch(packed(ids, doc, key, check, block, bits, True))
-
-    verdicts = answers(pending.select("doc_id", "places", "packed").mapInArrow(windows, PACKED), True).groupBy("doc_id").agg(F.collect_list("blob").alias("blobs"))
+            ids, tags, parts, held = [], [], [], 0
+            for i, places, text in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
+                if not places.is_valid or not i.is_valid:
+                    continue
+                p, raw = np.frombuffer(zlib.decompress(places.as_py()), np.uint32), zlib.decompress(text.as_py())
+                parts.append((_hashed(raw, WINDOW)[2][p], _hashed(raw, WINDOW, 2)[2][p], p.astype(np.int64), np.full(len(p), len(ids))))
+                ids.append(i.as_py())
+                tags.append(_tag(raw))
+                if (held := held + len(raw)) >= slice_bytes(bits):
+                    yield flush(ids, tags, parts)
+                    ids, tags, parts, held = [], [], [], 0
+            if parts:
+                yield flush(ids, tags, parts)
+
+    verdicts = answers(pending.select("doc_id", "places", "packed").mapInArrow(windows, PACKED), True).groupBy("doc_id").agg(F.collect_list(F.struct("bucket", "blob")).alias("blobs"))
 
     def cleaned(batches):
         import pyarrow as pa
@@ -235,9 +272,14 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     words = (raw := zlib.decompress(text)).split()
                     gone = np.zeros(len(words) + 1, np.int64)
                     if blobs:
-                        s = np.flatnonzero(np.isin(_hashed(raw, WINDOW)[2], np.concatenate([np.frombuffer(b, np.uint64) for b in blobs])))
-                        np.add.at(gone, s, 1)
-                        np.add.at(gone, s + WINDOW, -1)
+                        _, _, h = _hashed(raw, WINDOW)
+                        told, tag = np.isin(h, np.concatenate([np.empty(0, np.uint64)] + [np.frombuffer(x["blob"], np.uint64) for x in blobs if x["bucket"] != LOCAL])), _tag(raw)
+                        for x in blobs:
+                            if x["bucket"] == LOCAL and x["blob"].startswith(tag):
+                                _mark(told, x["blob"][len(tag) :])
+                        starts = np.flatnonzero(told)
+                        np.add.at(gone, starts, 1)
+                        np.add.at(gone, starts + WINDOW, -1)
                     stay = np.cumsum(gone)[:-1] == 0
                     kept = b" ".join(w for w, k in zip(words, stay.tolist(), strict=True) if k)
                     out.append((i, len(words), int((~stay).sum()), hashlib.sha256(kept).hexdigest(), *([kept.decode("utf-8", "surrogatepass")] if keep_text else [])))

@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint
+from .common import written
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 ANY, REST = "*", "**"
@@ -46,7 +46,7 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> Co
 
 def templates(shapes: DataFrame, s: Settings) -> DataFrame:
     """shapes: host, segments (array), good, bad, pages; adds template (string) and its smoothed purity."""
-    tree = checkpoint(shapes.withColumn("template", F.lit("")))  # each level reads it three times
+    tree = written(shapes.withColumn("template", F.lit("")))  # each level reads it three times
     deepest, depth, node = tree.agg(F.max(F.size("segments"))).first()[0] or 0, 0, ["host", "template"]
     while depth < deepest:
         here = F.try_element_at("segments", F.lit(depth + 1))
@@ -59,7 +59,7 @@ def templates(shapes: DataFrame, s: Settings) -> DataFrame:
         step = F.when(F.col("literal"), F.col("segment")).when(F.col("open"), F.lit(ANY)).otherwise(F.lit(REST))
         over = F.col("segment").isNull() | F.col("template").endswith(f"/{REST}")
         tree = tree.withColumn("template", F.when(over, F.col("template")).otherwise(F.concat("template", F.lit("/"), step))).drop("literal", "open", "segment")
-        tree, depth = checkpoint(tree), depth + 1
+        tree, depth = written(tree), depth + 1
         if not tree.where((F.size("segments") > depth) & ~F.col("template").endswith(f"/{REST}")).limit(1).count():
             break
     leaves = tree.groupBy("host", "template").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")).withColumn("merged", F.col("template"))
@@ -75,7 +75,7 @@ def templates(shapes: DataFrame, s: Settings) -> DataFrame:
         similar = (F.col("branches") > 1) & (F.coalesce(z, F.lit(0.0)) < s.z)
         branch = branch.join(group, ["host", "opened"]).select("host", "merged", F.when(similar, F.col("opened")).otherwise(F.col("merged")).alias("to"))
         leaves = leaves.join(branch, ["host", "merged"]).withColumn("merged", F.col("to")).drop("to")
-        leaves = checkpoint(leaves)
+        leaves = written(leaves)
     pooled = leaves.groupBy("host", "merged").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
     total = pooled.agg(F.sum("good").alias("g0"), F.sum("bad").alias("b0"))
     host = pooled.groupBy("host").agg(F.sum("good").alias("g1"), F.sum("bad").alias("b1"))
