@@ -106,7 +106,8 @@ def test_op2_lines(line, fault):
     assert quality.line_fault(line, line.split(), quality.Rules()) == fault
 
 
-def brute_components(rows):
+def brute_components(rows, reach=None):
+    """Links between all pairs of rows, or between those at most reach places apart."""
     sets = {}
     for i, t, *_ in rows:
         w = (t or "").encode().translate(LOW).split()
@@ -119,8 +120,8 @@ def brute_components(rows):
         return i
 
     for i in sets:
-        for j in sets:
-            if i < j and sets[i] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+        for j in range(i + 1, i + reach + 1) if reach else sets:
+            if i < j and j in sets and sets[i] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
                 a, b = sorted((root(i), root(j)))
                 up[b] = a
     return {i: (len(s), root(i)) for i, s in sets.items()}
@@ -134,16 +135,55 @@ def test_op3_components(docs, rows, empty):
     assert twice.count() == 2 * len(rows)
 
 
-def test_op3_near_copies_in_chains(spark):
-    rnd = random.Random(5)
-    base = [f"w{i}" for i in range(60)]
-    rows, now = [], base
-    for i in range(80):
+def chain(n, seed=5):
+    """Texts of 60 words, each one word from the one before."""
+    rnd = random.Random(seed)
+    rows, now = [], [f"w{i}" for i in range(60)]
+    for i in range(n):
         now = list(now)
         now[rnd.randrange(60)] = f"x{i}"
         rows.append((i, " ".join(now)))
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.join_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got == brute_components(rows)
+    return rows
+
+
+def found_components(spark, rows):
+    return {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.join_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+
+
+def test_op3_near_copies_in_chains(spark):
+    rows = chain(80)
+    assert found_components(spark, rows) == brute_components(rows)
+
+
+def test_op3_a_long_chain(spark):
+    rows = chain(2000)
+    assert found_components(spark, rows) == brute_components(rows, reach=60)
+
+
+def test_op3_rows_without_ids_and_repeats(spark):
+    a, b, c = (t for _, t in chain(3, seed=8))
+    a, c = " ".join(["y", *a.split()[1:]]), " ".join([*c.split()[:-5], *"p q r s t".split()])
+    rows = [(1, a), (5, b), (2, c), (7, "alone in the world it is")]
+    want = brute_components(rows)
+    if len({x for _, x in want.values()}) == 2:
+        assert want[1][1] == want[2][1]
+    some = [(None if i == 5 else i, t) for i, t in rows]
+    got = jaccard.join_components(spark.createDataFrame(some, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in got} == {1: want[1][1], 2: want[2][1], 7: 7, None: want[5][1]}
+    many = [(None if i % 3 == 0 else i, (a, b, c)[i % 3]) for i in range(3000)]
+    group = {k: root for k, (_, root) in brute_components([(0, a), (1, b), (2, c)]).items()}
+    least = {g: min(k for k in (1, 2) if group[k] == g) for g in {group[1], group[2]}}
+    got = jaccard.join_components(spark.createDataFrame(many, "doc_id long, text string")).groupBy("component_id").count().collect()
+    want = defaultdict(int)
+    for i in range(3000):
+        want[least.get(group[i % 3])] += 1
+    assert {r.component_id: r["count"] for r in got} == dict(want)
+
+
+def test_op3_hot_shingles_and_no_map(spark, docs, rows, monkeypatch):
+    monkeypatch.setattr(jaccard, "HOT", 4)
+    monkeypatch.setattr(jaccard, "MAP_BITS", 2)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.join_components(docs).collect()} == brute_components(rows)
 
 
 def test_op3_partners():

@@ -1,4 +1,4 @@
-"""Connected components as Spark joins: least neighbours and pointer jumping, each round checkpointed."""
+"""Connected components as Spark joins: least neighbours and pointer jumping, each round a table in the shared folder."""
 
 from __future__ import annotations
 
@@ -22,3 +22,14 @@ def components(edges: DataFrame) -> DataFrame:
         labels = moved.select("node", F.col("new").alias("root"))
         if not changed:
             return labels
+
+
+def merged(found: DataFrame, links: DataFrame) -> DataFrame:
+    """found, the (node, root) of older links, with new links (a, b): only the roots that they join are looked at again."""
+    links = written(links.select("a", "b"))
+    ends = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).distinct()
+    nodes = found.unionByName(ends.join(found, "node", "left_anti").select("node", F.col("node").alias("root")))
+    of = lambda c: found.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
+    roots = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))
+    joined = components(roots.where("a != b")).select(F.col("node").alias("root"), F.col("root").alias("least"))
+    return written(nodes.join(joined, "root", "left").select("node", F.coalesce("least", "root").alias("root")))

@@ -7,15 +7,17 @@ each point goes to the regions of its first shingles, rarest first by a sketch o
 A region knows how many of a point's shingles come before its own in that order. The first shingle that two points share
 has none of the other's before it, so a pair is looked at only in regions where what follows is enough to link them.
 
-In each region the point with the least before its shingle is the next pivot. All others are measured against it; the region splits into rings by distance,
-with the triangle inequality as window: points whose distances differ by more than 1 - t can't link, so a ring meets its
-neighbour only. Rings that hold one component are finished; in the others, pivots of different components are measured
+In each region the point with the least before its shingle is the next pivot. All others are measured against it; the
+region splits into rings by distance, with the triangle inequality as window: points whose distances differ by more than
+1 - t can't link, so a ring meets its neighbour only. Rings that hold one component are finished; in the others, pivots of different components are measured
 against the points of the other components, again and again, until none is left. A pair within a component is never
 measured. So near copies cost one measure each, and no group's pairs are listed.
 
 Links are 100 * intersection >= percent * union, in whole numbers. Documents of fewer than five words have one shingle,
-the whole sequence; a null text or one without words has none and links with nothing, not even its like. Rows that share
-a doc_id are apart but name the same id. An empty table gives an empty result.
+the whole sequence; a null text or one without words has none and links with nothing, not even its like. Rows are told
+apart by their texts: rows that share a doc_id are each judged by their own text, and a row without a doc_id links others
+all the same (component_id is null where no row of the component has an id). Repeated rows cost one set. Columns of df
+but the id and the text are not read, whatever their names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -31,13 +33,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
 from .common import LOWER, bit_map, hash_words, partitions, slices, window_hashes, words_of, written
-from .components import components
+from .components import components, merged
 
 WORDS = 5
 SKETCH_BITS, SKETCH_PARTS = 20, 16
 IN_BUCKET = 1 << 20
 RINGS_FROM = 32  # points; smaller regions are not split
-MAP_BITS = 26  # most that the map of wanted documents has: 8 MB
+MAP_BITS, MAP_EACH = 28, 8  # bits of the map of wanted texts: the most (32 MB), and for each text; beyond, no map
+HOT = 1 << 20  # a shingle counted so often, and 64 times the sketch's mean, is dealt by text, not by bucket
 PIVOTS = 8  # a region and round; twice as many each round
 
 
@@ -87,20 +90,22 @@ def _prefix(size: int, percent: int) -> int:
 
 
 def _survey(batches):
-    """(doc_id, point, n) of each document, and the sketch: counts of shingles by hash, in parts."""
+    """(doc_id, key, point, n) of each document, and the sketch: counts of shingles by hash, in parts."""
     import pyarrow as pa
 
-    names, kinds = ["doc_id", "point", "n", "part", "counts"], [pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.binary()]
+    names, kinds = ["doc_id", "key", "point", "n", "part", "counts"], [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.binary()]
     counts = np.zeros(1 << SKETCH_BITS, np.int64)
-    make = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
     for batch in batches:
-        for data, offsets, ids in slices(batch.column(1), batch.column(0)):
+        for data, offsets, at in slices(batch.column(1), np.arange(batch.num_rows)):
             sets = shingle_sets(data, offsets)
             if len(whole := np.concatenate(sets)):
                 counts += np.bincount((whole >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(counts))
-            yield make([(i, point(s), len(s), None, None) for i, s in zip(ids.to_pylist(), sets, strict=True)])
+            ids, keys = (batch.column(c).slice(int(at[0]), len(at)) for c in (0, 2))
+            none = [pa.nulls(len(at), k) for k in kinds[4:]]
+            yield pa.RecordBatch.from_arrays([ids, keys, pa.array([point(s) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64()), *none], names)
     for n, part in enumerate(np.split(counts, SKETCH_PARTS)):
-        yield make([(None, None, None, n, zlib.compress(np.minimum(part, 2**32 - 1).astype(np.uint32).tobytes(), 1))])
+        row = [None, None, None, None, n, zlib.compress(np.minimum(part, 2**32 - 1).astype(np.uint32).tobytes(), 1)]
+        yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds, strict=True)], names)
 
 
 def _add(key, table):
@@ -111,9 +116,10 @@ def _add(key, table):
     return pa.Table.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([level.tobytes()], pa.binary())], ["part", "level"])
 
 
-def _pack(points: list[bytes], sizes: np.ndarray, owner: np.ndarray, key: np.ndarray, place: np.ndarray, bits: int):
-    """One row a bucket: its (shingle, point, size, place of the shingle) entries of a slice."""
+def _pack(points: list[bytes], sizes: np.ndarray, owner: np.ndarray, key: np.ndarray, place: np.ndarray, bits: int, hot: np.ndarray):
+    """One row a bucket: its (shingle, point, size, place of the shingle) entries of a slice. Hot ones go to a bucket under zero, by slice."""
     bucket = (key >> np.uint64(64 - bits)).astype(np.int32)
+    bucket[hot] = -1 - zlib.crc32(points[0]) % (1 << bits)
     order = np.lexsort((owner, bucket))
     bucket, owner, key, place = bucket[order], owner[order], key[order], place[order]
     bounds = np.flatnonzero(np.diff(bucket)) + 1
@@ -149,8 +155,11 @@ def _has_partner(n: np.ndarray, left: np.ndarray, percent: int) -> np.ndarray:
     return stay
 
 
-def _regions(percent: int, table):
-    """Regions of two or more points, of one bucket: (region, point, n, place). Regions of the same points are one, with their least places."""
+def _regions(percent: int, key, table):
+    """Regions of two or more points, of one bucket: (region, point, n, place). Regions of the same points are one, with their least places.
+
+    A bucket under zero has some entries of hot shingles: all of them are given out, for no task sees a hot region whole.
+    """
     import pyarrow as pa
 
     keys, owners, places, points, sizes, base = [], [], [], [], [], 0
@@ -174,6 +183,9 @@ def _regions(percent: int, table):
     new = np.ones(len(keys), bool)
     new[1:] = (keys[1:] != keys[:-1]) | (owners[1:] != owners[:-1])
     keys, owners, places = keys[new], owners[new], places[new]
+    if key[0].as_py() < 0:
+        columns = [pa.array((keys >> np.uint64(1)).astype(np.int64)), pa.array([points[i].tobytes() for i in owners], pa.binary()), pa.array(size_of[owners]), pa.array(places.astype(np.int64))]
+        return pa.Table.from_arrays(columns, ["region", "point", "n", "place"])
     first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
     count = np.diff(np.append(first, len(keys)))
     region: dict[bytes, list] = {}
@@ -228,11 +240,13 @@ def _measure(batches):
 def join_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
     """Rows: doc_id, n_shingles, component_id (the smallest doc_id reachable by links), point (binary, null without shingles), root (one of the component's points)."""
     spark = df.sparkSession
-    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    survey = written(docs.mapInArrow(_survey, "doc_id long, point binary, n long, part int, counts binary"))
-    known = survey.where("part is null").select("doc_id", "point", "n")
+    text = F.col(text_col).cast("string")
+    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("key"))
+    survey = written(docs.mapInArrow(_survey, "doc_id long, key long, point binary, n long, part int, counts binary"))
+    known = survey.where("part is null").select("doc_id", "key", "point", "n")
     levels = survey.where("part is not null").select("part", "counts").groupBy("part").applyInArrow(_add, "part int, level binary").collect()  # 2**SKETCH_BITS bytes
     level = np.frombuffer(b"".join(r.level for r in sorted(levels)), np.uint8) if len(levels) == SKETCH_PARTS else np.zeros(1 << SKETCH_BITS, np.uint8)
+    hot_level = int(np.ceil(8 * np.log2(max(HOT, 64 * np.exp2(level / 8).mean()))))
     sketch = spark.sparkContext.broadcast(level)
     total = known.agg(F.sum("n")).first()[0] or 0
     bits = max(5, ceil(log2(max(1, total * (100 - percent) / 100 / IN_BUCKET))))
@@ -242,37 +256,41 @@ def join_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
         for batch in batches:
             for data, offsets, _ in slices(batch.column(0), batch.column(0), 4 << 20):
-                points, owner, key, place = {}, [], [], []
+                points, owner, key, place, hot = {}, [], [], [], []
                 for s in shingle_sets(data, offsets):
                     if len(s) and (p := point(s)) not in points:  # copies once
-                        rare = np.lexsort((s, sketch.value[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]))[: _prefix(len(s), percent)]
+                        often = sketch.value[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
+                        rare = np.lexsort((s, often))[: _prefix(len(s), percent)]
                         owner.append(np.full(len(rare), len(points), np.int64))
                         key.append(s[rare])
                         place.append(np.arange(len(rare)))
+                        hot.append(often[rare] >= hot_level)
                         points[p] = len(s)
-                rows = list(_pack(list(points), np.array(list(points.values())), *map(np.concatenate, (owner, key, place)), bits)) if points else []
+                rows = list(_pack(list(points), np.array(list(points.values())), *map(np.concatenate, (owner, key, place)), bits, np.concatenate(hot))) if points else []
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["bucket", "blob"])
 
-    regions = written(docs.select("text").mapInArrow(first_shingles, "bucket int, blob binary").groupBy("bucket").applyInArrow(lambda table: _regions(percent, table), "region long, point binary, n long, place long"))
-    # The sets of the points that share a region with another, from the whole text of one document each.
-    one = known.where("point is not null").groupBy("point").agg(F.min("doc_id").alias("doc_id"))
-    wanted = written(one.join(regions.select("point").distinct(), "point").select("doc_id"))
-    map_bits = max(10, min(MAP_BITS, ceil(log2(8 * max(1, wanted.count())))))
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << map_bits)).alias("place")
-    asked = spark.sparkContext.broadcast(bit_map(wanted.select(place), map_bits))  # of fixed size; the join below is exact
+    regions = written(docs.select("text").mapInArrow(first_shingles, "bucket int, blob binary").groupBy("bucket").applyInArrow(lambda key, table: _regions(percent, key, table), "region long, point binary, n long, place long"))
+    # The sets of the points that share a region with another, each from the whole text of one key.
+    one = known.where("point is not null").groupBy("point").agg(F.min("doc_id").alias("doc_id"), F.min("key").alias("key"))
+    wanted = written(one.join(regions.select("point").distinct(), "point").select("key"))
+    map_bits = max(10, ceil(log2(MAP_EACH * max(1, wanted.count()))))
+    place = F.pmod("key", F.lit(1 << map_bits)).alias("place")
+    # Spares most texts the shingling, where it has a place for each; the join below is exact with and without it.
+    asked = spark.sparkContext.broadcast(bit_map(wanted.select(place), map_bits)) if map_bits <= MAP_BITS else None
 
     def sets(batches):
         import pyarrow as pa
 
         for batch in batches:
-            at = batch.column(2).to_numpy()
-            batch = batch.filter(pa.array(asked.value[at >> 3] >> (at & 7).astype(np.uint8) & 1 > 0))
-            for data, offsets, ids in slices(batch.column(1), batch.column(0)):
+            if asked is not None:
+                at = batch.column(2).to_numpy()
+                batch = batch.filter(pa.array(asked.value[at >> 3] >> (at & 7).astype(np.uint8) & 1 > 0))
+            for data, offsets, keys in slices(batch.column(1), batch.column(0)):
                 found = shingle_sets(data, offsets)
-                yield pa.RecordBatch.from_arrays([ids, pa.array([point(s) for s in found], pa.binary()), pa.array([s.tobytes() for s in found], pa.binary())], ["doc_id", "point", "shingles"])
+                yield pa.RecordBatch.from_arrays([keys, pa.array([point(s) for s in found], pa.binary()), pa.array([s.tobytes() for s in found], pa.binary())], ["key", "point", "shingles"])
 
-    made = docs.where("doc_id is not null").select("doc_id", "text", place).mapInArrow(sets, "doc_id long, point binary, shingles binary").where("point is not null")
-    shingles = written(made.join(wanted, "doc_id", "left_semi").select("point", "shingles"), "snappy")
+    made = docs.select("key", "text", place).mapInArrow(sets, "key long, point binary, shingles binary").where("point is not null")
+    shingles = written(made.join(wanted, "key", "left_semi").groupBy("point").agg(F.first("shingles").alias("shingles")), "snappy")
     # Dealt by point once; the joins of every round use that. Lost blocks are made again from the table.
     shingles = shingles.repartition(partitions(spark), "point").persist(StorageLevel.DISK_ONLY)
 
@@ -294,8 +312,7 @@ def join_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     possible = may_link(F.col("n"), F.col("left"), F.col("p.n"), F.col("p.n") - F.col("p.place"))
     with_pivot = with_pivot.select("region", "x", "n", "left", "large", possible.alias("possible"), F.col("p.point").alias("p"))
     tested = measured(with_pivot.where("large or possible").select("x", "p").distinct())
-    links = tested.where("link").select(F.col("x").alias("a"), F.col("p").alias("b"))
-    found = written(components(links))
+    found = written(components(tested.where("link").select(F.col("x").alias("a"), F.col("p").alias("b"))))
     # Rings: a point lies in its own and is copied to the next; width 1 - t, less rounding.
     ring = F.floor(F.col("distance") / ((100 - percent) / 100 + 1e-9)).cast("int")
     rings = with_pivot.where("large").join(tested.select("x", "p", "distance"), ["x", "p"]).withColumn("ring", F.explode(F.array(ring, ring + 1)))
@@ -316,10 +333,10 @@ def join_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         pivot = written(own.withColumn("nth", F.row_number().over(few)).where(F.col("nth") <= most).select("region", F.col("p.point").alias("p"), F.col("p.n").alias("m"), F.col("p.left").alias("right"), F.col("root").alias("of_p")))
         pairs = rest.join(pivot, "region").where("root != of_p").where(may_link(F.col("n"), F.col("left"), F.col("m"), F.col("right"))).select(F.col("point").alias("x"), "p").distinct()
         new = measured(pairs.join(tested.select("x", "p"), ["x", "p"], "left_anti").join(tested.select(F.col("x").alias("p"), F.col("p").alias("x")), ["x", "p"], "left_anti"))
-        tested = tested.unionByName(new)
-        links = links.unionByName(new.where("link").select(F.col("x").alias("a"), F.col("p").alias("b")))
-        if new.where("link").limit(1).count():
-            found = written(components(links))
+        tested = tested.unionByName(new)  # (x, p) of all rounds, files of their own
+        links = new.where("link").select(F.col("x").alias("a"), F.col("p").alias("b"))
+        if links.limit(1).count():
+            found = merged(found, links)
         used = pivot.select("region", F.col("p").alias("point"))
         rest = written(unsettled(rest.drop("root").join(used, ["region", "point"], "left_anti")))
         most *= 2
