@@ -1,15 +1,20 @@
 """Edges of the operators on hand-made rows."""
 
 import datetime as dt
+import math
+import random
 
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalars as S
 from tidemark.operators import asof as A
 from tidemark.operators import bars as B
+from tidemark.operators import cleaning as K
+from tidemark.operators import ordered as O
 from tidemark.operators import rolling as R
 from tidemark.operators import scores as C
 from tidemark.operators import sequences as Q
+from tidemark.operators import statements as N
 
 
 def test_parse_value(spark):
@@ -66,20 +71,84 @@ def test_nearest_later_day_wins(spark):
 def test_upsert_and_scan(spark):
     old, new = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string"), spark.createDataFrame([(2, "c"), (3, "d")], "k int, v string")
     assert sorted(map(tuple, Q.upsert(old, new, "k").collect())) == [(1, "a"), (2, "c"), (3, "d")]
-    x = spark.createDataFrame([("a", 2, 1.0, 0.0), ("a", 1, 1.0, 0.0)], "k string, i int, x double, d double")
-    assert {r.i: r.y for r in Q.selective_scan(x, ["k"], "i", "x", "d", 1.0, "y", 0.5).collect()} == {1: 1.5, 2: 2.5}
 
 
 def test_scan_of_many_keys_and_nulls(spark):
     rows = [(k, i, None if i == 3 else float(i)) for k in (None, 1, 2) for i in range(50)]
-    x = spark.createDataFrame(rows, "k int, i int, x double").withColumn("d", F.lit(0.5))
-    got = {(r.k, r.i): r.y for r in Q.selective_scan(x, ["k"], "i", "x", "d", 2.0, "y", 0.1).collect()}
+    x = spark.createDataFrame(rows, "k int, i int, x double").withColumns({"d": F.lit(0.5), "cell": F.floor(F.col("i") / 7), "b": F.array(F.col("i") % 2 + 1.0, F.lit(0.5)), "c": F.array(F.lit(1.0), F.col("i") % 3 + 0.0)})
+    got = {(r.k, r.i): r.y for r in Q.selective_scan(x, ["k"], "cell", ["i"], "x", "d", [-1.0, -2.0], "b", "c", 0.1, "y").collect()}
+    assert len(got) == len(rows)
     for k in (None, 1, 2):
-        h = 0.0
+        h = [0.0, 0.0]
         for i in range(50):
             v = 0.0 if i == 3 else float(i)
-            h = h * 2.718281828459045**-0.5 + 2 * v
-            assert abs(got[k, i] - h - 0.1 * v) < 1e-9
+            h = [h[n] * math.exp(-0.5 * (n + 1)) + 0.5 * (i % 2 + 1.0, 0.5)[n] * v for n in (0, 1)]
+            assert abs(got[k, i] - h[0] - i % 3 * h[1] - 0.1 * v) < 1e-9
+
+
+def test_two_level_windows(spark):
+    rnd = random.Random(1)
+    rows = [(rnd.choice(["a", "b", None]), i // 3, i, rnd.choice([None, 1.0, 2.0])) for i in range(200)]
+    x = spark.createDataFrame(rows, "k string, cell int, i int, v double")
+    series = {k: [r for r in rows if r[0] == k] for k in ("a", "b", None)}
+    nth = {r.i: r.n for r in O.numbered(x, ["k"], "cell", ["i"], "n").collect()}
+    last = {r.i: r.before for r in O.lagged(x, ["k"], "cell", ["i"], "v", "before").collect()}
+    for own in series.values():
+        for n, r in enumerate(own):
+            assert nth[r[2]] == n + 1 and last[r[2]] == (own[n - 1][3] if n else None)
+
+
+def test_asof_in_cells(spark):
+    rnd = random.Random(2)
+    left = spark.createDataFrame([(rnd.choice("ab"), rnd.randrange(300)) for _ in range(120)], "k string, t int").distinct()
+    right = spark.createDataFrame([(rnd.choice("ab"), rnd.randrange(300), float(i)) for i in range(25)], "k string, t int, v double").dropDuplicates(["k", "t"])
+    for forward in (False, True):
+        plain, split = (sorted(map(str, A.asof(left, right, ["k"], "t", ["v"], forward, cell).collect())) for cell in (None, lambda c: F.floor(c / 10)))
+        assert plain == split
+
+
+def test_percentile_of_long_windows(spark):
+    rnd = random.Random(3)
+    values = [float(rnd.randrange(20)) for _ in range(150)]
+    x = spark.createDataFrame([("a", i // 11, i, v) for i, v in enumerate(values)], "k string, cell int, i int, v double")
+    got = {r.i: r.p for r in R.percentile_of_long(x, "v", ["k"], "cell", ["i"], 40, "p").collect()}
+    for i, v in enumerate(values):
+        assert got[i] == (None if i < 39 else sum(y <= v for y in values[i - 39 : i + 1]) / 40)
+
+
+def test_scalars_of_features(spark):
+    x = spark.createDataFrame([("['A', 'B']", "M", "7"), ("", "x", "12345678901"), (None, None, None)], "l string, o string, z string")
+    got = x.select(S.parse_list(F.col("l")).alias("l"), S.ordinal(F.col("o")).alias("o"), S.zero_pad(F.col("z")).alias("z")).collect()
+    assert [(r.l, r.o, r.z) for r in got] == [(["A", "B"], 2, "0000000007"), ([], 0, "12345678901"), (None, 0, None)]
+    one = spark.range(1)
+    assert one.select(S.from_epoch_ns(F.lit(1_700_000_000_123_456_789)).cast("string")).first()[0] == "2023-11-14 22:13:20.123456"
+    assert one.select(S.first_range(F.lit(7375), [(7000, 7400, "a"), (7370, 7380, "b")], "none")).first()[0] == "a"
+    assert [one.select(S.surprise(F.lit(a), F.lit(b))).first()[0] for a, b in ((3.0, -2.0), (1.0, 0.0))] == [250.0, 0.0]
+
+
+def test_contract_and_outer_join(spark):
+    x = spark.createDataFrame([(1, 2.0)], "k int, close double")
+    assert K.to_contract(x, ["k", "vwap", "close"]).columns == ["k", "close"] and K.to_contract(x, ["k", "vwap"], fill=True).first().vwap == 0.0
+    y = spark.createDataFrame([(2, 5.0, 1.0)], "k int, close double, v double")
+    assert sorted(map(tuple, K.outer_all([x, y], ["k"]).collect()), key=str) == [(1, 2.0, None), (2, None, 1.0)]
+
+
+def test_latest_value_of_each_column(spark):
+    day = lambda m, d: dt.date(2024, m, d)
+    f = spark.createDataFrame([(1, day(1, 5), 1.0, None), (1, day(2, 5), None, 2.0), (1, day(3, 20), 9.0, 9.0)], "k int, filed date, a double, b double")
+    got = N.latest_values(spark.createDataFrame([(day(3, 1),), (day(8, 1),)], "day date"), f, "k", "day", "filed", ["a", "b"])
+    assert sorted((str(r.day), r.a, r.b) for r in got.collect()) == [("2024-03-01", 1.0, 2.0), ("2024-08-01", 9.0, 9.0)]
+
+
+def test_sessions_of_a_stream(spark, tmp_path):
+    from tidemark.streaming.bars import sessions
+    from tidemark.streaming.sinks import drained
+
+    rows = [("a", dt.datetime(2024, 1, 1, 0, m)) for m in (0, 5, 50, 52)] + [("b", dt.datetime(2024, 1, 3))]
+    spark.createDataFrame(rows, "ticker string, ts timestamp").write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("ticker string, ts timestamp").parquet(str(tmp_path / "in"))
+    got = drained(sessions(stream, "20 minutes", "1 minute"), folder=str(tmp_path / "out"))
+    assert sorted((r.ticker, r.n) for r in got.collect()) == [("a", 2), ("a", 2)]
 
 
 def test_segment_sums(spark):

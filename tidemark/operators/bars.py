@@ -46,3 +46,44 @@ MEAN_NAMES = ("ratio", "skew", "vs_20d")
 def roll_up(rows: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
     """Across entities: mean of the columns whose name says ratio, skew or vs_20d, sum of the others."""
     return rows.groupBy(*keys).agg(*[(F.avg if any(m in v for m in MEAN_NAMES) else F.sum)(v).alias(v) for v in values])
+
+
+def micro_roll_up(fine: DataFrame, keys: list, seconds: int) -> DataFrame:
+    """Fine bars with trade measures to coarse ones: spread by trades, shares by volume, sums of what adds up. seconds: a coarse bar's length."""
+    c, total = F.col, F.sum
+    weighted = lambda x, by: ratio(total(c(x) * c(by)), total(by))
+    return fine.groupBy(*keys).agg(
+        ratio(total("volume"), total("trade_count")).alias("avg_trade_size"), weighted("std_trade_size", "trade_count").alias("std_trade_size"), F.max("max_trade_size").alias("max_trade_size"),
+        F.avg("amihud").alias("amihud"), weighted("large_trade_ratio", "volume").alias("large_trade_ratio"), (total("trade_count") / float(seconds)).alias("tick_arrival_rate"),
+        *[total(x).alias(x) for x in ("buy_volume", "sell_volume", "rv_intrabar", "bpv_intrabar", "ofi")],
+    )
+
+
+#: Names of option measures by how they add up: fixed values of the output contract.
+OPTION_SUMS = (
+    "call_volume put_volume call_trade_count put_trade_count total_volume total_trade_count call_premium_total put_premium_total large_premium_total near_volume mid_volume far_volume "
+    "otm_put_volume atm_volume otm_call_volume deep_otm_put_volume total_large_trade_count call_large_count put_large_count net_large_flow uoa_call_count uoa_put_count"
+).split()
+OPTION_MEANS = "near_pc_ratio far_pc_ratio term_skew avg_volume_surprise".split()
+OPTION_MAXES = "sweep_intensity max_volume_surprise".split()
+OPTION_LASTS = "unique_contracts unique_strikes unique_expiries pc_ratio_vs_20d call_volume_vs_20d put_volume_vs_20d".split()
+OPTION_RATIOS = {
+    "put_call_ratio_volume": ("put_volume", "call_volume"), "put_call_ratio_count": ("put_trade_count", "call_trade_count"), "skew_proxy": ("otm_put_volume", "atm_volume"), "atm_concentration": ("atm_volume", "total_volume"),
+}
+
+
+def options_roll_up(rows: DataFrame, keys: list, order: list[str]) -> DataFrame:
+    """All option measures of a bar and the nine made from them; ratios come from the bar's own sums."""
+    last = F.struct(*order)
+    out = rows.groupBy(*keys).agg(
+        *[F.sum(c).alias(c) for c in OPTION_SUMS], *[F.avg(c).alias(c) for c in OPTION_MEANS], *[F.max(c).alias(c) for c in OPTION_MAXES], *[F.max_by(c, last).alias(c) for c in OPTION_LASTS],
+        *[(F.sum(a) / (F.sum(b) + EPS)).alias(c) for c, (a, b) in OPTION_RATIOS.items()],
+    )
+    c = F.col
+    over = lambda a, b: a / (b + EPS)
+    flow, unusual = c("call_premium_total") - c("put_premium_total"), c("uoa_call_count") + c("uoa_put_count")
+    return out.withColumns({
+        "net_premium_flow": flow, "premium_imbalance": over(flow, c("call_premium_total") + c("put_premium_total")), "large_trade_pct": over(c("total_large_trade_count"), c("total_trade_count")),
+        "put_large_pct": over(c("put_large_count"), c("total_large_trade_count")), "uoa_total": unusual, "uoa_put_bias": over(c("uoa_put_count"), unusual), "deep_otm_put_pct": over(c("deep_otm_put_volume"), c("total_volume")),
+        "near_far_ratio": over(c("near_volume"), c("far_volume")), "sweep_to_trade_ratio": over(c("sweep_intensity"), c("total_trade_count")),
+    })

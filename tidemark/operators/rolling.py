@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from ..functions.scalars import clip, sigmoid
+from .ordered import numbered
+
 
 def series(keys: list[str], order: list[str]) -> WindowSpec:
     return Window.partitionBy(*keys).orderBy(*order)
@@ -103,3 +106,54 @@ def with_first_last_ratio(df: DataFrame, r: str, keys: list[str], order: list[st
     start, end = F.avg(F.when(F.col("_up") <= k, square)).over(w), F.avg(F.when(F.col("_down") <= k, square)).over(w)
     out = F.when((F.count("*").over(w) < least) | (end <= 1e-10) | end.isNull(), 1.0).otherwise(F.sqrt(start / end))
     return df.withColumn(name, out).drop("_up", "_down")
+
+
+def rv_chain(df: DataFrame, r: str, w: WindowSpec, horizons: dict[str, tuple[int, int]]) -> DataFrame:
+    """df with realised volatility over several horizons (rows, least rows) and what is made of it: ratios, changes over 5 and 15
+    rows, acceleration, z against the last 30 rows, and that z's rank as a sigmoid; nulls of the first rows become 0.
+
+    horizons: rv_5m, rv_15m, rv_30m, rv_1h, rv_2h.
+    """
+    df = df.withColumns({c: rolling_rv(F.col(r), k, w, n) for c, (k, n) in horizons.items()})
+    rv = F.col("rv_30m")
+    ratios = {"rv_ratio_5m_30m": ("rv_5m", "rv_30m"), "rv_ratio_15m_1h": ("rv_15m", "rv_1h"), "rv_ratio_30m_2h": ("rv_30m", "rv_2h")}
+    made = {c: F.col(a) / (F.col(b) + 1e-10) for c, (a, b) in ratios.items()} | {f"rv_change_{k}": lag_diff(rv, k, w) for k in (5, 15)}
+    df = df.withColumns(made | {"rv_zscore_1h": (rv - rolling(F.avg(rv), rv, 30, w)) / (rolling(F.stddev_samp(rv), rv, 30, w) + 1e-10)})
+    df = df.withColumns({"rv_acceleration": lag_diff(F.col("rv_change_5"), 5, w), "rv_rank_2h": sigmoid(clip(F.col("rv_zscore_1h"), -3, 3))})
+    return df.withColumns({c: F.coalesce(F.col(c), F.lit(0.0)) for c in [*horizons, *made, "rv_zscore_1h", "rv_acceleration", "rv_rank_2h"]})
+
+
+def masked_zscore(x: Column, mask: Column, w: WindowSpec) -> Column:
+    """z of the values that the mask lets through, by their own mean and population deviation; 0 elsewhere."""
+    kept = F.when(mask, x)
+    return F.when(mask, (x - F.avg(kept).over(w)) / (F.stddev_pop(kept).over(w) + 1e-8)).otherwise(0.0)
+
+
+def percentile_of_long(df: DataFrame, x: str, keys: list[str], cell: str, order: list[str], k: int, name: str) -> DataFrame:
+    """Share of the last k values no larger than this one, for windows too long to gather a row; null until k rows are there.
+
+    A task has k rows of a series and the k before them; it keeps the window sorted and moves it on row by row, so a row costs
+    a search and is sent twice. cell: a column that never falls along the order; values aren't null.
+    """
+    rows = numbered(df.select(*keys, cell, *order, F.col(x).cast("double").alias("_x")), keys, cell, order, "_i")
+    block = F.floor((F.col("_i") - 1) / k)
+    dealt = rows.withColumn("_block", F.explode(F.array(block, block + 1))).withColumn("_own", block == F.col("_block"))
+
+    def run(table):
+        import bisect
+
+        import pyarrow as pa
+
+        table = table.sort_by("_i")
+        values, places = table.column("_x").to_pylist(), table.column("_i").to_pylist()
+        held, out = [], []
+        for at, (v, i) in enumerate(zip(values, places, strict=True)):
+            bisect.insort(held, v)
+            if len(held) > k:
+                held.pop(bisect.bisect_left(held, values[at - k]))
+            out.append(bisect.bisect_right(held, v) / k if i >= k else None)
+        return table.append_column(name, pa.array(out, pa.float64())).filter(table.column("_own")).select([*keys, *order, name])
+
+    kinds = dict(rows.dtypes)
+    schema = ", ".join([f"`{c}` {kinds[c]}" for c in [*keys, *order]] + [f"`{name}` double"])
+    return dealt.groupBy(*keys, "_block").applyInArrow(run, schema)

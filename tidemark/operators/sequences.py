@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from .ordered import scanned
+
 
 def segments(w: WindowSpec, size: int):
     """Number of the run of `size` rows that a row lies in."""
@@ -16,32 +18,19 @@ def causal_conv(x: str, weights: list[float], w: WindowSpec):
     return sum((F.lit(c) * F.coalesce(F.lag(x, k).over(w), F.lit(0.0)) for k, c in enumerate(weights)), F.lit(0.0))
 
 
-def selective_scan(df: DataFrame, keys: list[str], order: str, x: str, decay: str, gain: float, out: str, skip: float) -> DataFrame:
-    """h = exp(-decay) * h + gain * x along each key, y = h + skip * x; nulls count as 0.
+def selective_scan(df: DataFrame, keys: list[str], cell: str, order: list[str], x: str, dt: str, a: list[float], b: str, c: str, skip: float, out: str) -> DataFrame:
+    """h_n = exp(dt * a_n) * h_n + dt * b_n * x along each key for every state n, y = sum of c_n * h_n, plus skip * x.
 
-    One pass over each key's sorted rows with a single number of state, so that a sequence may have any length. The keys'
-    rows lie together in a partition; a batch may hold many keys, and a key may go on in the next batch.
+    b and c are array columns, a weight for each state. Null x or dt count as 0. cell: a column that never falls along the
+    order; a cell's rows lie together, the cells of a series are put together from one step each (see ordered.scanned).
     """
-    names = [*keys, order]
-    rows = df.select(*names, F.coalesce(F.col(x), F.lit(0)).cast("double").alias("_x"), F.coalesce(F.col(decay), F.lit(0)).cast("double").alias("_d"))
-
-    def run(batches):
-        import math
-
-        import pyarrow as pa
-
-        last, h = None, 0.0
-        for batch in batches:
-            ys = []
-            for k, v, d in zip(zip(*[batch.column(c).to_pylist() for c in keys], strict=True), batch.column("_x").to_pylist(), batch.column("_d").to_pylist(), strict=True):
-                if k != last:
-                    last, h = k, 0.0
-                h = math.exp(-d) * h + gain * v
-                ys.append(h + skip * v)
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(ys, pa.float64())], [*names, out])
-
-    kinds = dict(rows.dtypes)
-    return rows.repartition(*keys).sortWithinPartitions(*names).mapInArrow(run, ", ".join([f"`{c}` {kinds[c]}" for c in names] + [f"`{out}` double"]))
+    rows = df.withColumns({"_x": F.coalesce(F.col(x), F.lit(0.0)), "_dt": F.coalesce(F.col(dt), F.lit(0.0))})
+    total = F.lit(skip) * F.col("_x")
+    for n, rate in enumerate(a):
+        rows = rows.withColumns({"_decay": F.exp(F.col("_dt") * rate), "_in": F.col("_dt") * F.col(b)[n] * F.col("_x")})
+        rows = scanned(rows, keys, cell, order, "_decay", "_in", f"_h{n}")
+        total = total + F.col(c)[n] * F.col(f"_h{n}")
+    return rows.withColumn(out, total).drop("_x", "_dt", "_decay", "_in", *[f"_h{n}" for n in range(len(a))])
 
 
 def segment_sums(df: DataFrame, keys: list[str], order: list[str], x: str, out: str) -> DataFrame:
@@ -53,6 +42,13 @@ def segment_sums(df: DataFrame, keys: list[str], order: list[str], x: str, out:
     return rows.withColumn(out, F.transform(F.collect_list("_s").over(w), lambda s: F.col("_s") - s)).drop("_s")
 
 
+def chunk_sums(df: DataFrame, keys: list[str], cell: str, x: str, decay: str, out: str) -> DataFrame:
+    """One row a chunk: keys, cell, and the state that it starts from, where state = exp(sum of decay) * state + sum of x, chunk by chunk."""
+    parts = df.groupBy(*keys, cell).agg(F.exp(F.sum(decay)).alias("a"), F.sum(x).alias("b"))
+    before = Window.partitionBy(*keys).orderBy(cell).rowsBetween(Window.unboundedPreceding, -1)
+    return parts.select(*keys, cell, F.aggregate(F.collect_list(F.struct("a", "b")).over(before), F.lit(0.0), lambda h, p: h * p.a + p.b).alias(out))
+
+
 def softmax_pool(df: DataFrame, keys: list[str], vector: str, score: str) -> DataFrame:
     """Per key the mean vector weighted by exp(score), position by position: partial sums, no vector lists."""
     w = F.exp(F.col(score))

@@ -12,10 +12,14 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..operators import asof as A
 from ..operators import bars as B
+from ..operators import ordered as O
 from ..operators import rolling as R
 from ..operators import scores as C
 from ..operators import sequences as Q
 from ..sources import files, filings as documents, sinks
+from ..streaming import bars as streams
+from ..streaming import state as running
+from ..streaming.sinks import drained
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -115,7 +119,8 @@ def bars_checksum(spark, d):
 
 @query(f"WITH {TICKS}, x AS (SELECT ticker, ts, lag(ts) OVER (PARTITION BY ticker ORDER BY tick_id) AS before FROM ticks) SELECT ticker, count(*) AS n, count(CASE WHEN ts <= before THEN 1 END) AS backwards FROM x GROUP BY 1")
 def bars_ts_monotonic(spark, d):
-    x = ticks(spark, d).withColumn("before", F.lag("ts").over(R.series(["ticker"], ["tick_id"])))
+    x = ticks(spark, d).withColumn("cell", F.floor(F.col("tick_id") / 4096))
+    x = O.lagged(x, ["ticker"], "cell", ["tick_id"], "ts", "before")
     return x.groupBy("ticker").agg(F.count("*").alias("n"), F.count_if(F.col("ts") <= F.col("before")).alias("backwards"))
 
 
@@ -184,6 +189,7 @@ def velocity_accel(spark, d):
 
 
 CUM = "OVER (PARTITION BY ticker ORDER BY bar ROWS UNBOUNDED PRECEDING)"
+TICK_CUM = "OVER (PARTITION BY ticker ORDER BY ts, tick_id ROWS UNBOUNDED PRECEDING)"
 
 
 def _cum(x: str) -> str:
@@ -377,11 +383,13 @@ def pivot_metrics(spark, d):
 
 
 @query(f"""WITH {TICKS}, s AS (SELECT ticker, (n - 1) // 50 AS segment, min(ts) AS a, max(ts) AS b FROM (SELECT ticker, ts, row_number() OVER (PARTITION BY ticker ORDER BY ts, tick_id) AS n FROM ticks) GROUP BY 1, 2)
-  SELECT CAST(s.ticker AS VARCHAR) AS ticker, CAST(segment AS BIGINT) AS segment, count(*) AS tokens, round(sum(value), 2) AS total FROM s JOIN events e ON e.event_type = s.ticker AND e.ts BETWEEN a AND b AND e.user_id % 3 = 0 GROUP BY 1, 2""")
+  SELECT CAST(s.ticker AS VARCHAR) AS ticker, CAST(segment AS BIGINT) AS segment, count(*) AS tokens, round(sum(value), 2) AS total FROM s JOIN events e ON e.event_type = CASE s.ticker WHEN 'view' THEN 'click' WHEN 'click' THEN 'view' ELSE s.ticker END AND e.ts BETWEEN a AND b GROUP BY 1, 2""")
 def interval_segment_tokens(spark, d):
-    x = ticks(spark, d).withColumn("segment", Q.segments(R.series(["ticker"], ["ts", "tick_id"]), 50))
-    s = x.groupBy("ticker", "segment").agg(F.min("ts").alias("start"), F.max("ts").alias("end"))
-    tokens = t(spark, d, "events").where("user_id % 3 = 0").select(F.col("event_type").alias("ticker"), "ts", "value")
+    """Ticks of one series in the segments of another."""
+    x = ticks(spark, d).withColumn("day", F.to_date("ts"))
+    s = O.cut(x, ["ticker"], "day", ["ts", "tick_id"], 50, "segment").groupBy("ticker", "segment").agg(F.min("ts").alias("start"), F.max("ts").alias("end"))
+    kind = F.col("event_type")
+    tokens = t(spark, d, "events").select(F.when(kind == "view", "click").when(kind == "click", "view").otherwise(kind).alias("ticker"), "ts", "value")
     return rounded(A.within(tokens, s, ["ticker"], "ts").groupBy("ticker", "segment").agg(F.count("*").alias("tokens"), F.sum("value").alias("total")), 2)
 
 
@@ -395,22 +403,22 @@ def merge_streams(spark, d):
 
 
 @query("""WITH a AS (SELECT l_returnflag AS flag, l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_orderkey, l_linenumber) AS nth FROM lineitem), b AS (SELECT o_orderstatus AS s, o_totalprice, row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) AS nth FROM orders)
-  SELECT flag, l_orderkey, l_linenumber, CAST(a.nth AS INTEGER) AS nth, round(coalesce(o_totalprice, 0), 2) AS price FROM a LEFT JOIN b ON a.nth = b.nth AND b.s = CASE flag WHEN 'A' THEN 'F' WHEN 'N' THEN 'O' ELSE 'P' END""")
+  SELECT flag, l_orderkey, l_linenumber, a.nth, round(coalesce(o_totalprice, 0), 2) AS price FROM a LEFT JOIN b ON a.nth = b.nth AND b.s = CASE flag WHEN 'A' THEN 'F' WHEN 'N' THEN 'O' ELSE 'P' END""")
 def positional_join(spark, d):
     a = t(spark, d, "lineitem").select(F.col("l_returnflag").alias("flag"), "l_orderkey", "l_linenumber")
     s = F.col("o_orderstatus")
     b = t(spark, d, "orders").select(F.when(s == "F", "A").when(s == "O", "N").otherwise("R").alias("flag"), "o_orderkey", F.col("o_totalprice").alias("price"))
-    return rounded(A.by_position(a, b, ["flag"], ["l_orderkey", "l_linenumber"], ["o_orderkey"], ["price"]), 2)
+    return rounded(A.by_position(a, b, ["flag"], ["l_orderkey", "l_linenumber"], ["o_orderkey"], ["price"], (F.floor(F.col("l_orderkey") / 4096), F.floor(F.col("o_orderkey") / 4096))), 2)
 
 
 # --- events, vectors, metrics, manifests ------------------------------------------------------------------------------
 
-RAW = "VALUES ('0.3%'), ('120K'), ('16.5M'), ('-785M'), ('3.94|1.8'), ('54.8'), (''), ('abc'), ('2B'), ('1.1T'), (' 7 ')"
+SHOWN = "CASE p_partkey % 8 WHEN 0 THEN p_size || '%' WHEN 1 THEN p_size || 'K' WHEN 2 THEN '-' || p_retailprice || 'M' WHEN 3 THEN p_retailprice || '|' || p_size WHEN 4 THEN ' ' || p_size || ' ' WHEN 5 THEN '' WHEN 6 THEN p_size || 'b' ELSE p_name END"
 
 
-@query(f"""WITH raw(x) AS ({RAW}), y AS (SELECT x, trim(split_part(x, '|', 1)) AS f FROM raw) SELECT x, round(TRY_CAST(regexp_replace(f, '[%KkMmBbTt]$', '') AS DOUBLE) * CASE upper(right(f, 1)) WHEN 'K' THEN 1e3 WHEN 'M' THEN 1e6 WHEN 'B' THEN 1e9 WHEN 'T' THEN 1e12 ELSE 1 END, 4) AS value FROM y""")
+@query(f"""WITH y AS (SELECT p_partkey, trim(split_part({SHOWN}, '|', 1)) AS f FROM part) SELECT p_partkey, round(TRY_CAST(regexp_replace(f, '[%KkMmBbTt]$', '') AS DOUBLE) * CASE upper(right(f, 1)) WHEN 'K' THEN 1e3 WHEN 'M' THEN 1e6 WHEN 'B' THEN 1e9 WHEN 'T' THEN 1e12 ELSE 1 END, 4) AS value FROM y""")
 def parse_value(spark, d):
-    return rounded(spark.sql(f"SELECT * FROM {RAW} AS raw(x)").select("x", S.parse_value(F.col("x")).alias("value")))
+    return rounded(t(spark, d, "part").select("p_partkey", S.parse_value(F.expr(SHOWN)).alias("value")))
 
 
 @query("""WITH long AS (SELECT p_brand AS b, CAST(p_size AS DOUBLE) AS x FROM part UNION ALL SELECT p_brand, p_retailprice / 100 FROM part), s AS (SELECT b, CASE WHEN count(x) < 3 THEN 0 ELSE avg(x) END AS m, CASE WHEN count(x) < 3 OR stddev_samp(x) < 1e-10 THEN 1 ELSE stddev_samp(x) END AS s FROM long GROUP BY 1)
@@ -539,11 +547,14 @@ def causal_conv(spark, d):
     return rounded(x.select("flag", "day", Q.causal_conv("v", [0.5, 0.3, 0.2], w).alias("conv")), 5)
 
 
-@query("""WITH RECURSIVE r AS (SELECT c_custkey AS k, c_acctbal / 1000 AS x, 0.1 + (c_custkey % 5) / 10.0 AS dt, c_nationkey AS g, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS n FROM customer), s AS (
-  SELECT g, n, k, 0.5 * x AS h, x FROM r WHERE n = 1 UNION ALL SELECT r.g, r.n, r.k, exp(-r.dt) * s.h + 0.5 * r.x, r.x FROM s JOIN r ON r.g = s.g AND r.n = s.n + 1) SELECT g AS nation, k AS c_custkey, round(h + 0.25 * x, 4) AS y FROM s""")
+@query("""WITH RECURSIVE r AS (SELECT c_custkey AS k, c_acctbal / 1000 AS x, 0.1 + (c_custkey % 5) / 10.0 AS dt, 1.0 + c_custkey % 2 AS b0, 0.5 AS b1, (c_custkey % 3) / 2.0 AS c0, 1.0 AS c1, c_nationkey AS g, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS n FROM customer), s AS (
+  SELECT g, n, k, dt * b0 * x AS h0, dt * b1 * x AS h1, x, c0, c1 FROM r WHERE n = 1 UNION ALL SELECT r.g, r.n, r.k, exp(-r.dt) * s.h0 + r.dt * r.b0 * r.x, exp(-2 * r.dt) * s.h1 + r.dt * r.b1 * r.x, r.x, r.c0, r.c1 FROM s JOIN r ON r.g = s.g AND r.n = s.n + 1)
+  SELECT g AS nation, k AS c_custkey, round(c0 * h0 + c1 * h1 + 0.25 * x, 4) AS y FROM s""")
 def selective_scan(spark, d):
-    c = t(spark, d, "customer").select(F.col("c_nationkey").alias("nation"), "c_custkey", (F.col("c_acctbal") / 1000).alias("x"), (0.1 + (F.col("c_custkey") % 5) / 10.0).alias("dt"))
-    return rounded(Q.selective_scan(c, ["nation"], "c_custkey", "x", "dt", 0.5, "y", 0.25))
+    k = F.col("c_custkey")
+    c = t(spark, d, "customer").select(F.col("c_nationkey").alias("nation"), "c_custkey", (F.col("c_acctbal") / 1000).alias("x"), (0.1 + (k % 5) / 10.0).alias("dt"), F.floor(k / 256).alias("cell"))
+    c = c.withColumns({"b": F.array((1.0 + k % 2).cast("double"), F.lit(0.5)), "c": F.array((k % 3) / 2.0, F.lit(1.0))})
+    return rounded(Q.selective_scan(c, ["nation"], "cell", ["c_custkey"], "x", "dt", [-1.0, -2.0], "b", "c", 0.25, "y").select("nation", "c_custkey", "y"))
 
 
 @query("""WITH a AS (SELECT CAST(o_orderdate AS DATE) AS day, avg(o_totalprice) AS price FROM orders GROUP BY 1), b AS (SELECT CAST(l_shipdate AS DATE) AS day, avg(l_tax) AS rate FROM lineitem WHERE l_linenumber = 6 GROUP BY 1), m AS (SELECT coalesce(a.day, b.day) AS day, price, rate FROM a FULL JOIN b ON a.day = b.day), f AS (
@@ -643,33 +654,20 @@ def company_facts(spark, d):
     return rounded(documents.facts(docs, {"revenue": ["Revenues", "SalesRevenueNet"]}).select("cik", "metric", "unit", "value", "filed"), 2)
 
 
-@query()
+@query(f"WITH {TICKS} SELECT ticker, tick_id, round(CASE WHEN count(price) {TICK_CUM} < 2 THEN 0 ELSE (price - avg(price) {TICK_CUM}) / sqrt(greatest(avg(price * price) {TICK_CUM} - avg(price) {TICK_CUM} * avg(price) {TICK_CUM}, 1e-8)) END, 4) + 0 AS z FROM ticks")
 def stream_cumulative_zscore(spark, d):
     """The running z-score of a stream of ticks, whose state is three numbers a ticker."""
-    from ..streaming.state import stream_cumulative_zscore as running
-
-    e = spark.readStream.schema(t(spark, d, "events").schema).option("pathGlobFilter", "events.parquet").parquet(d)
-    x = e.select(F.col("event_type").alias("ticker"), "ts", F.col("event_id").alias("tick_id"), F.col("value").alias("price"))
-    return _drained(running(x, "ticker", ["ts", "tick_id"], "price"))
-
+    x = _tick_stream(spark, d).select("ticker", "ts", "tick_id", "price")
+    return rounded(drained(running.stream_cumulative_zscore(x, "ticker", ["ts", "tick_id"], "price")).select("ticker", "tick_id", "z"))
 
-def _drained(stream: DataFrame) -> DataFrame:
-    """What a stream gives until its source is read, as a Parquet table in the shared folder."""
-    import tempfile
-    import uuid
 
-    spark = stream.sparkSession
-    folder = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='spark-')}/stream-{uuid.uuid4().hex}"
-    q = stream.writeStream.outputMode("append").format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{folder}/rows")
-
-
-@query()
+@query(f"WITH {BARS} SELECT ticker, CAST(bar AS VARCHAR) AS bar, round(open, 4) AS open, round(high, 4) AS high, round(low, 4) AS low, round(close, 4) AS close, round(volume, 4) AS volume, trade_count FROM agg")
 def stream_bars(spark, d):
-    """Bars from a stream of the tick table, drained once into a table."""
-    from ..streaming.bars import stream_bars as bars
+    """Bars from a stream of ticks, with those still open when the source is read to its end."""
+    return rounded(drained(streams.stream_bars(_tick_stream(spark, d), "6 hours", "1 hour"), "update", ["ticker", "bar"], "trade_count"))
+
 
+def _tick_stream(spark: SparkSession, d: str) -> DataFrame:
     e = spark.readStream.schema(t(spark, d, "events").schema).option("pathGlobFilter", "events.parquet").parquet(d)
-    x = e.select(F.col("event_type").alias("ticker"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("tick_id"), F.col("value").alias("price"), F.lit(1.0).alias("volume"))
-    return _drained(bars(x, "6 hours", "1 hour"))
+    volume = F.coalesce(F.from_json("props", "k bigint").k.cast("double"), F.lit(0.0))
+    return e.select(F.col("event_type").alias("ticker"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("tick_id"), F.col("value").alias("price"), volume.alias("volume"))
