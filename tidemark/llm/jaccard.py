@@ -39,7 +39,7 @@ WORDS = 5
 SKETCH_BITS, SKETCH_PARTS = 20, 16
 IN_BUCKET = 1 << 20
 RINGS_FROM = 32  # points; smaller regions are not split
-MAP_BITS, MAP_EACH = 28, 8  # bits of the map of wanted texts: the most (32 MB), and for each text; beyond, no map
+MAP_BITS, MAP_EACH = 28, 32  # bits of the map of wanted rows: the most (32 MB), and for each row; beyond, no map
 HOT = 1 << 20  # a shingle counted so often, and 64 times the sketch's mean, is dealt by text, not by bucket
 PIVOTS = 8  # a region and round; twice as many each round
 
@@ -270,29 +270,29 @@ def join_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["bucket", "blob"])
 
     regions = written(docs.select("text").mapInArrow(first_shingles, "bucket int, blob binary").groupBy("bucket").applyInArrow(lambda key, table: _regions(percent, key, table), "region long, point binary, n long, place long"))
-    # The sets of the points that share a region with another, each from the whole text of one key.
-    one = known.where("point is not null").groupBy("point").agg(F.min("doc_id").alias("doc_id"), F.min("key").alias("key"))
-    wanted = written(one.join(regions.select("point").distinct(), "point").select("key"))
+    # The sets of the points that share a region with another, each from the whole text of one row: the least id that has one.
+    one = known.where("point is not null").groupBy("point").agg(F.min("doc_id").alias("doc_id"), F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "key")).alias("row"))
+    wanted = written(one.join(regions.select("point").distinct(), "point").select("point", F.xxhash64("row.doc_id", "row.key").alias("at")))
     map_bits = max(10, ceil(log2(MAP_EACH * max(1, wanted.count()))))
-    place = F.pmod("key", F.lit(1 << map_bits)).alias("place")
-    # Spares most texts the shingling, where it has a place for each; the join below is exact with and without it.
-    asked = spark.sparkContext.broadcast(bit_map(wanted.select(place), map_bits)) if map_bits <= MAP_BITS else None
+    place = lambda at: F.pmod(at, F.lit(1 << map_bits)).alias("place")
+    # Spares most texts the shingling, where it has room for each; the join below is exact with and without it.
+    asked = spark.sparkContext.broadcast(bit_map(wanted.select(place(F.col("at"))), map_bits)) if map_bits <= MAP_BITS else None
 
     def sets(batches):
         import pyarrow as pa
 
+        given = set()  # a task gives out each point once
         for batch in batches:
             if asked is not None:
-                at = batch.column(2).to_numpy()
+                at = batch.column(1).to_numpy()
                 batch = batch.filter(pa.array(asked.value[at >> 3] >> (at & 7).astype(np.uint8) & 1 > 0))
-            for data, offsets, keys in slices(batch.column(1), batch.column(0)):
-                found = shingle_sets(data, offsets)
-                yield pa.RecordBatch.from_arrays([keys, pa.array([point(s) for s in found], pa.binary()), pa.array([s.tobytes() for s in found], pa.binary())], ["key", "point", "shingles"])
+            for data, offsets, _ in slices(batch.column(0), batch.column(0)):
+                found = [(p, s) for s in shingle_sets(data, offsets) if (p := point(s)) is not None and p not in given and not given.add(p)]
+                yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in found], pa.binary()), pa.array([s.tobytes() for _, s in found], pa.binary())], ["point", "shingles"])
 
-    made = docs.select("key", "text", place).mapInArrow(sets, "key long, point binary, shingles binary").where("point is not null")
-    shingles = written(made.join(wanted, "key", "left_semi").groupBy("point").agg(F.first("shingles").alias("shingles")), "snappy")
-    # Dealt by point once; the joins of every round use that. Lost blocks are made again from the table.
-    shingles = shingles.repartition(partitions(spark), "point").persist(StorageLevel.DISK_ONLY)
+    made = docs.select("text", place(F.xxhash64("doc_id", "key"))).mapInArrow(sets, "point binary, shingles binary")
+    # Dealt by point once; the joins of every round use that. Blocks of a lost executor are made again from the texts.
+    shingles = made.repartition(partitions(spark), "point").groupBy("point").agg(F.first("shingles").alias("shingles")).join(wanted.select("point"), "point", "left_semi").persist(StorageLevel.DISK_ONLY)
 
     def measured(pairs: DataFrame) -> DataFrame:
         x, p = shingles.select(F.col("point").alias("x"), F.col("shingles").alias("of_x")), shingles.select(F.col("point").alias("p"), F.col("shingles").alias("of_p"))
@@ -341,7 +341,7 @@ def join_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         rest = written(unsettled(rest.drop("root").join(used, ["region", "point"], "left_anti")))
         most *= 2
     shingles.unpersist()
-    roots = one.join(found.withColumnRenamed("node", "point"), "point", "left").withColumn("root", F.coalesce("root", "point"))
+    roots = one.select("point", "doc_id").join(found.withColumnRenamed("node", "point"), "point", "left").withColumn("root", F.coalesce("root", "point"))
     least = roots.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     by_point = roots.join(least, "root").select("point", "component_id", "root")
     out = known.where("point is not null").join(by_point, "point").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "point", "root")
