@@ -1,13 +1,14 @@
 """Histogram sort into shards of near-equal bytes.
 
-The sort key is (hash of the text, hash of the id), so that equal texts lie side by side. Splitters are found by counting,
-again and again, the exact bytes below candidate boundaries over all rows, each round with finer probes inside the
-interval that must hold the splitter, until it is within tolerance of its goal; then every row moves once. A splitter
-falls between texts where tolerance allows, and inside a group of equal texts only where the group is too large for that.
-DataFrame operations only.
-
-Null text: size 1, hashed as null, its crc null. Rows equal in both text and id can't be told apart and stay together. An
-empty table gives an empty result.
+The sort key is (hash of the text, hash of the id, number of the row), so that equal texts lie side by side. Splitters are
+found by counting, again and again, the exact bytes below candidate boundaries over all rows, each round with finer probes
+inside the interval that must hold the splitter, until it is within tolerance of its goal; then every row moves once. A
+splitter falls between texts where tolerance allows, inside a group of equal texts only where the group is too large for
+that, and between rows equal in text and id only where those are too many. Only then are rows numbered, and stored with
+their numbers, so that counting and moving see the same ones. DataFrame operations only.
+
+Null text: size 1, hashed as null, its crc null. Null ids are one id. Repeated rows are rows of their own. An empty table
+gives an empty result. A column of df that is named size, shard or slot is replaced, other names are kept.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import partitions, written
+from .common import free_name, partitions, written
 
 BITS = 60
 
@@ -64,32 +65,47 @@ def splitters(rows: DataFrame, key: str, goals: list[float], before: list[float]
 def shard_by_bytes(df: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str = "text", tolerance: float = 0.002, whole: float = 0.02, cell_bytes: int = 64 << 20) -> DataFrame:
     """The rows of df with size, shard (0 to shards - 1), slot (gapless from 0 in a shard); sorted by key within each cell of a shard.
 
-    tolerance: of a shard's mean bytes; whole: the error, likewise, up to which a group of equal texts is not split. Columns of df named like the new ones are replaced.
+    tolerance: of a shard's mean bytes; whole: the error, likewise, up to which a group of equal texts is not split.
     """
     spark = df.sparkSession
-    new = {"_k1": hashed(F.col(text_col)), "_k2": hashed(F.col(id_col), F.lit(1)), "size": (F.coalesce(F.octet_length(text_col), F.lit(0)) + 1).cast("long")}
+    k1, k2, k3, to, cell, start, nth = (free_name(df.columns, c) for c in ("_k1", "_k2", "_k3", "_shard", "_cell", "_start", "_nth"))
+    new = {k1: hashed(F.col(text_col)), k2: hashed(F.col(id_col), F.lit(1)), k3: F.lit(0).cast("long"), "size": (F.coalesce(F.octet_length(text_col), F.lit(0)) + 1).cast("long")}
     keyed = df.withColumns(new)
-    narrow = written(keyed.select("_k1", "_k2", "size"))
+    narrow = written(keyed.select(k1, k2, k3, "size"))
     total = narrow.agg(F.sum("size")).first()[0] or 0
     goals, mean = [total * i / shards for i in range(1, shards)], total / shards
-    first = splitters(narrow.select("_k1", "size", F.lit(-1).alias("part")), "_k1", goals, [0.0] * len(goals), tolerance * mean, whole * mean)
-    bounds = [(b, 0) for b, _, _, _ in first]
-    if hard := [i for i, x in enumerate(first) if not x[3]]:  # groups of equal texts too large to stay whole: split by id
-        groups = sorted({first[i][0] for i in hard})
-        member = F.array(*[F.when(F.col("_k1") == first[i][0], F.lit(n)) for n, i in enumerate(hard)])
-        rows = narrow.where(F.col("_k1").isin(groups)).select("_k2", "size", F.explode(F.filter(member, lambda x: x.isNotNull())).alias("part"))
-        for i, (b, *_) in zip(hard, splitters(rows, "_k2", [goals[i] for i in hard], [first[i][1] for i in hard], tolerance * mean, float("inf")), strict=True):
-            bounds[i] = (first[i][0], b)
-    shard = sum((F.when((F.col("_k1") > a) | ((F.col("_k1") == a) & (F.col("_k2") >= b)), 1).otherwise(0) for a, b in bounds), F.lit(0))
-    # Cells of a shard by id hash, so that no group fills one; their number follows the bytes.
+    first = splitters(narrow.select(k1, "size", F.lit(-1).alias("part")), k1, goals, [0.0] * len(goals), tolerance * mean, whole * mean)
+    bounds = [(b, 0, 0) for b, *_ in first]
+
+    def inside(rows: DataFrame, above: list[str], key: str, goals_at: list[int], error: float) -> list[int]:
+        """Bounds of the goals whose group is still whole, by the next part of the key; gives back those that need one more."""
+        depth = len(above)
+        member = F.array(*[F.when(F.struct(*above) == F.struct(*[F.lit(x).cast("long").alias(c) for c, x in zip(above, bounds[i][:depth], strict=True)]), F.lit(n)) for n, i in enumerate(goals_at)])
+        rows = rows.select(key, "size", F.explode(F.filter(member, lambda x: x.isNotNull())).alias("part"))
+        found = splitters(rows, key, [goals[i] for i in goals_at], [before[i] for i in goals_at], tolerance * mean, error)
+        for i, (b, below, *_) in zip(goals_at, found, strict=True):
+            bounds[i] = (*bounds[i][:depth], b, *bounds[i][depth + 1 :])
+            before[i] = below
+        return [i for i, x in zip(goals_at, found, strict=True) if not x[3]]
+
+    before = [x[1] for x in first]
+    if hard := [i for i, x in enumerate(first) if not x[3]]:  # equal texts, too large a group to stay whole: split by id
+        hard = inside(narrow, [k1], k2, hard, whole * mean)
+    if hard:  # equal in id as well: split by number
+        many = F.struct(k1, k2).isin([F.struct(F.lit(bounds[i][0]).cast("long").alias(k1), F.lit(bounds[i][1]).cast("long").alias(k2)) for i in hard])
+        keyed = written(keyed.withColumn(k3, F.when(many, hashed(F.monotonically_increasing_id(), F.lit(3))).otherwise(F.lit(0).cast("long"))))
+        narrow = keyed.select(k1, k2, k3, "size")
+        inside(narrow, [k1, k2], k3, hard, float("inf"))
+    key = F.struct(k1, k2, k3)
+    shard = sum((F.when(key >= F.struct(*[F.lit(x).cast("long").alias(c) for c, x in zip((k1, k2, k3), b, strict=True)]), 1).otherwise(0) for b in bounds), F.lit(0))
+    # Cells of a shard by id and number, so that no group fills one; how many there are follows the bytes.
     cells = max(128, -(-total // (shards * cell_bytes)))
-    cell = F.expr(f"_k2 div {-(-(1 << BITS) // cells)}L").cast("int")
-    place = {"_shard": shard.cast("int"), "_cell": cell}
-    counts = narrow.withColumns(place).groupBy("_shard", "_cell").agg(F.count("*").alias("n"))
-    start = Window.partitionBy("_shard").orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("_shard", "_cell", F.coalesce(F.sum("n").over(start), F.lit(0)).alias("_start"))
-    moved = keyed.withColumns(place).repartition(partitions(spark), "_shard", "_cell")
-    order = Window.partitionBy("_shard", "_cell").orderBy("_k1", "_k2", F.col(id_col))
-    moved = moved.withColumn("_nth", F.row_number().over(order)).join(starts, ["_shard", "_cell"])
-    out = moved.withColumns({"shard": F.col("_shard"), "slot": (F.col("_start") + F.col("_nth") - 1).cast("long")})
-    return out.drop("_k1", "_k2", "_shard", "_cell", "_start", "_nth")
+    place = {to: shard.cast("int"), cell: F.expr(f"(`{k2}` ^ `{k3}`) div {-(-(1 << BITS) // cells)}L").cast("int")}
+    counts = narrow.withColumns(place).groupBy(to, cell).agg(F.count("*").alias("n"))
+    earlier = Window.partitionBy(to).orderBy(cell).rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(to, cell, F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias(start))
+    moved = keyed.withColumns(place).repartition(partitions(spark), to, cell)
+    order = Window.partitionBy(to, cell).orderBy(k1, k2, k3, F.col(id_col))
+    moved = moved.withColumn(nth, F.row_number().over(order)).join(starts, [to, cell])
+    out = moved.withColumns({"shard": F.col(to), "slot": (F.col(start) + F.col(nth) - 1).cast("long")})
+    return out.drop(k1, k2, k3, to, cell, start, nth)
