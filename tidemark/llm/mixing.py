@@ -3,11 +3,12 @@ disjoint permuted blocks, and a local shuffle.
 
 Each source's target is its share of all words, at most `most` times its own words; the excess goes to the others by weight.
 A source gives every document floor(target / words) times, and for the rest a permuted run of blocks and, in the last block,
-of documents; the last document drawn gives a part, so that a source's words equal its target, rounded. The number of
-sources is taken to be bounded (one row each comes to the driver); documents never are.
+of documents; the last document drawn gives a part, so that a source's words equal its target, rounded. One row a source
+comes to the driver, at most `most_sources` of them (else an error); documents never do.
 
-Null text: no words, drawn never. Null source: a source of its own, last in order. Rows that repeat a doc_id are drawn apart.
-An empty table gives an empty result.
+Null text: no words, drawn never. Null source: a source of its own, last in order. Rows that repeat a doc_id are drawn apart;
+rows alike in id and text lie in one block.
+An empty table gives an empty result. Columns of df, whatever their names, come back in the struct `kept` where asked for.
 """
 
 from __future__ import annotations
@@ -19,6 +20,9 @@ from pyspark.sql import functions as F
 from .common import WORD, written
 
 
+CELL = 4096  # blocks that lie together in a source's permuted order
+
+
 def targets(sizes: list[int], weights: list[float], most: float = 3) -> list[float]:
     """Shares of all words by weight; what a source can't take (most times its words) is shared again by weight."""
     total, held = float(sum(sizes)), {}
@@ -54,28 +58,43 @@ def split_tree(counts: list[int], shards: int, seed: int) -> np.ndarray:
 
 
 def _hypergeometric(rng, good: int, bad: int, take: int) -> int:
+    """How many of `take` draws without replacement are good.
+
+    Beyond numpy's range the same law is drawn in exact pieces: each item is in with chance take / total, which makes a
+    random set of about the right size; what it has too many is drawn out of it, what it lacks out of the rest.
+    """
+    if not take or not good or not bad:
+        return min(good, take)
     if good + bad < 10**9:
-        return int(rng.hypergeometric(good, bad, take)) if take and good else 0
-    total = good + bad  # beyond numpy's range: its normal limit, kept within the law's bounds
-    mean = take * good / total
-    spread = np.sqrt(max(0.0, mean * (1 - good / total) * (total - take) / max(1, total - 1)))
-    return int(np.clip(round(mean + spread * rng.standard_normal()), max(0, take - bad), min(good, take)))
+        return int(rng.hypergeometric(good, bad, take))
+    if take <= 1000:
+        found = 0
+        for n in range(take):
+            found += int(rng.integers(good + bad - n)) < good - found
+        return found
+    share = take / (good + bad)
+    x, y = int(rng.binomial(good, share)), int(rng.binomial(bad, share))
+    if x + y > take:
+        return x - _hypergeometric(rng, x, y, x + y - take)
+    return x + _hypergeometric(rng, good - x, bad - y, take - x - y)
 
 
 def mix_sources(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (1, 2, 3),
-    most: int = 3, shards: int = 16, block_rows: int = 256, seed: int = 17, keep: tuple[str, ...] = (),
+    most: int = 3, shards: int = 16, block_rows: int = 256, seed: int = 17, keep: tuple[str, ...] = (), most_sources: int = 100_000,
 ) -> DataFrame:
-    """Rows: doc_id, source, size, source_size, target, taken, block, draws (array of (epoch, shard, place, words)), and the columns in keep.
+    """Rows: doc_id, source, size, source_size, target, taken, block, draws (array of (epoch, shard, place, words)), and kept, a struct of the columns in keep.
 
     draws lists where the document's copies go: place orders a shard's documents within a block after the local shuffle.
     """
     spark = df.sparkSession
-    inner = [F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size")]
-    rows = df.select(*inner, *([F.struct(*[F.col(c) for c in keep]).alias("_kept")] if keep else []))
+    inner = [F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.xxhash64(F.col(text_col)).alias("alike")]
+    rows = df.select(*inner, *([F.struct(*[F.col(c) for c in keep]).alias("kept")] if keep else []))
     narrow = written(df.select(*inner))  # ids and sizes; the texts are read no more
     rows = rows if keep else narrow
-    by_source = narrow.groupBy("source").agg(F.sum("size").alias("words"), F.count("*").alias("n")).collect()  # a row for each source
+    by_source = narrow.groupBy("source").agg(F.sum("size").alias("words"), F.count("*").alias("n")).limit(most_sources + 1).collect()  # a row for each source
+    if len(by_source) > most_sources:
+        raise ValueError(f"more than {most_sources} sources: group them, or raise most_sources")
     by_source.sort(key=lambda r: (r.source is None, (r.source or "").encode("utf-8", "surrogatepass")))
     sizes = [r.words for r in by_source]
     want = targets(sizes, [weights[i % len(weights)] for i in range(len(sizes))], most)
@@ -90,15 +109,22 @@ def mix_sources(
         return F.xxhash64(F.lit(seed), *parts)
 
     rows = rows.join(F.broadcast(facts.withColumnRenamed("source", "_s")), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")  # bounded by the number of sources
-    rows = rows.withColumn("block", F.pmod(key(F.col("doc_id"), F.lit("block")), F.col("blocks")))
-    in_block = Window.partitionBy("s", "block").orderBy(key(F.col("doc_id"), F.lit("place")), "doc_id", "size")
+    rows = rows.withColumn("block", F.pmod(key(F.col("doc_id"), F.col("alike"), F.lit("block")), F.col("blocks")))
+    in_block = Window.partitionBy("s", "block").orderBy(key(F.col("doc_id"), F.lit("place")), "doc_id", "size", "alike")
     rows = rows.withColumns({"place": F.row_number().over(in_block), "before": F.sum("size").over(in_block.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")})
     # Blocks in permuted order; those within the rest are drawn once more, the last in part.
     blocks = narrow.join(F.broadcast(facts.withColumnRenamed("source", "_s")), F.col("source").eqNullSafe(F.col("_s")))
-    blocks = blocks.groupBy("s", F.pmod(key(F.col("doc_id"), F.lit("block")), F.col("blocks")).alias("block")).agg(F.sum("size").alias("block_words"))
-    order = Window.partitionBy("s").orderBy(key(F.col("s"), F.col("block")), "block")
-    blocks = blocks.withColumns({"nth": F.row_number().over(order), "start": F.sum("block_words").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("block_words")})
-    blocks = written(blocks)
+    blocks = blocks.groupBy("s", F.pmod(key(F.col("doc_id"), F.col("alike"), F.lit("block")), F.col("blocks")).alias("block")).agg(F.sum("size").alias("block_words"))
+    # Permuted order is that of `turn`; a source's blocks lie in cells of some thousand, whose sums are added up first, so that no task has a source whole.
+    turn = key(F.col("s"), F.col("block"))
+    blocks = written(blocks.join(F.broadcast(facts.select("s", F.col("blocks").alias("of"))), "s").withColumn("cell", F.floor((turn / F.lit(2.0**64) + 0.5) * (F.floor(F.col("of") / CELL) + 1))).drop("of"))
+    cells = blocks.groupBy("s", "cell").agg(F.sum("block_words").alias("words"), F.count("*").alias("n"))
+    earlier = Window.partitionBy("s").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    cells = cells.select("s", "cell", *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"{c}_before") for c in ("words", "n")])
+    order = Window.partitionBy("s", "cell").orderBy(turn, "block")
+    here = {"nth": F.row_number().over(order), "start": F.sum("block_words").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("block_words")}
+    blocks = blocks.withColumns(here).join(cells, ["s", "cell"])
+    blocks = written(blocks.select("s", "block", "block_words", (F.col("nth") + F.col("n_before")).alias("nth"), (F.col("start") + F.col("words_before")).alias("start")))
     drawn = blocks.join(F.broadcast(facts.select("s", "whole", "rest")), "s").groupBy("s").agg(F.first("whole").alias("whole"), F.count("*").alias("n"), F.sum((F.col("start") < F.col("rest")).cast("long")).alias("part"))
     counts = {r.s: (r.whole * r.n + r.part, r.n) for r in drawn.collect()}
     dealt = split_tree([counts.get(i, (0, 0))[0] for i in range(len(plan))], shards, seed)
@@ -115,5 +141,4 @@ def mix_sources(
     whole = F.when(F.col("size") > 0, F.transform(F.sequence(F.lit(0), F.lit(most)), lambda e: draw(e.cast("long"), F.when(e < F.col("whole"), F.col("size")).when(e == F.col("whole"), part).otherwise(F.lit(0)))))
     rows = rows.withColumn("draws", F.coalesce(F.filter(whole, lambda d: d.words > 0), F.array().cast("array<struct<epoch:bigint,shard:int,place:bigint,words:bigint>>")))
     taken = F.aggregate("draws", F.lit(0).cast("long"), lambda a, d: a + d.words)
-    out = rows.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), "block", "draws", *(["_kept"] if keep else []))
-    return out.select(*[c for c in out.columns if c != "_kept"], *[F.col(f"_kept.{c}").alias(c) for c in keep if c not in out.columns])
+    return rows.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), "block", "draws", *(["kept"] if keep else []))
