@@ -6,17 +6,19 @@ Chunk digests are counted over all rows; a chunk that occurs once stays in its d
 occurs again is stored once in a table of shared chunks. Reading back joins lists and shared chunks, checks every digest
 and the whole file's, and computes features from the bytes read.
 
-Which digests occur again is told to the tasks by a bit map of fixed size: a false hit stores a single chunk among the
-shared ones, which costs a join and changes nothing else.
+Which digests occur again is told to the tasks by a bit map with room for each of them: a false hit stores a single chunk
+among the shared ones, which costs a join and changes nothing else. Where they are more than the largest map has room for,
+there is no map: all chunks go to the shared table, where Spark groups them by digest, and come back by the same join.
 
 A null text counts as empty: one tile of byte 255. Equal texts, repeated rows among them, give equal values, one row each.
-An empty table gives an empty result.
+An empty table gives an empty result. Columns of df but the id and the text are not read, whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
 import zlib
+from math import ceil, log2
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -27,7 +29,7 @@ from .common import bit_map, written
 WIDTH, TILE, PAD = 24, 576, 255
 LEAST, MOST, MASK = 512, 8192, np.uint32(0x3FF << 20)
 GEAR = np.random.default_rng(576).integers(0, 2**32, 256, dtype=np.uint32)
-MAP_BITS, MAP_HASHES = 22, 3
+MAP_BITS, MAP_EACH, MAP_HASHES = 28, 16, 3  # the largest map (32 MB), bits and places for each digest
 CHUNKS = "array<struct<digest:binary,size:int,data:binary>>"
 BATCH = 4 << 20
 
@@ -93,26 +95,32 @@ def _digests(batches):
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary())], ["digest"])
 
 
-def _maybe(bits: np.ndarray):
-    """Whether a digest may be in the bit map."""
+def _maybe(bits: np.ndarray | None):
+    """Whether a digest may be in the bit map; always, without one."""
+    if bits is None:
+        return lambda d: True
+    mask = 8 * len(bits) - 1
 
     def held(d: bytes) -> bool:
-        return all(bits[p >> 3] >> (p & 7) & 1 for p in (int.from_bytes(d[4 * i : 4 * i + 4], "little") & (1 << MAP_BITS) - 1 for i in range(MAP_HASHES)))
+        return all(bits[p >> 3] >> (p & 7) & 1 for p in (int.from_bytes(d[4 * i : 4 * i + 4], "little") & mask for i in range(MAP_HASHES)))
 
     return held
 
 
-def digest_map(digests: DataFrame) -> np.ndarray:
-    """The bit map of MAP_HASHES places for each digest."""
+def digest_map(digests: DataFrame) -> np.ndarray | None:
+    """The bit map of MAP_HASHES places for each digest; None where it would be over MAP_BITS."""
+    size = max(10, ceil(log2(MAP_EACH * max(1, digests.count()))))
+    if size > MAP_BITS:
+        return None
     hexes = F.hex("digest")
-    place = [F.conv(F.concat(*[F.substring(hexes, 8 * i + 2 * (3 - j) + 1, 2) for j in range(4)]), 16, 10).cast("long").bitwiseAND((1 << MAP_BITS) - 1) for i in range(MAP_HASHES)]
-    return bit_map(digests.select(F.explode(F.array(*place)).alias("place")), MAP_BITS)
+    place = [F.conv(F.concat(*[F.substring(hexes, 8 * i + 2 * (3 - j) + 1, 2) for j in range(4)]), 16, 10).cast("long").bitwiseAND((1 << size) - 1) for i in range(MAP_HASHES)]
+    return bit_map(digests.select(F.explode(F.array(*place)).alias("place")), size)
 
 
 def store(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """Two tables in the shared folder: documents (doc_id, n_bytes, media_bytes, media_sha256, chunks) and shared chunks (digest, data)."""
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    again = rows.select("text").mapInArrow(_digests, "digest binary").groupBy("digest").count().where("count > 1").select("digest")
+    again = written(rows.select("text").mapInArrow(_digests, "digest binary").groupBy("digest").count().where("count > 1").select("digest"))
     bits = rows.sparkSession.sparkContext.broadcast(digest_map(again))
 
     def lists(batches):
