@@ -2,12 +2,14 @@
 
 Card numbers (Luhn), IBANs (mod 97), IPv4 addresses, phone and social security numbers, and dates are found by pattern,
 validated, and permuted under a key within their format: separators, lengths, country codes and first card digits stay,
-check digits are made anew, a date becomes a date from 1900 to 2099. A number beside another is not taken for its part. The permutation sees the bare digits (a date's day
-number), so equal values get equal pseudonyms in all documents, however they are written. Mail addresses and secrets,
-which are no numbers, get letters and digits from a keyed hash, class by class. What fails validation is left alone.
-
-A null text stays null with no counts, an empty one stays empty. Repeated rows are treated alike, one result each. Other
-columns, whatever their names, are kept.
+check digits are made anew, a date becomes a date from 1900 to 2099. A number beside another is not taken for its part. The
+permutation sees the bare digits (a date's day number), so equal values get equal pseudonyms in all documents, however they
+are written. Mail addresses and secrets, which are no numbers, get letters and digits from a keyed hash, class by class.
+What fails validation is left alone.
+
+A null text stays null with no counts, an empty one stays empty; a very long one is treated whole. Repeated rows are
+treated alike, one result each. An empty table gives an empty result. Other columns, whatever their names, are kept; only
+a column that has the name asked for the counts is replaced.
 """
 
 from __future__ import annotations
@@ -17,6 +19,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import free_name
+
 ROUNDS = 8
 _IP = r"(?:(?:[01]?[0-9]{1,2}|2[0-4][0-9]|25[0-5])\.){3}(?:[01]?[0-9]{1,2}|2[0-4][0-9]|25[0-5])(?![0-9]|\.[0-9])"
 _DATE = r"(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4})(?![0-9/-])"
@@ -289,12 +293,12 @@ def pseudonymise(df: DataFrame, key: str, text_col: str = "text", count_col: str
     hit = text.rlike(HINT)
     found = F.when(hit, F.transform(F.regexp_extract_all(text, F.lit(ANY), F.lit(0)), lambda m: pseudonym(key, m)))
     # One pass finds the matches, one takes the text between them; matches are exploded neither way.
-    rows = df.withColumn("_found", found)
-    between = F.split(text, ANY, -1)
-    new = _joined(between, F.col("_found"))
-    rows = rows.withColumn(text_col, F.when(F.size("_found") > 0, new).otherwise(text))
+    mine = free_name(df.columns, "_found")
+    rows = df.withColumn(mine, found)
+    new = _joined(F.split(text, ANY, -1), F.col(mine))
+    rows = rows.withColumn(text_col, F.when(F.size(mine) > 0, new).otherwise(text))
     if count_col:
-        kinds = F.flatten(F.transform(F.filter("_found", lambda m: m.kind.isNotNull()), lambda m: F.array_repeat(m.kind, m.n)))
+        kinds = F.flatten(F.transform(F.filter(mine, lambda m: m.kind.isNotNull()), lambda m: F.array_repeat(m.kind, m.n)))
         count = F.map_from_entries(F.transform(F.array_sort(F.array_distinct(kinds)), lambda k: F.struct(k, F.size(F.filter(kinds, lambda x: x == k)))))
         rows = rows.withColumn(count_col, F.coalesce(count, F.create_map().cast("map<string,int>")))
-    return rows.drop("_found")
+    return rows.drop(mine)
