@@ -1,7 +1,9 @@
 """The ten operators and the pipeline against brute force, exact round trips and edge cases on small fixtures."""
 
+import datetime as dt
 import hashlib
 import random
+import re
 import zlib
 from collections import defaultdict
 from pathlib import Path
@@ -10,7 +12,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import jaccard, media, mixing, privacy, quality, sentencepiece, sharding, substrings, toxicity, urls
+from tidemark.llm import jaccard, media, mixing, privacy, quality, queries, sentencepiece, sharding, substrings, toxicity, urls
+from tidemark.llm.common import hash_words, window_hashes, words_of
 from tidemark.llm.queries import URL_RULES, piece_model
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -74,6 +77,25 @@ def test_op1_splits_a_group_too_large_to_stay_whole(spark):
     assert len(got) == 4 and max(r["count"] for r in got) <= 110
 
 
+def test_op1_equal_texts_stay_together(spark, docs, rows):
+    """The law of groups: a text is split between shards only where its rows are too many for one."""
+    got = sharding.shard_by_bytes(docs.withColumn("text", F.col("text").substr(1, 200)), 4).collect()
+    by = defaultdict(set)
+    for r in got:
+        by[r.text].add(r.shard)
+    assert all(len(v) == 1 for v in by.values())
+    assert len(by[None]) == 1 and len(got) == len(rows)
+
+
+def test_op1_rows_alike_in_text_and_id_are_dealt(spark):
+    some = [(None, "same")] * 6000 + [(i % 3, "same") for i in range(3000)] + [(i, f"text {i}") for i in range(1000)]
+    got = sharding.shard_by_bytes(spark.createDataFrame(some, "doc_id long, text string").repartition(5), 8)
+    by = {r.shard: r for r in got.groupBy("shard").agg(F.sum("size").alias("bytes"), F.count("*").alias("n"), F.min("slot").alias("low"), F.max("slot").alias("high"), F.countDistinct("slot").alias("slots")).collect()}
+    mean = sum(r.bytes for r in by.values()) / 8
+    assert sorted(by) == list(range(8)) and all(abs(r.bytes - mean) < 0.03 * mean for r in by.values())
+    assert all((r.low, r.high, r.slots) == (0, r.n - 1, r.n) for r in by.values()) and sum(r.n for r in by.values()) == 10000
+
+
 def brute_quality(t):
     w = words(t)
     grams = defaultdict(list)
@@ -98,12 +120,56 @@ def test_op2_counts(docs, rows, empty):
     assert quality.clean_lines(empty).count() == 0
 
 
-@pytest.mark.parametrize("line, fault", [
-    ("Home | About | Contact | Login", "navigation"), ("WHAT!! IS!! THIS!! NOW!!", "punctuation"), ("a%%% b$$$ c### d&&& e***", "punctuation"),
-    ("All rights reserved by the owner.", "boilerplate"), ("A fair sentence of seven plain words.", None), ("too short", "punctuation"),
+@pytest.mark.parametrize("line, furniture, fault", [
+    ("Home | About | Contact | Login", False, "navigation"), ("WHAT!! IS!! THIS!! NOW!!", False, "punctuation"), ("a%%% b$$$ c### d&&& e***", False, "punctuation"),
+    ("Alle Rechte vorbehalten, 2024.", True, "boilerplate"), ("Accueil À propos Nous écrire Plan", True, "navigation"), ("A fair sentence of seven plain words.", False, None), ("too short", False, "punctuation"),
 ])
-def test_op2_lines(line, fault):
-    assert quality.line_fault(line, line.split(), quality.Rules()) == fault
+def test_op2_lines(line, furniture, fault):
+    assert quality.line_fault(line, line.split(), quality.Rules(), furniture=furniture) == fault
+
+
+def brute_furniture(texts, rules):
+    """Lines (digits made 0) and whether they stand in enough texts that don't share the least run of five words."""
+    least, held = {}, defaultdict(set)
+    for t in set(texts) - {None}:
+        data = np.frombuffer(t.encode(), np.uint8)
+        start, end, _ = words_of(data, np.array([0, len(data)]))
+        h = hash_words(data, start, end)
+        runs = window_hashes(h, 5).view(np.int64)
+        least[t] = int(runs.min()) if len(runs) else int(h.sum().view(np.int64))
+        for line in t.split("\n"):
+            if line.encode().split():
+                held[re.sub("[0-9]", "0", line.strip(" \t\n\x0b\x0c\r"))].add(t)
+    return {line for line, of in held.items() if len({least[t] for t in of}) >= rules.least_texts and len({least[t] for t in of}) >= rules.least_share * len(of)}
+
+
+def test_op2_furniture_and_verdicts(spark):
+    rnd = random.Random(7)
+    word = lambda: "".join(rnd.choice("abcdefgéñß") for _ in range(rnd.randint(2, 7)))
+    line = lambda n=9: " ".join(word() for _ in range(n)) + "."
+    site = ["Alle Rechte vorbehalten %d.", "Inicio Noticias Contacto Ayuda Mapa", "Conditions d'utilisation et vie privée."]
+    texts = []
+    for i in range(60):
+        own = [line() for _ in range(8)]
+        extra = [s % i if "%" in s else s for s in rnd.sample(site, rnd.randint(1, 3))] if i % 3 else site[2:] * 9
+        texts.append("\n".join(own + extra) if i % 6 else "\n".join([*extra, line(40)]))
+    base = [line() for _ in range(10)]
+    texts += ["\n".join(base[:k] + [base[k].replace(".", " x.")] + base[k + 1 :]) for k in range(10)] * 4 + [None, "", "one line only"]
+    rules = quality.Rules()
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    want = brute_furniture(texts, rules)
+    keys = {r.k: r.line for r in spark.createDataFrame([(x,) for x in want], "line string").select("line", quality.line_keys(F.col("line"))[0].alias("k")).collect()}
+    assert set(quality.furniture_lines(docs).tolist()) == set(keys) and len(want) >= 2 and not any(b in want for b in base)
+    got = {r.doc_id: r for r in quality.clean_lines(docs).collect()}
+    for i, t in enumerate(texts):
+        n, *_, failed = brute_quality(t)
+        seen, stay = set(), 0
+        for x in (t or "").split("\n"):
+            if x.encode().split():
+                known = re.sub("[0-9]", "0", x.strip(" \t\n\x0b\x0c\r")) in want
+                stay += 0 if x in seen or quality.line_fault(x, x.split(), rules, furniture=known) else len(x.encode().split())
+                seen.add(x)
+        assert got[i].kept_words == stay and got[i].kept == (not failed and n - stay <= rules.max_loss * n)
 
 
 def brute_components(rows, reach=None):
@@ -209,6 +275,15 @@ def test_op4_media(docs, rows, empty):
     assert media.media_columns(empty).count() == 0
 
 
+@pytest.mark.parametrize("bits", [1, 12])
+def test_op4_with_no_map_and_a_full_one(docs, rows, monkeypatch, bits):
+    monkeypatch.setattr(media, "MAP_BITS", bits)
+    monkeypatch.setattr(media, "MAP_EACH", 1)
+    got = {r.doc_id: r.payload_sha256 for r in media.media_columns(docs).collect()}
+    padded = lambda raw: raw + b"\xff" * (max(1, -(-len(raw) // 576)) * 576 - len(raw))
+    assert got == {i: hashlib.sha256(padded((t or "").encode())).hexdigest() for i, t, *_ in rows}
+
+
 def test_op4_chunks_follow_content():
     r = np.random.default_rng(3)
     a, b = r.bytes(40000), r.bytes(3000)
@@ -256,6 +331,103 @@ def test_op5_is_a_permutation(spark):
     assert privacy.pseudonymise(phones, "k").select("text").distinct().count() == 1000
 
 
+# The pseudonyms once more, in plain Python: one value a text.
+
+
+def plain_keyed(key, *parts):
+    return int(hashlib.sha256("|".join(map(str, (key, *parts))).encode()).hexdigest()[:15], 16)
+
+
+def plain_feistel(key, kind, a, b, of_a, of_b, size):
+    for i in range(privacy.ROUNDS):
+        if i % 2 == 0:
+            a = (a + plain_keyed(key, kind, size, i, b) % of_a) % of_a
+        else:
+            b = (b + plain_keyed(key, kind, size, i, a) % of_b) % of_b
+    return a, b
+
+
+def plain_permuted(key, kind, d):
+    n, u = len(d), len(d) // 2
+    if n < 2:
+        return d
+    a, b = plain_feistel(key, kind, int(d[:u]), int(d[u:]), 10**u, 10 ** (n - u), n)
+    return f"{a:0{u}d}{b:0{n - u}d}"
+
+
+def put(shape, digits):
+    rest = iter(digits)
+    return "".join(next(rest) if c.isdigit() else c for c in shape)
+
+
+def plain_luhn(d):
+    return sum(v if i % 2 == 0 else v * 2 - 9 * (v > 4) for i, v in enumerate(map(int, reversed(d))))
+
+
+def plain_mod97(text):
+    return int("".join(str(int(c, 36)) for c in text)) % 97
+
+
+def plain_pseudonym(key, kind, x):
+    d = "".join(c for c in x if c.isdigit())
+    if kind in ("phone", "ssn"):
+        k = len(re.match(r"\+(\d*)", x)[1]) if x[0] == "+" else 0
+        return put(x, d[:k] + plain_permuted(key, kind, d[k:]))
+    if kind == "card":
+        body = d[0] + plain_permuted(key, "card", d[1:-1])
+        return put(x, body + str(-plain_luhn(body + "0") % 10))
+    if kind == "iban":
+        bare = x.replace(" ", "")
+        rest = put(bare[4:], plain_permuted(key, "iban", "".join(c for c in bare[4:] if c.isdigit())))
+        new = iter(bare[:2] + f"{98 - plain_mod97(rest + bare[:2] + '00'):02d}" + rest)
+        return "".join(c if c == " " else next(new) for c in x)
+    if kind == "ip":
+        o = list(map(int, x.split(".")))
+        a, b = plain_feistel(key, "ip", o[0] * 256 + o[1], o[2] * 256 + o[3], 65536, 65536, 0)
+        return f"{a >> 8}.{a & 255}.{b >> 8}.{b & 255}"
+    day, form = next((dt.datetime.strptime(x, f), f) for f in ("%Y-%m-%d", "%d.%m.%Y", "%m/%d/%Y", "%d/%m/%Y") if _fits(x, f))
+    n = (day - dt.datetime(1900, 1, 1)).days
+    while True:
+        a, b = plain_feistel(key, "date", n // privacy.SIDE, n % privacy.SIDE, privacy.SIDE, privacy.SIDE, 0)
+        if (n := a * privacy.SIDE + b) < privacy.DAYS:
+            return (dt.datetime(1900, 1, 1) + dt.timedelta(n)).strftime(form)
+
+
+def _fits(x, form):
+    try:
+        return bool(dt.datetime.strptime(x, form))
+    except ValueError:
+        return False
+
+
+def test_op5_equals_plain_python(spark):
+    rnd = random.Random(6)
+    digits = lambda n: "".join(rnd.choice("0123456789") for _ in range(n))
+    values = []
+    for _ in range(40):
+        body = rnd.choice("3456") + digits(14)
+        card = body + str(-plain_luhn(body + "0") % 10)
+        values += [("card", card), ("card", " ".join(card[i : i + 4] for i in (0, 4, 8, 12)))]
+        values += [("phone", f"+1 ({rnd.randint(200, 999)}) {rnd.randint(200, 999)}-{digits(4)}"), ("ssn", f"{rnd.randint(100, 665)}-{rnd.randint(10, 99)}-{rnd.randint(1000, 9999)}")]
+        values.append(("ip", ".".join(str(rnd.randrange(256)) for _ in range(4))))
+        bban = digits(18)
+        values.append(("iban", f"DE{98 - plain_mod97(bban + 'DE00'):02d}{bban}"))
+        day = dt.date(1900, 1, 1) + dt.timedelta(rnd.randrange(73000))
+        values.append(("date", day.strftime(rnd.choice(["%Y-%m-%d", "%d.%m.%Y", "%m/%d/%Y"]))))
+    texts = spark.createDataFrame([(i, f"ist {x} so") for i, (_, x) in enumerate(values)], "i long, text string")
+    got = {r.i: (r.text, r.pseudonyms) for r in privacy.pseudonymise(texts, "k").collect()}
+    for i, (kind, x) in enumerate(values):
+        assert got[i] == (f"ist {plain_pseudonym('k', kind, x)} so", {kind: 1}), (kind, x)
+
+
+def test_op5_long_texts_and_empty_tables(spark, empty):
+    long = "plain words go on and on " * 40_000
+    x = spark.createDataFrame([(1, long + "123-45-6789"), (1, long + "123-45-6789")], "i long, text string")
+    got = [r.text for r in privacy.pseudonymise(x, "k").collect()]
+    assert got[0] == got[1] == long + plain_pseudonym("k", "ssn", "123-45-6789")
+    assert privacy.pseudonymise(empty, "k").count() == 0
+
+
 def levenshtein(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
@@ -339,6 +511,46 @@ def test_op8_targets_and_tree():
     assert dealt.sum(0).tolist() == [100, 7, 0] and dealt.sum(1).max() - dealt.sum(1).min() <= 3 and (dealt == mixing.split_tree([100, 7, 0], 8, 3)).all()
 
 
+def test_op8_draws_beyond_numpy():
+    """The law of the pieces: bounds, the mean and the spread, against small exact draws scaled up and numpy's own."""
+    rng = np.random.default_rng(4)
+    for good, bad, take in ((10**9, 3 * 10**9, 2 * 10**9), (5, 10**12, 10**11), (10**12, 7, 10**12), (10**15, 10**15, 1), (3 * 10**9, 10**9, 10**6)):
+        x = [mixing._hypergeometric(rng, good, bad, take) for _ in range(60)]
+        total = good + bad
+        spread = (take * good / total * (1 - good / total) * (total - take) / (total - 1)) ** 0.5
+        assert all(max(0, take - bad) <= v <= min(good, take) for v in x)
+        assert abs(sum(x) / 60 - take * good / total) <= 5 * spread / 60**0.5 + 1e-9
+        if spread > 10:
+            assert 0.6 < np.std(x) / spread < 1.5
+    dealt = mixing.split_tree([3 * 10**9, 2 * 10**9, 7], 8, 3)
+    assert dealt.sum(0).tolist() == [3 * 10**9, 2 * 10**9, 7] and dealt.sum(1).max() - dealt.sum(1).min() <= 3
+
+
+def test_op8_targets_by_hand(docs, rows):
+    """Targets by repeated sharing in plain steps, and blocks of a source counted in cells alike."""
+    sizes = defaultdict(int)
+    for _, t, _, s, _ in rows:
+        sizes[s] += len(words(t))
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight, total, target = {s: i % 3 + 1 for i, s in enumerate(order)}, sum(sizes.values()), {}
+    free = set(order)
+    while free:
+        left, w = total - sum(target.values()), sum(weight[s] for s in free)
+        over = {s for s in free if left * weight[s] / w > 3 * sizes[s]}
+        target |= {s: 3.0 * sizes[s] for s in over} if over else {s: left * weight[s] / w for s in free}
+        free -= over or free
+    got = {r.source: (r.source_size, r.target) for r in mixing.mix_sources(docs).select("source", "source_size", "target").distinct().collect()}
+    assert {s: n for s, (n, _) in got.items()} == dict(sizes) and all(abs(t - target[s]) < 1e-6 for s, (_, t) in got.items())
+    with pytest.raises(ValueError, match="sources"):
+        mixing.mix_sources(docs, most_sources=2)
+
+
+def test_op8_cells_of_blocks(docs, monkeypatch):
+    whole = sorted((r.doc_id, r.taken, str(r.draws)) for r in mixing.mix_sources(docs, block_rows=2).collect())
+    monkeypatch.setattr(mixing, "CELL", 3)
+    assert sorted((r.doc_id, r.taken, str(r.draws)) for r in mixing.mix_sources(docs, block_rows=2).collect()) == whole
+
+
 def test_op9_viterbi(docs, rows, empty):
     v = sentencepiece.Vocabulary.load(piece_model())
     c = sentencepiece.Coder(v)
@@ -389,11 +601,122 @@ def test_op10_sections_of_large_hosts_and_deep_paths(spark):
     assert all(got[i] == ("allow" if good else "block") for i, _, good in wide + deep)
 
 
-def test_clashing_columns(docs):
-    x = docs.withColumns({"shard": F.lit("s"), "size": F.lit("z"), "ids": F.lit(1), "score": F.lit("q"), "_found": F.lit(2), "point": F.lit(3), "block": F.lit(4), "place": F.lit(5), "bucket": F.lit(6)})
-    n = docs.count()
-    for out in (sharding.shard_by_bytes(x, 2), quality.clean_lines(x), media.media_columns(x), privacy.pseudonymise(x, "k"), substrings.remove_repeats(x), mixing.mix_sources(x), sentencepiece.encode(x, piece_model()), jaccard.join_components(x)):
-        assert out.count() == n
+def plain_tree(pages, s):
+    """Verdicts by the template tree in plain Python. pages: (host, segments, good or None)."""
+    template = {}
+    levels = max((len(p) for _, p, _ in pages), default=0)
+    mine = {i: "" for i in range(len(pages))}
+    for depth in range(levels):
+        labelled, of = defaultdict(int), defaultdict(int)
+        for i, (h, p, good) in enumerate(pages):
+            if len(p) > depth and not mine[i].endswith("/**") and good is not None:
+                labelled[h, mine[i], p[depth]] += 1
+                of[h, mine[i]] += 1
+        step = {}
+        for i, (h, p, _) in enumerate(pages):
+            if len(p) > depth and not mine[i].endswith("/**"):
+                node = (h, mine[i])
+                step[i] = mine[i] + "/" + (p[depth] if labelled[(*node, p[depth])] >= s.support else "*" if of[node] >= s.support else "**")
+        mine |= step
+    marks = defaultdict(lambda: [0, 0])
+    for i, (h, _, good) in enumerate(pages):
+        m = marks[h, mine[i]]
+        if good is not None:
+            m[0 if good else 1] += 1
+    merged = {leaf: leaf[1] for leaf in marks}
+    for level in range(levels):
+        branch = defaultdict(lambda: [0, 0])
+        for leaf, (g, b) in marks.items():
+            branch[leaf[0], merged[leaf]][0] += g
+            branch[leaf[0], merged[leaf]][1] += b
+        opened = {}
+        for h, m in branch:
+            parts = m.split("/")
+            opened[h, m] = "/".join([*parts[: level + 1], "*", *parts[level + 2 :]]) if len(parts) > level + 1 else m
+        group = defaultdict(list)
+        for k in branch:
+            group[k[0], opened[k]].append(k)
+        to = {}
+        for (h, o), of in group.items():
+            all_g, all_b = (sum(branch[k][j] for k in of) for j in (0, 1))
+            for k in of:
+                g, b = branch[k]
+                n, rest = g + b, all_g + all_b - g - b
+                z = 0.0
+                if n and rest:
+                    p = all_b / (n + rest)
+                    spread = (p * (1 - p) * (1 / n + 1 / rest)) ** 0.5
+                    z = abs(b / n - (all_b - b) / rest) / spread if spread else 0.0
+                to[k] = o if len(of) > 1 and z < s.z else k[1]
+        merged = {leaf: to[leaf[0], m] for leaf, m in merged.items()}
+    pooled, hosts, whole = defaultdict(lambda: [0, 0]), defaultdict(lambda: [0, 0]), [0, 0]
+    for leaf, (g, b) in marks.items():
+        for at in (pooled[leaf[0], merged[leaf]], hosts[leaf[0]], whole):
+            at[0] += g
+            at[1] += b
+    smooth = lambda x, prior: (x[0] + s.weight * prior) / (sum(x) + s.weight)
+    prior = (whole[0] + 1) / (sum(whole) + 2)
+    return {i: (merged[h, mine[i]], smooth(pooled[h, merged[h, mine[i]]], smooth(hosts[h], prior))) for i, (h, _, _) in enumerate(pages)}
+
+
+def test_op10_tree_equals_plain_python(spark):
+    rnd = random.Random(9)
+    rows = []
+    for i in range(900):
+        host = f"h{rnd.randrange(4)}.example"
+        parts = [rnd.choice(["news", "shop", "forum", "a"]), rnd.choice(["x", "y", f"t{rnd.randrange(30)}", str(i)]), rnd.choice(["deep", str(i)])][: rnd.randrange(4)]
+        bad = parts[:1] == ["shop"] and rnd.random() < 0.9 or parts[:2] == ["news", "x"] and rnd.random() < 0.8 or rnd.random() < 0.1
+        rows.append((i, f"https://{host}/" + "/".join(parts), None if rnd.random() < 0.4 else int(not bad)))
+    pages = spark.createDataFrame(rows, "page_id long, url string, good int")
+    got = {r.page_id: (r.template, r.purity, r.verdict) for r in urls.judge_urls(pages, [], pages.where("good is not null").select("page_id", "good")).collect()}
+    plain = [(u.split("/")[2], [re.sub("[0-9]+", "{n}", x) for x in u.split("/")[3:] if x], good) for _, u, good in rows]
+    settings = urls.Settings()
+    for i, (template, purity) in plain_tree(plain, settings).items():
+        assert got[i][0] == template and abs(got[i][1] - purity) < 1e-9 and got[i][2] == ("block" if purity < settings.threshold else "allow")
+    assert len({v for _, _, v in got.values()}) == 2
+    none = spark.createDataFrame([], "page_id long, url string, good int")
+    assert urls.judge_urls(none, URL_RULES, none.select("page_id", "good")).count() == 0
+
+
+CLASH = ["shard", "size", "slot", "ids", "score", "_found", "_found_", "point", "block", "place", "bucket", "_k1", "_shard", "_cell", "_nth", "_start", "kept", "s", "draws", "taken", "target", "source_size", "key", "alike", "mix_shard", "_doc", "_point", "_lost", "segment", "pages"]
+
+
+def with_clash(df):
+    return df.withColumns({c: F.concat(F.lit(f"{c}-"), F.coalesce(F.col("doc_id"), F.lit(-1))) for c in CLASH})
+
+
+def same_rows(a, b):
+    columns = sorted(b.columns)
+    shown = lambda df: sorted(str([r[c] for c in columns]) for r in df.select(*columns).collect())
+    return shown(a) == shown(b)
+
+
+def test_clashing_columns(spark, docs):
+    """Results with clashing columns equal those without, and columns that are kept keep their values."""
+    some = docs.where("doc_id != 70").repartition(2, "doc_id").persist()
+    x, labels = with_clash(some), spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    for f in (quality.clean_lines, media.media_columns, jaccard.join_components, substrings.remove_repeats, mixing.mix_sources):
+        assert same_rows(f(x), f(some)), f
+    for f, replaced in (
+        (lambda d: sharding.shard_by_bytes(d, 2), ["size", "shard", "slot"]), (lambda d: privacy.pseudonymise(d, "k"), []), (lambda d: sentencepiece.encode(d, piece_model()), ["ids"]), (lambda d: toxicity.score_toxicity(d, labels), ["score"]),
+    ):
+        out, plain = f(x), f(some)
+        assert sorted(out.columns) == sorted({*plain.columns, *CLASH})
+        assert same_rows(out.select(*plain.columns), plain)
+        assert all(r[c] == f"{c}-{r.doc_id}" for r in out.select("doc_id", *[c for c in CLASH if c not in replaced]).collect() for c in CLASH if c not in replaced)
+    kept = mixing.mix_sources(x, keep=tuple(x.columns)).select("kept.*")
+    assert kept.columns == x.columns and same_rows(kept, x)
+    pages = spark.createDataFrame([(1, "http://a.net/b/1"), (2, None)], "page_id long, url string")
+    assert same_rows(urls.judge_urls(with_clash(pages.withColumn("doc_id", F.col("page_id"))), URL_RULES), urls.judge_urls(pages, URL_RULES))
+
+
+def test_op6_edges(spark, empty):
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(60)], "doc_id long, toxic int")
+    docs = spark.createDataFrame([(i, "blockhead here" if i % 4 == 0 else f"word{i} plain") for i in range(60)] + [(None, "blockhead here")] * 2, "doc_id long, text string")
+    got = toxicity.score_toxicity(docs, labels).withColumn("held", toxicity.held_out()).collect()
+    alike = {r.score for r in got if r.text == "blockhead here"}
+    assert len(got) == 62 and len(alike) == 1 and all(r.held is False for r in got if r.doc_id is None)
+    assert toxicity.score_toxicity(empty, labels).count() == 0 and toxicity.score_toxicity(docs, labels.where("false")).count() == 62
 
 
 @pytest.mark.skipif(not Path("/root/testdata/sf0.001").exists(), reason="no tables")
@@ -417,12 +740,12 @@ def test_pipeline_mixing_applies_shards(spark, docs, rows):
     out = corpus_pipeline.mix(spark, docs, "")
     got = out.withColumn("part", F.spark_partition_id()).collect()
     draws = [(r.doc_id, d.shard, d.place) for r in mixing.mix_sources(docs).collect() for d in r.draws]
-    assert sorted((r.doc_id, r.shard, r.place) for r in got) == sorted(draws)
+    assert sorted((r.doc_id, r.mix_shard, r.mix_place) for r in got) == sorted(draws)
     texts = {i: t for i, t, *_ in rows}
     assert all(r.text == texts[r.doc_id] for r in got)
-    at = [(r.shard, r.block_order, r.place) for r in got]
-    assert at == sorted(at) and len({r.shard for r in got}) > 1
-    assert all(len({r.shard for r in got if r.part == p}) == 1 for p in {r.part for r in got})
+    at = [(r.mix_shard, r.mix_block, r.mix_place) for r in got]
+    assert at == sorted(at) and len({r.mix_shard for r in got}) > 1
+    assert all(len({r.mix_shard for r in got if r.part == p}) == 1 for p in {r.part for r in got})
 
 
 def test_pipeline_near_copies_with_equal_ids(spark):
@@ -439,3 +762,40 @@ def test_pipeline_near_copies_with_equal_ids(spark):
     want = [(1, text("a")), (2, text("b")), (2, text("c")), (3, text("d")), (4, text("e")), (5, five[0]), (7, text("g")), (None, text("g"))]
     order = lambda r: (r[0] is None, r)
     assert got.columns == x.columns and sorted(kept, key=order) == sorted(want, key=order)
+
+
+def test_pipeline_stages_keep_columns_and_take_edges(spark, docs, rows, empty, tmp_path):
+    """Every stage on nulls, empty and long texts, repeated rows and ids, clashing columns, and an empty table."""
+    import corpus_pipeline
+
+    where = str(tmp_path)
+    spark.createDataFrame([(i, int(i % 9 == 0), 1) for i in range(30)], "doc_id long, toxic int, quality int").write.parquet(f"{where}/labels.parquet")
+    more = [(None, "an id is missing here", "en", None, 21), (3, "another text of id three", "en", "s1", 24), (8, rows[8][1], "en", "s1", 1), (8, rows[8][1], "en", "s1", 1)]
+    x = with_clash(docs.unionByName(spark.createDataFrame(more, DOCS)))
+    functions = dict(corpus_pipeline.STAGES)
+    for name in ("toxicity", "ngram_jaccard", "pii"):
+        out = functions[name](spark, x, where)
+        assert out.columns == x.columns and functions[name](spark, empty, where).count() == 0
+        assert all(r[c] == f"{c}-{-1 if r.doc_id is None else r.doc_id}" for r in out.collect() for c in CLASH)
+    near = [(r.doc_id, r.text) for r in functions["ngram_jaccard"](spark, x, where).collect()]
+    assert (None, more[0][1]) in near and (3, more[1][1]) in near and near.count((8, rows[8][1])) == 1
+    mixed = functions["mixing"](spark, x, where)
+    assert mixed.columns[: len(x.columns)] == x.columns and "mix_shard_" in mixed.columns
+    assert all(r[c] == f"{c}-{-1 if r.doc_id is None else r.doc_id}" for r in mixed.collect() for c in CLASH)
+    coded = functions["sentencepiece"](spark, mixed, where)
+    assert coded.count() == mixed.count() and coded.where("not round_trip").count() == 0 and "mix_shard_" in coded.columns
+    assert functions["mixing"](spark, empty, where).count() == functions["sentencepiece"](spark, empty, where).count() == 0
+
+
+@pytest.mark.skipif(not Path("/root/testdata/sf0.001").exists(), reason="no tables")
+@pytest.mark.parametrize("name", sorted(queries.SQL))
+def test_equals_sql(spark, name):
+    import duckdb
+
+    where = "/root/testdata/sf0.001"
+    c = duckdb.connect()
+    c.sql(f"CREATE VIEW documents AS SELECT * FROM '{where}/documents.parquet'")
+    want = c.sql(queries.SQL[name])
+    got = queries.QUERIES[name](spark, where)
+    assert sorted(got.columns) == sorted(want.columns)
+    assert sorted(map(tuple, got.select(*want.columns).collect())) == sorted(want.fetchall())

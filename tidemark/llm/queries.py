@@ -60,17 +60,42 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_urls(pages, URL_RULES, labels)
 
 
-#: The model file is the tokenizer package's; another path works as well.
-def piece_model() -> str:
+#: Names the model file of pieces; unset, the tokenizer package's is taken.
+PIECES = "spark.tidemark.pieces"
+
+
+def piece_model(spark: SparkSession | None = None) -> str:
+    if spark is not None and (path := spark.conf.get(PIECES, None)):
+        return path
     import public_tokenizers
 
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    coded = sentencepiece.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), piece_model())
+    coded = sentencepiece.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), piece_model(spark))
     return coded.select("doc_id", "n_tokens", "round_trip", "ids")
 
 
-QUERIES = {"op1_sharding": op1_sharding, "op10_url_filters": op10_url_filters, "op2_quality_rules": op2_quality_rules, "op3_ngram_jaccard": op3_ngram_jaccard, "op4_media_columns": op4_media_columns, "op5_pii": op5_pii, "op6_toxicity": op6_toxicity, "op7_substring_dedup": op7_substring_dedup, "op8_mixing": op8_mixing, "op9_sentencepiece": op9_sentencepiece}
-SQL: dict[str, str] = {}
+QUERIES = {
+    "op1_sharding": op1_sharding, "op2_quality_rules": op2_quality_rules, "op3_ngram_jaccard": op3_ngram_jaccard, "op4_media_columns": op4_media_columns, "op5_pii": op5_pii,
+    "op6_toxicity": op6_toxicity, "op7_substring_dedup": op7_substring_dedup, "op8_mixing": op8_mixing, "op9_sentencepiece": op9_sentencepiece, "op10_url_filters": op10_url_filters,
+}
+
+_SPLIT = r"list_filter(regexp_split_to_array({0}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+_LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+#: For the operators whose results SQL can state outright; the others are held against brute force in tests.
+SQL: dict[str, str] = {
+    "op3_ngram_jaccard": f"""WITH RECURSIVE w AS (SELECT doc_id, {_SPLIT.format(_LOW)} AS ws FROM documents),
+      s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) >= 5 THEN list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) WHEN len(ws) > 0 THEN [array_to_string(ws, ' ') || '|' || len(ws)] ELSE [] END) AS g FROM w),
+      n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1), pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+      links AS (SELECT a, b FROM pairs JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)), ends AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+      reach(a, b) AS (SELECT a, b FROM ends UNION SELECT r.a, e.b FROM reach r JOIN ends e ON r.b = e.a), least AS (SELECT a, min(b) AS b FROM reach GROUP BY 1)
+      SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce(l.b, d.doc_id)) AS component_id FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN least l ON l.a = d.doc_id""",
+    "op7_substring_dedup": f"""WITH w AS (SELECT doc_id, {_SPLIT.format("coalesce(text, '')")} AS ws FROM documents),
+      win AS (SELECT doc_id, i, array_to_string(ws[i:i + 12], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM w WHERE len(ws) >= 13)),
+      head AS (SELECT g, min(doc_id) AS f FROM win GROUP BY 1), gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS p FROM win JOIN head USING (g) WHERE f < doc_id),
+      each AS (SELECT doc_id, unnest(ws) AS x, unnest(range(1, len(ws) + 1)) AS p FROM w), kept AS (SELECT doc_id, count(*) AS n, string_agg(x, ' ' ORDER BY p) AS t FROM each ANTI JOIN gone USING (doc_id, p) GROUP BY 1)
+      SELECT w.doc_id, len(ws) AS n_words, CAST(len(ws) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM w LEFT JOIN kept ON kept.doc_id = w.doc_id""",
+}

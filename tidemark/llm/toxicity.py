@@ -8,12 +8,14 @@ A word matches an entry of the trie when an automaton of the word accepts it wit
 Hits in quotation marks, or near words of reporting, count apart.
 
 Null and empty texts have no words and get the score of a document without hits. Without labels of both kinds every score
-is the share of toxic labels (0 without labels). Repeated rows are scored alike, one result each.
+is the share of toxic labels (0 without labels). Repeated rows are scored alike, one result each. An empty table gives an
+empty result. Columns of df named like the new ones (FEATURES, score, predicted) are replaced, others are kept.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -138,8 +140,9 @@ def features(text: str, trie: Trie, memo: dict) -> list[float]:
             continue
         hits += 1
         if spans is None:
-            spans = [s.span() for s in QUOTED.finditer(low)]
-        if n - recent <= WINDOW or any(a < m.start() < b for a, b in spans):
+            spans = [s.span() for s in QUOTED.finditer(low)]  # in order and apart
+        at = bisect_left(spans, (m.start(), 0)) - 1
+        if n - recent <= WINDOW or (at >= 0 and m.start() < spans[at][1]):
             quoted += found[0]
         elif found[1]:
             fuzzy += found[0]
@@ -228,7 +231,8 @@ def score(df: DataFrame, model: Model, text_col: str = "text", threshold: float
 
 
 def held_out(doc_id="doc_id"):
-    return F.crc32(F.col(doc_id).cast("string")) % 4 == 2
+    """Whether a row is of the fold that is never learned from; not so without an id."""
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 4 == 2, F.lit(False))
 
 
 def score_toxicity(df: DataFrame, labels: DataFrame, threshold: float = 0.3, limits: Limits = Limits(), learn_from: DataFrame | None = None) -> DataFrame:

@@ -1,11 +1,13 @@
 """URL filter by a path-template tree.
 
-Every path is a list of segments whose digit runs stand for any number. Per host, level by level, to the
-paths' full depth, a segment with few labelled pages of its own becomes a wildcard, however many siblings it has; branches whose labelled rates don't differ significantly from their siblings' merge; a
-template is rejected when its smoothed labelled purity is under a threshold. Explicit rules come first.
+Every path is a list of segments whose digit runs stand for any number. Per host, level by level, to the paths' full depth,
+a segment with few labelled pages of its own becomes a wildcard, however many siblings it has; branches whose labelled
+rates don't differ significantly from their siblings' merge; a template is rejected when its smoothed labelled purity is
+under a threshold. Explicit rules come first.
 
 Null urls and urls without "://" have an empty host and path, fit no rule, and get the verdict of the empty template.
-Repeated rows are judged alike, one result each. An empty table gives an empty result.
+Repeated rows are judged alike, one result each. An empty table gives an empty result. Columns of df but the id and the
+url are not read, whatever their names.
 """
 
 from __future__ import annotations
