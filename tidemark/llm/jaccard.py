@@ -7,8 +7,9 @@ each point goes to the regions of its first shingles, rarest first by a sketch o
 A region knows how many of a point's shingles come before its own in that order. The first shingle that two points share
 has none of the other's before it, so a pair is looked at only in regions where what follows is enough to link them.
 
-In each region the point with the least before its shingle is the next pivot. All others are measured against it; the
-region splits into rings by distance, with the triangle inequality as window: points whose distances differ by more than
+In each region the point with the least before its shingle is the next pivot. Each point is measured against the pivot of one
+of its regions first; near copies mostly come together by that. In a region that still has several components all others
+are measured against its pivot; the region splits into rings by distance, with the triangle inequality as window: points whose distances differ by more than
 1 - t can't link, so a ring meets its neighbour only. Rings that hold one component are finished; in the others, pivots of different components are measured
 against the points of the other components, again and again, until none is left. A pair within a component is never
 measured. So near copies cost one measure each, and no group's pairs are listed.
@@ -305,14 +306,26 @@ def join_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         """Whether sets of n and m shingles can link of which left and right are at hand."""
         return F.least(left, right) * (100 + percent) >= (n + m) * percent
 
-    # First pivots of the regions; in a large one every point is measured against it, else those that may link.
+    def linked(rows: DataFrame) -> DataFrame:
+        return rows.where("link").select(F.col("x").alias("a"), F.col("p").alias("b"))
+
+    # First pivots of the regions. Each point is measured against one of them, that of the region which its rarest shingle makes.
     nearest = F.min_by(F.struct("point", "n", "place"), F.struct(F.col("place") / F.col("n"), "point"))
     pivots = regions.groupBy("region").agg(nearest.alias("p"), (F.count("*") >= RINGS_FROM).alias("large"))
     with_pivot = regions.join(pivots, "region").withColumn("left", F.col("n") - F.col("place")).withColumnRenamed("point", "x").where("x != p.point")
     possible = may_link(F.col("n"), F.col("left"), F.col("p.n"), F.col("p.n") - F.col("p.place"))
-    with_pivot = with_pivot.select("region", "x", "n", "left", "large", possible.alias("possible"), F.col("p.point").alias("p"))
-    tested = measured(with_pivot.where("large or possible").select("x", "p").distinct())
-    found = written(components(tested.where("link").select(F.col("x").alias("a"), F.col("p").alias("b"))))
+    with_pivot = written(with_pivot.select("region", "x", "n", "left", "place", "large", possible.alias("possible"), F.col("p.point").alias("p")))
+    tested = measured(with_pivot.where("large or possible").groupBy("x").agg(F.min_by("p", F.struct("place", "p")).alias("p")))
+    found = written(components(linked(tested)))
+    # Where a region still has points of another component than its pivot's, those that may link with it are measured too, in a large one all.
+    root_of = lambda c: found.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
+    apart = with_pivot.join(root_of("x"), "x", "left").join(root_of("p"), "p", "left").withColumn("apart", F.coalesce("root_x", "x") != F.coalesce("root_p", "p"))
+    apart = written(apart.drop("root_x", "root_p"))
+    with_pivot = written(apart.join(apart.where("apart").select("region").distinct(), "region", "left_semi"))
+    new = measured(with_pivot.where("large or (possible and apart)").select("x", "p").distinct().join(tested.select("x", "p"), ["x", "p"], "left_anti"))
+    tested = tested.unionByName(new)
+    if linked(new).limit(1).count():
+        found = merged(found, linked(new))
     # Rings: a point lies in its own and is copied to the next; width 1 - t, less rounding.
     ring = F.floor(F.col("distance") / ((100 - percent) / 100 + 1e-9)).cast("int")
     rings = with_pivot.where("large").join(tested.select("x", "p", "distance"), ["x", "p"]).withColumn("ring", F.explode(F.array(ring, ring + 1)))
@@ -334,9 +347,8 @@ def join_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         pairs = rest.join(pivot, "region").where("root != of_p").where(may_link(F.col("n"), F.col("left"), F.col("m"), F.col("right"))).select(F.col("point").alias("x"), "p").distinct()
         new = measured(pairs.join(tested.select("x", "p"), ["x", "p"], "left_anti").join(tested.select(F.col("x").alias("p"), F.col("p").alias("x")), ["x", "p"], "left_anti"))
         tested = tested.unionByName(new)  # (x, p) of all rounds, files of their own
-        links = new.where("link").select(F.col("x").alias("a"), F.col("p").alias("b"))
-        if links.limit(1).count():
-            found = merged(found, links)
+        if linked(new).limit(1).count():
+            found = merged(found, linked(new))
         used = pivot.select("region", F.col("p").alias("point"))
         rest = written(unsettled(rest.drop("root").join(used, ["region", "point"], "left_anti")))
         most *= 2
