@@ -13,9 +13,15 @@ def segments(w: WindowSpec, size: int):
     return F.floor((F.row_number().over(w) - 1) / size).cast("long")
 
 
-def causal_conv(x: str, weights: list[float], w: WindowSpec):
-    """Sum of weights[k] * the value k rows before; 0 before the start."""
-    return sum((F.lit(c) * F.coalesce(F.lag(x, k).over(w), F.lit(0.0)) for k, c in enumerate(weights)), F.lit(0.0))
+def causal_conv(x: str, weights: list[float], w: WindowSpec, before: list[float] | None = None):
+    """Sum of weights[k] * the value k rows before. Before the start come the values of `before`, the last of them nearest, then 0."""
+    known = F.array(*[F.lit(float(v)) for v in [0.0] * len(weights) + list(before or [])])
+    at = F.row_number().over(w) - 1
+
+    def back(k: int):
+        return F.when(at >= k, F.coalesce(F.lag(x, k).over(w), F.lit(0.0))).otherwise(F.try_element_at(known, at - k)) if k else F.coalesce(F.col(x), F.lit(0.0))
+
+    return sum((F.lit(c) * back(k) for k, c in enumerate(weights)), F.lit(0.0))
 
 
 def selective_scan(df: DataFrame, keys: list[str], cell: str, order: list[str], x: str, dt: str, a: list[float], b: str, c: str, skip: float, out: str) -> DataFrame:

@@ -18,6 +18,7 @@ from ..operators import sequences as Q
 from ..operators import statements as N
 from ..sources import files, sinks
 from ..streaming import bars as streams
+from ..streaming import state as running
 from ..streaming.sinks import drained, shared_folder
 from .catalogue import BARS, DAILY, DAYS, PRED, RETURNS, TICKS, _days, _full, _predictions, _tick_stream, daily, rounded, t, ticks
 
@@ -538,14 +539,14 @@ def three_streams(spark, d):
 # --- files ------------------------------------------------------------------------------------------------------------
 
 
-@query("SELECT CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS day, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders WHERE o_orderdate >= DATE '1996-03-01' AND o_orderdate < DATE '1996-06-01' GROUP BY 1")
+@query("SELECT CAST(CAST(date_trunc('month', o_orderdate) AS DATE) AS VARCHAR) AS day, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders WHERE date_trunc('month', o_orderdate) BETWEEN DATE '1996-03-01' AND DATE '1997-11-30' GROUP BY 1")
 def daily_files(spark, d):
-    """Orders as a folder a day, written in two runs of which the second skips what is there; a range of days read back by path."""
+    """Orders as a folder a day (their month's first), written in two runs of which the second skips what is there; a range of days read back by path."""
     folder = shared_folder(spark)
-    o = t(spark, d, "orders").where("o_orderdate >= '1996-01-01' and o_orderdate < '1997-01-01'").withColumn("date", F.to_date("o_orderdate"))
-    sinks.write_days(o.where("o_orderdate < '1996-05-01'"), folder)
+    o = t(spark, d, "orders").withColumn("date", F.trunc("o_orderdate", "MM"))
+    sinks.write_days(o.where("date < '1998-05-01'"), folder)
     sinks.write_days(o, folder)
-    x = spark.read.parquet(folder).where(F.col("date").between(F.lit("1996-03-01").cast("date"), F.lit("1996-05-31").cast("date")))
+    x = files.daily_parquet(spark, folder, "1996-03-01", "1997-11-30", nested=True)
     return x.groupBy(F.col("date").cast("string").alias("day")).agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
 
 
@@ -601,6 +602,51 @@ def first_hundred(spark, d):
     return files.csv_columns(spark, folder, {"flag": "string", "day": "string", "v": "double"})
 
 
+@query("SELECT o_orderpriority AS priority, count(*) AS n, round(avg(o_totalprice), 2) AS mean FROM orders GROUP BY 1")
+def statistics_file(spark, d):
+    """Statistics of a run: one Parquet file, then JSON lines, read back."""
+    folder = shared_folder(spark)
+    x = t(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("priority")).agg(F.count("*").alias("n"), F.round(F.avg("o_totalprice"), 2).alias("mean"))
+    sinks.write_one(x, f"{folder}/one")
+    sinks.write_statistics(spark.read.parquet(f"{folder}/one"), f"{folder}/json")
+    return spark.read.schema("priority string, n bigint, mean double").json(f"{folder}/json")
+
+
+@query("SELECT n_nationkey AS id, n_name AS name, CASE WHEN n_nationkey % 2 = 0 THEN n_regionkey END AS region FROM nation")
+def concatenated_files(spark, d):
+    """Two files of which one lacks a column."""
+    folder, n = shared_folder(spark), t(spark, d, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"), F.col("n_regionkey").alias("region"))
+    n.where("id % 2 = 0").write.parquet(f"{folder}/even")
+    n.where("id % 2 = 1").drop("region").write.parquet(f"{folder}/odd")
+    return files.concatenated(spark, [f"{folder}/even", f"{folder}/odd"])
+
+
+@query("SELECT coalesce(s_nationkey, n_nationkey) AS nation, n_name AS name, round(balance, 2) AS balance FROM nation FULL JOIN (SELECT s_nationkey, sum(s_acctbal) AS balance FROM supplier GROUP BY 1) ON s_nationkey = n_nationkey")
+def optional_sources(spark, d):
+    """Sources by configuration: two of three exist; what is there is joined on the key."""
+    folder = shared_folder(spark)
+    t(spark, d, "supplier").groupBy(F.col("s_nationkey").alias("nation")).agg(F.sum("s_acctbal").alias("balance")).write.parquet(f"{folder}/balances")
+    t(spark, d, "nation").select(F.col("n_nationkey").alias("nation"), F.col("n_name").alias("name"), "n_regionkey").write.parquet(f"{folder}/names")
+    found = files.optional_sources(spark, {"names": ([f"{folder}/old", f"{folder}/names"], ["nation", "name", "motto"]), "flags": ([f"{folder}/flags"], ["nation", "flag"]), "balances": ([f"{folder}/balances"], ["nation", "balance"])})
+    return rounded(K.outer_all(list(found.values()), ["nation"]), 2)
+
+
+@query("SELECT o_orderkey AS id, CAST(year(o_orderdate) AS VARCHAR) || '-' || o_orderkey || '.parquet' AS name FROM orders WHERE year(o_orderdate) IN (1996, 1998)")
+def files_of_years(spark, d):
+    """The fresh index of a store's files, kept to the names of two years."""
+    o = t(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.concat(F.lit("news/"), F.year("o_orderdate"), F.lit("-"), "o_orderkey", F.lit(".parquet")).alias("key"))
+    held = files.index_or_listing(o, o.where("false"), "2024-01-01", "2024-01-16")
+    return files.of_patterns(files.with_prefix(held, ["news/", "options/"]), ["1996-*", "1998-*"]).select("id", F.substring_index("key", "/", -1).alias("name"))
+
+
+@query(f"WITH {DAILY}, n AS (SELECT flag, day, v / 1e5 AS v, row_number() {W_DAY} AS i FROM daily), c AS (SELECT flag, day, 0.5 * v + 0.3 * CASE WHEN i > 1 THEN lag(v, 1) {W_DAY} ELSE 2 END + 0.2 * CASE WHEN i > 2 THEN lag(v, 2) {W_DAY} WHEN i = 2 THEN 2 ELSE 1 END AS x FROM n) SELECT flag, CAST(day AS VARCHAR) AS day, round(x / (1 + exp(-x)), 6) AS conv FROM c")
+def conv_with_state(spark, d):
+    """A causal convolution that goes on from two earlier values, through the gate x * sigmoid(x)."""
+    x, w = _days(spark, d)
+    c = x.withColumn("v", F.col("v") / 1e5).select("flag", "day", Q.causal_conv("v", [0.5, 0.3, 0.2], w, [1.0, 2.0]).alias("x"))
+    return rounded(c.select("flag", "day", S.silu(F.col("x")).alias("conv")), 6)
+
+
 # --- streams ----------------------------------------------------------------------------------------------------------
 
 
@@ -611,6 +657,13 @@ def stream_sliding(spark, d):
     return rounded(drained(x, "update", ["ticker", "bar"], "n"))
 
 
+@query(f"WITH {TICKS}, n AS (SELECT ticker, tick_id, price, row_number() OVER (PARTITION BY ticker ORDER BY ts, tick_id) AS i FROM ticks) SELECT ticker, tick_id, round(exp(-0.01 * i) * sum(exp(0.01 * i) * price) OVER (PARTITION BY ticker ORDER BY i ROWS UNBOUNDED PRECEDING), 3) AS h FROM n")
+def stream_scan(spark, d):
+    """The scan h = exp(-0.01) * h + price over a stream, whose state is one number a ticker."""
+    x = _tick_stream(spark, d).select("ticker", "ts", "tick_id", "price")
+    return drained(running.stream_scan(x, "ticker", ["ts", "tick_id"], "price", 0.01)).select("ticker", "tick_id", F.round("h", 3).alias("h"))
+
+
 @query(f"WITH {TICKS}, g AS (SELECT *, CASE WHEN ts - lag(ts) OVER w < INTERVAL '30 minutes' THEN 0 ELSE 1 END AS fresh FROM ticks WINDOW w AS (PARTITION BY ticker ORDER BY ts)), s AS (SELECT *, sum(fresh) OVER (PARTITION BY ticker ORDER BY ts ROWS UNBOUNDED PRECEDING) AS session FROM g) SELECT ticker, CAST(min(ts) AS VARCHAR) AS start, CAST(max(ts) + INTERVAL '30 minutes' AS VARCHAR) AS end, count(*) AS n FROM s GROUP BY ticker, session")
 def stream_sessions(spark, d):
     """Runs of ticks less than half an hour apart, in batch form: a session window that streams use as well."""

@@ -14,8 +14,9 @@ def day_of_name(path: Column) -> Column:
 
 
 def day_of_folders(path: Column) -> Column:
-    """The day that a file's folders give (`2024/01/05/x.parquet`), or null."""
-    return F.regexp_replace(F.regexp_extract(path, r"/(\d{4}/\d{2}/\d{2})/[^/]*$", 1), "/", "-").try_cast("date")
+    """The day that a file's folders give (`2024/01/05/x.parquet`, `date=2024-01-05/x.parquet`), or null."""
+    folders = F.regexp_extract(path, r"/(?:\w+=)?(\d{4}[/-]\d{2}[/-]\d{2})/[^/]*$", 1)
+    return F.replace(folders, F.lit("/"), F.lit("-")).try_cast("date")
 
 
 def daily_parquet(spark: SparkSession, folder: str, first: str | None = None, last: str | None = None, date_col: str = "date", nested: bool = False) -> DataFrame:
@@ -83,6 +84,35 @@ def optional_parquet(spark: SparkSession, candidates: list[str], columns: list[s
     return None
 
 
+def optional_sources(spark: SparkSession, sources: dict[str, tuple[list[str], list[str]]]) -> dict[str, DataFrame]:
+    """By name those of the sources (candidate paths, wanted columns) that exist, each with the columns that it has."""
+    found = {name: optional_parquet(spark, paths, columns) for name, (paths, columns) in sources.items()}
+    return {name: rows for name, rows in found.items() if rows is not None}
+
+
+def concatenated(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """Files of one kind under each other; a column that a file lacks is null there."""
+    frames = [spark.read.parquet(p) for p in paths]
+    out = frames[0]
+    for more in frames[1:]:
+        out = out.unionByName(more, allowMissingColumns=True)
+    return out
+
+
+def of_patterns(df: DataFrame, patterns: list[str], path: str = "key") -> DataFrame:
+    """Rows whose file name fits one of the patterns, * for anything: `2024-*`."""
+    name, test = F.substring_index(F.col(path), "/", -1), F.lit(False)
+    for p in patterns:
+        test |= name.like(p.replace("%", r"\%").replace("_", r"\_").replace("*", "%"))
+    return df.where(test)
+
+
+def index_or_listing(index: DataFrame, listed: DataFrame, indexed_at: str, now: str, days: int = 15) -> DataFrame:
+    """The stored index while it is no older than `days`, else what a new listing found."""
+    age = _days(now) - _days(indexed_at)
+    return index if 0 <= age <= days else listed
+
+
 def listing(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
     """key (the path below root), size and modified of every file under root; no content is read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(root)

@@ -1,4 +1,4 @@
-"""Running state by key over a stream: the cumulative z-score, whose count and sums live in the state store."""
+"""Running state by key over a stream: the cumulative z-score, whose count and sums live in the state store, and a scan."""
 
 from __future__ import annotations
 
@@ -32,3 +32,25 @@ def stream_cumulative_zscore(rows: DataFrame, key: str, order: list[str], value:
 
     out = ", ".join([f"`{c}` {kinds[c]}" for c in columns] + ["z double"])
     return rows.select(*columns).groupBy(key).applyInPandasWithState(update, out, "n bigint, total double, squares double", "append", GroupStateTimeout.NoTimeout)
+
+
+def stream_scan(rows: DataFrame, key: str, order: list[str], value: str, decay: float) -> DataFrame:
+    """Rows of the stream's key, order and value columns with h = exp(-decay) * h + value; null values count as 0. State: one number a key."""
+    kinds = dict(rows.dtypes)
+    columns = list(dict.fromkeys([key, *order, value]))
+
+    def update(k, parts, state):
+        import math
+
+        import pandas as pd
+
+        h, out, keep = state.get[0] if state.exists else 0.0, [], math.exp(-decay)
+        batch = pd.concat(list(parts)).sort_values(order, kind="stable")
+        for v in batch[value].fillna(0.0).tolist():
+            h = keep * h + v
+            out.append(h)
+        state.update((h,))
+        yield batch.assign(h=out)[[*columns, "h"]]
+
+    out = ", ".join([f"`{c}` {kinds[c]}" for c in columns] + ["h double"])
+    return rows.select(*columns).groupBy(key).applyInPandasWithState(update, out, "h double", "append", GroupStateTimeout.NoTimeout)
