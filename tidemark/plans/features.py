@@ -66,19 +66,27 @@ def _ratio(a: str, b: str) -> str:
     return f"CASE WHEN sum({b}) > 0 THEN sum({a}) / sum({b}) ELSE 0 END"
 
 
-@query(f"""WITH {ST}, g AS (SELECT *, last_value(revenue IGNORE NULLS) OVER (PARTITION BY day, sector ORDER BY ticker ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM latest)
-  SELECT CAST(day AS VARCHAR) AS day, sector, count(*) AS n_reported, round(coalesce(avg((revenue - before) / nullif(before, 0)), 0), 4) AS rev_growth, round({_ratio('gross_profit', 'revenue')}, 4) AS gross_margin,
-  round({_ratio('operating_income', 'revenue')}, 4) AS op_margin, round({_ratio('net_income', 'revenue')}, 4) AS net_margin, round(coalesce(avg(CASE WHEN net_income > 0 THEN 1.0 WHEN net_income IS NOT NULL THEN 0 END), 0), 4) AS pct_profitable FROM g GROUP BY 1, 2""")
+@query(f"""WITH {ST}, g AS (SELECT *, last_value(revenue IGNORE NULLS) OVER (PARTITION BY day, sector ORDER BY ticker ROWS
+  BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM latest)
+  SELECT CAST(day AS VARCHAR) AS day, sector, count(*) AS n_reported, round(coalesce(avg((revenue - before) / nullif(before,
+  0)), 0), 4) AS rev_growth, round({_ratio('gross_profit', 'revenue')}, 4) AS gross_margin,
+  round({_ratio('operating_income', 'revenue')}, 4) AS op_margin, round({_ratio('net_income', 'revenue')}, 4) AS
+  net_margin, round(coalesce(avg(CASE WHEN net_income > 0 THEN 1.0 WHEN net_income IS NOT NULL THEN 0 END), 0),
+  4) AS pct_profitable FROM g GROUP BY 1, 2""")
 def sector_income(spark, d):
     return rounded(N.income(_latest(spark, d), ["day", "sector"], "ticker"))
 
 
-@query(f"WITH {ST} SELECT CAST(day AS VARCHAR) AS day, sector, round({_ratio('liabilities', 'equity')}, 4) AS debt_equity, round({_ratio('current_assets', 'current_liabilities')}, 4) AS current_ratio, round({_ratio('cash', 'current_liabilities')}, 4) AS cash_ratio FROM latest GROUP BY 1, 2")
+@query(f"""WITH {ST} SELECT CAST(day AS VARCHAR) AS day, sector, round({_ratio('liabilities', 'equity')}, 4) AS debt_equity,
+  round({_ratio('current_assets', 'current_liabilities')}, 4) AS current_ratio, round({_ratio('cash', 'current_liabilities')},
+  4) AS cash_ratio FROM latest GROUP BY 1, 2""")
 def sector_balance(spark, d):
     return rounded(N.balance(_latest(spark, d), ["day", "sector"]))
 
 
-@query(f"WITH {ST} SELECT CAST(day AS VARCHAR) AS day, sector, round(CASE WHEN sum(assets) > 0 THEN (coalesce(sum(operating_cash), 0) - coalesce(sum(abs(capex)), 0)) / sum(assets) ELSE 0 END, 6) AS fcf_margin, round(coalesce(sum(abs(buybacks)), 0) / 1e9, 8) AS buyback_rate FROM latest GROUP BY 1, 2")
+@query(f"""WITH {ST} SELECT CAST(day AS VARCHAR) AS day, sector, round(CASE WHEN sum(assets) > 0 THEN (coalesce(sum(operating_cash),
+  0) - coalesce(sum(abs(capex)), 0)) / sum(assets) ELSE 0 END, 6) AS fcf_margin, round(coalesce(sum(abs(buybacks)),
+  0) / 1e9, 8) AS buyback_rate FROM latest GROUP BY 1, 2""")
 def sector_cash_flow(spark, d):
     x = N.cash_flow(_latest(spark, d), ["day", "sector"])
     return x.select(F.col("day").cast("string").alias("day"), "sector", F.round("fcf_margin", 6).alias("fcf_margin"), F.round("buyback_rate", 8).alias("buyback_rate"))
@@ -96,7 +104,9 @@ def sector_wide(spark, d):
 SIDES = "a AS (SELECT o_custkey AS k, CAST(o_orderdate AS DATE) AS day, o_orderpriority AS p, sum(o_totalprice) AS revenue, count(*) AS n FROM orders WHERE o_orderkey % 2 = 0 GROUP BY 1, 2, 3), b AS (SELECT o_custkey AS k, CAST(o_orderdate AS DATE) AS day, o_orderpriority AS p, max(o_totalprice) AS most, 7 AS n FROM orders WHERE o_orderkey % 3 = 0 GROUP BY 1, 2, 3)"
 
 
-@query(f"WITH {SIDES} SELECT k, CAST(day AS VARCHAR) AS day, p, round(revenue, 2) AS revenue, n, round(most, 2) AS most FROM (SELECT coalesce(a.k, b.k) AS k, coalesce(a.day, b.day) AS day, coalesce(a.p, b.p) AS p, revenue, a.n, most FROM a FULL JOIN b ON a.k = b.k AND a.day = b.day AND a.p = b.p)")
+@query(f"""WITH {SIDES} SELECT k, CAST(day AS VARCHAR) AS day, p, round(revenue, 2) AS revenue, n, round(most, 2) AS most
+  FROM (SELECT coalesce(a.k, b.k) AS k, coalesce(a.day, b.day) AS day, coalesce(a.p, b.p) AS p, revenue, a.n, most
+  FROM a FULL JOIN b ON a.k = b.k AND a.day = b.day AND a.p = b.p)""")
 def statements_outer_join(spark, d):
     o, keys = t(spark, d, "orders"), [F.col("o_custkey").alias("k"), F.to_date("o_orderdate").alias("day"), F.col("o_orderpriority").alias("p")]
     a = o.where("o_orderkey % 2 = 0").groupBy(*keys).agg(F.sum("o_totalprice").alias("revenue"), F.count("*").alias("n"))
@@ -104,13 +114,16 @@ def statements_outer_join(spark, d):
     return rounded(K.outer_all([a, b], ["k", "day", "p"]), 2)
 
 
-@query("WITH m AS (SELECT avg(o_totalprice) AS m, stddev_samp(o_totalprice) AS s FROM orders) SELECT o_orderkey, round((o_totalprice - m) / s, 4) AS z FROM orders, m WHERE abs((o_totalprice - m) / s) > 1.5")
+@query("""WITH m AS (SELECT avg(o_totalprice) AS m, stddev_samp(o_totalprice) AS s FROM orders) SELECT o_orderkey, round((o_totalprice
+  - m) / s, 4) AS z FROM orders, m WHERE abs((o_totalprice - m) / s) > 1.5""")
 def large_moves(spark, d):
     x = N.standardised(t(spark, d, "orders").select("o_orderkey", "o_totalprice"), ["o_totalprice"]).withColumnRenamed("o_totalprice_z", "z")
     return rounded(K.large_moves(x, "z", 1.5).select("o_orderkey", "z"))
 
 
-@query("WITH m AS (SELECT avg(l_quantity) AS q, stddev_pop(l_quantity) + 1e-8 AS qs, avg(l_tax) AS x, stddev_pop(l_tax) + 1e-8 AS xs FROM lineitem WHERE l_shipdate <= DATE '1998-12-31') SELECT l_orderkey, l_linenumber, l_partkey, round((l_quantity - q) / qs, 4) AS quantity_z, round((l_tax - x) / xs, 4) AS tax_z FROM lineitem, m")
+@query("""WITH m AS (SELECT avg(l_quantity) AS q, stddev_pop(l_quantity) + 1e-8 AS qs, avg(l_tax) AS x, stddev_pop(l_tax)
+  + 1e-8 AS xs FROM lineitem WHERE l_shipdate <= DATE '1998-12-31') SELECT l_orderkey, l_linenumber, l_partkey,
+  round((l_quantity - q) / qs, 4) AS quantity_z, round((l_tax - x) / xs, 4) AS tax_z FROM lineitem, m""")
 def train_only_zscore(spark, d):
     x = t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_shipdate", F.col("l_quantity").alias("quantity"), F.col("l_tax").alias("tax"))
     z = N.standardised(x, ["quantity", "tax"], F.col("l_shipdate") <= F.lit("1998-12-31").cast("date"))
@@ -120,8 +133,11 @@ def train_only_zscore(spark, d):
 FY = "CAST(year({0}) - CASE WHEN month({0}) <= 3 THEN 1 ELSE 0 END AS INTEGER)"
 
 
-@query(f"""WITH f AS (SELECT c_mktsegment AS sector, CAST(o_orderdate AS DATE) AS filed, o_totalprice AS v, CAST(year(o_orderdate) AS INTEGER) AS fy FROM orders JOIN customer ON c_custkey = o_custkey), q AS (SELECT DISTINCT sector, CAST(date_trunc('month', filed) AS DATE) AS day FROM f), d AS (SELECT *, {FY.format('day')} AS fy FROM q)
-  SELECT d.sector, CAST(d.day AS VARCHAR) AS day, count(f.v) AS n, round(coalesce(sum(f.v), 0), 2) AS total FROM d LEFT JOIN f ON f.sector = d.sector AND f.filed <= d.day AND f.fy IN (d.fy, d.fy - 1) GROUP BY 1, 2""")
+@query(f"""WITH f AS (SELECT c_mktsegment AS sector, CAST(o_orderdate AS DATE) AS filed, o_totalprice AS v, CAST(year(o_orderdate)
+  AS INTEGER) AS fy FROM orders JOIN customer ON c_custkey = o_custkey), q AS (SELECT DISTINCT sector, CAST(date_trunc('month',
+  filed) AS DATE) AS day FROM f), d AS (SELECT *, {FY.format('day')} AS fy FROM q)
+  SELECT d.sector, CAST(d.day AS VARCHAR) AS day, count(f.v) AS n, round(coalesce(sum(f.v), 0), 2) AS total FROM
+  d LEFT JOIN f ON f.sector = d.sector AND f.filed <= d.day AND f.fy IN (d.fy, d.fy - 1) GROUP BY 1, 2""")
 def expanding_history(spark, d):
     f = t(spark, d, "orders").join(t(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     f = f.select(F.col("c_mktsegment").alias("sector"), F.to_date("o_orderdate").alias("filed"), F.col("o_totalprice").alias("v"), F.year("o_orderdate").alias("fy"))
@@ -129,7 +145,9 @@ def expanding_history(spark, d):
     return rounded(N.expanding(dates, f, ["sector"], "day", "filed", "fy", "v"), 2)
 
 
-@query(f"SELECT o_orderkey, {FY.format('o_orderdate')} AS fy, CASE WHEN month(o_orderdate) <= 3 THEN 'Q4' WHEN month(o_orderdate) <= 6 THEN 'Q1' WHEN month(o_orderdate) <= 9 THEN 'Q2' ELSE 'Q3' END AS fp, CAST(CAST(CAST(o_orderdate AS DATE) AS TIMESTAMP) + INTERVAL 16 HOUR AS VARCHAR) AS filed_at FROM orders")
+@query(f"""SELECT o_orderkey, {FY.format('o_orderdate')} AS fy, CASE WHEN month(o_orderdate) <= 3 THEN 'Q4' WHEN month(o_orderdate)
+  <= 6 THEN 'Q1' WHEN month(o_orderdate) <= 9 THEN 'Q2' ELSE 'Q3' END AS fp, CAST(CAST(CAST(o_orderdate AS DATE)
+  AS TIMESTAMP) + INTERVAL 16 HOUR AS VARCHAR) AS filed_at FROM orders""")
 def fiscal_period(spark, d):
     day = F.to_date("o_orderdate")
     return t(spark, d, "orders").select("o_orderkey", S.fiscal_year(day).alias("fy"), S.fiscal_quarter(day).alias("fp"), S.filed_at(day).cast("string").alias("filed_at"))
@@ -149,7 +167,10 @@ def sector_of_code(spark, d):
     return t(spark, d, "part").select("p_partkey", S.zero_pad(F.col("p_partkey")).alias("cik"), S.first_range(code, SIC, "Unknown").alias("sector"))
 
 
-@query("SELECT o_orderkey, round(CASE WHEN c_acctbal = 0 THEN 0 ELSE (o_totalprice - c_acctbal) / abs(c_acctbal) * 100 END, 4) AS surprise, CASE left(o_orderpriority, 1) WHEN '1' THEN 3 WHEN '2' THEN 2 WHEN '3' THEN 1 ELSE 0 END AS impact, CAST(['A', 'B' || o_custkey] AS VARCHAR) AS tickers, 'A' AS first_ticker FROM orders JOIN customer ON c_custkey = o_custkey")
+@query("""SELECT o_orderkey, round(CASE WHEN c_acctbal = 0 THEN 0 ELSE (o_totalprice - c_acctbal) / abs(c_acctbal) * 100
+  END, 4) AS surprise, CASE left(o_orderpriority, 1) WHEN '1' THEN 3 WHEN '2' THEN 2 WHEN '3' THEN 1 ELSE 0 END
+  AS impact, CAST(['A', 'B' || o_custkey] AS VARCHAR) AS tickers, 'A' AS first_ticker FROM orders JOIN customer
+  ON c_custkey = o_custkey""")
 def surprise_and_impact(spark, d):
     o = t(spark, d, "orders").join(t(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     letter = F.translate(F.substring("o_orderpriority", 1, 1), "123", "HML")
@@ -176,8 +197,13 @@ def rv_chain(spark, d):
     return rounded(R.rv_chain(x.withColumn("ret", R.log_return(F.col("v"), w)), "ret", w, HORIZONS).select("flag", "day", *RV_COLUMNS))
 
 
-@query(f"""WITH {BARS}, spy AS (SELECT CAST(bar AS DATE) AS day, arg_max(close, bar) AS close FROM agg WHERE ticker = 'view' GROUP BY 1), r AS (SELECT day, ln(close / lag(close) OVER (ORDER BY day)) AS ret FROM spy), v AS (SELECT day, CASE WHEN count(ret) OVER w >= 5 THEN sqrt(sum(ret * ret) OVER w) END * sqrt(252 * 4) * 100 AS rv FROM r WINDOW w AS (ORDER BY day ROWS BETWEEN 4 PRECEDING AND CURRENT ROW))
-  SELECT CAST(a.bar AS VARCHAR) AS bar, round(a.close, 4) AS vix, round(b.close, 4) AS vvix, round(v.rv / (a.close + 1e-8), 3) AS rv_ratio FROM agg a LEFT JOIN agg b ON b.bar = a.bar AND b.ticker = 'error' LEFT JOIN v ON v.day = CAST(a.bar AS DATE) WHERE a.ticker = 'click'""")
+@query(f"""WITH {BARS}, spy AS (SELECT CAST(bar AS DATE) AS day, arg_max(close, bar) AS close FROM agg WHERE ticker = 'view'
+  GROUP BY 1), r AS (SELECT day, ln(close / lag(close) OVER (ORDER BY day)) AS ret FROM spy), v AS (SELECT day,
+  CASE WHEN count(ret) OVER w >= 5 THEN sqrt(sum(ret * ret) OVER w) END * sqrt(252 * 4) * 100 AS rv FROM r WINDOW
+  w AS (ORDER BY day ROWS BETWEEN 4 PRECEDING AND CURRENT ROW))
+  SELECT CAST(a.bar AS VARCHAR) AS bar, round(a.close, 4) AS vix, round(b.close, 4) AS vvix, round(v.rv / (a.close
+  + 1e-8), 3) AS rv_ratio FROM agg a LEFT JOIN agg b ON b.bar = a.bar AND b.ticker = 'error' LEFT JOIN v ON v.day
+  = CAST(a.bar AS DATE) WHERE a.ticker = 'click'""")
 def vix_features(spark, d):
     b = B.bars(ticks(spark, d), "6 hours").select("ticker", "bar", "close")
     side = lambda k, name: b.where(F.col("ticker") == k).select("bar", F.col("close").alias(name))
@@ -188,8 +214,11 @@ def vix_features(spark, d):
     return x.select(F.col("bar").cast("timestamp_ntz").cast("string").alias("bar"), F.round("vix", 4).alias("vix"), F.round("vvix", 4).alias("vvix"), F.round(F.col("rv") / (F.col("vix") + 1e-8), 3).alias("rv_ratio"))
 
 
-@query(f"""WITH {TICKS}, s AS (SELECT ticker, (n - 1) // 40 AS segment, min(ts) AS a, max(ts) AS b FROM (SELECT ticker, ts, row_number() OVER (PARTITION BY ticker ORDER BY ts, tick_id) AS n FROM ticks) GROUP BY 1, 2)
-  SELECT s.ticker, CAST(segment AS BIGINT) AS segment, count(*) AS tokens FROM s JOIN ticks x ON x.ticker = CASE s.ticker WHEN 'view' THEN 'click' WHEN 'click' THEN 'view' ELSE s.ticker END AND x.ts <= b AND (x.ts >= a OR segment = 0) GROUP BY 1, 2""")
+@query(f"""WITH {TICKS}, s AS (SELECT ticker, (n - 1) // 40 AS segment, min(ts) AS a, max(ts) AS b FROM (SELECT ticker, ts,
+  row_number() OVER (PARTITION BY ticker ORDER BY ts, tick_id) AS n FROM ticks) GROUP BY 1, 2)
+  SELECT s.ticker, CAST(segment AS BIGINT) AS segment, count(*) AS tokens FROM s JOIN ticks x ON x.ticker = CASE
+  s.ticker WHEN 'view' THEN 'click' WHEN 'click' THEN 'view' ELSE s.ticker END AND x.ts <= b AND (x.ts >= a OR
+  segment = 0) GROUP BY 1, 2""")
 def open_first_segment(spark, d):
     x = ticks(spark, d).withColumn("day", F.to_date("ts"))
     s = O.cut(x, ["ticker"], "day", ["ts", "tick_id"], 40, "segment").groupBy("ticker", "segment").agg(F.min("ts").alias("start"), F.max("ts").alias("end"))
@@ -204,9 +233,15 @@ HOURLY = f"""{TICKS}, m AS (SELECT ticker, time_bucket(INTERVAL '1 hour', ts) AS
   sum(CASE WHEN tick_id % 2 = 1 THEN volume ELSE 0 END) AS sell_volume, avg(CASE WHEN volume > 50 THEN 1.0 ELSE 0 END) AS large_trade_ratio, sum(price * price) AS rv_intrabar, sum(abs(price)) AS bpv_intrabar FROM ticks GROUP BY 1, 2)"""
 
 
-@query(f"""WITH {HOURLY} SELECT ticker, CAST(time_bucket(INTERVAL '6 hours', hour) AS VARCHAR) AS bar, round(CASE WHEN sum(trade_count) > 0 THEN sum(volume) / sum(trade_count) ELSE 0 END, 4) AS avg_trade_size, round(CASE WHEN sum(trade_count) > 0 THEN sum(std_trade_size * trade_count) / sum(trade_count) ELSE 0 END, 4) AS std_trade_size, max(max_trade_size) AS max_trade_size,
-  round(avg(amihud), 4) AS amihud, round(sum(buy_volume), 4) AS buy_volume, round(sum(sell_volume), 4) AS sell_volume, round(sum(trade_count) / 21600.0, 8) AS tick_arrival_rate, round(CASE WHEN sum(volume) > 0 THEN sum(large_trade_ratio * volume) / sum(volume) ELSE 0 END, 4) AS large_trade_ratio,
-  round(sum(rv_intrabar), 2) AS rv_intrabar, round(sum(bpv_intrabar), 2) AS bpv_intrabar, round(sum(buy_volume - sell_volume), 4) AS ofi FROM m GROUP BY 1, 2""")
+@query(f"""WITH {HOURLY} SELECT ticker, CAST(time_bucket(INTERVAL '6 hours', hour) AS VARCHAR) AS bar, round(CASE WHEN sum(trade_count)
+  > 0 THEN sum(volume) / sum(trade_count) ELSE 0 END, 4) AS avg_trade_size, round(CASE WHEN sum(trade_count) >
+  0 THEN sum(std_trade_size * trade_count) / sum(trade_count) ELSE 0 END, 4) AS std_trade_size, max(max_trade_size)
+  AS max_trade_size,
+  round(avg(amihud), 4) AS amihud, round(sum(buy_volume), 4) AS buy_volume, round(sum(sell_volume), 4) AS sell_volume,
+  round(sum(trade_count) / 21600.0, 8) AS tick_arrival_rate, round(CASE WHEN sum(volume) > 0 THEN sum(large_trade_ratio
+  * volume) / sum(volume) ELSE 0 END, 4) AS large_trade_ratio,
+  round(sum(rv_intrabar), 2) AS rv_intrabar, round(sum(bpv_intrabar), 2) AS bpv_intrabar, round(sum(buy_volume -
+  sell_volume), 4) AS ofi FROM m GROUP BY 1, 2""")
 def bars_microstructure(spark, d):
     v = F.col("volume")
     side = lambda k: F.sum(F.when(F.col("tick_id") % 2 == k, v).otherwise(0.0))
@@ -268,36 +303,53 @@ def _macro(spark, d):
     return K.with_values(x, list(MACRO), 0.5).select("day", *[R.ffill(F.col(c), w).alias(c) for c in MACRO]), w
 
 
-@query(f"""WITH {MACRO_SQL} SELECT CAST(day AS VARCHAR) AS day, round(dgs10 - dgs2, 4) + 0 AS yield_2s10s, round(dgs10 - dgs3mo, 4) + 0 AS yield_3m10y, round(dgs30 - dgs2, 4) + 0 AS yield_curve_steepness, CASE WHEN dgs10 - dgs2 < 0 THEN 1e0 ELSE 0 END AS yc_2s10s_inverted, CASE WHEN dgs10 - dgs3mo < 0 THEN 1e0 ELSE 0 END AS yc_3m10y_inverted FROM m""")
+@query(f"""WITH {MACRO_SQL} SELECT CAST(day AS VARCHAR) AS day, round(dgs10 - dgs2, 4) + 0 AS yield_2s10s, round(dgs10 - dgs3mo,
+  4) + 0 AS yield_3m10y, round(dgs30 - dgs2, 4) + 0 AS yield_curve_steepness, CASE WHEN dgs10 - dgs2 < 0 THEN 1e0
+  ELSE 0 END AS yc_2s10s_inverted, CASE WHEN dgs10 - dgs3mo < 0 THEN 1e0 ELSE 0 END AS yc_3m10y_inverted FROM m""")
 def macro_yields(spark, d):
     m, _ = _macro(spark, d)
     return rounded(m.select("day", *[v.alias(k) for k, v in M.yields(*[F.col(c) for c in ("dgs3mo", "dgs2", "dgs10", "dgs30")]).items()]))
 
 
-@query(f"""WITH {MACRO_SQL} SELECT CAST(day AS VARCHAR) AS day, round(hy - ig, 4) + 0 AS credit_spread, round(hy / CASE WHEN ig = 0 THEN 1 ELSE ig END, 4) AS hy_ig_ratio, round(coalesce(dgs10 - lag(dgs10, 5) OVER w, 0), 4) + 0 AS yield_curve_velocity, round(coalesce(stress - lag(stress) OVER w, 0), 4) + 0 AS stress_change, round(exp(-(day(day) % 9) / 5.0), 4) AS meeting_proximity FROM m WINDOW w AS (ORDER BY day)""")
+@query(f"""WITH {MACRO_SQL} SELECT CAST(day AS VARCHAR) AS day, round(hy - ig, 4) + 0 AS credit_spread, round(hy / CASE WHEN
+  ig = 0 THEN 1 ELSE ig END, 4) AS hy_ig_ratio, round(coalesce(dgs10 - lag(dgs10, 5) OVER w, 0), 4) + 0 AS yield_curve_velocity,
+  round(coalesce(stress - lag(stress) OVER w, 0), 4) + 0 AS stress_change, round(exp(-(day(day) % 9) / 5.0), 4)
+  AS meeting_proximity FROM m WINDOW w AS (ORDER BY day)""")
 def macro_credit(spark, d):
     m, w = _macro(spark, d)
     c = F.col
     return rounded(m.select("day", *[v.alias(k) for k, v in M.credit(c("hy"), c("ig"), c("dgs10"), c("stress"), F.dayofmonth("day") % 9, w).items()]))
 
 
-@query(f"""WITH {DAILY}, x AS (SELECT flag, day, v, {_full('avg(v) $', 'v', 4, DAYS)} AS sma4, lag(v, 4) {W_DAY} AS b, {_full('avg(v) $', 'v', 20, DAYS)} AS m, {_full('stddev_samp(v) $', 'v', 20, DAYS)} AS s, {_full('quantile_cont(v, 0.9) $', 'v', 60, DAYS)} AS p FROM daily)
-  SELECT flag, CAST(day AS VARCHAR) AS day, round(sma4, 2) AS sma4, round(v / sma4 - 1, 4) + 0 AS vs_sma4, round((v - b) / nullif(b, 0) * 100, 3) AS change4, round((v - m) / s, 4) + 0 AS z20, CASE WHEN v > p THEN 1e0 ELSE 0 END AS stressed FROM x""")
+@query(f"""WITH {DAILY}, x AS (SELECT flag, day, v, {_full('avg(v) $', 'v', 4, DAYS)} AS sma4, lag(v, 4) {W_DAY} AS b, {_full('avg(v) $', 'v', 20, DAYS)}
+  AS m, {_full('stddev_samp(v) $', 'v', 20, DAYS)} AS s, {_full('quantile_cont(v, 0.9) $', 'v', 60, DAYS)} AS p
+  FROM daily)
+  SELECT flag, CAST(day AS VARCHAR) AS day, round(sma4, 2) AS sma4, round(v / sma4 - 1, 4) + 0 AS vs_sma4, round((v
+  - b) / nullif(b, 0) * 100, 3) AS change4, round((v - m) / s, 4) + 0 AS z20, CASE WHEN v > p THEN 1e0 ELSE 0 END
+  AS stressed FROM x""")
 def macro_momentum(spark, d):
     x, w = _days(spark, d)
     x = x.select("flag", F.col("day").cast("string").alias("day"), *[v.alias(k) for k, v in M.momentum(F.col("v"), w).items()])
     return x.select("flag", "day", F.round("sma4", 2).alias("sma4"), (F.round("vs_sma4", 4) + 0.0).alias("vs_sma4"), F.round("change4", 3).alias("change4"), (F.round("z20", 4) + 0.0).alias("z20"), "stressed")
 
 
-@query("""WITH d AS (SELECT DISTINCT l_returnflag AS flag, CAST(l_shipdate AS DATE) AS day FROM lineitem), f AS (SELECT DISTINCT l_returnflag AS flag, CAST(l_shipdate AS DATE) AS day FROM lineitem WHERE l_linenumber = 7 AND l_quantity > 40), p AS (SELECT d.*, (SELECT min(f.day) FROM f WHERE f.flag = d.flag AND f.day > d.day) AS n, (SELECT max(f.day) FROM f WHERE f.flag = d.flag AND f.day <= d.day) AS l FROM d)
-  SELECT flag, CAST(day AS VARCHAR) AS day, CAST(coalesce(n - day, 90) AS INTEGER) AS days_to, CAST(coalesce(day - l, 90) AS INTEGER) AS days_since, coalesce(n - day <= 3, false) OR coalesce(day - l <= 3, false) AS is_near FROM p""")
+@query("""WITH d AS (SELECT DISTINCT l_returnflag AS flag, CAST(l_shipdate AS DATE) AS day FROM lineitem), f AS (SELECT DISTINCT
+  l_returnflag AS flag, CAST(l_shipdate AS DATE) AS day FROM lineitem WHERE l_linenumber = 7 AND l_quantity > 40),
+  p AS (SELECT d.*, (SELECT min(f.day) FROM f WHERE f.flag = d.flag AND f.day > d.day) AS n, (SELECT max(f.day)
+  FROM f WHERE f.flag = d.flag AND f.day <= d.day) AS l FROM d)
+  SELECT flag, CAST(day AS VARCHAR) AS day, CAST(coalesce(n - day, 90) AS INTEGER) AS days_to, CAST(coalesce(day
+  - l, 90) AS INTEGER) AS days_since, coalesce(n - day <= 3, false) OR coalesce(day - l <= 3, false) AS is_near
+  FROM p""")
 def meeting_distance(spark, d):
     x = t(spark, d, "lineitem").select(F.col("l_returnflag").alias("flag"), F.to_date("l_shipdate").alias("day"), "l_linenumber", "l_quantity")
     out = M.meetings(x.select("flag", "day").distinct(), x.where("l_linenumber = 7 and l_quantity > 40"), "flag", "day")
     return rounded(out.select("flag", "day", "days_to", "days_since", "is_near"))
 
 
-@query("""WITH v AS (SELECT CAST(o_orderdate AS DATE) AS day, max(o_totalprice) AS value FROM orders WHERE isodow(o_orderdate) < 6 GROUP BY 1), q AS (SELECT CAST(l_shipdate AS DATE) AS day, avg(l_tax) AS tax FROM lineitem WHERE l_linenumber = 5 GROUP BY 1) SELECT CAST(day AS VARCHAR) AS day, round(value, 2) AS value, round(tax, 6) AS tax FROM v LEFT JOIN q USING (day)""")
+@query("""WITH v AS (SELECT CAST(o_orderdate AS DATE) AS day, max(o_totalprice) AS value FROM orders WHERE isodow(o_orderdate)
+  < 6 GROUP BY 1), q AS (SELECT CAST(l_shipdate AS DATE) AS day, avg(l_tax) AS tax FROM lineitem WHERE l_linenumber
+  = 5 GROUP BY 1) SELECT CAST(day AS VARCHAR) AS day, round(value, 2) AS value, round(tax, 6) AS tax FROM v LEFT
+  JOIN q USING (day)""")
 def dates_left_join(spark, d):
     v = t(spark, d, "orders").where("weekday(o_orderdate) < 5").groupBy(F.to_date("o_orderdate").alias("day")).agg(F.max("o_totalprice").alias("value"))
     q = t(spark, d, "lineitem").where("l_linenumber = 5").groupBy(F.to_date("l_shipdate").alias("day")).agg(F.avg("l_tax").alias("tax"))
@@ -347,7 +399,9 @@ def _calendar(spark, d) -> DataFrame:
     return P.calendar(ev.where("day(day) % 5 = 0").select("day").distinct(), ev, "day", 3, 4)
 
 
-@query(f"""WITH {EVENTS} SELECT CAST(anchor AS VARCHAR) AS anchor, event_id, round((day - anchor) / 15.0, 6) + 0 AS days_until, day > anchor AS is_future, round(CASE WHEN day > anchor THEN 0 ELSE actual_z END, 4) AS actual_z, CASE WHEN day > anchor THEN 0e0 ELSE 1 END AS has_actual, round(impact / 3.0, 6) AS impact, round(tod, 6) AS tod
+@query(f"""WITH {EVENTS} SELECT CAST(anchor AS VARCHAR) AS anchor, event_id, round((day - anchor) / 15.0, 6) + 0 AS days_until,
+  day > anchor AS is_future, round(CASE WHEN day > anchor THEN 0 ELSE actual_z END, 4) AS actual_z, CASE WHEN day
+  > anchor THEN 0e0 ELSE 1 END AS has_actual, round(impact / 3.0, 6) AS impact, round(tod, 6) AS tod
   FROM an JOIN ev ON day BETWEEN anchor - 2 AND anchor + 4""")
 def forward_calendar(spark, d):
     c = _calendar(spark, d).withColumns({"has_actual": F.lit(1.0), "impact": F.col("impact") / 3.0, "tod": S.day_share(F.col("tod"))})
@@ -356,7 +410,9 @@ def forward_calendar(spark, d):
     return c.select(F.col("anchor").cast("string").alias("anchor"), "event_id", (F.round(F.col("days_until") / 15.0, 6) + 0.0).alias("days_until"), "is_future", F.round(F.col("v")[0], 4).alias("actual_z"), F.col("v")[1].alias("has_actual"), F.round(F.col("v")[2], 6).alias("impact"), F.round(F.col("v")[3], 6).alias("tod"))
 
 
-@query(f"""WITH {EVENTS}, g AS (SELECT anchor, count(*) AS n, CAST(sum(impact) AS DOUBLE) AS total FROM an JOIN ev ON day BETWEEN anchor - 2 AND anchor + 4 GROUP BY 1), m AS (SELECT max(n) AS longest FROM g) SELECT CAST(anchor AS VARCHAR) AS anchor, longest AS length, n AS ones, total FROM g, m""")
+@query(f"""WITH {EVENTS}, g AS (SELECT anchor, count(*) AS n, CAST(sum(impact) AS DOUBLE) AS total FROM an JOIN ev ON day
+  BETWEEN anchor - 2 AND anchor + 4 GROUP BY 1), m AS (SELECT max(n) AS longest FROM g) SELECT CAST(anchor AS VARCHAR)
+  AS anchor, longest AS length, n AS ones, total FROM g, m""")
 def padded_sequences(spark, d):
     """Every anchor's events as vectors, padded to the longest of its batch of anchors."""
     c = _calendar(spark, d)
@@ -371,7 +427,10 @@ def padded_sequences(spark, d):
 # --- cleaning and time ------------------------------------------------------------------------------------------------
 
 
-@query("SELECT event_id, CAST(ts AS VARCHAR) AS ts, round((hour(ts) * 60 + minute(ts)) / 1440.0, 6) AS time_of_day, CAST(hour(ts) * 60 + minute(ts) - 570 AS INTEGER) AS minute_of_session, round(sin(epoch(date_trunc('second', ts)) % 86400 * exp(-2 * ln(10000.0) / 4)), 5) + 0 AS sine, round(cos(epoch(date_trunc('second', ts)) % 86400 * exp(-1 * ln(10000.0) / 4)), 5) + 0 AS cosine FROM events WHERE event_id % 3 <> 0")
+@query("""SELECT event_id, CAST(ts AS VARCHAR) AS ts, round((hour(ts) * 60 + minute(ts)) / 1440.0, 6) AS time_of_day, CAST(hour(ts)
+  * 60 + minute(ts) - 570 AS INTEGER) AS minute_of_session, round(sin(epoch(date_trunc('second', ts)) % 86400 *
+  exp(-2 * ln(10000.0) / 4)), 5) + 0 AS sine, round(cos(epoch(date_trunc('second', ts)) % 86400 * exp(-1 * ln(10000.0)
+  / 4)), 5) + 0 AS cosine FROM events WHERE event_id % 3 <> 0""")
 def event_times(spark, d):
     """Times kept as nanoseconds, with zero for unknown ones, back to timestamps and their encodings."""
     e = t(spark, d, "events").select("event_id", F.when(F.col("event_id") % 3 == 0, 0).otherwise(F.unix_micros(F.col("ts").cast("timestamp")) * 1000).alias("ns"))
@@ -382,7 +441,8 @@ def event_times(spark, d):
     return e.select("event_id", at.cast("timestamp_ntz").cast("string").alias("ts"), F.round(S.time_of_day(at), 6).alias("time_of_day"), S.minute_of_session(at).alias("minute_of_session"), (F.round(F.col("code")[2], 5) + 0.0).alias("sine"), (F.round(F.col("code")[5], 5) + 0.0).alias("cosine"))
 
 
-@query("SELECT o_orderkey, CAST(CASE WHEN o_orderkey % 3 = 2 THEN NULL ELSE o_orderdate + to_minutes(CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey % 1440 ELSE 0 END) END AS VARCHAR) AS at FROM orders")
+@query("""SELECT o_orderkey, CAST(CASE WHEN o_orderkey % 3 = 2 THEN NULL ELSE o_orderdate + to_minutes(CASE WHEN o_orderkey
+  % 3 = 0 THEN o_orderkey % 1440 ELSE 0 END) END AS VARCHAR) AS at FROM orders""")
 def parse_times(spark, d):
     """Day and time texts, ISO dates, and texts that can't be read."""
     k, date, minutes = F.col("o_orderkey"), F.col("o_orderdate"), F.col("o_orderkey") % 1440
@@ -392,7 +452,11 @@ def parse_times(spark, d):
     return x.select("o_orderkey", S.parse_time(F.col("day"), F.col("time")).cast("timestamp_ntz").cast("string").alias("at"))
 
 
-@query("WITH x AS (SELECT p_partkey, CASE WHEN p_partkey % 7 <> 0 THEN p_size END AS size, CASE WHEN p_partkey % 3 = 0 THEN NULL WHEN p_partkey % 5 = 0 THEN NULL ELSE p_retailprice END AS price, CASE WHEN p_partkey % 2 = 0 THEN p_name END AS name FROM part) SELECT p_partkey, size, round(price, 2) AS price, name IS NOT NULL AND price IS NOT NULL AS whole, CASE WHEN price IS NULL THEN 0 ELSE round(price, 2) END AS filled FROM x WHERE size IS NOT NULL AND (price IS NOT NULL OR name IS NOT NULL)")
+@query("""WITH x AS (SELECT p_partkey, CASE WHEN p_partkey % 7 <> 0 THEN p_size END AS size, CASE WHEN p_partkey % 3 = 0
+  THEN NULL WHEN p_partkey % 5 = 0 THEN NULL ELSE p_retailprice END AS price, CASE WHEN p_partkey % 2 = 0 THEN
+  p_name END AS name FROM part) SELECT p_partkey, size, round(price, 2) AS price, name IS NOT NULL AND price IS
+  NOT NULL AS whole, CASE WHEN price IS NULL THEN 0 ELSE round(price, 2) END AS filled FROM x WHERE size IS NOT
+  NULL AND (price IS NOT NULL OR name IS NOT NULL)""")
 def cleaned_rows(spark, d):
     k = F.col("p_partkey")
     price = F.when(k % 3 == 0, None).when(k % 5 == 0, F.lit(float("inf"))).otherwise(F.col("p_retailprice"))
@@ -413,32 +477,41 @@ def contract_columns(spark, d):
 # --- windows, vectors, gates ------------------------------------------------------------------------------------------
 
 
-@query(f"WITH {TICKS}, n AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY tick_id) AS i FROM ticks) SELECT a.ticker, a.tick_id, CASE WHEN a.i >= 50 THEN round(count(CASE WHEN b.price <= a.price THEN 1 END) / 50.0, 4) END AS pct FROM n a JOIN n b ON a.ticker = b.ticker AND b.i BETWEEN a.i - 49 AND a.i GROUP BY 1, 2, a.i")
+@query(f"""WITH {TICKS}, n AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY tick_id) AS i FROM ticks) SELECT
+  a.ticker, a.tick_id, CASE WHEN a.i >= 50 THEN round(count(CASE WHEN b.price <= a.price THEN 1 END) / 50.0, 4)
+  END AS pct FROM n a JOIN n b ON a.ticker = b.ticker AND b.i BETWEEN a.i - 49 AND a.i GROUP BY 1, 2, a.i""")
 def percentile_long(spark, d):
     x = ticks(spark, d).select("ticker", "tick_id", "price", F.floor(F.col("tick_id") / 4096).alias("cell"))
     return rounded(R.percentile_of_long(x, "price", ["ticker"], "cell", ["tick_id"], 50, "pct"))
 
 
-@query(f"WITH {BARS}, m AS (SELECT ticker, avg(close) AS m, stddev_pop(close) + 1e-8 AS s FROM agg WHERE trade_count > 12 GROUP BY 1) SELECT a.ticker, CAST(bar AS VARCHAR) AS bar, round(CASE WHEN trade_count > 12 THEN (close - m) / s ELSE 0 END, 4) + 0 AS z FROM agg a LEFT JOIN m ON m.ticker = a.ticker")
+@query(f"""WITH {BARS}, m AS (SELECT ticker, avg(close) AS m, stddev_pop(close) + 1e-8 AS s FROM agg WHERE trade_count > 12
+  GROUP BY 1) SELECT a.ticker, CAST(bar AS VARCHAR) AS bar, round(CASE WHEN trade_count > 12 THEN (close - m) /
+  s ELSE 0 END, 4) + 0 AS z FROM agg a LEFT JOIN m ON m.ticker = a.ticker""")
 def masked_zscore(spark, d):
     b = B.bars(ticks(spark, d), "6 hours")
     return rounded(b.select("ticker", "bar", R.masked_zscore(F.col("close"), F.col("trade_count") > 12, Window.partitionBy("ticker")).alias("z")))
 
 
-@query(f"WITH {BARS} SELECT ticker, round(arg_max(close, bar), 4) AS last, round(avg(close), 4) AS mean, round(sum(exp(close / 100) * close) / sum(exp(close / 100)), 4) AS attended FROM agg GROUP BY 1")
+@query(f"""WITH {BARS} SELECT ticker, round(arg_max(close, bar), 4) AS last, round(avg(close), 4) AS mean, round(sum(exp(close
+  / 100) * close) / sum(exp(close / 100)), 4) AS attended FROM agg GROUP BY 1""")
 def sequence_pooling(spark, d):
     b, c = B.bars(ticks(spark, d), "6 hours"), F.col("close")
     weight = F.exp(c / 100)
     return rounded(b.groupBy("ticker").agg(F.max_by("close", "bar").alias("last"), F.avg("close").alias("mean"), (F.sum(weight * c) / F.sum(weight)).alias("attended")))
 
 
-@query("SELECT p_partkey, round(2 * p_size + p_retailprice / 1000, 4) AS film, round(g * p_size + (1 - g) * p_retailprice / 100, 4) AS gated, round(x / (1 + exp(-x)), 5) AS silu, round(least(greatest(x, -1), 2), 4) AS clipped FROM (SELECT *, 1 / (1 + exp(-(p_size - 25) / 10.0)) AS g, (p_size - 25) / 10.0 AS x FROM part)")
+@query("""SELECT p_partkey, round(2 * p_size + p_retailprice / 1000, 4) AS film, round(g * p_size + (1 - g) * p_retailprice
+  / 100, 4) AS gated, round(x / (1 + exp(-x)), 5) AS silu, round(least(greatest(x, -1), 2), 4) AS clipped FROM
+  (SELECT *, 1 / (1 + exp(-(p_size - 25) / 10.0)) AS g, (p_size - 25) / 10.0 AS x FROM part)""")
 def gates(spark, d):
     size, price, x = F.col("p_size").cast("double"), F.col("p_retailprice"), (F.col("p_size") - 25) / 10.0
     return t(spark, d, "part").select("p_partkey", F.round(S.film(size, F.lit(2.0), price / 1000), 4).alias("film"), F.round(S.gated(S.sigmoid(x), size, price / 100), 4).alias("gated"), F.round(S.silu(x), 5).alias("silu"), F.round(S.clip(x, -1, 2), 4).alias("clipped"))
 
 
-@query("SELECT label, count(*) AS rows, CAST(min(len(embedding)) AS BIGINT) AS width, round(sum(list_sum(list_transform(embedding[1:8], lambda x: CAST(x AS DOUBLE)))), 4) + 0 AS head, round(sum(list_sum(list_transform(embedding[9:], lambda x: CAST(x AS DOUBLE)))), 4) + 0 AS tail, CAST(arg_min(vec_id, vec_id) AS BIGINT) AS first_id FROM embeddings GROUP BY 1")
+@query("""SELECT label, count(*) AS rows, CAST(min(len(embedding)) AS BIGINT) AS width, round(sum(list_sum(list_transform(embedding[1:8],
+  lambda x: CAST(x AS DOUBLE)))), 4) + 0 AS head, round(sum(list_sum(list_transform(embedding[9:], lambda x: CAST(x
+  AS DOUBLE)))), 4) + 0 AS tail, CAST(arg_min(vec_id, vec_id) AS BIGINT) AS first_id FROM embeddings GROUP BY 1""")
 def embedding_matrix(spark, d):
     """A label's vectors in 16 stacks, so that no group is gathered whole; head and tail are slices of each."""
     e = t(spark, d, "embeddings").select("label", "vec_id", F.col("embedding").cast("array<double>").alias("v"))
@@ -450,7 +523,12 @@ def embedding_matrix(spark, d):
     return rounded(out)
 
 
-@query("WITH c AS (SELECT l_returnflag AS flag, l_shipdate AS day, sum(l_quantity) / 1000 AS x, sum(l_tax) / 100 AS decay FROM lineitem GROUP BY 1, 2), k AS (SELECT flag, date_trunc('month', day) AS chunk, exp(-sum(decay)) AS a, sum(x) AS b, row_number() OVER (PARTITION BY flag ORDER BY date_trunc('month', day)) AS n FROM c GROUP BY 1, 2), r AS (SELECT a.flag, a.chunk, coalesce(sum(b.b * (SELECT coalesce(product(m.a), 1) FROM k m WHERE m.flag = a.flag AND m.n > b.n AND m.n < a.n)), 0) AS state FROM k a LEFT JOIN k b ON b.flag = a.flag AND b.n < a.n GROUP BY 1, 2) SELECT flag, CAST(CAST(chunk AS DATE) AS VARCHAR) AS chunk, round(state, 4) AS state FROM r")
+@query("""WITH c AS (SELECT l_returnflag AS flag, l_shipdate AS day, sum(l_quantity) / 1000 AS x, sum(l_tax) / 100 AS decay
+  FROM lineitem GROUP BY 1, 2), k AS (SELECT flag, date_trunc('month', day) AS chunk, exp(-sum(decay)) AS a, sum(x)
+  AS b, row_number() OVER (PARTITION BY flag ORDER BY date_trunc('month', day)) AS n FROM c GROUP BY 1, 2), r AS
+  (SELECT a.flag, a.chunk, coalesce(sum(b.b * (SELECT coalesce(product(m.a), 1) FROM k m WHERE m.flag = a.flag
+  AND m.n > b.n AND m.n < a.n)), 0) AS state FROM k a LEFT JOIN k b ON b.flag = a.flag AND b.n < a.n GROUP BY 1,
+  2) SELECT flag, CAST(CAST(chunk AS DATE) AS VARCHAR) AS chunk, round(state, 4) AS state FROM r""")
 def chunk_states(spark, d):
     x = t(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("flag"), F.to_date("l_shipdate").alias("day")).agg((F.sum("l_quantity") / 1000).alias("x"), (-F.sum("l_tax") / 100).alias("decay"))
     return rounded(Q.chunk_sums(x.withColumn("chunk", F.trunc("day", "MM")), ["flag"], "chunk", "x", "decay", "state"))
@@ -461,7 +539,11 @@ def chunk_states(spark, d):
 _HUBER = "(CASE WHEN abs({0}) <= 0.25 THEN 0.5 * {0} * {0} ELSE 0.25 * (abs({0}) - 0.125) END)"
 
 
-@query(f"WITH {PRED}, b AS (SELECT batch, sum(CASE WHEN mask THEN CASE WHEN abs(target) >= 4 THEN 5 WHEN abs(target) >= 2 THEN 3 ELSE 1 END * {_HUBER.format('(pred - target)')} ELSE 0 END) / greatest(count(CASE WHEN mask THEN 1 END), 1) AS main, avg({_HUBER.format('(pred / 2 - target)')}) AS a, avg({_HUBER.format('(0 - target)')}) AS z FROM p GROUP BY 1), l AS (SELECT batch, main, main + 0.3 * a + 0.3 * z AS loss FROM b) SELECT batch, round(main, 4) AS main, round(loss, 4) AS loss, round(avg(loss) OVER (ORDER BY batch), 4) AS running FROM l")
+@query(f"""WITH {PRED}, b AS (SELECT batch, sum(CASE WHEN mask THEN CASE WHEN abs(target) >= 4 THEN 5 WHEN abs(target) >=
+  2 THEN 3 ELSE 1 END * {_HUBER.format('(pred - target)')} ELSE 0 END) / greatest(count(CASE WHEN mask THEN 1 END),
+  1) AS main, avg({_HUBER.format('(pred / 2 - target)')}) AS a, avg({_HUBER.format('(0 - target)')}) AS z FROM
+  p GROUP BY 1), l AS (SELECT batch, main, main + 0.3 * a + 0.3 * z AS loss FROM b) SELECT batch, round(main, 4)
+  AS main, round(loss, 4) AS loss, round(avg(loss) OVER (ORDER BY batch), 4) AS running FROM l""")
 def combined_loss(spark, d):
     p = _predictions(spark, d)
     e = lambda pred: S.huber(pred - F.col("target"))
@@ -471,13 +553,17 @@ def combined_loss(spark, d):
     return rounded(b.select("batch", "main", "loss", F.avg("loss").over(Window.orderBy("batch")).alias("running")))  # a row a batch
 
 
-@query(f"WITH {PRED} SELECT horizon, round(sum(CASE WHEN mask THEN {_HUBER.format('(pred - target)')} ELSE 0 END) / greatest(count(CASE WHEN mask THEN 1 END), 1), 5) AS loss FROM p GROUP BY 1")
+@query(f"""WITH {PRED} SELECT horizon, round(sum(CASE WHEN mask THEN {_HUBER.format('(pred - target)')} ELSE 0 END) / greatest(count(CASE
+  WHEN mask THEN 1 END), 1), 5) AS loss FROM p GROUP BY 1""")
 def masked_huber(spark, d):
     loss = F.sum(F.when(F.col("mask"), S.huber(F.col("pred") - F.col("target"))).otherwise(0.0)) / F.greatest(F.count_if("mask"), F.lit(1))
     return rounded(_predictions(spark, d).groupBy("horizon").agg(loss.alias("loss")), 5)
 
 
-@query("SELECT l_returnflag AS flag, count(*) AS n, round(avg(l_extendedprice), 2) AS mean, round(stddev_samp(l_extendedprice), 2) AS std, round(min(l_extendedprice), 2) AS least, round(quantile_cont(l_extendedprice, 0.25), 2) AS q25, round(quantile_cont(l_extendedprice, 0.5), 2) AS q50, round(quantile_cont(l_extendedprice, 0.75), 2) AS q75, round(max(l_extendedprice), 2) AS most FROM lineitem GROUP BY 1")
+@query("""SELECT l_returnflag AS flag, count(*) AS n, round(avg(l_extendedprice), 2) AS mean, round(stddev_samp(l_extendedprice),
+  2) AS std, round(min(l_extendedprice), 2) AS least, round(quantile_cont(l_extendedprice, 0.25), 2) AS q25, round(quantile_cont(l_extendedprice,
+  0.5), 2) AS q50, round(quantile_cont(l_extendedprice, 0.75), 2) AS q75, round(max(l_extendedprice), 2) AS most
+  FROM lineitem GROUP BY 1""")
 def described(spark, d):
     x = "l_extendedprice"
     q = {f"q{int(100 * p)}": F.percentile(x, p) for p in (0.25, 0.5, 0.75)}
@@ -505,13 +591,16 @@ def dates_in_both(spark, d):
     return rounded(_dates(spark, d, "orders").intersect(_dates(spark, d, "lines")))
 
 
-@query("SELECT CAST(day AS VARCHAR) AS day FROM (SELECT CAST(o_orderdate AS DATE) AS day FROM orders UNION SELECT CAST(l_shipdate AS DATE) FROM lineitem UNION SELECT CAST(ts AS DATE) FROM events UNION SELECT DATE '1990-01-01' + CAST(p_size AS INTEGER) FROM part)")
+@query("""SELECT CAST(day AS VARCHAR) AS day FROM (SELECT CAST(o_orderdate AS DATE) AS day FROM orders UNION SELECT CAST(l_shipdate
+  AS DATE) FROM lineitem UNION SELECT CAST(ts AS DATE) FROM events UNION SELECT DATE '1990-01-01' + CAST(p_size
+  AS INTEGER) FROM part)""")
 def dates_in_any(spark, d):
     more = t(spark, d, "part").select(F.date_add(F.lit("1990-01-01").cast("date"), F.col("p_size")).alias("day"))
     return rounded(_dates(spark, d, "orders").union(_dates(spark, d, "lines")).union(_dates(spark, d, "events")).union(more).distinct())
 
 
-@query("WITH x AS (SELECT *, row_number() OVER (ORDER BY day) AS n FROM (SELECT DISTINCT CAST(l_shipdate AS DATE) AS day FROM lineitem)) SELECT CAST(day AS VARCHAR) AS day, n FROM x WHERE (n - 1) % 7 = 0")
+@query("""WITH x AS (SELECT *, row_number() OVER (ORDER BY day) AS n FROM (SELECT DISTINCT CAST(l_shipdate AS DATE) AS day
+  FROM lineitem)) SELECT CAST(day AS VARCHAR) AS day, n FROM x WHERE (n - 1) % 7 = 0""")
 def every_seventh_file(spark, d):
     """A systematic sample of files: the operator, not a cut of the table."""
     x = _dates(spark, d, "lines").distinct().withColumn("n", F.row_number().over(Window.orderBy("day")))  # a row a file
@@ -527,7 +616,9 @@ def seeded_shuffle(spark, d):
 
 
 @query("""SELECT source, id, CAST(ts AS VARCHAR) AS ts, CAST(row_number() OVER (PARTITION BY CAST(ts AS DATE) ORDER BY ts, source, id) AS INTEGER) AS nth FROM (
-  SELECT 0 AS source, event_id AS id, ts FROM events UNION ALL SELECT 1, o_orderkey, o_orderdate FROM orders UNION ALL SELECT 2, l_orderkey * 10 + l_linenumber, l_shipdate FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_shipdate FROM lineitem))""")
+  SELECT 0 AS source, event_id AS id, ts FROM events UNION ALL SELECT 1, o_orderkey, o_orderdate FROM orders UNION
+  ALL SELECT 2, l_orderkey * 10 + l_linenumber, l_shipdate FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_shipdate
+  FROM lineitem))""")
 def three_streams(spark, d):
     a = t(spark, d, "events").select(F.lit(0).alias("source"), F.col("event_id").alias("id"), "ts")
     b = t(spark, d, "orders").select(F.lit(1).alias("source"), F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("ts"))
@@ -539,7 +630,9 @@ def three_streams(spark, d):
 # --- files ------------------------------------------------------------------------------------------------------------
 
 
-@query("SELECT CAST(CAST(date_trunc('month', o_orderdate) AS DATE) AS VARCHAR) AS day, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders WHERE date_trunc('month', o_orderdate) BETWEEN DATE '1996-03-01' AND DATE '1997-11-30' GROUP BY 1")
+@query("""SELECT CAST(CAST(date_trunc('month', o_orderdate) AS DATE) AS VARCHAR) AS day, count(*) AS n, round(sum(o_totalprice),
+  2) AS total FROM orders WHERE date_trunc('month', o_orderdate) BETWEEN DATE '1996-03-01' AND DATE '1997-11-30'
+  GROUP BY 1""")
 def daily_files(spark, d):
     """Orders as a folder a day (their month's first), written in two runs of which the second skips what is there; a range of days read back by path."""
     folder = shared_folder(spark)
@@ -550,7 +643,9 @@ def daily_files(spark, d):
     return x.groupBy(F.col("date").cast("string").alias("day")).agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
 
 
-@query("SELECT year(o_orderdate) AS year, count(*) AS n, CAST(min(CAST(o_orderdate AS DATE)) AS VARCHAR) AS first_day, round(sum(o_totalprice), 2) AS total FROM orders WHERE o_orderdate >= DATE '1996-11-15' AND o_orderdate < DATE '1997-02-16' GROUP BY 1")
+@query("""SELECT year(o_orderdate) AS year, count(*) AS n, CAST(min(CAST(o_orderdate AS DATE)) AS VARCHAR) AS first_day,
+  round(sum(o_totalprice), 2) AS total FROM orders WHERE o_orderdate >= DATE '1996-11-15' AND o_orderdate < DATE
+  '1997-02-16' GROUP BY 1""")
 def yearly_files(spark, d):
     """A half-open range of whole days on stored nanoseconds, over one file a year."""
     folder = shared_folder(spark)
@@ -593,7 +688,8 @@ def rewritten_unit(spark, d):
     return x.select("p_partkey", "p_size", F.round("p_retailprice", 2).alias("price"))
 
 
-@query("SELECT flag, CAST(day AS VARCHAR) AS day, round(v, 2) AS v FROM (SELECT l_returnflag AS flag, CAST(l_shipdate AS DATE) AS day, sum(l_extendedprice) AS v FROM lineitem GROUP BY 1, 2) ORDER BY day, flag LIMIT 100")
+@query("""SELECT flag, CAST(day AS VARCHAR) AS day, round(v, 2) AS v FROM (SELECT l_returnflag AS flag, CAST(l_shipdate AS
+  DATE) AS day, sum(l_extendedprice) AS v FROM lineitem GROUP BY 1, 2) ORDER BY day, flag LIMIT 100""")
 def first_hundred(spark, d):
     """The summary that a run leaves behind: the first hundred rows by day, through a CSV file."""
     folder = shared_folder(spark)
@@ -621,7 +717,8 @@ def concatenated_files(spark, d):
     return files.concatenated(spark, [f"{folder}/even", f"{folder}/odd"])
 
 
-@query("SELECT coalesce(s_nationkey, n_nationkey) AS nation, n_name AS name, round(balance, 2) AS balance FROM nation FULL JOIN (SELECT s_nationkey, sum(s_acctbal) AS balance FROM supplier GROUP BY 1) ON s_nationkey = n_nationkey")
+@query("""SELECT coalesce(s_nationkey, n_nationkey) AS nation, n_name AS name, round(balance, 2) AS balance FROM nation FULL
+  JOIN (SELECT s_nationkey, sum(s_acctbal) AS balance FROM supplier GROUP BY 1) ON s_nationkey = n_nationkey""")
 def optional_sources(spark, d):
     """Sources by configuration: two of three exist; what is there is joined on the key."""
     folder = shared_folder(spark)
@@ -631,7 +728,8 @@ def optional_sources(spark, d):
     return rounded(K.outer_all(list(found.values()), ["nation"]), 2)
 
 
-@query("SELECT o_orderkey AS id, CAST(year(o_orderdate) AS VARCHAR) || '-' || o_orderkey || '.parquet' AS name FROM orders WHERE year(o_orderdate) IN (1996, 1998)")
+@query("""SELECT o_orderkey AS id, CAST(year(o_orderdate) AS VARCHAR) || '-' || o_orderkey || '.parquet' AS name FROM orders
+  WHERE year(o_orderdate) IN (1996, 1998)""")
 def files_of_years(spark, d):
     """The fresh index of a store's files, kept to the names of two years."""
     o = t(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.concat(F.lit("news/"), F.year("o_orderdate"), F.lit("-"), "o_orderkey", F.lit(".parquet")).alias("key"))
@@ -639,7 +737,10 @@ def files_of_years(spark, d):
     return files.of_patterns(files.with_prefix(held, ["news/", "options/"]), ["1996-*", "1998-*"]).select("id", F.substring_index("key", "/", -1).alias("name"))
 
 
-@query(f"WITH {DAILY}, n AS (SELECT flag, day, v / 1e5 AS v, row_number() {W_DAY} AS i FROM daily), c AS (SELECT flag, day, 0.5 * v + 0.3 * CASE WHEN i > 1 THEN lag(v, 1) {W_DAY} ELSE 2 END + 0.2 * CASE WHEN i > 2 THEN lag(v, 2) {W_DAY} WHEN i = 2 THEN 2 ELSE 1 END AS x FROM n) SELECT flag, CAST(day AS VARCHAR) AS day, round(x / (1 + exp(-x)), 6) AS conv FROM c")
+@query(f"""WITH {DAILY}, n AS (SELECT flag, day, v / 1e5 AS v, row_number() {W_DAY} AS i FROM daily), c AS (SELECT flag, day,
+  0.5 * v + 0.3 * CASE WHEN i > 1 THEN lag(v, 1) {W_DAY} ELSE 2 END + 0.2 * CASE WHEN i > 2 THEN lag(v, 2) {W_DAY}
+  WHEN i = 2 THEN 2 ELSE 1 END AS x FROM n) SELECT flag, CAST(day AS VARCHAR) AS day, round(x / (1 + exp(-x)),
+  6) AS conv FROM c""")
 def conv_with_state(spark, d):
     """A causal convolution that goes on from two earlier values, through the gate x * sigmoid(x)."""
     x, w = _days(spark, d)
@@ -650,21 +751,28 @@ def conv_with_state(spark, d):
 # --- streams ----------------------------------------------------------------------------------------------------------
 
 
-@query(f"WITH {TICKS}, w AS (SELECT ticker, price, time_bucket(INTERVAL '1 hour', ts) - to_hours(CAST(k AS INTEGER)) AS s FROM ticks, range(6) r(k)) SELECT ticker, CAST(s AS VARCHAR) AS bar, count(*) AS n, round(max(price), 4) AS high FROM w GROUP BY 1, 2")
+@query(f"""WITH {TICKS}, w AS (SELECT ticker, price, time_bucket(INTERVAL '1 hour', ts) - to_hours(CAST(k AS INTEGER)) AS
+  s FROM ticks, range(6) r(k)) SELECT ticker, CAST(s AS VARCHAR) AS bar, count(*) AS n, round(max(price), 4) AS
+  high FROM w GROUP BY 1, 2""")
 def stream_sliding(spark, d):
     """Windows of six hours that start every hour."""
     x = streams.sliding(_tick_stream(spark, d), "6 hours", "1 hour", "1 hour")
     return rounded(drained(x, "update", ["ticker", "bar"], "n"))
 
 
-@query(f"WITH {TICKS}, n AS (SELECT ticker, tick_id, price, row_number() OVER (PARTITION BY ticker ORDER BY ts, tick_id) AS i FROM ticks) SELECT ticker, tick_id, round(exp(-0.01 * i) * sum(exp(0.01 * i) * price) OVER (PARTITION BY ticker ORDER BY i ROWS UNBOUNDED PRECEDING), 3) AS h FROM n")
+@query(f"""WITH {TICKS}, n AS (SELECT ticker, tick_id, price, row_number() OVER (PARTITION BY ticker ORDER BY ts, tick_id)
+  AS i FROM ticks) SELECT ticker, tick_id, round(exp(-0.01 * i) * sum(exp(0.01 * i) * price) OVER (PARTITION BY
+  ticker ORDER BY i ROWS UNBOUNDED PRECEDING), 3) AS h FROM n""")
 def stream_scan(spark, d):
     """The scan h = exp(-0.01) * h + price over a stream, whose state is one number a ticker."""
     x = _tick_stream(spark, d).select("ticker", "ts", "tick_id", "price")
     return drained(running.stream_scan(x, "ticker", ["ts", "tick_id"], "price", 0.01)).select("ticker", "tick_id", F.round("h", 3).alias("h"))
 
 
-@query(f"WITH {TICKS}, g AS (SELECT *, CASE WHEN ts - lag(ts) OVER w < INTERVAL '30 minutes' THEN 0 ELSE 1 END AS fresh FROM ticks WINDOW w AS (PARTITION BY ticker ORDER BY ts)), s AS (SELECT *, sum(fresh) OVER (PARTITION BY ticker ORDER BY ts ROWS UNBOUNDED PRECEDING) AS session FROM g) SELECT ticker, CAST(min(ts) AS VARCHAR) AS start, CAST(max(ts) + INTERVAL '30 minutes' AS VARCHAR) AS end, count(*) AS n FROM s GROUP BY ticker, session")
+@query(f"""WITH {TICKS}, g AS (SELECT *, CASE WHEN ts - lag(ts) OVER w < INTERVAL '30 minutes' THEN 0 ELSE 1 END AS fresh
+  FROM ticks WINDOW w AS (PARTITION BY ticker ORDER BY ts)), s AS (SELECT *, sum(fresh) OVER (PARTITION BY ticker
+  ORDER BY ts ROWS UNBOUNDED PRECEDING) AS session FROM g) SELECT ticker, CAST(min(ts) AS VARCHAR) AS start, CAST(max(ts)
+  + INTERVAL '30 minutes' AS VARCHAR) AS end, count(*) AS n FROM s GROUP BY ticker, session""")
 def stream_sessions(spark, d):
     """Runs of ticks less than half an hour apart, in batch form: a session window that streams use as well."""
     x = ticks(spark, d).groupBy("ticker", F.session_window("ts", "30 minutes").alias("w")).agg(F.count("*").alias("n"))
