@@ -270,7 +270,8 @@ def join_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 rows = list(_pack(list(points), np.array(list(points.values())), *map(np.concatenate, (owner, key, place)), bits, np.concatenate(hot))) if points else []
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["bucket", "blob"])
 
-    regions = written(docs.select("text").mapInArrow(first_shingles, "bucket int, blob binary").groupBy("bucket").applyInArrow(lambda key, table: _regions(percent, key, table), "region long, point binary, n long, place long"))
+    buckets = docs.select("text").mapInArrow(first_shingles, "bucket int, blob binary").groupBy("bucket")
+    regions = written(buckets.applyInArrow(lambda key, table: _regions(percent, key, table), "region long, point binary, n long, place long"))
     # The sets of the points that share a region with another, each from the whole text of one row: the least id that has one.
     one = known.where("point is not null").groupBy("point").agg(F.min("doc_id").alias("doc_id"), F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "key")).alias("row"))
     wanted = written(one.join(regions.select("point").distinct(), "point").select("point", F.xxhash64("row.doc_id", "row.key").alias("at")))
@@ -293,7 +294,8 @@ def join_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     made = docs.select("text", place(F.xxhash64("doc_id", "key"))).mapInArrow(sets, "point binary, shingles binary")
     # Dealt by point once; the joins of every round use that. Blocks of a lost executor are made again from the texts.
-    shingles = made.repartition(partitions(spark), "point").groupBy("point").agg(F.first("shingles").alias("shingles")).join(wanted.select("point"), "point", "left_semi").persist(StorageLevel.DISK_ONLY)
+    dealt = made.repartition(partitions(spark), "point").groupBy("point").agg(F.first("shingles").alias("shingles"))
+    shingles = dealt.join(wanted.select("point"), "point", "left_semi").persist(StorageLevel.DISK_ONLY)
 
     def measured(pairs: DataFrame) -> DataFrame:
         x, p = shingles.select(F.col("point").alias("x"), F.col("shingles").alias("of_x")), shingles.select(F.col("point").alias("p"), F.col("shingles").alias("of_p"))
@@ -343,7 +345,8 @@ def join_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     while rest.limit(1).count():
         own = rest.groupBy("region", "root").agg(F.count("*").alias("of"), F.min_by(F.struct("point", "n", "left"), F.struct(-F.col("left") / F.col("n"), "point")).alias("p"))
         few = Window.partitionBy("region").orderBy("of", "p.point")
-        pivot = written(own.withColumn("nth", F.row_number().over(few)).where(F.col("nth") <= most).select("region", F.col("p.point").alias("p"), F.col("p.n").alias("m"), F.col("p.left").alias("right"), F.col("root").alias("of_p")))
+        chosen = own.withColumn("nth", F.row_number().over(few)).where(F.col("nth") <= most)
+        pivot = written(chosen.select("region", F.col("p.point").alias("p"), F.col("p.n").alias("m"), F.col("p.left").alias("right"), F.col("root").alias("of_p")))
         pairs = rest.join(pivot, "region").where("root != of_p").where(may_link(F.col("n"), F.col("left"), F.col("m"), F.col("right"))).select(F.col("point").alias("x"), "p").distinct()
         new = measured(pairs.join(tested.select("x", "p"), ["x", "p"], "left_anti").join(tested.select(F.col("x").alias("p"), F.col("p").alias("x")), ["x", "p"], "left_anti"))
         tested = tested.unionByName(new)  # (x, p) of all rounds, files of their own

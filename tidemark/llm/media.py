@@ -200,7 +200,8 @@ def read_back(records: DataFrame, chunks: DataFrame) -> DataFrame:
     rest = records.where(~whole)
     different = rest.select("media_sha256", "chunks").groupBy("media_sha256").agg(F.first("chunks").alias("chunks"))
     parts = different.select("media_sha256", F.posexplode("chunks").alias("at", "c")).select("media_sha256", "at", "c.digest", F.col("c.data").alias("own"))
-    parts = parts.where("own is not null").select("media_sha256", "at", "digest", F.col("own").alias("data")).unionByName(parts.where("own is null").join(chunks, "digest").select("media_sha256", "at", "digest", "data"))
+    apart = parts.where("own is null").join(chunks, "digest").select("media_sha256", "at", "digest", "data")
+    parts = parts.where("own is not null").select("media_sha256", "at", "digest", F.col("own").alias("data")).unionByName(apart)
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("at", "digest", "data"))), lambda c: F.struct(c.digest.alias("digest"), c.data.alias("data")))
     done = parts.groupBy("media_sha256").agg(ordered.alias("chunks")).mapInArrow(_read, VALUES)
     second = rest.select(*facts).join(done, "media_sha256")

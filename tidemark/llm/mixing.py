@@ -88,7 +88,8 @@ def mix_sources(
     draws lists where the document's copies go: place orders a shard's documents within a block after the local shuffle.
     """
     spark = df.sparkSession
-    inner = [F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.xxhash64(F.col(text_col)).alias("alike")]
+    size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
+    inner = [F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), size.alias("size"), F.xxhash64(F.col(text_col)).alias("alike")]
     rows = df.select(*inner, *([F.struct(*[F.col(c) for c in keep]).alias("kept")] if keep else []))
     narrow = written(df.select(*inner))  # ids and sizes; the texts are read no more
     rows = rows if keep else narrow
@@ -117,7 +118,8 @@ def mix_sources(
     blocks = blocks.groupBy("s", F.pmod(key(F.col("doc_id"), F.col("alike"), F.lit("block")), F.col("blocks")).alias("block")).agg(F.sum("size").alias("block_words"))
     # Permuted order is that of `turn`; a source's blocks lie in cells of some thousand, whose sums are added up first, so that no task has a source whole.
     turn = key(F.col("s"), F.col("block"))
-    blocks = written(blocks.join(F.broadcast(facts.select("s", F.col("blocks").alias("of"))), "s").withColumn("cell", F.floor((turn / F.lit(2.0**64) + 0.5) * (F.floor(F.col("of") / CELL) + 1))).drop("of"))
+    cell = F.floor((turn / F.lit(2.0**64) + 0.5) * (F.floor(F.col("of") / CELL) + 1))
+    blocks = written(blocks.join(F.broadcast(facts.select("s", F.col("blocks").alias("of"))), "s").withColumn("cell", cell).drop("of"))
     cells = blocks.groupBy("s", "cell").agg(F.sum("block_words").alias("words"), F.count("*").alias("n"))
     earlier = Window.partitionBy("s").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
     cells = cells.select("s", "cell", *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"{c}_before") for c in ("words", "n")])
@@ -125,7 +127,8 @@ def mix_sources(
     here = {"nth": F.row_number().over(order), "start": F.sum("block_words").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("block_words")}
     blocks = blocks.withColumns(here).join(cells, ["s", "cell"])
     blocks = written(blocks.select("s", "block", "block_words", (F.col("nth") + F.col("n_before")).alias("nth"), (F.col("start") + F.col("words_before")).alias("start")))
-    drawn = blocks.join(F.broadcast(facts.select("s", "whole", "rest")), "s").groupBy("s").agg(F.first("whole").alias("whole"), F.count("*").alias("n"), F.sum((F.col("start") < F.col("rest")).cast("long")).alias("part"))
+    drawn = blocks.join(F.broadcast(facts.select("s", "whole", "rest")), "s").groupBy("s")
+    drawn = drawn.agg(F.first("whole").alias("whole"), F.count("*").alias("n"), F.count_if(F.col("start") < F.col("rest")).alias("part"))
     counts = {r.s: (r.whole * r.n + r.part, r.n) for r in drawn.collect()}
     dealt = split_tree([counts.get(i, (0, 0))[0] for i in range(len(plan))], shards, seed)
     ends = spark.createDataFrame([(i, [int(x) for x in np.cumsum(np.roll(dealt[:, i], -i))]) for i in range(len(plan))], "s int, ends array<long>")
@@ -136,9 +139,11 @@ def mix_sources(
 
     def draw(epoch, words):
         j = epoch * F.col("n_blocks") + F.col("nth") - 1
-        return F.struct(epoch.alias("epoch"), F.pmod(F.size(F.filter("ends", lambda e: e <= j)) + F.col("s"), F.lit(shards)).alias("shard"), key(F.col("doc_id"), F.col("nth"), epoch).alias("place"), words.alias("words"))
+        shard = F.pmod(F.size(F.filter("ends", lambda e: e <= j)) + F.col("s"), F.lit(shards))
+        return F.struct(epoch.alias("epoch"), shard.alias("shard"), key(F.col("doc_id"), F.col("nth"), epoch).alias("place"), words.alias("words"))
 
-    whole = F.when(F.col("size") > 0, F.transform(F.sequence(F.lit(0), F.lit(most)), lambda e: draw(e.cast("long"), F.when(e < F.col("whole"), F.col("size")).when(e == F.col("whole"), part).otherwise(F.lit(0)))))
+    words = lambda e: F.when(e < F.col("whole"), F.col("size")).when(e == F.col("whole"), part).otherwise(F.lit(0))
+    whole = F.when(F.col("size") > 0, F.transform(F.sequence(F.lit(0), F.lit(most)), lambda e: draw(e.cast("long"), words(e))))
     rows = rows.withColumn("draws", F.coalesce(F.filter(whole, lambda d: d.words > 0), F.array().cast("array<struct<epoch:bigint,shard:int,place:bigint,words:bigint>>")))
     taken = F.aggregate("draws", F.lit(0).cast("long"), lambda a, d: a + d.words)
     return rows.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), "block", "draws", *(["kept"] if keep else []))

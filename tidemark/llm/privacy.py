@@ -178,7 +178,8 @@ def _joined(between: Column, found: Column) -> Column:
 
 def _spaced(shape: Column, bare: Column) -> Column:
     char = lambda i: part(shape, i, 1)
-    return F.array_join(F.transform(F.sequence(F.lit(1), F.length(shape)), lambda i: F.when(char(i) == " ", F.lit(" ")).otherwise(part(bare, F.length(F.replace(part(shape, 1, i), F.lit(" "), F.lit(""))), 1))), "")
+    nth = lambda i: F.length(F.replace(part(shape, 1, i), F.lit(" "), F.lit("")))
+    return F.array_join(F.transform(F.sequence(F.lit(1), F.length(shape)), lambda i: F.when(char(i) == " ", F.lit(" ")).otherwise(part(bare, nth(i), 1))), "")
 
 
 def _date(key: str, m: Column) -> Column:

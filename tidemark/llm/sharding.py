@@ -37,10 +37,9 @@ def splitters(rows: DataFrame, key: str, goals: list[float], before: list[float]
     while len(done) < len(goals):
         open_ = [i for i in range(len(goals)) if i not in done]
         # One histogram a round: the cells of every open interval, exact bytes in each. At most goals * probes rows come back.
-        cells = F.array(*[
-            F.when((F.col(key) >= low[i]) & (F.col(key) < high[i]) & F.col("part").isin(-1, i), F.struct(F.lit(i).alias("goal"), F.expr(f"({key} - {low[i]}L) div {max(1, -(-(high[i] - low[i]) // probes))}L").alias("cell")))
-            for i in open_
-        ])
+        here = lambda i: (F.col(key) >= low[i]) & (F.col(key) < high[i]) & F.col("part").isin(-1, i)
+        cell = lambda i: F.expr(f"({key} - {low[i]}L) div {max(1, -(-(high[i] - low[i]) // probes))}L").alias("cell")
+        cells = F.array(*[F.when(here(i), F.struct(F.lit(i).alias("goal"), cell(i))) for i in open_])
         counted = rows.select(F.explode(F.filter(cells, lambda c: c.isNotNull())).alias("c"), "size").groupBy("c.goal", "c.cell").agg(F.sum("size").alias("bytes")).collect()
         for i in open_:
             width = max(1, -(-(high[i] - low[i]) // probes))

@@ -84,7 +84,8 @@ def templates(shapes: DataFrame, s: Settings) -> DataFrame:
     smooth = lambda g, b, prior: (F.col(g) + s.weight * prior) / (F.col(g) + F.col(b) + s.weight)
     row = total.first()  # one row
     prior = (row.g0 + 1.0) / (row.g0 + row.b0 + 2.0) if row and row.g0 is not None else 0.5
-    pooled = pooled.join(host, "host").withColumn("purity", smooth("good", "bad", smooth("g1", "b1", F.lit(prior)))).select("host", "merged", "purity", F.col("good").alias("template_good"), F.col("bad").alias("template_bad"))
+    pooled = pooled.join(host, "host").withColumn("purity", smooth("good", "bad", smooth("g1", "b1", F.lit(prior))))
+    pooled = pooled.select("host", "merged", "purity", F.col("good").alias("template_good"), F.col("bad").alias("template_bad"))
     leaves = leaves.select("host", "template", "merged").join(pooled, ["host", "merged"])
     return tree.select("host", "segments", "template").join(leaves, ["host", "template"])
 
