@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from ..functions.scalars import clip, sigmoid
+from ..functions.scalars import clip, finite, sigmoid
 from .ordered import numbered
 
 
@@ -38,8 +38,9 @@ def pct_change(x: Column, k: int, w: WindowSpec, floor: float | None = None) ->
 
 
 def log_return(x: Column, w: WindowSpec) -> Column:
+    """Log of the value over the one before; null unless both are over 0 and the result is finite."""
     before = F.lag(x, 1).over(w)
-    return F.when((x > 0) & (before > 0), F.ln(x / before))
+    return finite(F.when((x > 0) & (before > 0), F.ln(x / before)))
 
 
 def rolling(aggregate: Column, x: Column, k: int, w: WindowSpec, least: int | None = None) -> Column:
