@@ -681,10 +681,13 @@ def headerless_in_list(spark, d):
 
 @query("SELECT p_partkey, p_size * 2 AS p_size, round(p_retailprice, 2) AS price FROM part")
 def rewritten_unit(spark, d):
-    """A column's unit changed in a new table, which readers then take as the first candidate that exists."""
+    """A column's unit changed in a new table, to which a view is switched; by path readers take the first candidate that exists."""
     folder = shared_folder(spark)
-    sinks.rewritten(t(spark, d, "part"), {"p_size": F.col("p_size") * 2}, f"{folder}/new")
+    sinks.switched(spark, "parts_in_use", f"{d}/part.parquet")
+    sinks.rewritten(spark.table("parts_in_use"), {"p_size": F.col("p_size") * 2}, f"{folder}/new")
+    sinks.switched(spark, "parts_in_use", f"{folder}/new")
     x = files.optional_parquet(spark, [f"{folder}/missing", f"{folder}/new", f"{d}/part.parquet"], ["p_partkey", "p_size", "p_retailprice", "absent"])
+    x = x.join(spark.table("parts_in_use").select("p_partkey"), "p_partkey", "left_semi")
     return x.select("p_partkey", "p_size", F.round("p_retailprice", 2).alias("price"))
 
 
@@ -698,6 +701,16 @@ def first_hundred(spark, d):
     return files.csv_columns(spark, folder, {"flag": "string", "day": "string", "v": "double"})
 
 
+@query("SELECT CAST(year(o_orderdate) AS INTEGER) AS year, true AS has_files, true AS has_bytes FROM orders WHERE year(o_orderdate) >= 1997 GROUP BY 1")
+def store_listing(spark, d):
+    """A listing of a store's files by year, no content read; years from the paths."""
+    folder = shared_folder(spark)
+    t(spark, d, "orders").withColumn("year", F.year("o_orderdate")).select("year", "o_orderkey").coalesce(1).write.partitionBy("year").parquet(folder)
+    keys = files.listing(spark, folder, "*.parquet").withColumn("key", F.regexp_replace("key", "year=", ""))
+    x = files.of_years(keys, 1997, 2100, keep_unknown=False).withColumn("year", S.path_year(F.col("key")))
+    return x.groupBy("year").agg((F.count("*") > 0).alias("has_files"), (F.sum("size") > 0).alias("has_bytes"))
+
+
 @query("SELECT o_orderpriority AS priority, count(*) AS n, round(avg(o_totalprice), 2) AS mean FROM orders GROUP BY 1")
 def statistics_file(spark, d):
     """Statistics of a run: one Parquet file, then JSON lines, read back."""

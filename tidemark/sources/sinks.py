@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .files import optional_parquet
@@ -40,6 +40,12 @@ def rewritten(df: DataFrame, changes: dict[str, Column], path: str) -> DataFrame
     return df.sparkSession.read.parquet(path)
 
 
+def switched(spark: SparkSession, view: str, path: str) -> DataFrame:
+    """Lets a view show the table at path from now on: readers by the view's name move over in one step, running ones end on the old files."""
+    spark.read.parquet(path).createOrReplaceTempView(view)
+    return spark.table(view)
+
+
 def day_index(df: DataFrame, date_col: str = "date") -> DataFrame:
     """Per day the number of its rows and of all rows before: where its slice starts in rows ordered by day."""
     counts = df.groupBy(date_col).agg(F.count("*").alias("length"))
