@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions.scalars import clip, finite, sigmoid
-from .ordered import numbered
+from .long_series import percentile_rank
 
 
 def series(keys: list[str], order: list[str]) -> WindowSpec:
@@ -131,30 +131,5 @@ def masked_zscore(x: Column, mask: Column, w: WindowSpec) -> Column:
 
 
 def percentile_of_long(df: DataFrame, x: str, keys: list[str], cell: str, order: list[str], k: int, name: str) -> DataFrame:
-    """Share of the last k values no larger than this one, for windows too long to gather a row; null until k rows are there.
-
-    A task has k rows of a series and the k before them; it keeps the window sorted and moves it on row by row, so a row costs
-    a search and is sent twice. cell: a column that never falls along the order; values aren't null.
-    """
-    rows = numbered(df.select(*keys, cell, *order, F.col(x).cast("double").alias("_x")), keys, cell, order, "_i")
-    block = F.floor((F.col("_i") - 1) / k)
-    dealt = rows.withColumn("_block", F.explode(F.array(block, block + 1))).withColumn("_own", block == F.col("_block"))
-
-    def run(table):
-        import bisect
-
-        import pyarrow as pa
-
-        table = table.sort_by("_i")
-        values, places = table.column("_x").to_pylist(), table.column("_i").to_pylist()
-        held, out = [], []
-        for at, (v, i) in enumerate(zip(values, places, strict=True)):
-            bisect.insort(held, v)
-            if len(held) > k:
-                held.pop(bisect.bisect_left(held, values[at - k]))
-            out.append(bisect.bisect_right(held, v) / k if i >= k else None)
-        return table.append_column(name, pa.array(out, pa.float64())).filter(table.column("_own")).select([*keys, *order, name])
-
-    kinds = dict(rows.dtypes)
-    schema = ", ".join([f"`{c}` {kinds[c]}" for c in [*keys, *order]] + [f"`{name}` double"])
-    return dealt.groupBy(*keys, "_block").applyInArrow(run, schema)
+    """Share of the last k values no larger than this one, for windows too long to gather a row; null until k rows are there."""
+    return percentile_rank(df, keys, cell, order, x, k, name)

@@ -1,11 +1,12 @@
-"""Sequence operators: segments, selective scan, causal convolution, pooling of vectors, manifests."""
+"""Sequence operators: segments, causal convolution, pooling of vectors, manifests."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from .ordered import scanned
+from .long_series import scan as selective_scan  # noqa: F401
+from .long_series import states_before
 
 
 def segments(w: WindowSpec, size: int):
@@ -24,21 +25,6 @@ def causal_conv(x: str, weights: list[float], w: WindowSpec, before: list[float]
     return sum((F.lit(c) * back(k) for k, c in enumerate(weights)), F.lit(0.0))
 
 
-def selective_scan(df: DataFrame, keys: list[str], cell: str, order: list[str], x: str, dt: str, a: list[float], b: str, c: str, skip: float, out: str) -> DataFrame:
-    """h_n = exp(dt * a_n) * h_n + dt * b_n * x along each key for every state n, y = sum of c_n * h_n, plus skip * x.
-
-    b and c are array columns, a weight for each state. Null x or dt count as 0. cell: a column that never falls along the
-    order; a cell's rows lie together, the cells of a series are put together from one step each (see ordered.scanned).
-    """
-    rows = df.withColumns({"_x": F.coalesce(F.col(x), F.lit(0.0)), "_dt": F.coalesce(F.col(dt), F.lit(0.0))})
-    total = F.lit(skip) * F.col("_x")
-    for n, rate in enumerate(a):
-        rows = rows.withColumns({"_decay": F.exp(F.col("_dt") * rate), "_in": F.col("_dt") * F.col(b)[n] * F.col("_x")})
-        rows = scanned(rows, keys, cell, order, "_decay", "_in", f"_h{n}")
-        total = total + F.col(c)[n] * F.col(f"_h{n}")
-    return rows.withColumn(out, total).drop("_x", "_dt", "_decay", "_in", *[f"_h{n}" for n in range(len(a))])
-
-
 def segment_sums(df: DataFrame, keys: list[str], order: list[str], x: str, out: str) -> DataFrame:
     """For each row of a segment the sums of x from after each earlier row up to this one, then 0: a row of the lower
     triangle, by differences of running sums. keys name a segment of bounded length.
@@ -49,10 +35,13 @@ def segment_sums(df: DataFrame, keys: list[str], order: list[str], x: str, out:
 
 
 def chunk_sums(df: DataFrame, keys: list[str], cell: str, x: str, decay: str, out: str) -> DataFrame:
-    """One row a chunk: keys, cell, and the state that it starts from, where state = exp(sum of decay) * state + sum of x, chunk by chunk."""
-    parts = df.groupBy(*keys, cell).agg(F.exp(F.sum(decay)).alias("a"), F.sum(x).alias("b"))
-    before = Window.partitionBy(*keys).orderBy(cell).rowsBetween(Window.unboundedPreceding, -1)
-    return parts.select(*keys, cell, F.aggregate(F.collect_list(F.struct("a", "b")).over(before), F.lit(0.0), lambda h, p: h * p.a + p.b).alias(out))
+    """One row a chunk: keys, cell, and the state that it starts from, where state = exp(sum of decay) * state + sum of x, chunk by chunk.
+
+    cell: a whole number or a date. Null x and decay count as 0.
+    """
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0.0))
+    parts = df.groupBy(*keys, cell).agg(F.array(F.exp(total(decay))).alias("_a"), F.array(total(x)).alias("_b"))
+    return states_before(parts, keys, cell, "_a", "_b").select(*keys, cell, F.col("state")[0].alias(out))
 
 
 def softmax_pool(df: DataFrame, keys: list[str], vector: str, score: str) -> DataFrame:

@@ -10,6 +10,7 @@ from ..functions import scalars as S
 from ..operators import asof as A
 from ..operators import bars as B
 from ..operators import cleaning as K
+from ..operators import long_series as L
 from ..operators import macro as M
 from ..operators import ordered as O
 from ..operators import rolling as R
@@ -609,10 +610,10 @@ def every_seventh_file(spark, d):
 
 @query("SELECT o_orderkey, left(md5('7|' || o_orderkey), 2) AS cell, row_number() OVER (ORDER BY md5('7|' || o_orderkey), o_orderkey) AS place FROM orders")
 def seeded_shuffle(spark, d):
-    """A permutation that a seed decides: places by hash, counted in 256 cells."""
+    """A permutation that a seed decides: places by hash, counted in 16 million cells, of which one holds few rows at any size."""
     h = F.md5(F.concat(F.lit("7|"), F.col("o_orderkey")).cast("binary"))
-    x = t(spark, d, "orders").select("o_orderkey", h.alias("h"), F.substring(h, 1, 2).alias("cell"), F.lit(0).alias("all"))
-    return O.numbered(x, ["all"], "cell", ["h", "o_orderkey"], "place").select("o_orderkey", "cell", "place")
+    x = t(spark, d, "orders").select("o_orderkey", h.alias("h"), F.substring(h, 1, 2).alias("cell"), F.conv(F.substring(h, 1, 6), 16, 10).cast("long").alias("at"), F.lit(0).alias("all"))
+    return L.numbered(x, ["all"], "at", ["h", "o_orderkey"], "place").select("o_orderkey", "cell", "place")
 
 
 @query("""SELECT source, id, CAST(ts AS VARCHAR) AS ts, CAST(row_number() OVER (PARTITION BY CAST(ts AS DATE) ORDER BY ts, source, id) AS INTEGER) AS nth FROM (

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..streaming.sinks import shared_folder
 from .files import optional_parquet
 
 
@@ -46,6 +47,13 @@ def switched(spark: SparkSession, view: str, path: str) -> DataFrame:
     return spark.table(view)
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """The rows as a table in the shared folder, read back: made once, safe from lost executors, and the end of their lineage."""
+    path = shared_folder(df.sparkSession)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def day_index(df: DataFrame, date_col: str = "date") -> DataFrame:
     """Per day the number of its rows and of all rows before: where its slice starts in rows ordered by day."""
     counts = df.groupBy(date_col).agg(F.count("*").alias("length"))
