@@ -159,7 +159,7 @@ def test_op2_furniture_and_verdicts(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
     want = brute_furniture(texts, rules)
     keys = {r.k: r.line for r in spark.createDataFrame([(x,) for x in want], "line string").select("line", quality.line_keys(F.col("line"))[0].alias("k")).collect()}
-    assert set(quality.furniture_lines(docs).tolist()) == set(keys) and len(want) >= 2 and not any(b in want for b in base)
+    assert {r.line for r in quality.furniture_lines(docs).collect()} == set(keys) and len(want) >= 2 and not any(b in want for b in base)
     got = {r.doc_id: r for r in quality.clean_lines(docs).collect()}
     for i, t in enumerate(texts):
         n, *_, failed = brute_quality(t)
@@ -656,7 +656,13 @@ def plain_tree(pages, s):
             at[1] += b
     smooth = lambda x, prior: (x[0] + s.weight * prior) / (sum(x) + s.weight)
     prior = (whole[0] + 1) / (sum(whole) + 2)
-    return {i: (merged[h, mine[i]], smooth(pooled[h, merged[h, mine[i]]], smooth(hosts[h], prior))) for i, (h, _, _) in enumerate(pages)}
+    out = {}
+    for i, (h, _, _) in enumerate(pages):
+        x = pooled[h, merged[h, mine[i]]]
+        purity = smooth(x, smooth(hosts[h], prior))
+        low = prior - s.reject_z * (prior * (1 - prior) / (sum(x) + s.weight)) ** 0.5
+        out[i] = (merged[h, mine[i]], purity, "block" if purity < s.threshold or purity < low else "allow")
+    return out
 
 
 def test_op10_tree_equals_plain_python(spark):
@@ -671,8 +677,8 @@ def test_op10_tree_equals_plain_python(spark):
     got = {r.page_id: (r.template, r.purity, r.verdict) for r in urls.judge_urls(pages, [], pages.where("good is not null").select("page_id", "good")).collect()}
     plain = [(u.split("/")[2], [re.sub("[0-9]+", "{n}", x) for x in u.split("/")[3:] if x], good) for _, u, good in rows]
     settings = urls.Settings()
-    for i, (template, purity) in plain_tree(plain, settings).items():
-        assert got[i][0] == template and abs(got[i][1] - purity) < 1e-9 and got[i][2] == ("block" if purity < settings.threshold else "allow")
+    for i, (template, purity, verdict) in plain_tree(plain, settings).items():
+        assert got[i][0] == template and abs(got[i][1] - purity) < 1e-9 and got[i][2] == verdict
     assert len({v for _, _, v in got.values()}) == 2
     none = spark.createDataFrame([], "page_id long, url string, good int")
     assert urls.judge_urls(none, URL_RULES, none.select("page_id", "good")).count() == 0
@@ -794,8 +800,87 @@ def test_equals_sql(spark, name):
 
     where = "/root/testdata/sf0.001"
     c = duckdb.connect()
-    c.sql(f"CREATE VIEW documents AS SELECT * FROM '{where}/documents.parquet'")
+    for name_ in ("documents", "labels", "pages"):
+        c.sql(f"CREATE VIEW {name_} AS SELECT * FROM '{where}/{name_}.parquet'")
     want = c.sql(queries.SQL[name])
     got = queries.QUERIES[name](spark, where)
     assert sorted(got.columns) == sorted(want.columns)
     assert sorted(map(tuple, got.select(*want.columns).collect())) == sorted(want.fetchall())
+
+
+def test_op2_furniture_of_any_size_by_a_join(spark):
+    """The same verdicts whether the furniture is sent or joined, and on a corpus alone and with nine unrelated ones."""
+    rnd = random.Random(5)
+    site = ["Alle Rechte vorbehalten 7.", "Inicio Noticias Contacto Ayuda Mapa", "Kurz und gut, so ist es hier."]
+    text = lambda c: "\n".join([" ".join(f"{c}{rnd.randrange(10**6)}" for _ in range(9)) + "." for _ in range(6)] + rnd.sample(site, 2) * (c == "a"))
+    own = [(i, text("a")) for i in range(60)] + [(60, None), (61, ""), (0, None)]
+    own[7] = (7, own[8][1])
+    own += [own[9]] * 30
+    others = [(1000 + 100 * k + i, text("bcdefghij"[k])) for k in range(9) for i in range(60)]
+    frame = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
+    sent = sorted(map(str, quality.clean_lines(frame(own)).collect()))
+    assert sorted(map(str, quality.clean_lines(frame(own), rules=quality.Rules(most_sent=0)).collect())) == sent
+    assert sorted(map(str, quality.clean_lines(frame(own + others)).where("doc_id < 1000").collect())) == sent
+    assert any("n_bad_boilerplate=1" in r or "n_bad_boilerplate=2" in r for r in sent)
+
+
+def test_op5_long_secrets_and_addresses(spark):
+    rnd = random.Random(6)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    long = "".join(rnd.choice(letters) for _ in range(10_000))
+    name, label = "".join(rnd.choice(letters) for _ in range(70)), "".join(rnd.choice("abc") for _ in range(90))
+    texts = [f"so password={long} ends", f"mail {name}@{label}.{'.'.join('x' * 20)}.example now", "a." * 20_000, f"token: {long[:200]}", f"again password={long} ends"]
+    got = [r.text for r in privacy.pseudonymise(spark.createDataFrame(list(enumerate(texts)), "i long, text string"), "k").orderBy("i").collect()]
+    secret = got[0].removeprefix("so password=").removesuffix(" ends")
+    assert len(secret) == 10_000 and sum(a == b for a, b in zip(secret, long, strict=True)) < 1000 and long[-72:] not in got[0]
+    assert got[4] == got[0].replace("so ", "again ") and got[2] == texts[2]
+    new = got[1].split("@")[0].removeprefix("mail ")
+    assert len(new) == 70 and new != name and long[128:200] not in got[3]
+
+
+def test_op6_quotations_of_any_length():
+    model = toxicity.Model(words={"blockhead": 3.0})
+    trie = toxicity.Trie(model)
+    for n in (3, 60, 700):
+        quoted = toxicity.features('they have "' + "word " * n + "blockhead " + "more " * n + '" here', trie, {})
+        assert quoted[2] > 0 and quoted[0] == 0, n
+    assert toxicity.features("they have \"one\" blockhead", trie, {})[0] > 0
+
+
+def test_op6_learns_one_row_an_id_and_keeps_all_that_is_evident(spark):
+    """Many rows of an id count as one, the least text, and the lexicon has no rank to end it."""
+    bad = lambda i: " ".join(f"bad{(7 * i + j) % 500}word" for j in range(5))
+    rows = [(i, f"{bad(i)} other text {i}") for i in range(5000)] + [(10_000 + i, f"plain words of no harm {i}") for i in range(3000)]
+    marks = spark.createDataFrame([(i, int(i < 10_000)) for i, _ in rows], "doc_id long, toxic int")
+    model = toxicity.learn(spark.createDataFrame(rows, "doc_id long, text string"), marks, toxicity.Limits(toxic_rows=5000))
+    assert sum(w.startswith("bad") for w in model.words) == 500
+    few = rows[:8] * 50 + rows[5000:5010]
+    a = toxicity.learn(spark.createDataFrame(few + [(0, "zzz later text")] * 9, "doc_id long, text string"), marks.where("doc_id < 8 or doc_id between 10000 and 10009"))
+    b = toxicity.learn(spark.createDataFrame(rows[:8] + rows[5000:5010], "doc_id long, text string"), marks.where("doc_id < 8 or doc_id between 10000 and 10009"))
+    assert (a.words, a.weights) == (b.words, b.weights)
+
+
+def rows_a_task(df):
+    return max(r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect())
+
+
+def test_op1_and_op8_split_rows_that_nothing_tells_apart(spark):
+    """10,000 rows alike in id and text among 8,000 others: no cell of a shard and no block holds them."""
+    same = [(None, "one text for all", "s")] * 10_000
+    rows = spark.createDataFrame(same + [(i, f"text {i} " * 3, "s") for i in range(8000)], "doc_id long, text string, source string").repartition(6)
+    moved = sharding.shard_by_bytes(rows, 2)
+    slots = sorted((r.shard, r.slot) for r in moved.select("shard", "slot").collect())
+    n = sum(s == 0 for s, _ in slots)
+    assert slots == [(0, i) for i in range(n)] + [(1, i) for i in range(len(slots) - n)] and len(slots) == 18_000
+    sizes = {r.shard: r.b for r in moved.groupBy("shard").agg(F.sum("size").alias("b")).collect()}
+    assert abs(sizes[0] - sizes[1]) < 0.02 * sizes[0]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "40")
+        assert rows_a_task(sharding.shard_by_bytes(rows, 2)) < 2500
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    mixed = mixing.mix_sources(rows, shards=4, block_rows=256)
+    assert mixed.groupBy("source", "block").count().agg(F.max("count")).first()[0] < 512
+    assert sorted(map(str, mixed.collect())) == sorted(map(str, mixing.mix_sources(rows.repartition(3), shards=4, block_rows=256).collect()))

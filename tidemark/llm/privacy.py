@@ -41,8 +41,8 @@ _IBAN_OF = {
 _IBANS = "|".join(f"(?:{c.replace(' ', '|')})[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{{(n - 4) // 4}}}" + (f"(?: ?[A-Z0-9]{{{n % 4}}})" if n % 4 else "") for n, c in _IBAN_OF.items())
 #: Kind and pattern; earlier ones win where two match at one place. A card's match is the whole chain of digits, for _card to search.
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]{1,63}+(?:\.[A-Za-z0-9-]{1,63}+){1,8}",
-    "secret": r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])|(?<![A-Za-z0-9])(?:password|passwd|secret|token|api_?key)\s{0,3}[=:]\s{0,3}[\"']?[A-Za-z0-9_+/-]{8,128}",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
+    "secret": r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])|(?<![A-Za-z0-9])(?:password|passwd|secret|token|api_?key)\s{0,3}[=:]\s{0,3}[\"']?[A-Za-z0-9_+/-]{8,}+",
     "iban": rf"(?<![A-Za-z0-9])(?:{_IBANS}|[A-Z]{{2}}[0-9]{{2}}(?:(?:{_SPACE})?[A-Z0-9]{{4}}){{2,7}}(?:(?:{_SPACE})?[A-Z0-9]{{1,3}})?)(?![A-Za-z0-9])",
     "date": rf"(?<![0-9./-]){_DATE}",
     "ip": r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])",
@@ -134,15 +134,16 @@ def mod97(text: Column) -> Column:
 
 
 def hashed_form(key: str, kind: str, x: Column, keep: Column) -> Column:
-    """Letters and digits of x from its place keep + 1 on, replaced class by class from a keyed hash of that part."""
+    """Letters and digits of x from its place keep + 1 on, replaced class by class from a keyed hash of that part, which is read once."""
 
-    def other(c: Column, i: Column) -> Column:
-        h = keyed(key, F.lit(kind), F.substring(x, keep + 1, F.length(x)), i)
+    def other(whole: Column, c: Column, i: Column) -> Column:
+        h = keyed(key, F.lit(kind), whole, i)
         at = lambda letters: part(F.lit(letters), (F.pmod(h, F.lit(len(letters))) + 1).cast("int"), 1)
         new = F.when(c.rlike("[0-9]"), at("0123456789")).when(c.rlike("[A-Z]"), at("ABCDEFGHIJKLMNOPQRSTUVWXYZ")).when(c.rlike("[a-z]"), at("abcdefghijklmnopqrstuvwxyz")).otherwise(c)
         return F.when(i < keep, c).otherwise(new)
 
-    return F.array_join(F.transform(F.filter(F.split(x, ""), lambda c: c != ""), other), "")
+    letters = F.filter(F.split(x, ""), lambda c: c != "")
+    return let(keyed(key, F.lit(kind), F.substring(x, keep + 1, F.length(x))), lambda whole: F.array_join(F.transform(letters, lambda c, i: other(whole, c, i)), ""))
 
 
 def _email(key: str, m: Column) -> Column:
