@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, hash_words, slices, window_hashes, words_of, written
+from .common import WORD, hash_words, ship, slices, window_hashes, words_of, written
 
 SCHEMA = (
     "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, "
@@ -50,7 +50,7 @@ class Rules:
     max_loss: float = 0.5
     least_texts: int = 20  # unrelated texts that make a line furniture
     least_share: float = 0.5  # of the different texts with the line that must be unrelated
-    most_furniture: int = 1_000_000  # lines that may be furniture at once: 8 MB; least_texts rises with the corpus to keep to it
+    most_sent: int = 1_000_000  # furniture lines up to which all tasks get them, 8 MB; more are joined to the texts, with the same verdicts
 
 
 def line_fault(line: str, words: list[str], rules: Rules, debris: bool = True, furniture: bool = False) -> str | None:
@@ -133,34 +133,50 @@ def _relation(batches):
         yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(np.concatenate(found)), batch.column(2)], ["text", "least", "keys"])
 
 
-def furniture_lines(df: DataFrame, text_col: str = "text", rules: Rules = Rules()) -> np.ndarray:
-    """The sorted keys of the lines that recur over the corpus, at most most_furniture of them: each takes least_texts of all lines."""
+def furniture_lines(df: DataFrame, text_col: str = "text", rules: Rules = Rules()) -> DataFrame:
+    """The keys of the lines that recur over the corpus, in a column `line`."""
     text = F.col(text_col).cast("string")
     rows = df.where(text.isNotNull()).select(text.alias("text"), F.xxhash64(text).alias("h"), F.array_distinct(F.filter(line_keys(text), lambda k: k.isNotNull())).alias("keys"))
     lines = rows.mapInArrow(_relation, "text long, least long, keys array<long>").select("text", "least", F.explode("keys").alias("line"))
     alike = lines.groupBy("line", "least", "text").agg(F.lit(1).alias("one")).groupBy("line", "least").agg(F.count("*").alias("texts"))
-    counted = written(alike.groupBy("line").agg(F.count("*").alias("unrelated"), F.sum("texts").alias("texts")))
-    total = counted.agg(F.sum("unrelated")).first()[0] or 0
-    enough = max(rules.least_texts, -(-total // rules.most_furniture))
-    found = counted.where((F.col("unrelated") >= enough) & (F.col("unrelated") >= rules.least_share * F.col("texts"))).select("line")
-    return np.sort(np.array([r.line for r in found.toLocalIterator()], np.int64))
+    counted = alike.groupBy("line").agg(F.count("*").alias("unrelated"), F.sum("texts").alias("texts"))
+    return written(counted.where((F.col("unrelated") >= rules.least_texts) & (F.col("unrelated") >= rules.least_share * F.col("texts"))).select("line"))
+
+
+def with_furniture(rows: DataFrame, lines: DataFrame) -> DataFrame:
+    """rows (text, keys, ...) with `known`, which of a text's keys are furniture, found by a join for furniture of any size.
+
+    Each text takes part once, told by its SHA-256, however many rows have it.
+    """
+    rows = rows.withColumn("_text", F.unhex(F.sha2("text", 256)))
+    keys = rows.groupBy("_text").agg(F.first("keys").alias("keys")).select("_text", F.explode(F.array_distinct("keys")).alias("line"))
+    known = keys.join(lines, "line", "left_semi").groupBy("_text").agg(F.collect_list("line").alias("known"))
+    return rows.join(known, "_text", "left").drop("_text")
 
 
 def clean_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: Rules = Rules()) -> DataFrame:
     """One row of SCHEMA per row of df, on whole texts. clean_text holds the lines that passed."""
-    furniture = df.sparkSession.sparkContext.broadcast(furniture_lines(df, text_col, rules))  # most_furniture numbers at most
+    ship(df.sparkSession)
+    lines = furniture_lines(df, text_col, rules)
+    text = F.col(text_col).cast("string")
+    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), line_keys(text).alias("keys"))
+    if lines.count() <= rules.most_sent:
+        sent = df.sparkSession.sparkContext.broadcast(np.sort(np.array([r.line for r in lines.toLocalIterator()], np.int64)))
+        rows = rows.withColumn("known", F.lit(None).cast("array<long>"))
+    else:
+        sent, rows = None, with_furniture(rows, lines)
 
     def run(batches):
         import pyarrow as pa
 
         kinds = [pa.int64()] * 6 + [pa.bool_()] * 2 + [pa.int64()] * 5 + [pa.string()]
         names = [x.split()[0] for x in SCHEMA.split(", ")]
-        known = furniture.value
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                rows = [judge(t.as_py(), rules, None if k is None else [x or 0 for x in k], known) for t, k in zip(part.column(1), part.column(2).to_pylist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(0), *map(pa.array, zip(*rows, strict=True), kinds[1:])], names)
+                keys, known = part.column(2).to_pylist(), part.column(3).to_pylist()
+                furniture = [sent.value if sent else np.array(k or [], np.int64) for k in known]
+                judged = [judge(t.as_py(), rules, None if k is None else [x or 0 for x in k], f) for t, k, f in zip(part.column(1), keys, furniture, strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0), *map(pa.array, zip(*judged, strict=True), kinds[1:])], names)
 
-    text = F.col(text_col).cast("string")
-    return df.select(F.col(id_col).cast("long"), text.alias("text"), line_keys(text).alias("keys")).mapInArrow(run, SCHEMA)
+    return rows.select("doc_id", "text", "keys", "known").mapInArrow(run, SCHEMA)
