@@ -24,7 +24,8 @@ from pyspark.sql import functions as F
 
 TOKEN = re.compile(r"[^\W_]+")
 SPLIT = r"[^\p{L}\p{N}]+"
-QUOTED = re.compile(r"“[^“”\n]{1,400}”|«[^«»\n]{1,400}»|„[^„“”\n]{1,400}[“”]|\"[^\"\n]{1,400}\"")
+#: A quotation of any length within a line.
+QUOTED = re.compile(r"“[^“”\n]++”|«[^«»\n]++»|„[^„“”\n]++[“”]|\"[^\"\n]++\"")
 REPORTING = frozenset("said says wrote quote quoted quoting reported word term called dijo escribió palabra dit écrit mot sagte schrieb wort zitat".split())
 #: Log weights of exact, misspelled and quoted hits, hits per hundred words, any exact hit.
 FEATURES = ["tox_exact", "tox_fuzzy", "tox_quoted", "tox_density", "tox_any"]
@@ -34,12 +35,10 @@ MEMO = 400_000
 
 @dataclass(frozen=True)
 class Limits:
-    """Bounds of what is learned from: labelled rows of either kind, and the entries that are kept."""
+    """Bounds of what is learned from, labelled documents of either kind, and the evidence that an entry takes."""
 
     toxic_rows: int = 4000
     clean_rows: int = 8000
-    words: int = 400
-    stems: int = 200
     least_documents: int = 3
     least_odds: float = 1.8  # log odds less 1.5 standard errors
 
@@ -176,7 +175,9 @@ def learn(df: DataFrame, labels: DataFrame, limits: Limits = Limits()) -> Model:
     if not of.get(0) or not of.get(1):
         return model
     words = F.filter(F.split(F.lower("text"), SPLIT), lambda w: F.length(w) > 2)
-    texts = df.join(F.broadcast(sample), "doc_id").where("text is not null").select("text", "toxic", words.alias("w")).persist()  # bounded by the limits; w is made once
+    # Bounded by the limits: of rows that share an id the least text counts. The words are made once.
+    found = df.join(F.broadcast(sample), "doc_id").where("text is not null").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    texts = found.select("text", "toxic", words.alias("w")).persist()
     # Near copies count once: they share the least hash of their three-word runs.
     run = F.transform(F.sequence(F.lit(0), F.greatest(F.size("w") - 3, F.lit(0))), lambda i: F.xxhash64(F.concat_ws(" ", F.slice("w", i + 1, 3))))
     seen = texts.where("size(w) > 0").select("toxic", F.array_min(run).alias("copy"), F.array_distinct("w").alias("w")).persist()
@@ -184,16 +185,16 @@ def learn(df: DataFrame, labels: DataFrame, limits: Limits = Limits()) -> Model:
     toxic_n, clean_n = totals.get(1, 0), totals.get(0, 0)
     each = seen.select("toxic", "copy", F.explode("w").alias("w")).distinct().groupBy("w").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c")).persist()
 
-    def ranked(rows: DataFrame, most: int) -> list:
+    def evident(rows: DataFrame) -> dict[str, float]:
         odds = F.log((F.col("t") + 0.5) / (toxic_n + 1)) - F.log((F.col("c") + 0.5) / (clean_n + 1))
         doubt = F.sqrt(1 / (F.col("t") + 0.5) + 1 / (F.col("c") + 0.5))  # its standard error
         rows = rows.where(F.col("t") >= limits.least_documents).withColumn("odds", odds).where(F.col("odds") - 1.5 * doubt >= limits.least_odds)
-        return rows.orderBy(F.desc(F.col("t") * F.col("odds")), "entry").limit(most).collect()
+        return {r.entry: float(r.odds) for r in rows.select("entry", "odds").toLocalIterator()}  # of the bounded sample's words
 
     starts = F.transform(F.sequence(F.lit(4), F.least(F.length("w"), F.lit(7))), lambda n: F.substring(F.col("w"), F.lit(1), n))
     stems = each.where("length(w) >= 5").select("t", "c", F.explode(starts).alias("entry")).groupBy("entry").agg(F.sum("t").alias("t"), F.sum("c").alias("c"), F.count("*").alias("forms"))
-    model.words = {r.entry: float(r.odds) for r in ranked(each.withColumnRenamed("w", "entry"), limits.words)}
-    model.stems = {r.entry: float(r.odds) for r in ranked(stems.where((F.col("forms") >= 4) & (F.col("c") * 200 <= F.col("t"))), limits.stems)}
+    model.words = evident(each.withColumnRenamed("w", "entry"))
+    model.stems = evident(stems.where((F.col("forms") >= 4) & (F.col("c") * 200 <= F.col("t"))))
     rows = featured(texts.select("text", "toxic"), model, "text").drop("text").toPandas()  # the bounded sample: a few numbers a row
     each.unpersist()
     seen.unpersist()
