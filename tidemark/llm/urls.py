@@ -3,7 +3,7 @@
 Every path is a list of segments whose digit runs stand for any number. Per host, level by level, to the paths' full depth,
 a segment with few labelled pages of its own becomes a wildcard, however many siblings it has; branches whose labelled
 rates don't differ significantly from their siblings' merge; a template is rejected when its smoothed labelled purity is
-under a threshold. Explicit rules come first.
+under a threshold, or lies significantly under the purity of all labelled pages. Explicit rules come first.
 
 Null urls and urls without "://" have an empty host and path, fit no rule, and get the verdict of the empty template.
 Repeated rows are judged alike, one result each. An empty table gives an empty result. Columns of df but the id and the
@@ -29,6 +29,7 @@ class Settings:
     z: float = 1.96  # two branches differ from here on
     weight: float = 4.0  # labelled pages that the prior counts for
     threshold: float = 0.5  # smoothed purity under it: rejected
+    reject_z: float = 2.58  # or so many standard errors, of as many pages as the template's labels and weight, under the overall purity
 
 
 def split_url(url: Column) -> tuple[Column, Column]:
@@ -47,7 +48,7 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> Co
 
 
 def templates(shapes: DataFrame, s: Settings) -> DataFrame:
-    """shapes: host, segments (array), good, bad, pages; adds template (string) and its smoothed purity."""
+    """shapes: host, segments (array), good, bad, pages; adds template (string), its smoothed purity and whether it is rejected."""
     tree = written(shapes.withColumn("template", F.lit("")))  # each level reads it three times
     deepest, depth, node = tree.agg(F.max(F.size("segments"))).first()[0] or 0, 0, ["host", "template"]
     while depth < deepest:
@@ -85,7 +86,9 @@ def templates(shapes: DataFrame, s: Settings) -> DataFrame:
     row = total.first()  # one row
     prior = (row.g0 + 1.0) / (row.g0 + row.b0 + 2.0) if row and row.g0 is not None else 0.5
     pooled = pooled.join(host, "host").withColumn("purity", smooth("good", "bad", smooth("g1", "b1", F.lit(prior))))
-    pooled = pooled.select("host", "merged", "purity", F.col("good").alias("template_good"), F.col("bad").alias("template_bad"))
+    error = F.sqrt(F.lit(prior * (1 - prior)) / (F.col("good") + F.col("bad") + s.weight))
+    pooled = pooled.withColumn("rejected", (F.col("purity") < s.threshold) | (F.col("purity") < prior - s.reject_z * error))
+    pooled = pooled.select("host", "merged", "purity", "rejected", F.col("good").alias("template_good"), F.col("bad").alias("template_bad"))
     leaves = leaves.select("host", "template", "merged").join(pooled, ["host", "merged"])
     return tree.select("host", "segments", "template").join(leaves, ["host", "template"])
 
@@ -106,5 +109,5 @@ def judge_urls(df: DataFrame, rules: list[tuple[str, str, str]], labels: DataFra
         marked = pages.join(labels.groupBy(F.col("page_id").cast("long").alias("page_id")).agg(F.max("good").alias("good")), "page_id", "left")
     shapes = marked.groupBy("host", "segments").agg(F.count("*").alias("pages"), F.count_if(F.col("good") == 1).alias("good"), F.count_if(F.col("good") == 0).alias("bad"))
     judged = templates(shapes, s)
-    verdict = F.coalesce(F.col("fit.verdict"), F.when(F.col("purity") < s.threshold, F.lit("block")).otherwise(F.lit("allow")))
+    verdict = F.coalesce(F.col("fit.verdict"), F.when(F.col("rejected"), F.lit("block")).otherwise(F.lit("allow")))
     return pages.join(judged, ["host", "segments"], "left").select("page_id", "host", "path", F.col("fit.rule").alias("rule"), verdict.alias("verdict"), F.col("merged").alias("template"), "purity")
