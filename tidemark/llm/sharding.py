@@ -4,8 +4,9 @@ The sort key is (hash of the text, hash of the id, number of the row), so that e
 found by counting, again and again, the exact bytes below candidate boundaries over all rows, each round with finer probes
 inside the interval that must hold the splitter, until it is within tolerance of its goal; then every row moves once. A
 splitter falls between texts where tolerance allows, inside a group of equal texts only where the group is too large for
-that, and between rows equal in text and id only where those are too many. Only then are rows numbered, and stored with
-their numbers, so that counting and moving see the same ones. DataFrame operations only.
+that, and between rows equal in text and id only where those are too many. Rows equal in both that are more than two cells
+of a shard hold get numbers, and are stored with them, so that counting and moving see the same ones and no task gets
+them all. DataFrame operations only.
 
 Null text: size 1, hashed as null, its crc null. Null ids are one id. Repeated rows are rows of their own. An empty table
 gives an empty result. A column of df that is named size, shard or slot is replaced, other names are kept.
@@ -67,11 +68,18 @@ def shard_by_bytes(df: DataFrame, shards: int = 8, id_col: str = "doc_id", text_
     tolerance: of a shard's mean bytes; whole: the error, likewise, up to which a group of equal texts is not split.
     """
     spark = df.sparkSession
-    k1, k2, k3, to, cell, start, nth = (free_name(df.columns, c) for c in ("_k1", "_k2", "_k3", "_shard", "_cell", "_start", "_nth"))
+    k1, k2, k3, k4, to, cell, start, nth = (free_name(df.columns, c) for c in ("_k1", "_k2", "_k3", "_k4", "_shard", "_cell", "_start", "_nth"))
     new = {k1: hashed(F.col(text_col)), k2: hashed(F.col(id_col), F.lit(1)), k3: F.lit(0).cast("long"), "size": (F.coalesce(F.octet_length(text_col), F.lit(0)) + 1).cast("long")}
     keyed = df.withColumns(new)
     narrow = written(keyed.select(k1, k2, k3, "size"))
     total = narrow.agg(F.sum("size")).first()[0] or 0
+    cells = max(128, -(-total // (shards * cell_bytes)))
+    # Rows alike in text and id are numbered where they are more than two cells' worth; there is one such group for two cells at most.
+    many = narrow.groupBy(k1, k2).agg(F.sum("size").alias("bytes")).where(F.col("bytes") * (shards * cells) > 2 * total).select(k1, k2, F.lit(True).alias(k4))
+    if not many.isEmpty():
+        number = F.when(F.col(k4), hashed(F.monotonically_increasing_id(), F.lit(3))).otherwise(F.lit(0).cast("long"))
+        keyed = written(keyed.join(F.broadcast(many), [k1, k2], "left").withColumn(k3, number).drop(k4))
+        narrow = keyed.select(k1, k2, k3, "size")
     goals, mean = [total * i / shards for i in range(1, shards)], total / shards
     first = splitters(narrow.select(k1, "size", F.lit(-1).alias("part")), k1, goals, [0.0] * len(goals), tolerance * mean, whole * mean)
     bounds = [(b, 0, 0) for b, *_ in first]
@@ -91,14 +99,10 @@ def shard_by_bytes(df: DataFrame, shards: int = 8, id_col: str = "doc_id", text_
     if hard := [i for i, x in enumerate(first) if not x[3]]:  # equal texts, too large a group to stay whole: split by id
         hard = inside(narrow, [k1], k2, hard, whole * mean)
     if hard:  # equal in id as well: split by number
-        many = F.struct(k1, k2).isin([F.struct(F.lit(bounds[i][0]).cast("long").alias(k1), F.lit(bounds[i][1]).cast("long").alias(k2)) for i in hard])
-        keyed = written(keyed.withColumn(k3, F.when(many, hashed(F.monotonically_increasing_id(), F.lit(3))).otherwise(F.lit(0).cast("long"))))
-        narrow = keyed.select(k1, k2, k3, "size")
         inside(narrow, [k1, k2], k3, hard, float("inf"))
     key = F.struct(k1, k2, k3)
     shard = sum((F.when(key >= F.struct(*[F.lit(x).cast("long").alias(c) for c, x in zip((k1, k2, k3), b, strict=True)]), 1).otherwise(0) for b in bounds), F.lit(0))
     # Cells of a shard by id and number, so that no group fills one; how many there are follows the bytes.
-    cells = max(128, -(-total // (shards * cell_bytes)))
     place = {to: shard.cast("int"), cell: F.expr(f"(`{k2}` ^ `{k3}`) div {-(-(1 << BITS) // cells)}L").cast("int")}
     counts = narrow.withColumns(place).groupBy(to, cell).agg(F.count("*").alias("n"))
     earlier = Window.partitionBy(to).orderBy(cell).rowsBetween(Window.unboundedPreceding, -1)
