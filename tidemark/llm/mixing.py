@@ -7,7 +7,7 @@ of documents; the last document drawn gives a part, so that a source's words equ
 comes to the driver, at most `most_sources` of them (else an error); documents never do.
 
 Null text: no words, drawn never. Null source: a source of its own, last in order. Rows that repeat a doc_id are drawn apart;
-rows alike in id and text lie in one block.
+rows alike in id and text lie in one block, unless they are too many for one: then they are numbered and dealt by number.
 An empty table gives an empty result. Columns of df, whatever their names, come back in the struct `kept` where asked for.
 """
 
@@ -17,6 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.long_series import numbered
 from .common import WORD, written
 
 
@@ -79,6 +80,25 @@ def _hypergeometric(rng, good: int, bad: int, take: int) -> int:
     return x + _hypergeometric(rng, good - x, bad - y, take - x - y)
 
 
+def _numbered(rows: DataFrame, alike: DataFrame) -> DataFrame:
+    """rows with a number, from 0, for those of the groups in alike (source, doc_id, alike), so that a group's numbers are the same in every run."""
+    keys = ["source", "doc_id", "alike"]
+    groups = alike.select(*keys, F.lit(True).alias("many"))
+    at = F.monotonically_increasing_id()
+    told = written(matched_left(rows.drop("number"), groups, keys).withColumn("at", at))
+    many = numbered(told.where("many").withColumn("cell", F.shiftright("at", 12)), keys, "cell", ["at"], "nth").withColumn("number", F.col("nth") - 1)
+    return told.where("many IS NULL").withColumn("number", F.lit(0).cast("long")).unionByName(many.drop("cell", "nth")).drop("at", "many")
+
+
+def matched_left(rows: DataFrame, groups: DataFrame, keys: list[str]) -> DataFrame:
+    """Left join on keys of which null matches null. groups: one for every few hundred rows at most."""
+    named = groups.withColumnsRenamed({k: f"_on_{k}" for k in keys})
+    test = F.lit(True)
+    for k in keys:
+        test = test & F.col(k).eqNullSafe(F.col(f"_on_{k}"))
+    return rows.join(named, test, "left").drop(*[f"_on_{k}" for k in keys])
+
+
 def mix_sources(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (1, 2, 3),
     most: int = 3, shards: int = 16, block_rows: int = 256, seed: int = 17, keep: tuple[str, ...] = (), most_sources: int = 100_000,
@@ -90,8 +110,13 @@ def mix_sources(
     spark = df.sparkSession
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
     inner = [F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), size.alias("size"), F.xxhash64(F.col(text_col)).alias("alike")]
+    inner.append(F.lit(0).cast("long").alias("number"))
     rows = df.select(*inner, *([F.struct(*[F.col(c) for c in keep]).alias("kept")] if keep else []))
     narrow = written(df.select(*inner))  # ids and sizes; the texts are read no more
+    alike = narrow.groupBy("source", "doc_id", "alike").agg(F.count("*").alias("n")).where(F.col("n") > block_rows)
+    if not alike.isEmpty():  # too many for a block of rows that nothing tells apart: they are numbered and dealt by number
+        rows = written(_numbered(rows, alike))
+        narrow = rows.drop("kept")
     rows = rows if keep else narrow
     by_source = narrow.groupBy("source").agg(F.sum("size").alias("words"), F.count("*").alias("n")).limit(most_sources + 1).collect()  # a row for each source
     if len(by_source) > most_sources:
@@ -110,12 +135,14 @@ def mix_sources(
         return F.xxhash64(F.lit(seed), *parts)
 
     rows = rows.join(F.broadcast(facts.withColumnRenamed("source", "_s")), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")  # bounded by the number of sources
-    rows = rows.withColumn("block", F.pmod(key(F.col("doc_id"), F.col("alike"), F.lit("block")), F.col("blocks")))
-    in_block = Window.partitionBy("s", "block").orderBy(key(F.col("doc_id"), F.lit("place")), "doc_id", "size", "alike")
+    block = [F.col("doc_id"), F.col("alike"), F.lit("block")]
+    block = F.pmod(F.when(F.col("number") == 0, key(*block)).otherwise(key(*block, F.col("number"))), F.col("blocks"))
+    rows = rows.withColumn("block", block)
+    in_block = Window.partitionBy("s", "block").orderBy(key(F.col("doc_id"), F.lit("place")), "doc_id", "size", "alike", "number")
     rows = rows.withColumns({"place": F.row_number().over(in_block), "before": F.sum("size").over(in_block.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")})
     # Blocks in permuted order; those within the rest are drawn once more, the last in part.
     blocks = narrow.join(F.broadcast(facts.withColumnRenamed("source", "_s")), F.col("source").eqNullSafe(F.col("_s")))
-    blocks = blocks.groupBy("s", F.pmod(key(F.col("doc_id"), F.col("alike"), F.lit("block")), F.col("blocks")).alias("block")).agg(F.sum("size").alias("block_words"))
+    blocks = blocks.groupBy("s", block.alias("block")).agg(F.sum("size").alias("block_words"))
     # Permuted order is that of `turn`; a source's blocks lie in cells of some thousand, whose sums are added up first, so that no task has a source whole.
     turn = key(F.col("s"), F.col("block"))
     cell = F.floor((turn / F.lit(2.0**64) + 0.5) * (F.floor(F.col("of") / CELL) + 1))
