@@ -849,8 +849,8 @@ def test_op6_quotations_of_any_length():
 
 def test_op6_learns_one_row_an_id_and_keeps_all_that_is_evident(spark):
     """Many rows of an id count as one, the least text, and the lexicon has no rank to end it."""
-    bad = lambda i: " ".join(f"bad{(7 * i + j) % 500}word" for j in range(5))
-    rows = [(i, f"{bad(i)} other text {i}") for i in range(5000)] + [(10_000 + i, f"plain words of no harm {i}") for i in range(3000)]
+    bad = lambda i: " ".join(f"bad{(7 * i + j) % 500}word own{i}x{j}" for j in range(5))
+    rows = [(i, f"{bad(i)} other text {i}") for i in range(5000)] + [(10_000 + i, f"plain{i} words{i} of no harm{i}") for i in range(3000)]
     marks = spark.createDataFrame([(i, int(i < 10_000)) for i, _ in rows], "doc_id long, toxic int")
     model = toxicity.learn(spark.createDataFrame(rows, "doc_id long, text string"), marks, toxicity.Limits(toxic_rows=5000))
     assert sum(w.startswith("bad") for w in model.words) == 500
