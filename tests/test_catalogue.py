@@ -7,10 +7,10 @@ import duckdb
 import pandas as pd
 import pytest
 
-from tidemark.plans import catalogue, features
+from tidemark.plans import catalogue, features, series
 
 DATA = Path("/root/testdata/sf0.001")
-QUERIES, SQL = catalogue.QUERIES | features.QUERIES, catalogue.SQL | features.SQL
+QUERIES, SQL = catalogue.QUERIES | features.QUERIES | series.QUERIES, catalogue.SQL | features.SQL | series.SQL
 
 
 @pytest.fixture(scope="module")
@@ -25,7 +25,7 @@ def rows(df: pd.DataFrame) -> list[tuple]:
     def shown(v):
         if v is None or v is pd.NA or (isinstance(v, float) and math.isnan(v)):
             return "null"
-        return f"{float(v):.5g}" if isinstance(v, (int, float)) or hasattr(v, "dtype") and not isinstance(v, bool) else str(v)
+        return f"{float(v):.12g}" if isinstance(v, (int, float)) or hasattr(v, "dtype") and not isinstance(v, bool) else str(v)
 
     return sorted(tuple(shown(v) for v in r) for r in df[sorted(df)].itertuples(index=False))
 

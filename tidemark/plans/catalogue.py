@@ -13,6 +13,7 @@ from ..functions import scalars as S
 from ..operators import asof as A
 from ..operators import bars as B
 from ..operators import ordered as O
+from ..operators import quantiles as N
 from ..operators import rolling as R
 from ..operators import scores as C
 from ..operators import sequences as Q
@@ -25,14 +26,21 @@ QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
 
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
+def query_of(queries: dict, texts: dict[str, str]):
+    """A decorator that enters a query under its name, with equal SQL where there is some."""
+    def query(sql: str | None = None):
+        def add(f):
+            queries[f.__name__] = f
+            if sql:
+                texts[f.__name__] = sql
+            return f
 
-    return add
+        return add
+
+    return query
+
+
+query = query_of(QUERIES, SQL)
 
 
 def t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -674,8 +682,11 @@ def time_unit_detection(spark, d):
 @query("""SELECT p_brand, median(p_retailprice) AS median, count(DISTINCT p_type) AS types, max(n) AS most FROM (SELECT *,
   count(*) OVER (PARTITION BY p_brand, p_size) AS n FROM part) GROUP BY 1""")
 def median_distinct(spark, d):
-    p = t(spark, d, "part").withColumn("n", F.count("*").over(Window.partitionBy("p_brand", "p_size")))
-    return p.groupBy("p_brand").agg(F.median("p_retailprice").alias("median"), F.countDistinct("p_type").alias("types"), F.max("n").alias("most"))
+    p = t(spark, d, "part").select("p_brand", "p_size", "p_type", "p_retailprice")
+    most = p.groupBy("p_brand", "p_size").agg(F.count("*").alias("n")).groupBy("p_brand").agg(F.max("n").alias("most"))
+    types = p.groupBy("p_brand", "p_type").agg(F.lit(1).alias("one")).groupBy("p_brand").agg(F.count("*").alias("types"))
+    middle = N.exact_quantiles(p, ["p_brand"], "p_retailprice", {"median": 0.5})
+    return O.matched(O.matched(middle, types, ["p_brand"]), most, ["p_brand"]).select("p_brand", "median", "types", "most")
 
 
 # --- candidate scores, runs, sources and sinks ------------------------------------------------------------------------

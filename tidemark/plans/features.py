@@ -13,6 +13,7 @@ from ..operators import cleaning as K
 from ..operators import long_series as L
 from ..operators import macro as M
 from ..operators import ordered as O
+from ..operators import quantiles
 from ..operators import rolling as R
 from ..operators import samples as P
 from ..operators import sequences as Q
@@ -21,20 +22,11 @@ from ..sources import files, sinks
 from ..streaming import bars as streams
 from ..streaming import state as running
 from ..streaming.sinks import drained, shared_folder
-from .catalogue import BARS, DAILY, DAYS, PRED, RETURNS, TICKS, _days, _full, _predictions, _tick_stream, daily, rounded, t, ticks
+from .catalogue import BARS, DAILY, DAYS, PRED, RETURNS, TICKS, _days, _full, _predictions, _tick_stream, daily, query_of, rounded, t, ticks
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
+query = query_of(QUERIES, SQL)
 
 
 # --- company statements by sector -------------------------------------------------------------------------------------
@@ -235,13 +227,13 @@ HOURLY = f"""{TICKS}, m AS (SELECT ticker, time_bucket(INTERVAL '1 hour', ts) AS
 
 
 @query(f"""WITH {HOURLY} SELECT ticker, CAST(time_bucket(INTERVAL '6 hours', hour) AS VARCHAR) AS bar, round(CASE WHEN sum(trade_count)
-  > 0 THEN sum(volume) / sum(trade_count) ELSE 0 END, 4) AS avg_trade_size, round(CASE WHEN sum(trade_count) >
-  0 THEN sum(std_trade_size * trade_count) / sum(trade_count) ELSE 0 END, 4) AS std_trade_size, max(max_trade_size)
+  > 0 THEN sum(volume) / sum(trade_count) ELSE 0 END, 7) AS avg_trade_size, round(CASE WHEN sum(trade_count) >
+  0 THEN sum(std_trade_size * trade_count) / sum(trade_count) ELSE 0 END, 7) AS std_trade_size, max(max_trade_size)
   AS max_trade_size,
-  round(avg(amihud), 4) AS amihud, round(sum(buy_volume), 4) AS buy_volume, round(sum(sell_volume), 4) AS sell_volume,
+  round(avg(amihud), 7) AS amihud, round(sum(buy_volume), 4) AS buy_volume, round(sum(sell_volume), 4) AS sell_volume,
   round(sum(trade_count) / 21600.0, 8) AS tick_arrival_rate, round(CASE WHEN sum(volume) > 0 THEN sum(large_trade_ratio
-  * volume) / sum(volume) ELSE 0 END, 4) AS large_trade_ratio,
-  round(sum(rv_intrabar), 2) AS rv_intrabar, round(sum(bpv_intrabar), 2) AS bpv_intrabar, round(sum(buy_volume -
+  * volume) / sum(volume) ELSE 0 END, 7) AS large_trade_ratio,
+  round(sum(rv_intrabar), 5) AS rv_intrabar, round(sum(bpv_intrabar), 5) AS bpv_intrabar, round(sum(buy_volume -
   sell_volume), 4) AS ofi FROM m GROUP BY 1, 2""")
 def bars_microstructure(spark, d):
     v = F.col("volume")
@@ -251,8 +243,8 @@ def bars_microstructure(spark, d):
         side(0).alias("buy_volume"), side(1).alias("sell_volume"), F.avg((v > 50).cast("double")).alias("large_trade_ratio"), F.sum(F.col("price") * F.col("price")).alias("rv_intrabar"), F.sum(F.abs("price")).alias("bpv_intrabar"),
     )
     x = B.micro_roll_up(m.withColumns({"ofi": F.col("buy_volume") - F.col("sell_volume")}), ["ticker", B.bucket(F.col("hour"), "6 hours").alias("bar")], 21600)
-    places = {"tick_arrival_rate": 8, "rv_intrabar": 2, "bpv_intrabar": 2}
-    return x.select("ticker", F.col("bar").cast("timestamp_ntz").cast("string").alias("bar"), *[F.round(c, places.get(c, 4)).alias(c) for c in x.columns if c not in ("ticker", "bar")])
+    places = {"tick_arrival_rate": 8, "rv_intrabar": 5, "bpv_intrabar": 5, "buy_volume": 4, "sell_volume": 4, "ofi": 4}
+    return x.select("ticker", F.col("bar").cast("timestamp_ntz").cast("string").alias("bar"), *[F.round(c, places.get(c, 7)).alias(c) for c in x.columns if c not in ("ticker", "bar")])
 
 
 #: Raw option columns, as SQL over one line item; measures are B.OPTION_SUMS and so on.
@@ -566,10 +558,10 @@ def masked_huber(spark, d):
   0.5), 2) AS q50, round(quantile_cont(l_extendedprice, 0.75), 2) AS q75, round(max(l_extendedprice), 2) AS most
   FROM lineitem GROUP BY 1""")
 def described(spark, d):
-    x = "l_extendedprice"
-    q = {f"q{int(100 * p)}": F.percentile(x, p) for p in (0.25, 0.5, 0.75)}
-    out = t(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("flag")).agg(F.count("*").alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("least"), *[v.alias(k) for k, v in q.items()], F.max(x).alias("most"))
-    return rounded(out, 2)
+    x, rows = "l_extendedprice", t(spark, d, "lineitem").withColumnRenamed("l_returnflag", "flag")
+    out = rows.groupBy("flag").agg(F.count("*").alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("least"), F.max(x).alias("most"))
+    middle = quantiles.exact_quantiles(rows, ["flag"], x, {f"q{int(100 * p)}": p for p in (0.25, 0.5, 0.75)}, few=4096)
+    return rounded(O.matched(out, middle, ["flag"]).select("flag", "n", "mean", "std", "least", "q25", "q50", "q75", "most"), 2)
 
 
 @query("SELECT o_orderpriority AS form, count(*) AS n FROM orders GROUP BY 1 ORDER BY n DESC, form LIMIT 3")
