@@ -24,6 +24,38 @@ def credit(high_yield: Column, investment: Column, curve: Column, stress: Column
     }
 
 
+def funds_and_term(funds: Column, short: Column, near: Column, far: Column, w: WindowSpec) -> dict[str, Column]:
+    """Fed funds over the three-month yield, and the near over the far volatility index, carried over days without one, 1 before the first."""
+    ratio = F.when(far != 0, near / far)
+    return {"ff_3m_spread": funds - short, "vix_term_ratio": F.coalesce(R.ffill(ratio, w), F.lit(1.0))}
+
+
+def cross_asset(x: dict[str, Column], w: WindowSpec) -> dict[str, Column]:
+    """What is made of those of the series that are there: gold, oil, hy, ig, bbb, aaa (spreads), real and infl (yields), dollar, vix, stress."""
+    flag = lambda c: F.coalesce(c.cast("double"), F.lit(0.0))
+    z = lambda v, k: (v - R.rolling(F.avg(v), v, k, w)) / R.rolling(F.stddev_samp(v), v, k, w)
+    out: dict[str, Column] = {}
+    for c, spans in (("gold", (1, 5, 20)), ("oil", (1, 5, 20)), ("dollar", (5, 20))):
+        if c in x:
+            out |= {f"{c}_ret_{k}d": R.pct_change(x[c], k, w) for k in spans}
+    if "gold" in x:
+        out["gold_z_20d"] = z(x["gold"], 20)
+    for c, name, spans in (("hy", "hy_oas", (5,)), ("ig", "ig_oas", (5,)), ("real", "real_yield", (5,)), ("infl", "infl_exp", (5,)), ("vix", "vix", (1, 5))):
+        if c in x:
+            out |= {f"{name}_chg_{k}d": R.lag_diff(x[c], k, w) for k in spans}
+    if "hy" in x:
+        out |= {"hy_oas_z_60d": z(x["hy"], 60), "credit_stress": flag(x["hy"] > R.rolling(F.percentile(x["hy"], 0.9), x["hy"], 252, w))}
+    if "hy" in x and "ig" in x:
+        out |= {"hy_ig_diff": x["hy"] - x["ig"], "hy_ig_ratio": x["hy"] / F.when(x["ig"] == 0, 1.0).otherwise(x["ig"])}
+    if "bbb" in x and "aaa" in x:
+        out["bbb_aaa_spread"] = x["bbb"] - x["aaa"]
+    if "vix" in x:
+        out |= {"vix_z_20d": z(x["vix"], 20), "vix_term_struct": R.lag_diff(x["vix"], 1, w)}
+    if "stress" in x:
+        out["fin_stress_elevated"] = flag(x["stress"] > 0)
+    return out
+
+
 def momentum(x: Column, w: WindowSpec) -> dict[str, Column]:
     """Against the mean of four rows, over four rows, and as a stressed level over the last 60."""
     mean, top = R.rolling(F.avg(x), x, 4, w), R.rolling(F.percentile(x, 0.9), x, 60, w)
@@ -31,8 +63,11 @@ def momentum(x: Column, w: WindowSpec) -> dict[str, Column]:
     return {"sma4": mean, "vs_sma4": x / mean - 1, "change4": R.pct_change(x, 4, w) * 100, "z20": z, "stressed": F.coalesce((x > top).cast("double"), F.lit(0.0))}
 
 
-def meetings(days: DataFrame, events: DataFrame, key: str, day: str, otherwise: int = 90, near: int = 3) -> DataFrame:
-    """days with days_to the next event after it, days_since the last up to it (otherwise without one), and whether one is near either way."""
+def meetings(days: DataFrame, events: DataFrame, key: str, day: str, otherwise: int = 90, near: int = 3, since_default: int | None = None, until_default: int | None = None) -> DataFrame:
+    """days with days_to the next event after it, days_since the last up to it, and whether one is near either way.
+
+    Without an event they are `otherwise`, or the defaults given for either side.
+    """
     from .asof import asof
 
     at = events.select(key, day).distinct()
@@ -41,5 +76,5 @@ def meetings(days: DataFrame, events: DataFrame, key: str, day: str, otherwise:
     before = at.select(key, F.col(day).alias("_at"), F.date_sub(day, 1).alias(day))
     both = asof(last, before, [key], day, ["_at"], forward=True).drop(f"right_{day}")
     to, since = F.datediff("_at", day), F.datediff(day, "_last")
-    out = both.withColumns({"days_to": F.coalesce(to, F.lit(otherwise)), "days_since": F.coalesce(since, F.lit(otherwise))})
+    out = both.withColumns({"days_to": F.coalesce(to, F.lit(until_default or otherwise)), "days_since": F.coalesce(since, F.lit(since_default or otherwise))})
     return out.withColumn("is_near", F.coalesce((to <= near) | (since <= near), to <= near, since <= near, F.lit(False))).drop("_last", "_at")

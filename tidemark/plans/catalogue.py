@@ -768,12 +768,12 @@ def transfer_diff(spark, d):
 
 
 @query("""WITH r AS (SELECT o_custkey AS cik, CASE o_orderstatus WHEN 'F' THEN 1 ELSE 2 END AS u, o_totalprice AS value,
-  CAST(o_orderdate AS DATE) AS filed FROM orders WHERE o_orderstatus IN ('F', 'O'))
+  CAST(o_orderdate AS DATE) AS filed FROM orders)
   SELECT cik, 'revenue' AS metric, CASE u WHEN 1 THEN 'USD' ELSE 'shares' END AS unit, round(value, 2) AS value,
   CAST(filed AS VARCHAR) AS filed FROM (SELECT *, min(u) OVER (PARTITION BY cik) AS least FROM r) WHERE u = least""")
 def company_facts(spark, d):
     """Orders as company documents in JSON, read back: the first unit of a tag counts."""
-    o = t(spark, d, "orders").where("o_orderstatus in ('F', 'O')").select(F.col("o_custkey").alias("cik"), F.when(F.col("o_orderstatus") == "F", "USD").otherwise("shares").alias("unit"), F.struct(F.col("o_totalprice").alias("val"), F.to_date("o_orderdate").cast("string").alias("filed")).alias("fact"))
+    o = t(spark, d, "orders").select(F.col("o_custkey").alias("cik"), F.when(F.col("o_orderstatus") == "F", "USD").otherwise("shares").alias("unit"), F.struct(F.col("o_totalprice").alias("val"), F.to_date("o_orderdate").cast("string").alias("filed")).alias("fact"))
     units = o.groupBy("cik", "unit").agg(F.collect_list("fact").alias("all")).groupBy("cik").agg(F.map_from_entries(F.collect_list(F.struct("unit", "all"))).alias("units"))
     docs = units.select(F.to_json(F.struct("cik", F.struct(F.create_map(F.lit("Revenues"), F.struct("units")).alias("us-gaap")).alias("facts"))).alias("value"))
     return rounded(documents.facts(docs, {"revenue": ["Revenues", "SalesRevenueNet"]}).select("cik", "metric", "unit", "value", "filed"), 2)

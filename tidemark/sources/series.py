@@ -4,14 +4,16 @@
     rows = spark.read.format("econ_series").option("series", "DGS10,DFF").option("api_key", key).load()
 
 Rows are (series, date, value); the service's `.` is null. `base` may be a folder of files `<series>.json` in place of the
-service's address. The executors need this package on their path.
+service's address, or of folders `series=<name>` with an observation a line.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, GreaterThanOrEqual, InputPartition, LessThanOrEqual
+
+from ..functions.shipping import ship
 
 SERVICE = "https://api.stlouisfed.org/fred/series/observations"
 
@@ -30,14 +32,22 @@ class SeriesReader(DataSourceReader):
         self.first, self.last = options.get("first", ""), options.get("last", "")
         self.tries, self.wait = int(options.get("tries", "3")), float(options.get("wait", "2"))
 
+    def pushFilters(self, filters):
+        """Inclusive bounds on the date reach the request; every filter is left to Spark as well."""
+        for f in filters:
+            if f.attribute == ("date",) and isinstance(f, GreaterThanOrEqual):
+                self.first = max(self.first, str(f.value))
+            elif f.attribute == ("date",) and isinstance(f, LessThanOrEqual):
+                self.last = min(self.last or str(f.value), str(f.value))
+            yield f
+
     def partitions(self):
         return [OneSeries(n) for n in self.names]
 
     def read(self, partition):
         import datetime as dt
-        import json
 
-        for o in json.loads(self._fetch(partition.name)).get("observations", []):
+        for o in self._observations(partition.name):
             if (not self.first or o["date"] >= self.first) and (not self.last or o["date"] <= self.last):
                 try:
                     value = float(o["value"])
@@ -45,6 +55,19 @@ class SeriesReader(DataSourceReader):
                     value = None
                 yield partition.name, dt.date.fromisoformat(o["date"]), value
 
+    def _observations(self, name: str):
+        """The answer's observations, or the lines of the files in a folder `series=<name>`, one each."""
+        import json
+        from pathlib import Path
+
+        folder = Path(self.base.removeprefix("file://")) / f"series={name}"
+        if not self.base.startswith("http") and folder.is_dir():
+            for path in sorted(folder.glob("part-*")):
+                with path.open(encoding="utf-8") as lines:
+                    yield from map(json.loads, lines)
+        else:
+            yield from json.loads(self._fetch(name)).get("observations", [])
+
     def _fetch(self, name: str) -> str:
         import time
         from pathlib import Path
@@ -79,6 +102,14 @@ class SeriesSource(DataSource):
         return SeriesReader(self.options)
 
 
+def observations(spark: SparkSession, names: list[str], **options: str) -> DataFrame:
+    """The rows of these series, with options as above; bounds on the date that a query sets are asked of the service."""
+    ship(spark)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    spark.dataSource.register(SeriesSource)
+    return spark.read.format("econ_series").options(series=",".join(names), **options).load()
+
+
 def as_columns(rows: DataFrame, names: list[str]) -> DataFrame:
     """One row a date with a column a series, null where it has none: an outer join of all series in one aggregation."""
     return rows.groupBy("date").pivot("series", names).agg(F.first("value", ignorenulls=True))

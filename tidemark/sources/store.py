@@ -183,12 +183,12 @@ class CopyWriter(DataSourceWriter):
         os.makedirs(own)
         with open(f"{own}.keys", "w", encoding="utf-8") as manifest:
             for row in iterator:
-                to = f"{own}/{row.key}"
+                to = f"{own}/{row.to}"
                 os.makedirs(os.path.dirname(to), exist_ok=True)
                 shutil.copy2(f"{self.source}/{row.key}", to)
                 if os.path.getsize(to) != row.size:
                     raise OSError(f"{row.key} has changed while it was copied")
-                print(row.key, file=manifest)
+                print(row.to, file=manifest)
                 done += 1
         return Staged(own, done)
 
@@ -215,7 +215,7 @@ class Copies(DataSource):
         return "store_copy"
 
     def schema(self):
-        return "key string, size long"
+        return "key string, size long, to string"
 
     def writer(self, schema, overwrite):
         return CopyWriter(self.options)
@@ -239,13 +239,32 @@ def transfer(spark: SparkSession, local: DataFrame, stored: DataFrame, source: s
 
     All of them are there when it ends, or none: a run that fails leaves the target as it was.
     """
+    return _copied(spark, packed(to_send(local.select("key", "size"), stored), task_bytes).withColumn("to", F.col("key")), source, target)
+
+
+def _copied(spark: SparkSession, files: DataFrame, source: str, target: str) -> int:
+    """Copies files (key, size, task, to: the key in the target) by tasks."""
     from .sinks import kept
 
     ship(spark)
     spark.dataSource.register(Copies)
-    todo = kept(packed(to_send(local.select("key", "size"), stored), task_bytes))
+    todo = kept(files)
     facts = todo.agg(F.count("*").alias("files"), F.countDistinct("task").alias("tasks")).first()
     if facts.files:
-        rows = todo.repartition(facts.tasks, "task").select("key", "size")
+        rows = todo.repartition(facts.tasks, "task").select("key", "size", "to")
         rows.write.format("store_copy").option("from", source).option("to", target).option("run", uuid.uuid4().hex).mode("append").save()
     return facts.files
+
+
+def renamed_by_partition(spark: SparkSession, source: str, column: str, target: str) -> int:
+    """Copies the Parquet files of a table written by partition (`column=value/part-x`) to files named by the value; how many.
+
+    A value's only file becomes `value.parquet`, further ones `value-1.parquet` and so on.
+    """
+    from pyspark.sql import Window
+
+    found = listed(spark, source).where(F.col("key").startswith(f"{column}=") & F.col("key").endswith(".parquet"))
+    value = F.regexp_extract("key", r"^[^=]+=([^/]+)/", 1)
+    nth = F.row_number().over(Window.partitionBy(value).orderBy("key")) - 1
+    name = F.concat(value, F.when(nth > 0, F.concat(F.lit("-"), nth)).otherwise(""), F.lit(".parquet"))
+    return _copied(spark, packed(found.select("key", "size"), 256 << 20).join(found.select("key", name.alias("to")), "key"), source, target)
