@@ -884,3 +884,58 @@ def test_op1_and_op8_split_rows_that_nothing_tells_apart(spark):
     mixed = mixing.mix_sources(rows, shards=4, block_rows=256)
     assert mixed.groupBy("source", "block").count().agg(F.max("count")).first()[0] < 512
     assert sorted(map(str, mixed.collect())) == sorted(map(str, mixing.mix_sources(rows.repartition(3), shards=4, block_rows=256).collect()))
+
+
+_W = "len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> ''))"
+_HOST = "translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_PAD = "CASE WHEN n = 0 THEN 576 ELSE (576 - n % 576) % 576 END"
+#: What SQL can state of operators whose whole results it can't.
+PARTS = {
+    "op1_sharding": "SELECT doc_id, coalesce(strlen(text), 0) + 1 AS size FROM documents",
+    "op2_quality_rules": f"""WITH w AS (SELECT doc_id, coalesce(text, '') AS text, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+      g AS (SELECT doc_id, i, array_to_string(ws[i:i + 2], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM w WHERE len(ws) >= 3)),
+      twice AS (SELECT doc_id, i FROM g JOIN (SELECT doc_id, g FROM g GROUP BY 1, 2 HAVING count(*) > 1) USING (doc_id, g)), r AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 3)) AS p FROM twice) GROUP BY 1),
+      l AS (SELECT doc_id, line, count(*) - 1 AS again FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM w) WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]') GROUP BY 1, 2), d AS (SELECT doc_id, sum(again) AS n FROM l GROUP BY 1)
+      SELECT doc_id, len(ws) AS n_words, len(regexp_replace(text, '[\\x20\\x09-\\x0D]', '', 'g')) AS word_chars, len(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols, CAST(coalesce(d.n, 0) AS BIGINT) AS n_dup_lines,
+      coalesce(r.n, 0) AS n_repeat_words, len(ws) < 50 OR 100 * coalesce(r.n, 0) > 50 * len(ws) AS base_failed FROM w LEFT JOIN d USING (doc_id) LEFT JOIN r USING (doc_id)""",
+    "op4_media_columns": f"""SELECT doc_id, n AS n_bytes, n + {_PAD} AS payload_bytes, CASE WHEN {_PAD} = 0 THEN sha256(t) END AS whole_sha256 FROM (SELECT doc_id, coalesce(text, '') AS t, strlen(coalesce(text, '')) AS n FROM documents)""",
+    "op8_mixing": f"""WITH s AS (SELECT doc_id, source, {_W} AS size FROM documents) SELECT doc_id, size, CAST(sum(size) OVER (PARTITION BY source) AS BIGINT) AS source_size FROM s""",
+    "op10_url_filters": f"""WITH p AS (SELECT page_id, coalesce({_HOST}, '') AS host, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages)
+      SELECT page_id, host, path, CASE WHEN (host = 'example.net' OR host LIKE '%.example.net') AND path LIKE '/en/%' THEN 'example.net/en/' WHEN (host = 'example.com' OR host LIKE '%.example.com') AND path LIKE '/de/%' THEN 'example.com/de/'
+      WHEN (host = 'org' OR host LIKE '%.org') AND path LIKE '/fr/%' THEN 'org/fr/' WHEN host = 'net' OR host LIKE '%.net' THEN 'net/' END AS rule FROM p""",
+}
+
+
+@pytest.mark.skipif(not Path("/root/testdata/sf0.001").exists(), reason="no tables")
+@pytest.mark.parametrize("name", sorted(PARTS))
+def test_columns_that_sql_can_state(spark, name):
+    import duckdb
+
+    where = "/root/testdata/sf0.001"
+    c = duckdb.connect()
+    for t in ("documents", "pages"):
+        c.sql(f"CREATE VIEW {t} AS SELECT * FROM '{where}/{t}.parquet'")
+    want = c.sql(PARTS[name])
+    got = queries.QUERIES[name](spark, where)
+    if name == "op4_media_columns":
+        got = got.withColumn("whole_sha256", F.when(F.col("n_bytes") == F.col("payload_bytes"), F.col("payload_sha256")))
+    assert sorted(map(tuple, got.select(*want.columns).collect())) == sorted(want.fetchall())
+
+
+def test_op10_repeated_rows_and_null_ids(spark):
+    rows = [(1, "http://h.example/a/1"), (1, "http://h.example/a/1"), (None, "http://h.example/a/2"), (None, None), (2, "no scheme")]
+    labels = spark.createDataFrame([(1, 0), (1, 1), (None, 0)], "page_id long, good int")
+    got = sorted((r.page_id or 0, r.host, r.path, r.verdict) for r in urls.judge_urls(spark.createDataFrame(rows, "page_id long, url string"), [], labels).collect())
+    assert got == [(0, "", "", "allow"), (0, "h.example", "/a/2", "allow"), (1, "h.example", "/a/1", "allow"), (1, "h.example", "/a/1", "allow"), (2, "", "", "allow")]
+
+
+def test_op4_a_file_of_many_rows(spark):
+    """A text of half the rows, over the share that makes it hot, gives the values that it gives alone."""
+    rnd = random.Random(3)
+    text = "".join(rnd.choice("abcdefgh \n") for _ in range(20_000))
+    rows = [(i, text) for i in range(1500)] + [(2000 + i, text[: 9000 + i] + str(i)) for i in range(40)]
+    got = media.media_columns(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).drop("n_shared", "n_chunks")
+    alone = media.media_columns(spark.createDataFrame([(1, text)], "doc_id long, text string")).drop("n_shared", "n_chunks").first()
+    hot = got.where("doc_id < 2000").drop("doc_id").distinct().collect()
+    assert len(hot) == 1 and hot[0].asDict() == {k: v for k, v in alone.asDict().items() if k != "doc_id"} and got.count() == 1540
+

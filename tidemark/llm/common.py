@@ -8,6 +8,8 @@ import uuid
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
+from ..functions.shipping import ship  # noqa: F401
+
 #: The word separators of every operator here: space, tab, LF, VT, FF, CR (one byte each in UTF-8).
 SPACES = b" \t\n\x0b\x0c\r"
 #: As a regular expression of Spark SQL.
@@ -151,21 +153,18 @@ def bit_map(places: DataFrame, bits: int) -> np.ndarray:
     return out.view(np.uint8)
 
 
-_shipped: set[str] = set()
+#: A key is hot when it has over a thousandth of the rows, so that there are a thousand hot keys at most.
+HOT_SHARE = 1000
 
 
-def ship(spark: SparkSession) -> None:
-    """Sends this package to the Python workers, once a session, wherever they start."""
-    import zipfile
-    from pathlib import Path
+def hot_join(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """Inner join on key, which right has once each. The rows of hot keys stay where they are and get right's rows, a thousand at most, sent.
 
-    context = spark.sparkContext
-    if context.applicationId in _shipped:
-        return
-    _shipped.add(context.applicationId)
-    root = Path(__file__).resolve().parents[1]
-    target = Path(tempfile.mkdtemp(prefix="spark-")) / f"{root.name}.zip"
-    with zipfile.ZipFile(target, "w") as z:
-        for f in sorted(root.rglob("*.py")):
-            z.write(f, f.relative_to(root.parent))
-    context.addPyFile(str(target))
+    Both sides are read several times: give tables.
+    """
+    from pyspark.sql import functions as F
+
+    least = left.count() / HOT_SHARE
+    hot = F.broadcast(written(left.groupBy(key).count().where((F.col("count") > least) & (F.col("count") > HOT_SHARE)).select(key)))
+    some = right.join(hot, key, "left_semi")
+    return left.join(hot, key, "left_anti").join(right, key).unionByName(left.join(hot, key, "left_semi").join(F.broadcast(some), key))

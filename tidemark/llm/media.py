@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bit_map, written
+from .common import bit_map, hot_join, written
 
 WIDTH, TILE, PAD = 24, 576, 255
 LEAST, MOST, MASK = 512, 8192, np.uint32(0x3FF << 20)
@@ -203,8 +203,8 @@ def read_back(records: DataFrame, chunks: DataFrame) -> DataFrame:
     apart = parts.where("own is null").join(chunks, "digest").select("media_sha256", "at", "digest", "data")
     parts = parts.where("own is not null").select("media_sha256", "at", "digest", F.col("own").alias("data")).unionByName(apart)
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("at", "digest", "data"))), lambda c: F.struct(c.digest.alias("digest"), c.data.alias("data")))
-    done = parts.groupBy("media_sha256").agg(ordered.alias("chunks")).mapInArrow(_read, VALUES)
-    second = rest.select(*facts).join(done, "media_sha256")
+    done = written(parts.groupBy("media_sha256").agg(ordered.alias("chunks")).mapInArrow(_read, VALUES))
+    second = hot_join(written(rest.select(*facts)), done, "media_sha256")  # a file that many rows hold isn't gathered
     return first.unionByName(second).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "n_chunks", "n_shared")
 
 

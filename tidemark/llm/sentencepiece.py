@@ -10,7 +10,7 @@ vocabulary). A unigram model's scores are used as they are. A BPE model's scores
 piece gets Zipf's, -log(rank + 2.7) less a constant; ids hence differ from BPE merging, decoding is exact all the same.
 Characters without a piece fall back to bytes.
 
-A null text has null ids and no tokens; an empty one has no ids. Repeated rows are encoded alike, one result each. An empty
+A null text has null ids, no tokens, and round_trip true; an empty one has no ids. Repeated rows are encoded alike, one result each. An empty
 table gives an empty result. Columns named ids, n_tokens and round_trip are replaced, others are kept.
 """
 

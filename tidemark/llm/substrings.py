@@ -10,8 +10,12 @@ window that many documents of those megabytes share only one entry; the other do
 runs. Buckets grow in number with the input, so that each has a few million windows, and the slices of text grow with them.
 A window in a third of all documents so fills one entry a slice, all in one bucket.
 
+Two windows that differ share an 80-bit hash with a chance of 2**-80 a pair, made of 64-bit hashes of words: among the windows of
+100 TB of text (some 1.6 * 10**13) about a hundred may be taken for one of another document; at 30 GB the chance of any is 10**-5.
+
 A null text has no words. Documents under 13 words lose none. Rows that share a doc_id never remove each other's words. A
 row without a doc_id removes nothing and loses nothing. Every row gives one row. An empty table gives an empty result.
+Columns of df but the id and the text are not read, whatever their names.
 """
 
 from __future__ import annotations
