@@ -169,3 +169,39 @@ def test_filter_scores(spark):
 def test_early_stop(spark):
     x = spark.createDataFrame([("a", i, v) for i, v in enumerate([3.0, 2.0, 2.0, 2.5, 1.0])], "k string, i int, v double")
     assert [(r.best, r.since, r.stopped) for r in C.early_stop(x, ["k"], "i", "v", 2).orderBy("i").collect()] == [(3.0, 0, False), (2.0, 0, False), (2.0, 1, False), (2.0, 2, True), (1.0, 0, True)]
+
+
+def test_pooled_buckets_of_extreme_scores(spark):
+    """Scores of 700 either way, ties, a bucket of one row, null scores and vectors, a null key, empty buckets and an empty table."""
+    import numpy as np
+
+    from tidemark.operators import pooling as U
+
+    rnd = random.Random(5)
+    rows = [(k, [rnd.gauss(0, 1) for _ in range(4)], rnd.choice([-700.0, 0.0, 699.5, 700.0])) for k in ("a", "b", None) for _ in range(200)]
+    rows += [("one", [1.0, 2.0, 3.0, 4.0], -1e6), ("a", None, 800.0), ("a", [9.0] * 4, None)]
+    x = spark.createDataFrame(rows, "k string, v array<double>, s double").repartition(7)
+    got = {r.k: list(r.pooled) for r in U.softmax_vectors(x, ["k"], "v", "s").collect()}
+    for k in ("a", "b", None, "one"):
+        mine = [(v, s) for key, v, s in rows if key == k and v is not None and s is not None]
+        w = np.exp(np.array([s for _, s in mine]) - max(s for _, s in mine))
+        assert np.allclose(got[k], (w[:, None] * np.array([v for v, _ in mine])).sum(0) / w.sum())
+    buckets = spark.createDataFrame([("a",), ("empty",), (None,)], "k string")
+    full = {r.k: r for r in U.pooled_buckets(x, buckets, ["k"], "v", "s", {"least": F.min("s"), "share": F.avg((F.col("s") > 0).cast("double"))}, 4).collect()}
+    assert full.keys() == {"a", "empty", None} and full["a"].n == 202 and full["a"].least == -700.0 and np.allclose(full[None].pooled, got[None])
+    assert (full["empty"].n, list(full["empty"].pooled), full["empty"].least, full["empty"].share) == (0, [0.0] * 4, 0.0, 0.0)
+    assert U.softmax_vectors(x.limit(0), ["k"], "v", "s").count() == 0
+
+
+def test_cross_asset_of_what_is_there(spark):
+    from tidemark.operators import macro as M
+
+    w = R.series(["k"], ["i"])
+    x = spark.createDataFrame([("a", i, float(i + 1), 2.0 if i else 0.0) for i in range(30)], "k string, i int, hy double, ig double")
+    made = M.cross_asset({"hy": F.col("hy"), "ig": F.col("ig")}, w)
+    assert set(made) == {"hy_oas_chg_5d", "ig_oas_chg_5d", "hy_oas_z_60d", "credit_stress", "hy_ig_diff", "hy_ig_ratio"}
+    got = {r.i: r for r in x.select("i", *[v.alias(k) for k, v in made.items()]).collect()}
+    assert got[0].hy_ig_ratio == 1.0 and got[29].hy_ig_ratio == 15.0 and got[29].hy_oas_chg_5d == 5.0 and got[4].hy_oas_chg_5d is None and got[29].credit_stress == 0.0
+    both = M.funds_and_term(F.col("hy"), F.col("ig"), F.col("hy"), F.col("ig"), w)
+    term = {r.i: r.vix_term_ratio for r in x.select("i", both["vix_term_ratio"].alias("vix_term_ratio")).collect()}
+    assert term[0] == 1.0 and term[3] == 2.0

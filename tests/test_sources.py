@@ -107,3 +107,30 @@ def test_other_sinks(spark, tmp_path):
     assert sinks.rewritten(x, {"v": F.col("v") * 2}, str(tmp_path / "new")).agg(F.sum("v")).first()[0] == 12.0
     sinks.write_statistics(x.agg(F.avg("v").alias("mean")), str(tmp_path / "stats"))
     assert spark.read.json(str(tmp_path / "stats")).first()["mean"] == 2.0
+
+
+def test_versions_of_a_table(spark, tmp_path):
+    import pytest
+
+    root = str(tmp_path / "t")
+    with pytest.raises(FileNotFoundError):
+        sinks.current(spark, root)
+    x = spark.createDataFrame([(1, 2.0), (2, None)], "i int, v double")
+    sinks.published(x, {}, root)
+    before = sinks.current(spark, root)
+    sinks.published(before, {"v": F.col("v") * 1000}, root)
+    assert sorted(map(str, before.collect())) == sorted(map(str, x.collect()))  # a reader ends on what it began with
+    assert {r.i: r.v for r in sinks.current(spark.newSession(), root).collect()} == {1: 2000.0, 2: None}
+
+
+def test_bounds_on_the_date_reach_the_service(spark, tmp_path):
+    for name in ("A", "B"):
+        (tmp_path / f"{name}.json").write_text(json.dumps({"observations": [{"date": f"2024-01-0{i}", "value": "." if i == 3 else str(i)} for i in range(1, 8)]}))
+    rows = series.observations(spark, ["A", "B"], base=str(tmp_path)).where("date >= date'2024-01-03' and date <= date'2024-01-05'")
+    assert sorted((r.series, r.date.day, r.value) for r in rows.collect() if r.value) == [("A", 4, 4.0), ("A", 5, 5.0), ("B", 4, 4.0), ("B", 5, 5.0)]
+    assert rows.count() == 6 and rows.rdd.getNumPartitions() == 2
+    reader = series.BoundedReader({"series": "A", "first": "2024-01-02"})
+    from pyspark.sql.datasource import GreaterThanOrEqual, LessThanOrEqual
+
+    left = list(reader.pushFilters([GreaterThanOrEqual(("date",), dt.date(2024, 1, 4)), LessThanOrEqual(("date",), dt.date(2024, 1, 6)), LessThanOrEqual(("value",), 3.0)]))
+    assert (reader.first, reader.last, len(left)) == ("2024-01-04", "2024-01-06", 3)

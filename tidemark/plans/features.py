@@ -680,13 +680,12 @@ def headerless_in_list(spark, d):
 
 @query("SELECT p_partkey, p_size * 2 AS p_size, round(p_retailprice, 2) AS price FROM part")
 def rewritten_unit(spark, d):
-    """A column's unit changed in a new table, to which a view is switched; by path readers take the first candidate that exists."""
+    """A column's unit changed in a new version of a table, which another session reads by the table's place; of candidates the first that exists counts."""
     folder = shared_folder(spark)
-    sinks.switched(spark, "parts_in_use", f"{d}/part.parquet")
-    sinks.rewritten(spark.table("parts_in_use"), {"p_size": F.col("p_size") * 2}, f"{folder}/new")
-    sinks.switched(spark, "parts_in_use", f"{folder}/new")
-    x = files.optional_parquet(spark, [f"{folder}/missing", f"{folder}/new", f"{d}/part.parquet"], ["p_partkey", "p_size", "p_retailprice", "absent"])
-    x = x.join(spark.table("parts_in_use").select("p_partkey"), "p_partkey", "left_semi")
+    sinks.published(t(spark, d, "part"), {}, f"{folder}/parts")
+    sinks.published(sinks.current(spark, f"{folder}/parts"), {"p_size": F.col("p_size") * 2}, f"{folder}/parts")
+    held = sinks.current(spark.newSession(), f"{folder}/parts").inputFiles()[0].rsplit("/", 1)[0]
+    x = files.optional_parquet(spark, [f"{folder}/missing", held, f"{d}/part.parquet"], ["p_partkey", "p_size", "p_retailprice", "absent"])
     return x.select("p_partkey", "p_size", F.round("p_retailprice", 2).alias("price"))
 
 

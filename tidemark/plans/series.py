@@ -68,8 +68,10 @@ def rv_chain_ticks(spark, d):
 
 
 @query(f"""WITH {TICKS}, x AS (SELECT *, {_full('avg(price) $', 'price', 60, BY)} AS m, {_full('stddev_pop(price) $', 'price', 60, BY)}
-  AS s, {_full('quantile_cont(price, 0.9) $', 'price', 60, BY)} AS p90, {_full('avg(volume) $', 'volume', 150, BY, 50)} AS sma150 FROM ticks)
-  SELECT ticker, tick_id, round(sma150, 7) AS sma150, round(CASE WHEN s > 1e-8 THEN (price - m) / s END, 7) + 0 AS z60, round(p90, 7) AS p90,
+  AS s, {_full('quantile_cont(price, 0.9) $', 'price', 60, BY)} AS p90, {_full('avg(volume) $', 'volume', 150, BY, 50)} AS sma150
+  FROM ticks)
+  SELECT ticker, tick_id, round(sma150, 7) AS sma150, round(CASE WHEN s > 1e-8 THEN (price - m) / s END, 7) + 0 AS z60, round(p90,
+  7) AS p90,
   CASE WHEN p90 IS NOT NULL THEN price > p90 END AS stressed FROM x""")
 def rolling_frames_ticks(spark, d):
     """Means, z-scores and a stress flag by the rolling 90th percentile."""
@@ -106,7 +108,8 @@ def cumulative_zscore_ticks(spark, d):
     return rounded(z.select("ticker", "tick_id", "price_z", "volume_z"), 5)
 
 
-@query(f"""WITH {BARS.replace('6 hours', '10 minutes')}, x AS (SELECT *, CAST(trade_count AS DOUBLE) AS tc FROM agg) SELECT ticker, CAST(bar AS VARCHAR) AS
+@query(f"""WITH {BARS.replace('6 hours', '10 minutes')}, x AS (SELECT *, CAST(trade_count AS DOUBLE) AS tc FROM agg) SELECT ticker,
+  CAST(bar AS VARCHAR) AS
   bar, round({_cum('price_std')} + {_cum('volume')} - {_cum('tc')}, 5) + 0 AS liquidity_stress FROM x""")
 def liquidity_stress_bars(spark, d):
     """The stress of ten-minute bars, days as cells."""
@@ -118,10 +121,13 @@ def liquidity_stress_bars(spark, d):
 STATES = 16
 
 
-@query(f"""WITH RECURSIVE r AS (SELECT user_id, event_id, value AS x, 0.05 + (event_id % 7) / 40.0 AS dt, list_transform(range(1, {STATES + 1}), lambda n: ((event_id + n) % 5) / 4.0) AS b,
-  list_transform(range(1, {STATES + 1}), lambda n: ((event_id * n) % 3) / 2.0) AS c, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+@query(f"""WITH RECURSIVE r AS (SELECT user_id, event_id, value AS x, 0.05 + (event_id % 7) / 40.0 AS dt, list_transform(range(1,
+  {STATES + 1}), lambda n: ((event_id + n) % 5) / 4.0) AS b,
+  list_transform(range(1, {STATES + 1}), lambda n: ((event_id * n) % 3) / 2.0) AS c, row_number() OVER (PARTITION BY user_id ORDER BY ts,
+  event_id) AS i FROM events),
   s AS (SELECT user_id, i, event_id, x, c, list_transform(range(1, {STATES + 1}), lambda n: dt * b[n] * x) AS h FROM r WHERE i = 1 UNION ALL
-  SELECT r.user_id, r.i, r.event_id, r.x, r.c, list_transform(range(1, {STATES + 1}), lambda n: exp(-r.dt * n / 4) * s.h[n] + r.dt * r.b[n] * r.x) FROM s JOIN r ON r.user_id = s.user_id AND r.i = s.i + 1)
+  SELECT r.user_id, r.i, r.event_id, r.x, r.c, list_transform(range(1, {STATES + 1}),
+  lambda n: exp(-r.dt * n / 4) * s.h[n] + r.dt * r.b[n] * r.x) FROM s JOIN r ON r.user_id = s.user_id AND r.i = s.i + 1)
   SELECT user_id, event_id, round(list_sum(list_transform(range(1, {STATES + 1}), lambda n: c[n] * h[n])) + 0.25 * x, 9) + 0 AS y FROM s""")
 def selective_scan_states(spark, d):
     """The scan with sixteen states at once, along each user's events."""
@@ -145,12 +151,17 @@ def tail_quantiles(spark, d):
 # --- buckets of vectors -----------------------------------------------------------------------------------------------
 
 
-@query("""WITH e AS (SELECT vec_id, CAST(vec_id % 50 AS BIGINT) AS bucket, embedding, (vec_id % 29 - 14) * 50.0 AS tone, label FROM embeddings),
-  m AS (SELECT bucket, min(tone) AS low FROM e GROUP BY 1), w AS (SELECT e.bucket, exp(low - tone) AS w, unnest(embedding) AS v, generate_subscripts(embedding, 1) AS pos FROM e JOIN m USING (bucket)),
+@query("""WITH e AS (SELECT vec_id, CAST(vec_id % 50 AS BIGINT) AS bucket, embedding, (vec_id % 29 - 14) * 50.0 AS tone, label
+  FROM embeddings),
+  m AS (SELECT bucket, min(tone) AS low FROM e GROUP BY 1), w AS (SELECT e.bucket, exp(low - tone) AS w, unnest(embedding) AS v,
+  generate_subscripts(embedding, 1) AS pos FROM e JOIN m USING (bucket)),
   p AS (SELECT bucket, pos, sum(w * v) / sum(w) AS v FROM w GROUP BY 1, 2),
-  s AS (SELECT bucket, count(*) AS n, min(tone) AS min_tone, avg(tone) AS mean_tone, max(label) AS most, avg(CASE WHEN label IN (7, 8, 9) THEN 1.0 ELSE 0 END) AS conflict_ratio FROM e GROUP BY 1)
-  SELECT b.bucket, coalesce(n, 0) AS n, coalesce(round(min_tone, 4), 0) + 0 AS min_tone, coalesce(round(mean_tone, 7), 0) + 0 AS mean_tone, coalesce(CAST(most AS INTEGER), 0) AS most, coalesce(round(conflict_ratio, 7), 0) AS conflict_ratio,
-  coalesce(round(any_value(p.v) FILTER (WHERE pos = 1), 7), 0) + 0 AS first, coalesce(round(sum(p.v), 5), 0) + 0 AS total FROM (SELECT CAST(range AS BIGINT) AS bucket FROM range(60)) b LEFT JOIN s USING (bucket) LEFT JOIN p USING (bucket) GROUP BY ALL""")
+  s AS (SELECT bucket, count(*) AS n, min(tone) AS min_tone, avg(tone) AS mean_tone, max(label) AS most, avg(CASE WHEN label IN (7, 8,
+  9) THEN 1.0 ELSE 0 END) AS conflict_ratio FROM e GROUP BY 1)
+  SELECT b.bucket, coalesce(n, 0) AS n, coalesce(round(min_tone, 4), 0) + 0 AS min_tone, coalesce(round(mean_tone, 7),
+  0) + 0 AS mean_tone, coalesce(CAST(most AS INTEGER), 0) AS most, coalesce(round(conflict_ratio, 7), 0) AS conflict_ratio,
+  coalesce(round(any_value(p.v) FILTER (WHERE pos = 1), 7), 0) + 0 AS first, coalesce(round(sum(p.v), 5), 0) + 0 AS total
+  FROM (SELECT CAST(range AS BIGINT) AS bucket FROM range(60)) b LEFT JOIN s USING (bucket) LEFT JOIN p USING (bucket) GROUP BY ALL""")
 def bucket_embeddings(spark, d):
     """Article vectors pooled by softmax of the negative tone, up to 700 either way, with statistics; ten of the buckets are empty."""
     id_ = F.col("vec_id")
@@ -200,10 +211,14 @@ def stream_in_order(spark, d):
 CONV = [0.5, 0.3, 0.2]
 
 
-@query("""WITH RECURSIVE n AS (SELECT user_id, event_id, 0.5 * value + 0.3 * coalesce(lag(value, 1) OVER w, 0) + 0.2 * coalesce(lag(value, 2) OVER w, 0) AS u, 0.05 + (event_id % 7) / 40.0 AS dt,
-  (event_id % 5) / 4.0 AS b1, (event_id % 4) / 3.0 AS b2, (event_id % 3) / 2.0 AS c1, row_number() OVER w AS i FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
-  s AS (SELECT user_id, i, event_id, u, c1, dt * b1 * u AS h1, dt * b2 * u AS h2 FROM n WHERE i = 1 UNION ALL SELECT n.user_id, n.i, n.event_id, n.u, n.c1, exp(-n.dt) * h1 + n.dt * n.b1 * n.u, exp(-2 * n.dt) * h2 + n.dt * n.b2 * n.u
-  FROM s JOIN n ON n.user_id = s.user_id AND n.i = s.i + 1) SELECT user_id, event_id, round(u, 8) AS conv, round(c1 * h1 + h2 + 0.25 * u, 8) + 0 AS y FROM s""")
+@query("""WITH RECURSIVE n AS (SELECT user_id, event_id, 0.5 * value + 0.3 * coalesce(lag(value, 1) OVER w,
+  0) + 0.2 * coalesce(lag(value, 2) OVER w, 0) AS u, 0.05 + (event_id % 7) / 40.0 AS dt,
+  (event_id % 5) / 4.0 AS b1, (event_id % 4) / 3.0 AS b2, (event_id % 3) / 2.0 AS c1, row_number() OVER w AS i
+  FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+  s AS (SELECT user_id, i, event_id, u, c1, dt * b1 * u AS h1, dt * b2 * u AS h2 FROM n WHERE i = 1 UNION ALL SELECT n.user_id, n.i,
+  n.event_id, n.u, n.c1, exp(-n.dt) * h1 + n.dt * n.b1 * n.u, exp(-2 * n.dt) * h2 + n.dt * n.b2 * n.u
+  FROM s JOIN n ON n.user_id = s.user_id AND n.i = s.i + 1) SELECT user_id, event_id, round(u, 8) AS conv, round(c1 * h1 + h2 + 0.25 * u,
+  8) + 0 AS y FROM s""")
 def stream_conv_scan(spark, d):
     """A causal convolution and a selective scan of its results as a stream: the state is two values and two numbers a user."""
     id_ = F.col("event_id")
@@ -246,8 +261,10 @@ def incremental_copy(spark, d):
     return out.withColumns({"differing": F.lit(both).cast("long")} | runs)
 
 
-@query("""SELECT CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS day, round(sum(CASE WHEN o_orderstatus = 'F' THEN o_totalprice END), 2) AS "F", round(sum(CASE WHEN o_orderstatus = 'O' THEN o_totalprice END), 2) AS "O",
-  round(sum(CASE WHEN o_orderstatus = 'P' THEN o_totalprice END), 2) AS "P" FROM orders WHERE o_orderdate >= DATE '1995-06-01' AND o_orderdate < DATE '1998-01-01' GROUP BY 1""")
+@query("""SELECT CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS day, round(sum(CASE WHEN o_orderstatus = 'F' THEN o_totalprice END),
+  2) AS "F", round(sum(CASE WHEN o_orderstatus = 'O' THEN o_totalprice END), 2) AS "O",
+  round(sum(CASE WHEN o_orderstatus = 'P' THEN o_totalprice END), 2) AS "P" FROM orders
+  WHERE o_orderdate >= DATE '1995-06-01' AND o_orderdate < DATE '1998-01-01' GROUP BY 1""")
 def series_by_service(spark, d):
     """Series as a service answers for them, one document each, read by a partition a series; bounds on the date reach the request."""
     folder = shared_folder(spark)
@@ -259,7 +276,8 @@ def series_by_service(spark, d):
     return rounded(wide.withColumnRenamed("date", "day"), 2)
 
 
-@query("""SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, count(*) AS n, round(max(value), 4) AS high FROM events WHERE ts >= '2024-01-05' AND ts < '2024-01-21' GROUP BY 1""")
+@query("""SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, count(*) AS n, round(max(value), 4) AS high FROM events
+  WHERE ts >= '2024-01-05' AND ts < '2024-01-21' GROUP BY 1""")
 def files_by_name(spark, d):
     """A file a day named by it, days in range read by name; hidden files beside them are not."""
     folder = shared_folder(spark)
@@ -270,13 +288,23 @@ def files_by_name(spark, d):
     return rounded(x.groupBy(F.col("date").cast("string").alias("day")).agg(F.count("*").alias("n"), F.max("value").alias("high")))
 
 
-@query("""WITH x AS (SELECT CAST(l_shipdate AS DATE) AS day, avg(l_quantity) AS gold, avg(l_extendedprice) AS oil, avg(l_extendedprice * l_tax) / 1e4 AS hy, avg(l_extendedprice * l_discount) / 1e4 AS ig, max(l_quantity) AS bbb, min(l_quantity) AS aaa, avg(l_quantity * l_tax) AS real,
-  avg(l_quantity * l_discount) AS infl, sum(l_quantity) AS dollar, max(l_tax) * 100 AS vix, avg(l_linenumber) - 3 AS stress FROM lineitem GROUP BY 1)
-  SELECT CAST(day AS VARCHAR) AS day, round(gold / lag(gold, 5) OVER w - 1, 7) + 0 AS gold_ret_5d, round((gold - avg(gold) OVER w20) / stddev_samp(gold) OVER w20, 5) + 0 AS gold_z_20d, round(oil / lag(oil, 20) OVER w - 1, 7) + 0 AS oil_ret_20d,
-  round(hy - lag(hy, 5) OVER w, 11) + 0 AS hy_oas_chg_5d, round(hy - ig, 11) + 0 AS hy_ig_diff, round(hy / CASE WHEN ig = 0 THEN 1 ELSE ig END, 7) AS hy_ig_ratio, round(bbb - aaa, 6) AS bbb_aaa_spread, round(real - lag(real, 5) OVER w, 7) + 0 AS real_yield_chg_5d,
-  round(infl - lag(infl, 5) OVER w, 7) + 0 AS infl_exp_chg_5d, round(dollar / lag(dollar, 5) OVER w - 1, 7) + 0 AS dollar_ret_5d, round(vix - lag(vix, 1) OVER w, 6) + 0 AS vix_chg_1d,
-  CASE WHEN count(hy) OVER w252 >= 252 AND hy > quantile_cont(hy, 0.9) OVER w252 THEN 1e0 ELSE 0 END AS credit_stress, CASE WHEN stress > 0 THEN 1e0 ELSE 0 END AS fin_stress_elevated FROM x
-  WINDOW w AS (ORDER BY day), w20 AS (ORDER BY day ROWS 19 PRECEDING), w252 AS (ORDER BY day ROWS 251 PRECEDING) QUALIFY row_number() OVER w > 20""")
+@query("""WITH x AS (SELECT CAST(l_shipdate AS DATE) AS day, avg(l_quantity) AS gold, avg(l_extendedprice) AS oil,
+  avg(l_extendedprice * l_tax) / 1e4 AS hy, avg(l_extendedprice * l_discount) / 1e4 AS ig, max(l_quantity) AS bbb,
+  min(l_quantity) AS aaa, avg(l_quantity * l_tax) AS real,
+  avg(l_quantity * l_discount) AS infl, sum(l_quantity) AS dollar, max(l_tax) * 100 AS vix, avg(l_linenumber) - 3 AS stress
+  FROM lineitem GROUP BY 1)
+  SELECT CAST(day AS VARCHAR) AS day, round(gold / lag(gold, 5) OVER w - 1, 7) + 0 AS gold_ret_5d,
+  round((gold - avg(gold) OVER w20) / stddev_samp(gold) OVER w20, 5) + 0 AS gold_z_20d, round(oil / lag(oil, 20) OVER w - 1,
+  7) + 0 AS oil_ret_20d,
+  round(hy - lag(hy, 5) OVER w, 11) + 0 AS hy_oas_chg_5d, round(hy - ig, 11) + 0 AS hy_ig_diff, round(hy / CASE WHEN ig = 0
+  THEN 1 ELSE ig END, 7) AS hy_ig_ratio, round(bbb - aaa, 6) AS bbb_aaa_spread, round(real - lag(real, 5) OVER w,
+  7) + 0 AS real_yield_chg_5d,
+  round(infl - lag(infl, 5) OVER w, 7) + 0 AS infl_exp_chg_5d, round(dollar / lag(dollar, 5) OVER w - 1, 7) + 0 AS dollar_ret_5d,
+  round(vix - lag(vix, 1) OVER w, 6) + 0 AS vix_chg_1d,
+  CASE WHEN count(hy) OVER w252 >= 252 AND hy > quantile_cont(hy, 0.9) OVER w252 THEN 1e0 ELSE 0 END AS credit_stress,
+  CASE WHEN stress > 0 THEN 1e0 ELSE 0 END AS fin_stress_elevated FROM x
+  WINDOW w AS (ORDER BY day), w20 AS (ORDER BY day ROWS 19 PRECEDING),
+  w252 AS (ORDER BY day ROWS 251 PRECEDING) QUALIFY row_number() OVER w > 20""")
 def cross_asset(spark, d):
     """Returns, changes, spreads, ratios and stress flags across assets, from the first day on which all of them are known."""
     a = lambda f, c, n: f(c).alias(n)
@@ -293,10 +321,14 @@ def cross_asset(spark, d):
     return x.select(F.col("day").cast("string").alias("day"), *[(F.round(n, places.get(n, 7)) + 0.0).alias(n) for n in names])
 
 
-@query(f"""WITH {MACRO_SQL}, f AS (SELECT day, dgs30 - dgs3mo AS ff, CASE WHEN ig <> 0 THEN hy / ig END AS ratio FROM m), e AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS day FROM orders WHERE o_totalprice > 400000 OR day(o_orderdate) = 15),
+@query(f"""WITH {MACRO_SQL}, f AS (SELECT day, dgs30 - dgs3mo AS ff, CASE WHEN ig <> 0 THEN hy / ig END AS ratio FROM m),
+  e AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS day FROM orders WHERE o_totalprice > 400000 OR day(o_orderdate) = 15),
   p AS (SELECT f.*, (SELECT max(e.day) FROM e WHERE e.day <= f.day) AS last, (SELECT min(e.day) FROM e WHERE e.day > f.day) AS next FROM f)
-  SELECT CAST(day AS VARCHAR) AS day, round(ff, 7) + 0 AS ff_3m_spread, round(coalesce(last_value(ratio IGNORE NULLS) OVER (ORDER BY day ROWS UNBOUNDED PRECEDING), 1), 7) AS vix_term_ratio, CAST(coalesce(day - last, 365) AS INTEGER) AS days_since_fomc,
-  CAST(coalesce(next - day, 45) AS INTEGER) AS days_until_fomc, coalesce(next - day, 45) <= 7 OR coalesce(day - last, 365) <= 2 AS is_fomc_week FROM p""")
+  SELECT CAST(day AS VARCHAR) AS day, round(ff, 7) + 0 AS ff_3m_spread,
+  round(coalesce(last_value(ratio IGNORE NULLS) OVER (ORDER BY day ROWS UNBOUNDED PRECEDING), 1), 7) AS vix_term_ratio,
+  CAST(coalesce(day - last, 365) AS INTEGER) AS days_since_fomc,
+  CAST(coalesce(next - day, 45) AS INTEGER) AS days_until_fomc, coalesce(next - day, 45) <= 7 OR coalesce(day - last,
+  365) <= 2 AS is_fomc_week FROM p""")
 def macro_fed(spark, d):
     """The fed-funds spread, the term ratio carried over gaps, and the week of a meeting by the second rule."""
     m, w = _macro(spark, d)

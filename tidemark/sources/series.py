@@ -32,15 +32,6 @@ class SeriesReader(DataSourceReader):
         self.first, self.last = options.get("first", ""), options.get("last", "")
         self.tries, self.wait = int(options.get("tries", "3")), float(options.get("wait", "2"))
 
-    def pushFilters(self, filters):
-        """Inclusive bounds on the date reach the request; every filter is left to Spark as well."""
-        for f in filters:
-            if f.attribute == ("date",) and isinstance(f, GreaterThanOrEqual):
-                self.first = max(self.first, str(f.value))
-            elif f.attribute == ("date",) and isinstance(f, LessThanOrEqual):
-                self.last = min(self.last or str(f.value), str(f.value))
-            yield f
-
     def partitions(self):
         return [OneSeries(n) for n in self.names]
 
@@ -90,6 +81,19 @@ class SeriesReader(DataSourceReader):
         raise ValueError("option 'tries' must be positive")
 
 
+class BoundedReader(SeriesReader):
+    """Takes over what a query asks of the date."""
+
+    def pushFilters(self, filters):
+        """Inclusive bounds on the date reach the request; every filter is left to Spark as well."""
+        for f in filters:
+            if f.attribute == ("date",) and isinstance(f, GreaterThanOrEqual):
+                self.first = max(self.first, str(f.value))
+            elif f.attribute == ("date",) and isinstance(f, LessThanOrEqual):
+                self.last = min(self.last or str(f.value), str(f.value))
+            yield f
+
+
 class SeriesSource(DataSource):
     @classmethod
     def name(cls):
@@ -99,7 +103,7 @@ class SeriesSource(DataSource):
         return "series string, date date, value double"
 
     def reader(self, schema):
-        return SeriesReader(self.options)
+        return (BoundedReader if self.options.get("pushdown") == "true" else SeriesReader)(self.options)
 
 
 def observations(spark: SparkSession, names: list[str], **options: str) -> DataFrame:
@@ -107,7 +111,7 @@ def observations(spark: SparkSession, names: list[str], **options: str) -> DataF
     ship(spark)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(SeriesSource)
-    return spark.read.format("econ_series").options(series=",".join(names), **options).load()
+    return spark.read.format("econ_series").options(series=",".join(names), pushdown="true", **options).load()
 
 
 def as_columns(rows: DataFrame, names: list[str]) -> DataFrame:

@@ -47,6 +47,42 @@ def switched(spark: SparkSession, view: str, path: str) -> DataFrame:
     return spark.table(view)
 
 
+def published(df: DataFrame, changes: dict[str, Column], root: str) -> str:
+    """df with changed columns as the next version of the table at root, for every session; returns the version's path.
+
+    A version is whole before a note with its number is added to the folder `_versions`, in one step; readers take the highest note
+    (`current`), running ones end on their files. Two writers at once get different versions; the later note counts.
+    """
+    import uuid
+
+    spark, path = df.sparkSession, f"{root}/data-{uuid.uuid4().hex}"
+    df.withColumns(changes).write.mode("errorifexists").option("compression", "zstd").parquet(path)
+    last = _versions(spark, root).agg(F.max("version")).first()[0] or 0
+    note = spark.range(1).select((F.col("id") + last + 1).alias("version"), F.lit(path.rsplit("/", 1)[1]).alias("data"))
+    note.coalesce(1).write.mode("append").json(f"{root}/_versions/notes")
+    return path
+
+
+def current(spark: SparkSession, root: str) -> DataFrame:
+    """The table at root in its latest version; an error where there is none."""
+    newest = _versions(spark, root).agg(F.max_by("data", F.struct("version", "data"))).first()[0]
+    if newest is None:
+        raise FileNotFoundError(f"no version of a table at {root}")
+    return spark.read.parquet(f"{root}/{newest}")
+
+
+def _versions(spark: SparkSession, root: str) -> DataFrame:
+    from pyspark.errors import AnalysisException
+
+    kinds = "version long, data string"
+    try:
+        return spark.read.schema(kinds).json(f"{root}/_versions/notes")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], kinds)
+
+
 def kept(df: DataFrame) -> DataFrame:
     """The rows as a table in the shared folder, read back: made once, safe from lost executors, and the end of their lineage."""
     path = shared_folder(df.sparkSession)

@@ -170,43 +170,58 @@ class Staged(WriterCommitMessage):
 
 
 class CopyWriter(DataSourceWriter):
-    """Tasks copy into a hidden folder of the target and note what they copied; commit moves the files to their places, abort removes them."""
+    """Tasks copy into a hidden folder of the target and note what they copied; commit moves the files to their places, abort removes them.
+
+    Only the driver makes the folder, so a task that goes on after an abort finds it gone and makes nothing.
+    """
 
     def __init__(self, options):
         self.source, self.target = folder_of(options["from"]), folder_of(options["to"])
-        self.stage = f"{self.target}/_staged-{options['run']}"
+        self.stage = stage_of(options["to"], options["run"])
 
     def write(self, iterator):
         import shutil
 
         own, done = f"{self.stage}/{uuid.uuid4().hex}", 0
-        os.makedirs(own)
-        with open(f"{own}.keys", "w", encoding="utf-8") as manifest:
+        os.mkdir(own)
+        with open(f"{own}/keys", "w", encoding="utf-8") as manifest:
             for row in iterator:
-                to = f"{own}/{row.to}"
-                os.makedirs(os.path.dirname(to), exist_ok=True)
-                shutil.copy2(f"{self.source}/{row.key}", to)
-                if os.path.getsize(to) != row.size:
+                shutil.copy2(f"{self.source}/{row.key}", f"{own}/{done}")
+                if os.path.getsize(f"{own}/{done}") != row.size:
                     raise OSError(f"{row.key} has changed while it was copied")
                 print(row.to, file=manifest)
                 done += 1
         return Staged(own, done)
 
     def commit(self, messages):
-        import shutil
-
         for m in messages:
             if m is not None:
-                with open(f"{m.manifest}.keys", encoding="utf-8") as manifest:
-                    for key in map(str.strip, manifest):
+                with open(f"{m.manifest}/keys", encoding="utf-8") as manifest:
+                    for n, key in enumerate(line.rstrip("\n") for line in manifest):
                         os.makedirs(os.path.dirname(f"{self.target}/{key}"), exist_ok=True)
-                        os.replace(f"{m.manifest}/{key}", f"{self.target}/{key}")
-        shutil.rmtree(self.stage, ignore_errors=True)
+                        os.replace(f"{m.manifest}/{n}", f"{self.target}/{key}")
+        self._removed()
 
     def abort(self, messages):
+        self._removed()
+
+    def _removed(self):
+        """Takes the folder away from tasks that still run, then deletes it."""
         import shutil
+        import time
+
+        if not os.path.isdir(self.stage):
+            return
+        os.rename(self.stage, gone := f"{self.stage}-gone")
+        for _ in range(50):  # a task may be at its last file
+            shutil.rmtree(gone, ignore_errors=True)
+            if not os.path.exists(gone):
+                return
+            time.sleep(0.1)
+
 
-        shutil.rmtree(self.stage, ignore_errors=True)
+def stage_of(target: str, run: str) -> str:
+    return f"{folder_of(target)}/_staged-{run}"
 
 
 class Copies(DataSource):
@@ -251,8 +266,9 @@ def _copied(spark: SparkSession, files: DataFrame, source: str, target: str) ->
     todo = kept(files)
     facts = todo.agg(F.count("*").alias("files"), F.countDistinct("task").alias("tasks")).first()
     if facts.files:
+        os.makedirs(stage_of(target, run := uuid.uuid4().hex))
         rows = todo.repartition(facts.tasks, "task").select("key", "size", "to")
-        rows.write.format("store_copy").option("from", source).option("to", target).option("run", uuid.uuid4().hex).mode("append").save()
+        rows.write.format("store_copy").option("from", source).option("to", target).option("run", run).mode("append").save()
     return facts.files
 
 
