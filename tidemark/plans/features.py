@@ -553,15 +553,14 @@ def masked_huber(spark, d):
     return rounded(_predictions(spark, d).groupBy("horizon").agg(loss.alias("loss")), 5)
 
 
-@query("""SELECT l_returnflag AS flag, count(*) AS n, round(avg(l_extendedprice), 2) AS mean, round(stddev_samp(l_extendedprice),
-  2) AS std, round(min(l_extendedprice), 2) AS least, round(quantile_cont(l_extendedprice, 0.25), 2) AS q25, round(quantile_cont(l_extendedprice,
-  0.5), 2) AS q50, round(quantile_cont(l_extendedprice, 0.75), 2) AS q75, round(max(l_extendedprice), 2) AS most
+@query("""SELECT l_returnflag AS flag, count(*) AS n, round(avg(l_extendedprice), 6) AS mean, round(stddev_samp(l_extendedprice), 6) AS std, round(min(l_extendedprice), 6) AS least, round(quantile_cont(l_extendedprice, 0.25), 6) AS q25, round(quantile_cont(l_extendedprice,
+  0.5), 6) AS q50, round(quantile_cont(l_extendedprice, 0.75), 6) AS q75, round(max(l_extendedprice), 6) AS most
   FROM lineitem GROUP BY 1""")
 def described(spark, d):
     x, rows = "l_extendedprice", t(spark, d, "lineitem").withColumnRenamed("l_returnflag", "flag")
     out = rows.groupBy("flag").agg(F.count("*").alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("least"), F.max(x).alias("most"))
     middle = quantiles.exact_quantiles(rows, ["flag"], x, {f"q{int(100 * p)}": p for p in (0.25, 0.5, 0.75)}, few=4096)
-    return rounded(O.matched(out, middle, ["flag"]).select("flag", "n", "mean", "std", "least", "q25", "q50", "q75", "most"), 2)
+    return rounded(O.matched(out, middle, ["flag"]).select("flag", "n", "mean", "std", "least", "q25", "q50", "q75", "most"), 6)
 
 
 @query("SELECT o_orderpriority AS form, count(*) AS n FROM orders GROUP BY 1 ORDER BY n DESC, form LIMIT 3")
