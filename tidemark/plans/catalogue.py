@@ -651,7 +651,7 @@ def causal_conv(spark, d):
   SELECT g AS nation, k AS c_custkey, round(c0 * h0 + c1 * h1 + 0.25 * x, 4) AS y FROM s""")
 def selective_scan(spark, d):
     k = F.col("c_custkey")
-    c = t(spark, d, "customer").select(F.col("c_nationkey").alias("nation"), "c_custkey", (F.col("c_acctbal") / 1000).alias("x"), (0.1 + (k % 5) / 10.0).alias("dt"), F.floor(k / 256).alias("cell"))
+    c = t(spark, d, "customer").select(F.col("c_nationkey").alias("nation"), "c_custkey", (F.col("c_acctbal") / 1000).alias("x"), (0.1 + (k % 5) / 10.0).alias("dt"), F.floor(k / 4096).alias("cell"))
     c = c.withColumns({"b": F.array((1.0 + k % 2).cast("double"), F.lit(0.5)), "c": F.array((k % 3) / 2.0, F.lit(1.0))})
     return rounded(Q.selective_scan(c, ["nation"], "cell", ["c_custkey"], "x", "dt", [-1.0, -2.0], "b", "c", 0.25, "y").select("nation", "c_custkey", "y"))
 

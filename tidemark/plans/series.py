@@ -133,7 +133,7 @@ def selective_scan_states(spark, d):
     """The scan with sixteen states at once, along each user's events."""
     id_, all_ = F.col("event_id"), F.sequence(F.lit(1), F.lit(STATES))
     e = t(spark, d, "events").select("user_id", "event_id", "ts", F.col("value").alias("x"), (0.05 + (id_ % 7) / 40.0).alias("dt"))
-    e = e.withColumns({"b": F.transform(all_, lambda n: ((id_ + n) % 5) / 4.0), "c": F.transform(all_, lambda n: ((id_ * n) % 3) / 2.0), "cell": F.to_date("ts")})
+    e = e.withColumns({"b": F.transform(all_, lambda n: ((id_ + n) % 5) / 4.0), "c": F.transform(all_, lambda n: ((id_ * n) % 3) / 2.0), "cell": F.floor(F.unix_date(F.to_date("ts")) / 16)})
     y = L.scan(e, ["user_id"], "cell", ["ts", "event_id"], "x", "dt", [-n / 4 for n in range(1, STATES + 1)], "b", "c", 0.25, "y")
     return rounded(y.select("user_id", "event_id", "y"), 9)
 
