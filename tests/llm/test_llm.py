@@ -5,7 +5,7 @@ import hashlib
 import random
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 from pathlib import Path
 
 import numpy as np
@@ -488,6 +488,45 @@ def test_op7_repeats(spark, docs, rows, empty):
     assert [r.n_removed for r in substrings.remove_repeats(same).collect()] == [0, 0, 0]
 
 
+def test_op7_ids_on_several_rows(spark, monkeypatch):
+    """Each row by its own text, whatever other texts its id has, and as often as it came in; sent or joined alike."""
+    rnd = random.Random(7)
+    passages = [[f"w{rnd.randrange(9999)}" for _ in range(rnd.randint(10, 40))] for _ in range(12)]
+    text = lambda: " ".join(w for p in rnd.choices(passages, k=3) for w in [*p, f"x{rnd.randrange(9**9)}"])
+    rows = [(i, text()) for i in range(40)] + [(rnd.choice([3, 7, 20, -5]), text()) for _ in range(60)] + [(None, text()), (7, None), (7, ""), (7, None)]
+    rows += [rows[50]] * 40 + [rows[7]] * 5 + [(20, f"{rows[50][1]} end")] * 2
+    least = {}
+    for i, t in rows:
+        w = words(t)
+        for s in range(len(w) - 12) if i is not None else ():
+            least[tuple(w[s : s + 13])] = min(i, least.get(tuple(w[s : s + 13]), i))
+    want = []
+    for i, t in rows:
+        w = words(t)
+        gone = [False] * len(w)
+        for s in range(len(w) - 12) if i is not None else ():
+            if least[tuple(w[s : s + 13])] < i:
+                gone[s : s + 13] = [True] * 13
+        kept = b" ".join(x for x, g in zip(w, gone, strict=True) if not g)
+        want.append((str(i), len(w), sum(gone), hashlib.sha256(kept).hexdigest()))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    for sent in (substrings.SENT, 0):
+        monkeypatch.setattr(substrings, "SENT", sent)
+        for keep_text in (False, True):
+            got = substrings.remove_repeats(df, keep_text=keep_text).collect()
+            assert sorted((str(r.doc_id), r.n_words, r.n_removed, r.kept_sha256) for r in got) == sorted(want)
+
+
+def test_op7_ten_thousand_rows_of_one_id(spark):
+    """Rows alike go through once, and a text meets its own hits only: what a document is given doesn't grow with its id's rows."""
+    passage = " ".join(f"p{i}" for i in range(20))
+    alike = [(2, f"{passage} the same")] * 10_000
+    different = [(3, f"{passage} and {n} more") for n in range(3000)]
+    df = spark.createDataFrame([(1, f"first {passage}"), *alike, *different], "doc_id long, text string").repartition(4)
+    got = Counter((r.doc_id, r.n_removed) for r in substrings.remove_repeats(df).collect())
+    assert got == {(1, 0): 1, (2, 20): 10_000, (3, 20): 3000}
+
+
 def test_op8_mix(docs, rows, empty):
     got = mixing.mix_sources(docs, shards=4, block_rows=8).collect()
     assert len(got) == len(rows)
