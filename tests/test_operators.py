@@ -205,3 +205,18 @@ def test_cross_asset_of_what_is_there(spark):
     both = M.funds_and_term(F.col("hy"), F.col("ig"), F.col("hy"), F.col("ig"), w)
     term = {r.i: r.vix_term_ratio for r in x.select("i", both["vix_term_ratio"].alias("vix_term_ratio")).collect()}
     assert term[0] == 1.0 and term[3] == 2.0
+
+
+def test_means_at_a_rounding_tie(spark):
+    """The mean is 50.67775, whatever the order of summation; values without a decimal of ten places take the usual mean."""
+    values = [0.1] * 3 + [0.7, 0.3] * 40 + [3.3, 1.1, 9.9] * 11 + [0.01] * 3
+    values.append(round(50.67775 * (len(values) + 1) - sum(values), 2))
+    assert len(values) == 120
+    rows = [(k, v, i) for k, order in (("up", sorted(values)), ("down", sorted(values)[::-1]), ("as", values)) for i, v in enumerate(order)]
+    rows += [("nan", float("nan"), 0), ("nan", 1.0, 1), ("large", 1e30, 0), ("large", 3e30, 1), ("none", None, 0), ("some", None, 0), ("some", 2.5, 1)]
+    x = spark.createDataFrame(rows, "k string, v double, i int").repartition(1).sortWithinPartitions("k", "i")
+    got = {r.k: r.m for r in x.groupBy("k").agg(F.round(S.exact_mean(F.col("v")), 4).alias("m")).collect()}
+    assert [got[k] for k in ("up", "down", "as")] == [50.6778] * 3
+    assert got["nan"] != got["nan"] and got["large"] == 2e30 and got["none"] is None and got["some"] == 2.5
+    usual = {r.k: r.m for r in x.where("k in ('up', 'down', 'as')").groupBy("k").agg(F.round(F.avg("v"), 4).alias("m")).collect()}
+    assert set(usual.values()) != {50.6778}  # what made the difference

@@ -491,7 +491,7 @@ def masked_zscore(spark, d):
 def sequence_pooling(spark, d):
     b, c = B.bars(ticks(spark, d), "6 hours"), F.col("close")
     weight = F.exp(c / 100)
-    return rounded(b.groupBy("ticker").agg(F.max_by("close", "bar").alias("last"), F.avg("close").alias("mean"), (F.sum(weight * c) / F.sum(weight)).alias("attended")))
+    return rounded(b.groupBy("ticker").agg(F.max_by("close", "bar").alias("last"), S.exact_mean(c).alias("mean"), (F.sum(weight * c) / F.sum(weight)).alias("attended")))
 
 
 @query("""SELECT p_partkey, round(2 * p_size + p_retailprice / 1000, 4) AS film, round(g * p_size + (1 - g) * p_retailprice
