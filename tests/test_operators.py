@@ -220,3 +220,24 @@ def test_means_at_a_rounding_tie(spark):
     assert got["nan"] != got["nan"] and got["large"] == 2e30 and got["none"] is None and got["some"] == 2.5
     usual = {r.k: r.m for r in x.where("k in ('up', 'down', 'as')").groupBy("k").agg(F.round(F.avg("v"), 4).alias("m")).collect()}
     assert set(usual.values()) != {50.6778}  # what made the difference
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_last_options_of_a_bar_without_sorting_all_rows(spark):
+    """Ties at the last time go to the next columns of the order; a bar or a time may be null. No aggregate of all measures is sorted."""
+    names = [c for c in dict.fromkeys([*B.OPTION_SUMS, *B.OPTION_MEANS, *B.OPTION_MAXES, *B.OPTION_LASTS])]
+    rnd = random.Random(5)
+    rows = [(rnd.choice(["a", "b", None]), rnd.choice([1, 2, 3, None]), i, *[rnd.random() for _ in names]) for i in range(60)] + [("c", None, i, *[float(i)] * len(names)) for i in range(3)]
+    x = spark.createDataFrame(rows, "k string, ts int, i int, " + ", ".join(f"{n} double" for n in names))
+    got = {r.key: r for r in B.options_roll_up(x, [F.col("k").alias("key")], ["ts", "i"]).collect()}
+    assert set(got) == {"a", "b", "c", None}
+    for k, r in got.items():
+        own = [dict(zip(["k", "ts", "i", *names], v)) for v in rows if v[0] == k]
+        last = max(own, key=lambda v: (v["ts"] is not None, v["ts"] or 0, v["i"]))
+        assert [r[c] for c in B.OPTION_LASTS] == [last[c] for c in B.OPTION_LASTS]
+        assert all(math.isclose(r[c], sum(v[c] for v in own)) for c in B.OPTION_SUMS)
+    plan = plan_of(B.options_roll_up(x, [F.col("k").alias("key")], ["ts", "i"]))
+    assert "sum(" not in plan  # the sums were hashed before, apart from what is compared by struct

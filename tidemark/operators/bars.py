@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import EPS, ratio
+from ..sources.sinks import kept
+from .ordered import matched
 
 
 def bucket(ts: Column, every: str) -> Column:
@@ -73,12 +75,21 @@ OPTION_RATIOS = {
 
 
 def options_roll_up(rows: DataFrame, keys: list, order: list[str]) -> DataFrame:
-    """All option measures of a bar and the nine made from them; ratios come from the bar's own sums."""
-    last = F.struct(*order)
-    out = rows.groupBy(*keys).agg(
-        *[F.sum(c).alias(c) for c in OPTION_SUMS], *[F.avg(c).alias(c) for c in OPTION_MEANS], *[F.max(c).alias(c) for c in OPTION_MAXES], *[F.max_by(c, last).alias(c) for c in OPTION_LASTS],
-        *[(F.sum(a) / (F.sum(b) + EPS)).alias(c) for c, (a, b) in OPTION_RATIOS.items()],
-    )
+    """All option measures of a bar and the nine made from them; ratios come from the bar's own sums.
+
+    The last values come from a second reading: only the rows at the largest order[0] of their bar are compared by all of `order`, for
+    an aggregate that holds structs is sorted, and would sort every row with all its measures.
+    """
+    names = rows.select(*keys).columns
+    facts = kept(rows.groupBy(*keys).agg(
+        *[F.sum(c).alias(c) for c in OPTION_SUMS], *[F.avg(c).alias(c) for c in OPTION_MEANS], *[F.max(c).alias(c) for c in OPTION_MAXES],
+        *[(F.sum(a) / (F.sum(b) + EPS)).alias(c) for c, (a, b) in OPTION_RATIOS.items()], F.max(order[0]).alias("_last"),
+    ))
+    own = rows.select(*keys, *[F.col(c).alias(f"_of_{c}") for c in dict.fromkeys([*order, *OPTION_LASTS])])
+    late = matched(own, facts.select(*names, F.col("_last").alias(f"_of_{order[0]}")), [*names, f"_of_{order[0]}"])
+    last = F.struct(*[f"_of_{c}" for c in order])
+    ends = late.groupBy(*names).agg(*[F.max_by(f"_of_{c}", last).alias(c) for c in OPTION_LASTS])
+    out = matched(facts, ends, names).select(*names, *OPTION_SUMS, *OPTION_MEANS, *OPTION_MAXES, *OPTION_LASTS, *OPTION_RATIOS)
     c = F.col
     over = lambda a, b: a / (b + EPS)
     flow, unusual = c("call_premium_total") - c("put_premium_total"), c("uoa_call_count") + c("uoa_put_count")
