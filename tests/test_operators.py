@@ -241,3 +241,22 @@ def test_last_options_of_a_bar_without_sorting_all_rows(spark):
         assert all(math.isclose(r[c], sum(v[c] for v in own)) for c in B.OPTION_SUMS)
     plan = plan_of(B.options_roll_up(x, [F.col("k").alias("key")], ["ts", "i"]))
     assert "sum(" not in plan  # the sums were hashed before, apart from what is compared by struct
+
+
+def test_latest_values_move_filings_once(spark):
+    filings = spark.createDataFrame([(i % 7, dt.date(2024, 1 + i % 5, 1 + i % 28), float(i) if i % 3 else None) for i in range(100)], "k int, filed date, v double")
+    assert N.by_company(filings, "k", each=30).rdd.getNumPartitions() == 4
+    st = N.by_company(filings, "k", each=30).groupBy("k", "filed").agg(F.sum("v").alias("v"))
+    dates = spark.createDataFrame([(dt.date(2024, m, 15),) for m in (2, 4, 9)], "day date")
+    out = N.latest_values(dates, st, "k", "day", "filed", ["v"], 60)
+    sums = {}
+    for r in filings.collect():
+        if r.v is not None:
+            sums[r.k, r.filed] = sums.get((r.k, r.filed), 0.0) + r.v
+    want = {}
+    for (k, filed), v in sorted(sums.items()):
+        for m in (2, 4, 9):
+            if 0 <= (dt.date(2024, m, 15) - filed).days <= 60:
+                want[dt.date(2024, m, 15), k] = v
+    assert {(r.day, r.k): r.v for r in out.where("v is not null").collect()} == want
+    assert plan_of(out).count("Exchange hashpartitioning") == 1

@@ -11,14 +11,20 @@ def guarded(a: Column, b: Column) -> Column:
     return F.when(F.sum(b) > 0, F.sum(a) / F.sum(b)).otherwise(0.0)
 
 
+def by_company(filings: DataFrame, key: str, each: int = 65_536) -> DataFrame:
+    """filings dealt by key to a partition for every `each` rows: what is grouped by the key and more stays there, and no task's groups grow with the table."""
+    return filings.repartition(max(1, -(-filings.count() // each)), key)
+
+
 def latest_values(dates: DataFrame, filings: DataFrame, key: str, day: str, filed: str, values: list[str], valid_days: int = 180) -> DataFrame:
     """For each date and key the last value of each column that was filed by then and is no older than valid_days.
 
-    Columns are looked at one by one: a filing without a value leaves the one before it. Filings meet dates by month.
+    Columns are looked at one by one: a filing without a value leaves the one before it. Filings meet dates by month;
+    the dates, at most a row a calendar day, go to every task. Of filings that lie `by_company` nothing else moves.
     """
     month = F.sequence(F.trunc(filed, "MM"), F.trunc(F.date_add(filed, valid_days), "MM"), F.expr("interval 1 month"))
     held = filings.withColumn("_month", F.explode(month))
-    rows = dates.withColumn("_month", F.trunc(day, "MM")).join(held, "_month")
+    rows = held.join(F.broadcast(dates.withColumn("_month", F.trunc(day, "MM"))), "_month")
     rows = rows.where((F.col(filed) <= F.col(day)) & (F.col(filed) >= F.date_sub(day, valid_days)))
     return rows.groupBy(day, key).agg(*[F.max_by(v, F.when(F.col(v).isNotNull(), F.col(filed))).alias(v) for v in values])
 

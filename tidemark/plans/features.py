@@ -49,8 +49,8 @@ ST = (
 
 def _latest(spark: SparkSession, d: str) -> DataFrame:
     o = t(spark, d, "orders")
-    st = o.groupBy(F.col("o_custkey").alias("ticker"), F.to_date("o_orderdate").alias("filed")).agg(*[F.sum(F.expr(v)).alias(k) for k, v in STATEMENT.items()])
-    dates = st.select(F.trunc("filed", "MM").alias("day")).distinct()
+    st = N.by_company(o, "o_custkey").groupBy(F.col("o_custkey").alias("ticker"), F.to_date("o_orderdate").alias("filed")).agg(*[F.sum(F.expr(v)).alias(k) for k, v in STATEMENT.items()])
+    dates = o.select(F.trunc(F.to_date("o_orderdate"), "MM").alias("day")).where("day is not null").distinct()
     held = N.latest_values(dates, st, "ticker", "day", "filed", list(STATEMENT))
     return held.join(t(spark, d, "customer").select(F.col("c_custkey").alias("ticker"), S.short_name(F.col("c_mktsegment")).alias("sector")), "ticker")
 
