@@ -58,6 +58,47 @@ def test_a_stream_goes_on_where_it_stopped(spark, tmp_path):
     assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-9 for i in want)
 
 
+def test_a_stream_in_slices(spark, tmp_path):
+    """A key's rows of a batch go through in slices, shuffled: a worker holds no frame of a whole key."""
+    import math
+
+    import numpy as np
+    import pandas as pd
+
+    from tidemark.streaming import state as running
+    from tidemark.streaming.sinks import drained
+
+    n = 3 * running.SLICE // 2 + 7
+    source = str(tmp_path / "in")
+    rows = spark.range(n).selectExpr("if(id % 5 = 0, 'b', 'a') k", "id i", "if(id % 11 = 3, null, cast(id * 7919 % 1013 as double)) v")
+    rows.orderBy("v", "k").coalesce(1).write.parquet(source)
+    seen = drained(running.stream_scan(spark.readStream.schema(rows.schema).parquet(source), "k", ["i"], "v", 0.01)).toPandas().set_index("i").sort_index()
+    assert len(seen) == n and seen.h.notna().all()
+    for k, own in seen.groupby("k"):
+        h, keep, want = 0.0, math.exp(-0.01), []
+        for v in own.v.fillna(0.0):
+            h = keep * h + v
+            want.append(h)
+        assert np.allclose(own.h, want)
+    places = running.places_in_order([np.array(["b", None, "a", "b"], object), np.array([2.0, 1.0, 5.0, np.nan])])
+    assert places.tolist() == [2, 0, 3, 1]
+
+    class Asked:  # gives the function that a worker runs
+        dtypes, sparkSession = rows.dtypes, spark
+        select = groupBy = lambda self, *columns: self
+        applyInPandasWithState = lambda self, update, *rest: update
+
+    class State:
+        exists, get = False, None
+
+        def update(self, numbers):
+            self.exists, self.get = True, numbers
+
+    parts = [pd.DataFrame({"k": "a", "i": np.arange(n)[::-1], "v": 1.0}) for n in (running.SLICE, running.SLICE)]
+    out = list(running.stream_cumulative_zscore(Asked(), "k", ["i"], "v")(("a",), iter(parts), State()))
+    assert [len(x) for x in out] == [running.SLICE] * 2 and out[0].i.is_monotonic_increasing
+
+
 def test_entry_names():
     import __spark_entry__ as entry
 
