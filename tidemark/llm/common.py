@@ -63,6 +63,31 @@ def written(df: DataFrame, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def give_back() -> None:
+    """Hands what this worker has freed back to the system: a worker stays for later stages, and would else hold its largest task's memory."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # only glibc has it
+        pass
+
+
+def tidied(run):
+    """run, a function over the batches of a task, with `give_back` once they are through."""
+
+    def task(batches):
+        yield from run(batches)
+        give_back()
+
+    return task
+
+
 def free_name(columns: list[str], base: str) -> str:
     """base, with as many underscores after it as it takes to be no column's name."""
     taken = {c.lower() for c in columns}

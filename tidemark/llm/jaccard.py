@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from .common import LOWER, bit_map, hash_words, partitions, slices, window_hashes, words_of, written
+from .common import LOWER, bit_map, give_back, hash_words, partitions, slices, tidied, window_hashes, words_of, written
 from .components import components, merged
 
 WORDS = 5
@@ -82,7 +82,7 @@ def with_point(df: DataFrame, name: str, text_col: str = "text") -> DataFrame:
             found = [point(s) for data, offsets, _ in slices(texts, texts) for s in shingle_sets(data, offsets)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.binary())], [*batch.schema.names, name])
 
-    return df.mapInArrow(points, StructType([*df.schema.fields, StructField(name, BinaryType())]))
+    return df.mapInArrow(tidied(points), StructType([*df.schema.fields, StructField(name, BinaryType())]))
 
 
 def _prefix(size: int, percent: int) -> int:
@@ -243,7 +243,7 @@ def join_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     spark = df.sparkSession
     text = F.col(text_col).cast("string")
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("key"))
-    survey = written(docs.mapInArrow(_survey, "doc_id long, key long, point binary, n long, part int, counts binary"))
+    survey = written(docs.mapInArrow(tidied(_survey), "doc_id long, key long, point binary, n long, part int, counts binary"))
     known = survey.where("part is null").select("doc_id", "key", "point", "n")
     levels = survey.where("part is not null").select("part", "counts").groupBy("part").applyInArrow(_add, "part int, level binary").collect()  # 2**SKETCH_BITS bytes
     level = np.frombuffer(b"".join(r.level for r in sorted(levels)), np.uint8) if len(levels) == SKETCH_PARTS else np.zeros(1 << SKETCH_BITS, np.uint8)
@@ -270,8 +270,13 @@ def join_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 rows = list(_pack(list(points), np.array(list(points.values())), *map(np.concatenate, (owner, key, place)), bits, np.concatenate(hot))) if points else []
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["bucket", "blob"])
 
-    buckets = docs.select("text").mapInArrow(first_shingles, "bucket int, blob binary").groupBy("bucket")
-    regions = written(buckets.applyInArrow(lambda key, table: _regions(percent, key, table), "region long, point binary, n long, place long"))
+    buckets = docs.select("text").mapInArrow(tidied(first_shingles), "bucket int, blob binary").groupBy("bucket")
+
+    def of_bucket(key, table):
+        give_back()  # of the bucket before
+        return _regions(percent, key, table)
+
+    regions = written(buckets.applyInArrow(of_bucket, "region long, point binary, n long, place long"))
     # The sets of the points that share a region with another, each from the whole text of one row: the least id that has one.
     one = known.where("point is not null").groupBy("point").agg(F.min("doc_id").alias("doc_id"), F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "key")).alias("row"))
     wanted = written(one.join(regions.select("point").distinct(), "point").select("point", F.xxhash64("row.doc_id", "row.key").alias("at")))
@@ -292,7 +297,7 @@ def join_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 found = [(p, s) for s in shingle_sets(data, offsets) if (p := point(s)) is not None and p not in given and not given.add(p)]
                 yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in found], pa.binary()), pa.array([s.tobytes() for _, s in found], pa.binary())], ["point", "shingles"])
 
-    made = docs.select("text", place(F.xxhash64("doc_id", "key"))).mapInArrow(sets, "point binary, shingles binary")
+    made = docs.select("text", place(F.xxhash64("doc_id", "key"))).mapInArrow(tidied(sets), "point binary, shingles binary")
     # Dealt by point once; the joins of every round use that. Blocks of a lost executor are made again from the texts.
     dealt = made.repartition(partitions(spark), "point").groupBy("point").agg(F.first("shingles").alias("shingles"))
     shingles = dealt.join(wanted.select("point"), "point", "left_semi").persist(StorageLevel.DISK_ONLY)
@@ -300,7 +305,7 @@ def join_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     def measured(pairs: DataFrame) -> DataFrame:
         x, p = shingles.select(F.col("point").alias("x"), F.col("shingles").alias("of_x")), shingles.select(F.col("point").alias("p"), F.col("shingles").alias("of_p"))
         p = p.join(pairs.select("p").distinct(), "p")  # few; a pivot that many points ask for is a skew that the next join splits
-        both = pairs.join(x, "x").join(p, "p").select("x", "p", "of_x", "of_p").mapInArrow(_measure, "x binary, p binary, n long, m long, shared long")
+        both = pairs.join(x, "x").join(p, "p").select("x", "p", "of_x", "of_p").mapInArrow(tidied(_measure), "x binary, p binary, n long, m long, shared long")
         union = F.col("n") + F.col("m") - F.col("shared")
         return written(both.select("x", "p", (F.col("shared") * 100 >= union * percent).alias("link"), (1 - F.col("shared") / union).alias("distance")))
 

@@ -22,6 +22,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import tidied
+
 TOKEN = re.compile(r"[^\W_]+")
 SPLIT = r"[^\p{L}\p{N}]+"
 #: A quotation of any length within a line.
@@ -221,7 +223,7 @@ def featured(df: DataFrame, model: Model, text_col: str) -> DataFrame:
                 x = [features(t.as_py() or "", trie, memo) for t in part.column(at)]
                 yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(c, pa.float64()) for c in zip(*x, strict=True))], [*batch.schema.names, *FEATURES])
 
-    return rows.mapInArrow(run, ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema] + [f"{c} double" for c in FEATURES]))
+    return rows.mapInArrow(tidied(run), ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema] + [f"{c} double" for c in FEATURES]))
 
 
 def score(df: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.3) -> DataFrame:
