@@ -79,3 +79,13 @@ def test_convolution_and_scan_go_on_after_a_restart(spark, tmp_path):
     feed(spark, source, [("end", at(10**5), 0, 0.0, 0.0, [0.0] * 3, [0.0] * 3)], kinds)
     got = {r.i: (r.conv, r.y) for r in run(spark, source, folder, advance(), "conv double, y double", "30 minutes", kinds).where("k != 'end'").collect()}
     assert got.keys() == want.keys() and all(np.allclose(got[i], want[i]) for i in want)
+
+
+def test_rows_wait_as_entries_of_many(spark, tmp_path):
+    """Forty rows of a key that wait lie in one entry of its list, and in one again after a part of them has gone."""
+    source, folder = str(tmp_path / "in"), str(tmp_path / "out")
+    z = lambda: run(spark, source, folder, T.running_zscore("v"), "z double", late="20 minutes")
+    feed(spark, source, [("a", at(i), i, float(i)) for i in range(40)])
+    assert z().count() == 20  # up to the watermark, at 19 minutes
+    held = spark.read.format("statestore").option("stateVarName", "waiting").load(f"{folder}/state")
+    assert held.count() == 1

@@ -1,6 +1,6 @@
 """Stateful operators over streams in event order: late and shuffled rows wait until the watermark has passed them.
 
-A key's rows lie in a list of the state store. A timer at the earliest of them fires once the watermark is past it; then all rows
+A key's rows lie in a list of the state store, thousands to an entry. A timer at the earliest of them fires once the watermark is past it; then all rows
 up to the watermark leave the list, in order, and the key's state moves over them. What later batches bring is never earlier than
 that, since rows behind the watermark are dropped. A key that has had no rows for `idle` of event time leaves the store,
 and starts anew when it comes again. The state store must be RocksDB, see `with_timers`.
@@ -10,12 +10,14 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
 from ..functions.shipping import ship
+from .state import SLICE, places_in_order
 
 #: The setting that names the state store, and the store that has timers and lists.
 STORE = "spark.sql.streaming.stateStore.providerClass"
@@ -32,69 +34,117 @@ def with_timers(spark: SparkSession, run: Callable):
         spark.conf.set(STORE, before)
 
 
-def _tuples(rows) -> list[tuple]:
-    """Rows of a pandas frame as the store takes them: lists for arrays, None for what is missing."""
-    import pandas as pd
-
-    plain = lambda v: v.tolist() if hasattr(v, "ndim") and v.ndim else v if isinstance(v, list) else None if pd.isna(v) else v
-    return [tuple(plain(v) for v in r) for r in rows.itertuples(index=False)]
+#: Rows of a key that are packed as one entry of its list.
+PACK = 8192
 
 
 class InOrder(StatefulProcessor):
-    """Rows of a key in order of (time, order columns), each batch of them given to `advance` with the state so far.
+    """Rows of a key in order of (time, order columns), each batch of them given to `advance` with the state so far, a slice at a time.
 
     advance(state, rows): state is a list of numbers (None at first), rows a pandas frame; returns the new state and the frame of results.
+    Rows wait as Arrow batches of neighbours in time, so those that stay are neither read nor written row by row.
     """
 
     def __init__(self, kinds: StructType, time: str, order: list[str], advance: Callable, idle_ms: int):
         self.kinds, self.time, self.order, self.advance, self.idle = kinds, time, order, advance, idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        import pyarrow as pa
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        # Times come and go without a zone.
+        plain = [f.with_type(pa.timestamp("us")) if pa.types.is_timestamp(f.type) else f for f in to_arrow_schema(self.kinds)]
+        self.schema = pa.schema(plain)
         self.handle = handle
-        self.waiting = handle.getListState("waiting", self.kinds)
+        self.waiting = handle.getListState("waiting", "first long, latest long, rows binary")
         self.state = handle.getValueState("state", "numbers array<double>, last long, alarm long")
 
     def _known(self) -> tuple:
-        found = self.state.get() if self.state.exists() else None
+        found = self.state.get()
         return (list(found[0]) if found and found[0] is not None else None, found[1] if found else None, found[2] if found else None)
 
+    def _times(self, table) -> np.ndarray:
+        """Milliseconds since 1970."""
+        return table.column(self.time).to_numpy(zero_copy_only=False).astype("datetime64[ms]").astype(np.int64)
+
+    def _packed(self, tables: list) -> list[tuple]:
+        """Entries of the list for the rows of tables."""
+        import pyarrow as pa
+
+        rows = pa.concat_tables(tables)
+        at = self._times(rows)
+        if len(at) > PACK:
+            order = np.argsort(at, kind="stable")
+            rows, at = rows.take(pa.array(order)), at[order]
+        out = []
+        for a in range(0, len(at), PACK):
+            batch, own = rows.slice(a, PACK).combine_chunks().to_batches()[0], at[a : a + PACK]
+            out.append((int(own.min()), int(own.max()), batch.serialize().to_pybytes()))
+        return out
+
     def handleInputRows(self, key, rows, timerValues) -> Iterator:
-        import pandas as pd
+        import pyarrow as pa
 
-        new = pd.concat(list(rows))
         numbers, last, alarm = self._known()
-        first, latest = (int(t.timestamp() * 1000) for t in (new[self.time].min(), new[self.time].max()))
-        self.waiting.appendList(_tuples(new[self.kinds.names]))
+        first, latest, held, n = None, last, [], 0
+
+        def put():
+            nonlocal first, latest
+            entries = self._packed(held)
+            first = min([e[0] for e in entries] + ([] if first is None else [first]))
+            latest = max([e[1] for e in entries] + ([] if latest is None else [latest]))
+            self.waiting.appendList(entries)
+
+        for part in rows:
+            held.append(pa.Table.from_pandas(part[self.kinds.names], self.schema, preserve_index=False))
+            if (n := n + len(part)) >= SLICE:
+                put()
+                held, n = [], 0
+        if n:
+            put()
+        if first is None:
+            return iter(())
         # One timer a key: at its earliest row that waits. A timer fires in the first batch after the watermark has passed it.
         if alarm is None or first < alarm:
             if alarm is not None:
                 self.handle.deleteTimer(alarm)
             self.handle.registerTimer(alarm := max(first, timerValues.getCurrentWatermarkInMs() + 1))
-        self.state.update((numbers, max(latest, last or latest), alarm))
+        self.state.update((numbers, latest, alarm))
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator:
-        import pandas as pd
+        import pyarrow as pa
 
         passed = timerValues.getCurrentWatermarkInMs()
         numbers, last, _ = self._known()
-        rows = pd.DataFrame(list(self.waiting.get()), columns=self.kinds.names) if self.waiting.exists() else pd.DataFrame(columns=self.kinds.names)
-        if rows.empty:  # nothing came for as long as a key may be idle
-            self.waiting.clear()
+        ready, rest = [], []
+        for entry in self.waiting.get():
+            if entry[0] > passed:
+                rest.append(tuple(entry))
+                continue
+            table = pa.Table.from_batches([pa.ipc.read_record_batch(pa.py_buffer(bytes(entry[2])), self.schema)])
+            if entry[1] > passed:
+                there = pa.array(self._times(table) <= passed)
+                rest += self._packed([table.filter(pa.array(self._times(table) > passed))])
+                table = table.filter(there)
+            ready.append(table)
+        self.waiting.clear()
+        if not ready and not rest:  # nothing came for as long as a key may be idle
             self.state.clear()
             return
-        at = rows[self.time].map(lambda t: int(t.timestamp() * 1000))
-        ready, rest = rows[at <= passed], rows[at > passed]
-        self.waiting.clear()
-        if len(rest):
-            self.waiting.put(_tuples(rest))
-            alarm = max(int(at[at > passed].min()), passed + 1)
+        if rest:
+            self.waiting.put(rest)
+            alarm = max(min(e[0] for e in rest), passed + 1)
         else:
             alarm = max(last + self.idle, passed + 1)
         self.handle.registerTimer(alarm)
-        if len(ready):
-            numbers, out = self.advance(numbers, ready.sort_values([self.time, *self.order], kind="stable"))
-            yield out
+        if ready:
+            rows = pa.concat_tables(ready)
+            del ready
+            places = places_in_order([rows.column(c).to_numpy(zero_copy_only=False) for c in (self.time, *self.order)])
+            for a in range(0, len(places), SLICE):
+                numbers, out = self.advance(numbers, rows.take(pa.array(places[a : a + SLICE])).to_pandas())
+                yield out
         self.state.update((numbers, last, alarm))
 
 
@@ -115,8 +165,6 @@ def running_zscore(value: str, name: str = "z", floor: float = 1e-8) -> Callable
     """advance: the value's distance from the mean so far in deviations so far; 0 for the first value and for null. State: count and two sums."""
 
     def advance(state, rows):
-        import numpy as np
-
         n, total, squares = state or [0.0, 0.0, 0.0]
         there = rows[value].notna().to_numpy()
         x = np.where(there, rows[value].to_numpy(float), 0.0)
@@ -136,14 +184,18 @@ def conv_and_scan(x: str, weights: list[float], dt: str, rates: list[float], b:
     """
 
     def advance(state, rows):
-        import numpy as np
-
         from ..operators.long_series import affine_prefix
 
         back = len(weights) - 1
         held = np.array(state if state else [0.0] * (back + len(rates)), float)
         number = lambda column: np.nan_to_num(rows[column].to_numpy(float))
-        lists = lambda column: np.array([[0.0 if v is None else v for v in r] if r is not None else [0.0] * len(rates) for r in rows[column]], float)
+
+        def lists(column):
+            found = rows[column].tolist()
+            if all(isinstance(r, np.ndarray) and r.dtype == float for r in found):
+                return np.stack(found)
+            return np.array([[0.0 if v is None else v for v in r] if r is not None else [0.0] * len(rates) for r in found], float)
+
         values = np.concatenate((held[:back], number(x)))
         u = sum(w * values[back - k : len(values) - k] for k, w in enumerate(weights))
         d = number(dt)[:, None]
