@@ -4,6 +4,7 @@ import datetime as dt
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 from pathlib import Path
@@ -612,6 +613,25 @@ def test_op9_viterbi(docs, rows, empty):
     assert got[60].ids is None and got[61].ids == [] and sentencepiece.encode(empty, piece_model()).count() == 0
 
 
+def test_op9_texts_searched_together():
+    c, rnd = sentencepiece.Coder(sentencepiece.Vocabulary.load(piece_model())), random.Random(5)
+    odd = ["", " ", "x" * 65, "é" * 64 + "  漢字\x00𝄞 a", "\n\n|" + "\t" * 70, "y" * 200 + " z " + "é" * 80]
+    texts = ["".join(rnd.choice("etaoinshrdlu é漢\n,") for _ in range(rnd.randint(0, 90))) for _ in range(300)] + odd
+    data = [t.encode() for t in texts]
+    ids, bounds, same = c.encode_all(np.frombuffer(b"".join(data), np.uint8), np.cumsum([0, *map(len, data)]))
+    assert same.all() and [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == [[i for run in c.stream(" " + t) for i in run] if t else [] for t in texts]
+
+
+def test_op9_new_words_in_well_under_the_time_of_a_search_each():
+    c, rnd = sentencepiece.Coder(sentencepiece.Vocabulary.load(piece_model())), random.Random(6)
+    words = ["".join(rnd.choice("etaoinshrdlu") for _ in range(9)) for _ in range(40_000)]
+    begin = time.process_time()
+    found = list(c.encode(" ".join(words)))
+    middle = time.process_time()
+    assert found == [i for w in words for run in c.stream(" " + w) for i in run]
+    assert middle - begin < 0.6 * (time.process_time() - middle)
+
+
 def test_op10_urls(spark):
     pages = [
         (1, "http://A.example.net/en/1"), (2, "http://a.example.net/de/1"), (3, "https://example.com/de/x?q=1"), (4, "https://example.com/deck"), (5, "http://b.org/fr/#t"), (6, None), (7, "no scheme"),
