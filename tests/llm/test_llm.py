@@ -622,6 +622,15 @@ def test_op9_texts_searched_together():
     assert same.all() and [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == [[i for run in c.stream(" " + t) for i in run] if t else [] for t in texts]
 
 
+def test_op9_long_text_in_parts(monkeypatch):
+    c, rnd = sentencepiece.Coder(sentencepiece.Vocabulary.load(piece_model())), random.Random(7)
+    texts = ["".join(rnd.choice("ab  e\ning▁é漢,") for _ in range(rnd.randint(30, 300))) + end for end in ("", " ", "  ", "\n") for _ in range(30)] + [" " * 50, "x" * 90]
+    whole, runs, run = [list(c.encode(t)) for t in texts], [], c._encode_run
+    monkeypatch.setattr(sentencepiece, "RUN", 10)
+    monkeypatch.setattr(c, "_encode_run", lambda data, offsets: (runs.append(len(data)), run(data, offsets))[1])
+    assert [list(c.encode(t)) for t in texts] == whole and len(runs) > 5 * len(texts)
+
+
 def test_op9_new_words_in_well_under_the_time_of_a_search_each():
     c, rnd = sentencepiece.Coder(sentencepiece.Vocabulary.load(piece_model())), random.Random(6)
     words = ["".join(rnd.choice("etaoinshrdlu") for _ in range(9)) for _ in range(40_000)]

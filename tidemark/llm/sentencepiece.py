@@ -76,9 +76,9 @@ class Coder:
             self.table[i] = bytes([b])
         # Characters that longer pieces join to others; a space only ever joins what follows it, or other spaces.
         joined = {c for p in self.ids if len(p) > 1 for c in p} - {" "}
-        free = joined and all(" " not in p.lstrip(" ") for p in self.ids)
-        self.kind = np.full(0x110000, OTHER if free else JOINED, np.uint8)
-        if free:
+        self.free_spaces = bool(joined) and all(" " not in p.lstrip(" ") for p in self.ids)
+        self.kind = np.full(0x110000, OTHER if self.free_spaces else JOINED, np.uint8)
+        if self.free_spaces:
             self.kind[[ord(c) for c in joined]] = JOINED
             self.kind[ord(" ")] = SPACE
         # The trie again as arrays: the child of node n by code c is where n * codes + c stands in `edges`, plus 1; those of the root in `roots`.
@@ -159,7 +159,24 @@ class Coder:
         return np.frombuffer(points, np.uint32), np.flatnonzero((data & 0xC0) != 0x80)
 
     def encode_all(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Ids of texts whose UTF-8 bytes lie end to end in data, the bounds of each text's, and whether they decode to it."""
+        """Ids of texts whose UTF-8 bytes lie end to end in data, the bounds of each text's, and whether they decode to it.
+
+        A text by itself that is longer than two runs goes through in parts: a space after another character starts a segment, as the
+        space before a text does, and so takes its place.
+        """
+        if len(offsets) > 2 or len(data) <= 2 * RUN or not self.free_spaces:
+            return self._encode_run(data, offsets)
+        spaces = np.flatnonzero((data[1:-1] == 32) & (data[:-2] != 32)) + 1
+        parts, a = [], 0
+        while a < len(data):
+            k = np.searchsorted(spaces, a + RUN)
+            b = int(spaces[k]) if k < len(spaces) else len(data)
+            parts.append(self._encode_run(data[a:b], np.array([0, b - a])))
+            a = b + 1
+        ids = np.concatenate([p[0] for p in parts])
+        return ids, np.array([0, len(ids)]), np.array([all(p[2][0] for p in parts)])
+
+    def _encode_run(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         import pyarrow as pa
 
         full = offsets[1:] > offsets[:-1]
