@@ -24,10 +24,10 @@ from math import inf, log
 import numpy as np
 from pyspark.sql import DataFrame
 
-from .common import slices
+from .common import slices, tidied
 
 #: Bytes of text whose segments are searched together, and characters of the longest segment that is.
-RUN, SHORT = 1 << 21, 64
+RUN, SHORT = 1 << 19, 64
 MARK = "▁"
 OTHER, JOINED, SPACE = 0, 1, 2
 
@@ -84,7 +84,7 @@ class Coder:
         # The trie again as arrays: the child of node n by code c is where n * codes + c stands in `edges`, plus 1; those of the root in `roots`.
         alphabet = sorted({c for p in self.ids for c in p})
         codes = {c: i for i, c in enumerate(alphabet, 1)}
-        self.codes, self.code = len(codes) + 1, np.zeros(0x110000, np.int64)
+        self.codes, self.code = len(codes) + 1, np.zeros(0x110000, np.int32)
         self.code[list(map(ord, alphabet))] = range(1, self.codes)
         nodes, edges = [self.trie], []
         for n, node in enumerate(nodes):  # which grows meanwhile
@@ -290,7 +290,7 @@ def encode(df: DataFrame, path: str, text_col: str = "text") -> DataFrame:
                 ids = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32), mask=np.append(nulls, False)), pa.array(flat))
                 yield pa.RecordBatch.from_arrays([*part.columns, ids, pa.array(np.diff(bounds)), pa.array(same)], [*part.schema.names, *new])
 
-    return rows.mapInArrow(run, ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema] + ["ids array<int>, n_tokens long, round_trip boolean"]))
+    return rows.mapInArrow(tidied(run), ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema] + ["ids array<int>, n_tokens long, round_trip boolean"]))
 
 
 def decode(df: DataFrame, path: str, ids_col: str = "ids", to: str = "decoded") -> DataFrame:
