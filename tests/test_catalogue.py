@@ -38,6 +38,20 @@ def test_equals_sql(spark, duck, name):
     assert rows(got) == rows(want)
 
 
+@pytest.mark.parametrize("lines", [
+    [(1, 1, 3.0), (1, 1, None), (1, 2, 4.0), (1, 2, None)],
+    [(1, None, 3.0), (1, 1, 5.0), (1, 2, 4.0)],
+    [(1, 1, 2.9), (1, 1, 2.2), (1, 1, 2.4), (1, 2, 0.5), (1, 3, 1.5), (1, 4, -2.7)],
+    [(1, 1, None), (1, 2, None), (1, 3, 4.0), (None, 1, 2.0), (None, 1, 2.0)],
+], ids=["null quantity", "null line", "fractions", "nothing known"])
+def test_segment_sums_of_odd_lines(spark, tmp_path, lines):
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_quantity double").coalesce(1).write.parquet(str(tmp_path / "lineitem.parquet"))
+    c = duckdb.connect(config={"threads": 1})
+    c.sql(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    got = catalogue.QUERIES["segment_sums"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got), key=str) == sorted(c.sql(SQL["segment_sums"]).fetchall(), key=str)
+
+
 def test_a_stream_goes_on_where_it_stopped(spark, tmp_path):
     """Exactly once: a second run with the same folder reads the new files only, and its state holds the earlier rows."""
     from pyspark.sql import functions as F

@@ -25,7 +25,7 @@ def causal_conv(x: str, weights: list[float], w: WindowSpec, before: list[float]
     return sum((F.lit(c) * back(k) for k, c in enumerate(weights)), F.lit(0.0))
 
 
-def segment_sums(df: DataFrame, keys: list[str], order: list[str], x: str, out: str) -> DataFrame:
+def segment_sums(df: DataFrame, keys: list[str], order: list, x: str, out: str) -> DataFrame:
     """For each row of a segment the sums of x from after each earlier row up to this one, then 0: a row of the lower
     triangle, by differences of running sums. keys name a segment of bounded length.
     """

@@ -736,8 +736,10 @@ def stream_availability(spark, d):
   FROM lineitem) WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_quantity ROWS UNBOUNDED PRECEDING))
   SELECT l_orderkey, l_linenumber, array_to_string(list_transform(each, lambda v: CAST(s - v AS BIGINT)), ',') AS sums FROM x""")
 def segment_sums(spark, d):
-    x = t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").cast("bigint").alias("q"))
-    return Q.segment_sums(x, ["l_orderkey"], ["l_linenumber", "q"], "q", "sums").select("l_orderkey", "l_linenumber", F.array_join("sums", ",").alias("sums"))
+    """Null lines and quantities come last, the order is by the quantity itself, its sums by whole numbers, halves to even. Sums known nowhere are null."""
+    x = t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", F.rint("l_quantity").cast("bigint").alias("q"))
+    sums = Q.segment_sums(x, ["l_orderkey"], [F.asc_nulls_last("l_linenumber"), F.asc_nulls_last("l_quantity")], "q", "sums")
+    return sums.select("l_orderkey", "l_linenumber", F.when(F.exists("sums", F.isnotnull), F.array_join("sums", ",")).alias("sums"))
 
 
 @query("""WITH c AS (SELECT CAST(ts AS DATE) AS day, count(*) AS length FROM events GROUP BY 1) SELECT CAST(day AS VARCHAR)
