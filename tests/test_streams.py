@@ -89,3 +89,68 @@ def test_rows_wait_as_entries_of_many(spark, tmp_path):
     assert z().count() == 20  # up to the watermark, at 19 minutes
     held = spark.read.format("statestore").option("stateVarName", "waiting").load(f"{folder}/state")
     assert held.count() == 1
+
+
+def test_many_keys_in_groups(spark, tmp_path):
+    """Forty keys in three groups, over a restart: results as of keys by themselves, and the store holds groups. What isn't finite stays with its key."""
+    rnd = random.Random(11)
+    rates, weights, kinds = [-0.5, -2.0], [0.5, 0.3, 0.2], "k string, ts timestamp, i long, x double, dt double, b array<double>, c array<double>"
+    rows = [(f"k{rnd.randrange(40)}", at(i), i, None if i % 31 == 0 else rnd.gauss(0, 1), rnd.random(), [rnd.random() for _ in rates], [rnd.random() for _ in rates]) for i in range(600)]
+    rows[300] = ("k7", at(300), 300, math.inf, 9.0, [9.0, 9.0], [9.0, 9.0])
+    pending = sorted(rows, key=lambda r: r[1] + dt.timedelta(minutes=rnd.uniform(0, 20)))
+    end = [("end", at(10**5), 0, 0.0, 0.0, [0.0] * 2, [0.0] * 2)]
+
+    def seen(groups):
+        source, folder = str(tmp_path / f"in{groups}"), str(tmp_path / f"out{groups}")
+        stream = lambda: spark.readStream.schema(spark.createDataFrame([], kinds).schema).parquet(source)
+        advance = lambda: T.conv_and_scan("x", weights, "dt", rates, "b", "c", 0.1)
+        for batch in (pending[:300], pending[300:], end):
+            feed(spark, source, batch, kinds)
+            out = T.with_timers(spark, lambda: drained(T.in_order(stream(), "k", "ts", ["i"], "30 minutes", advance(), "conv double, y double", 10**12, groups), folder=folder))
+            if groups and batch is not end:
+                for held in ("waiting", "state"):
+                    assert spark.read.format("statestore").option("stateVarName", held).load(f"{folder}/state").count() <= groups
+        return {r.i: (r.conv, r.y) for r in out.where("k != 'end'").collect()}
+
+    by_group, by_key = seen(3), seen(None)
+    assert by_group.keys() == by_key.keys() == {r[2] for r in rows}
+    assert all(np.array_equal(by_group[i], by_key[i], equal_nan=True) for i in by_key)
+    strange = {i for i, v in by_key.items() if not np.isfinite(v).all()}
+    assert strange <= {r[2] for r in rows if r[0] == "k7" and r[2] >= 300}
+
+
+def test_one_key_of_a_group_leaves(spark, tmp_path):
+    """A key without rows for an hour starts anew; another of its group, and one whose rows wait, go on."""
+    source, folder = str(tmp_path / "in"), str(tmp_path / "out")
+
+    def z():
+        stream = spark.readStream.schema(spark.createDataFrame([], KINDS).schema).option("maxFilesPerTrigger", 1).parquet(source)
+        return T.with_timers(spark, lambda: drained(T.in_order(stream, "k", "ts", ["i"], "1 minute", T.running_zscore("v"), "z double", 3_600_000, 1), folder=folder))
+
+    feed(spark, source, [(k, at(i), 100 * n + i, float(i)) for n, k in enumerate("abc") for i in range(5)])
+    z()
+    feed(spark, source, [("b", at(30 * n), 300 + n, 1.0) for n in range(1, 11)])
+    z()
+    feed(spark, source, [("b", at(310), 320, 1.0), ("c", at(310), 321, 5.0)])
+    z()
+    feed(spark, source, [("a", at(330), 400, 7.0), ("b", at(330), 401, 7.0), ("end", at(10**5), 0, 0.0)])
+    got = {r.i: r.z for r in z().collect()}
+    assert got[400] == 0.0 and got[401] != 0.0 and {4, 104, 204, 310, 320, 321} <= got.keys()
+
+
+def test_a_key_silent_for_weeks_goes_on(spark, tmp_path):
+    """The SQL of the queries over events knows no idle keys."""
+    import duckdb
+
+    from tidemark.plans import series
+
+    seen = [(5, d) for d in (0, 1, 28)] + [(6, d) for d in (2, 13, 29)] + [(7, d) for d in range(30)]  # the last moves the watermark on
+    rows = [(n, START + dt.timedelta(days=d, seconds=n), user, f"t{user}", 1.5 * n + d * d, "{}") for n, (user, d) in enumerate(seen)]
+    events = spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string")
+    events.coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    c = duckdb.connect()
+    c.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    for name in ("stream_conv_scan", "stream_in_order"):
+        got = sorted(map(tuple, series.QUERIES[name](spark, str(tmp_path)).collect()))
+        want = sorted(c.sql(series.SQL[name]).fetchall())
+        assert [r[:2] for r in got] == [r[:2] for r in want] and np.allclose([r[2:] for r in got], [r[2:] for r in want])

@@ -101,10 +101,18 @@ def cumulative_zscore(df: DataFrame, keys: list[str], cell: str, order: list[str
     return rows.withColumns(made).drop(*names)
 
 
-def affine_prefix(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The steps h -> a[i] * h + b[i] put together from the first to each one, for all columns at once, by doubling the reach."""
+def affine_prefix(a: np.ndarray, b: np.ndarray, nth: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The steps h -> a[i] * h + b[i] put together from the first to each one, for all columns at once, by doubling the reach.
+
+    nth: the number from 0 of each step in its own series, where several follow one another; none of them reaches into the one before.
+    """
     a, b, reach = a.copy(), b.copy(), 1
-    while reach < len(a):
+    while nth is not None and reach <= nth.max(initial=0):
+        far = np.flatnonzero(nth >= reach)
+        b[far] += a[far] * b[far - reach]
+        a[far] *= a[far - reach]
+        reach *= 2
+    while nth is None and reach < len(a):
         b[reach:] += a[reach:] * b[:-reach]
         a[reach:] *= a[:-reach]
         reach *= 2

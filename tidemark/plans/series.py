@@ -187,11 +187,15 @@ def _in_parts(rows: DataFrame, time: str, hours: int, late: int, source: str):
         yield part
 
 
-def _arrived(spark, rows: DataFrame, last: DataFrame, key: str, order: list[str], advance, new: str) -> DataFrame:
+#: Milliseconds that a key may be idle in these queries: none leaves before its stream's end, as none does in the SQL.
+IDLE = 10**12
+
+
+def _arrived(spark, rows: DataFrame, last: DataFrame, key: str, order: list[str], advance, new: str, groups: int | None = None) -> DataFrame:
     """The results of a stream whose rows arrive in three parts of ten days or so, up to a day late; `last` moves the time on at the end."""
     folder = shared_folder(spark)
     source = f"{folder}/source"
-    stream = lambda: ordered.in_order(spark.readStream.schema(rows.schema).parquet(source), key, "ts", order, "25 hours", advance, new)
+    stream = lambda: ordered.in_order(spark.readStream.schema(rows.schema).parquet(source), key, "ts", order, "25 hours", advance, new, IDLE, groups)
     out = None
     for _ in _in_parts(rows, "ts", 24 * 11, 24, source):
         out = ordered.with_timers(spark, lambda: drained(stream(), folder=f"{folder}/out"))
@@ -209,6 +213,8 @@ def stream_in_order(spark, d):
 
 
 CONV = [0.5, 0.3, 0.2]
+#: Groups that the users are dealt into.
+GROUPS = 1024
 
 
 @query("""WITH RECURSIVE n AS (SELECT user_id, event_id, 0.5 * value + 0.3 * coalesce(lag(value, 1) OVER w,
@@ -225,7 +231,7 @@ def stream_conv_scan(spark, d):
     x = t(spark, d, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"), "event_id", "value", (0.05 + (id_ % 7) / 40.0).alias("dt"))
     x = x.withColumns({"b": F.array((id_ % 5) / 4.0, (id_ % 4) / 3.0), "c": F.array((id_ % 3) / 2.0, F.lit(1.0))})
     last = x.limit(1).withColumns({"user_id": F.lit(-1), "ts": F.lit("2100-01-01").cast("timestamp")})
-    y = _arrived(spark, x, last, "user_id", ["event_id"], ordered.conv_and_scan("value", CONV, "dt", [-1.0, -2.0], "b", "c", 0.25), "conv double, y double")
+    y = _arrived(spark, x, last, "user_id", ["event_id"], ordered.conv_and_scan("value", CONV, "dt", [-1.0, -2.0], "b", "c", 0.25), "conv double, y double", GROUPS)
     return rounded(y.select("user_id", "event_id", "conv", "y"), 8)
 
 
