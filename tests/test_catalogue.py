@@ -1,5 +1,6 @@
 """Every catalogue query against its SQL, on the smallest tables."""
 
+import datetime as dt
 import math
 from pathlib import Path
 
@@ -52,6 +53,25 @@ def test_segment_sums_of_odd_lines(spark, tmp_path, lines):
     assert sorted(map(tuple, got), key=str) == sorted(c.sql(SQL["segment_sums"]).fetchall(), key=str)
 
 
+@pytest.mark.parametrize("files", [1, 3])
+def test_stream_scan_of_odd_ticks(spark, tmp_path, files):
+    """Prices, types, times and numbers that are null, in a file and in a folder of several."""
+    at = lambda n: None if n is None else dt.datetime(2024, 1, 1, 0, n)
+    ticks = [("a", 0, 1, None), ("a", 1, 2, None), ("a", 2, 3, 5.25), ("a", 3, 4, None), ("a", 3, None, 2.0), ("a", None, 6, 1.5), ("b", 0, 7, 0.0), ("b", 1, 8, None)]
+    ticks += [("c", 0, 9, None), (None, 0, 10, None), (None, 1, 11, 3.0), (None, None, 12, -4.0), ("d", 0, 13, None), ("d", 1, 14, -8.5)]
+    odd = spark.createDataFrame([(i, at(n), 1, k, v, "{}") for k, n, i, v in ticks], "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string")
+    odd.repartition(files).write.parquet(str(tmp_path / "parts"))
+    found = sorted((tmp_path / "parts").glob("*.parquet"))
+    if files == 1:
+        found[0].rename(tmp_path / "events.parquet")
+    else:
+        (tmp_path / "parts").rename(tmp_path / "events.parquet")
+    c = duckdb.connect()
+    c.sql(f"CREATE VIEW events AS SELECT * FROM read_parquet('{tmp_path}/events.parquet{'' if files == 1 else '/*.parquet'}')")
+    got = features.QUERIES["stream_scan"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got), key=str) == sorted(c.sql(SQL["stream_scan"]).fetchall(), key=str)
+
+
 def test_a_stream_goes_on_where_it_stopped(spark, tmp_path):
     """Exactly once: a second run with the same folder reads the new files only, and its state holds the earlier rows."""
     from pyspark.sql import functions as F

@@ -798,6 +798,7 @@ def stream_bars(spark, d):
 
 
 def _tick_stream(spark: SparkSession, d: str) -> DataFrame:
-    e = spark.readStream.schema(t(spark, d, "events").schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    # A stream takes no path to one file, but a pattern that fits one file or one folder.
+    e = spark.readStream.schema(t(spark, d, "events").schema).parquet(f"{d}/events.parque[t]")
     volume = F.coalesce(F.from_json("props", "k bigint").k.cast("double"), F.lit(0.0))
     return e.select(F.col("event_type").alias("ticker"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("tick_id"), F.col("value").alias("price"), volume.alias("volume"))

@@ -80,14 +80,17 @@ def stream_cumulative_zscore(rows: DataFrame, key: str, order: list[str], value:
 
 
 def stream_scan(rows: DataFrame, key: str, order: list[str], value: str, decay: float) -> DataFrame:
-    """Rows of the stream's key, order and value columns with h = exp(-decay) * h + value; null values count as 0. State: one number a key."""
+    """Rows of the stream's key, order and value columns with h = exp(-decay) * h + value. Null values count as 0, and h is null until
+    a key's first value. State: one number a key.
+    """
 
     def advance(numbers, values):
         import math
 
-        h, out, keep = numbers[0] if numbers else 0.0, [], math.exp(-decay)
-        for v in values.fillna(0.0).tolist():
-            h = keep * h + v
+        h, out, keep = numbers[0] if numbers else None, [], math.exp(-decay)
+        for v, there in zip(values.fillna(0.0).tolist(), values.notna().tolist(), strict=True):
+            if there or h is not None:
+                h = keep * (h or 0.0) + v
             out.append(h)
         return (h,), out
 
